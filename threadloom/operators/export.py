@@ -22,7 +22,8 @@ from threadloom.functions.variants import child, flag_at, is_present, show_value
 from threadloom.operators.messages import first_text, item_type
 from threadloom.operators.records import KEYS
 from threadloom.operators.scans import running
-from threadloom.operators.tree import reachable, visible
+from threadloom.operators.tree import reachable, visible, with_content
+from threadloom.session import stage
 
 PART_CHARS = 64 * 1024 * 1024
 FORMATS = {"md": "md", "markdown": "md", "org": "org", "html": "html", "txt": "txt", "text": "txt", "json": "json"}
@@ -399,21 +400,28 @@ def json_fragment() -> Column:
 # --- Assembly
 
 
-def fragments(tree: DataFrame, fmt: str, *, with_thinking: bool = False, with_agents: bool = False, by_kind: bool = False) -> DataFrame:
-    """One text per message and its place, ``(keys, dfs_pos, fragment)``."""
+def fragments(
+    tree: DataFrame, messages: DataFrame, fmt: str, *, with_thinking: bool = False, with_agents: bool = False, by_kind: bool = False
+) -> DataFrame:
+    """One text per message and its place, ``(keys, dfs_pos, fragment)``.
+
+    What is shown is decided on the narrow tree index; content joins it once.
+    """
     fmt = FORMATS.get(fmt.lower())
     if fmt is None:
         raise ValueError("unknown export format")
-    if fmt in ("txt", "json"):
-        shown = reachable(tree)
-        body = text_fragment() if fmt == "txt" else json_fragment()
+    if by_kind and fmt == "html":
+        raise ValueError("HTML is exported by tree only")
+    pruned = fmt in ("md", "org", "html") and not by_kind
+    shown = with_content(visible(tree, include_agents=with_agents) if pruned else reachable(tree), messages)
+    if fmt == "txt":
+        body = text_fragment()
+    elif fmt == "json":
+        body = json_fragment()
     elif by_kind:
-        if fmt == "html":
-            raise ValueError("HTML is exported by tree only")
-        shown = with_indented_inputs(reachable(tree))
+        shown = with_indented_inputs(shown)
         body = markdown_kind_fragment() if fmt == "md" else org_kind_fragment()
     else:
-        shown = visible(tree, include_agents=with_agents)
         body = {"md": markdown_fragment, "org": org_fragment, "html": html_fragment}[fmt](with_thinking)
     return shown.select(*KEYS, "dfs_pos", body.alias("fragment"))
 
@@ -424,7 +432,8 @@ def assemble(pieces: DataFrame, part_chars: int = PART_CHARS) -> DataFrame:
     ``(keys, part_no, document)``; the parts of a session in order are its
     whole document. A fragment is never split.
     """
-    sized = running(pieces, KEYS, "dfs_pos", {"before": ("sum", F.length("fragment").cast("bigint"))}, inclusive=False)
+    size = F.length("fragment").cast("bigint")
+    sized = running(stage(pieces), KEYS, "dfs_pos", {"before": ("sum", size, "before")})
     part = F.floor(F.coalesce("before", F.lit(0)) / F.lit(part_chars))
     ordered = F.array_sort(F.collect_list(F.struct("dfs_pos", "fragment")))
     return (
@@ -450,6 +459,7 @@ def text_file_name(summary: Column, date: Column) -> Column:
 
 def export_transcripts(
     tree: DataFrame,
+    messages: DataFrame,
     sessions: DataFrame,
     fmt: str,
     *,
@@ -465,7 +475,7 @@ def export_transcripts(
     subtrees; ``by_kind`` selects the flat rendering by message kind.
     """
     wanted = FORMATS.get(fmt.lower())
-    pieces = fragments(tree, fmt, with_thinking=with_thinking, with_agents=with_agents, by_kind=by_kind)
+    pieces = fragments(tree, messages, fmt, with_thinking=with_thinking, with_agents=with_agents, by_kind=by_kind)
     heads = {
         "md": markdown_kind_head() if by_kind else markdown_head(),
         "org": org_kind_head() if by_kind else org_head(),

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from threadloom.functions import text
 from threadloom.functions.variants import array_of, as_text, child, flag_at, is_object, text_at
-from threadloom.operators.records import KEYS
+from threadloom.operators.records import KEYS, once
 
 CONVERSATIONAL = ("user", "assistant")
 MESSAGE_COLUMNS = [
@@ -61,7 +61,7 @@ def is_conversational() -> Column:
 
 def classify(records: DataFrame) -> DataFrame:
     """Add ``items`` and ``kind`` to all records."""
-    return records.withColumn("items", content_items(F.col("content"))).withColumn(
+    return once(records, "items", content_items(F.col("content"))).withColumn(
         "kind", kind_of(F.col("type"), F.col("is_compacted"), F.col("is_meta"), F.col("items"))
     )
 

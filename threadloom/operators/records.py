@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.functions import text, times
-from threadloom.functions.variants import child, is_present
+from threadloom.functions.variants import child, is_object, is_present
 
 KEYS = ["project_key", "session_id"]
 LINE_CAP = 10 * 1024 * 1024
@@ -68,6 +68,16 @@ STRICT_FIELDS = {
 }
 
 
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a costly column so that it is computed once per row.
+
+    Filters on columns derived from it would otherwise be pushed below it,
+    each with a copy of the whole computation. Filters on the other columns
+    still reach the scan.
+    """
+    return df.withColumn(name, F.explode(F.array(value)))
+
+
 def parse_lines(lines: DataFrame, cap: int = LINE_CAP) -> DataFrame:
     """Drop blank lines; add ``rec``, ``oversize`` and ``parse_ok``.
 
@@ -75,12 +85,10 @@ def parse_lines(lines: DataFrame, cap: int = LINE_CAP) -> DataFrame:
     object has ``parse_ok = false``.
     """
     oversize = F.octet_length("value") > cap
-    return (
-        lines.where(text.has_ink(F.col("value")))
-        .withColumn("oversize", oversize)
-        .withColumn("rec", F.when(~F.col("oversize"), F.try_parse_json(text.trim_all(F.col("value")))))
-        .withColumn("parse_ok", F.coalesce(F.schema_of_variant("rec").startswith("OBJECT"), F.lit(False)))
-    )
+    parsed = lines.where(text.has_ink(F.col("value"))).withColumn("oversize", oversize)
+    parsed = once(parsed, "rec", F.when(~F.col("oversize"), F.try_parse_json(text.trim_all(F.col("value")))))
+    # An object unless it reads as something else; this looks at the head of the value only.
+    return parsed.withColumn("parse_ok", F.coalesce(is_object(F.col("rec")), F.lit(False)))
 
 
 def type_clash(rec: Column, profile: str) -> Column:

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 SPAN = 1 << 16
@@ -28,39 +28,43 @@ def running(
     df: DataFrame,
     keys: Sequence[str],
     position: str,
-    outputs: dict[str, tuple[str, Column]],
+    outputs: dict[str, tuple],
     *,
-    inclusive: bool = True,
     backward: bool = False,
     span: int | None = None,
 ) -> DataFrame:
-    """Add running aggregates ``{name: (how, value)}`` along ``position`` within ``keys``.
+    """Add running aggregates along ``position`` within ``keys``.
 
-    ``how`` is sum, min or max. ``inclusive=False`` leaves the row itself out;
+    ``outputs`` maps a name to ``(how, value)`` or ``(how, value, "before")``:
+    ``how`` is sum, min or max, and "before" leaves the row itself out.
     ``backward`` runs from the last position to the first. Positions must be
-    unique within ``keys`` and not NULL.
+    unique within ``keys`` and not NULL. Two branches read ``df``, so hand in
+    something cheap to read: a table, or a staged one.
     """
     span = span or SPAN
-    named = {f"__v_{n}": v for n, (_, v) in outputs.items()}
-    cut = df.withColumns({**named, "__seg": F.floor(F.col(position) / F.lit(span))})
-    totals = cut.groupBy(*keys, "__seg").agg(*[_AGG[how](f"__v_{n}").alias(f"__t_{n}") for n, (how, _) in outputs.items()])
+    specs = {n: (spec[0], spec[1], len(spec) == 2) for n, spec in outputs.items()}
+    cut = df.withColumns({**{f"__v_{n}": v for n, (_, v, _) in specs.items()}, "__seg": F.floor(F.col(position) / F.lit(span))})
+    totals = cut.groupBy(*keys, "__seg").agg(*[_AGG[how](f"__v_{n}").alias(f"__t_{n}") for n, (how, _, _) in specs.items()])
 
     def ordering(c: str) -> Column:
         return F.col(c).desc() if backward else F.col(c).asc()
 
     before = Window.partitionBy(*keys).orderBy(ordering("__seg")).rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select(
-        *keys, "__seg", *[_AGG[how](f"__t_{n}").over(before).alias(f"__s_{n}") for n, (how, _) in outputs.items()]
+        *keys, "__seg", *[_AGG[how](f"__t_{n}").over(before).alias(f"__s_{n}") for n, (how, _, _) in specs.items()]
     )
     # Only segments after the first one carry anything over; for short groups
     # this side is empty.
-    starts = starts.where(" or ".join(f"__s_{n} is not null" for n in outputs))
-    last = Window.currentRow if inclusive else -1
-    inside = Window.partitionBy(*keys, "__seg").orderBy(ordering(position)).rowsBetween(Window.unboundedPreceding, last)
+    starts = starts.where(" or ".join(f"__s_{n} is not null" for n in specs))
+    inside = Window.partitionBy(*keys, "__seg").orderBy(ordering(position))
+
+    def frame(inclusive: bool) -> WindowSpec:
+        return inside.rowsBetween(Window.unboundedPreceding, Window.currentRow if inclusive else -1)
+
     scanned = cut.join(starts, [*keys, "__seg"], "left").withColumns(
         {
-            n: _merge(how, _AGG[how](f"__v_{n}").over(inside), F.col(f"__s_{n}"))
-            for n, (how, _) in outputs.items()
+            n: _merge(how, _AGG[how](f"__v_{n}").over(frame(inclusive)), F.col(f"__s_{n}"))
+            for n, (how, _, inclusive) in specs.items()
         }
     )
-    return scanned.select(*df.columns, *outputs)
+    return scanned.select(*df.columns, *specs)

@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 from threadloom.functions import text
 from threadloom.functions.tools import tool_preview
-from threadloom.functions.variants import show_value
-from threadloom.operators.messages import explode_blocks, texts_of
-from threadloom.operators.records import KEYS
+from threadloom.functions.variants import child, show_value, text_at
+from threadloom.operators.messages import explode_blocks, item_type, texts_of
+from threadloom.operators.records import KEYS, once
 from threadloom.operators.sessions import limited, with_project
 from threadloom.operators.tree import reachable
 
@@ -115,10 +115,13 @@ def _searchable(blocks: DataFrame) -> Column:
     )
 
 
-def content_hits(tree: DataFrame, queries: Sequence[str]) -> DataFrame:
-    """First content hit per session and query in conversation order, with a snippet."""
+def content_hits(tree: DataFrame, messages: DataFrame, queries: Sequence[str]) -> DataFrame:
+    """First content hit per session and query in conversation order, with a snippet.
+
+    Only messages with a hit are joined with the tree index.
+    """
     queries = [q.lower() for q in queries]
-    blocks = explode_blocks(reachable(tree), "uuid", "dfs_pos").drop("image_data")
+    blocks = explode_blocks(messages, "uuid").drop("image_data")
     body = F.col("body")
 
     def hit_of(q: str) -> tuple[Column, Column]:
@@ -129,7 +132,8 @@ def content_hits(tree: DataFrame, queries: Sequence[str]) -> DataFrame:
     return (
         blocks.withColumn("body", _searchable(blocks))
         .where(body.isNotNull())
-        .withColumn("hit", _hit_list(queries, hit_of))
+        .select(*KEYS, "line_no", "uuid", "block_no", _hit_list(queries, hit_of).alias("hit"))
+        .join(reachable(tree).select(*KEYS, "line_no", "dfs_pos"), [*KEYS, "line_no"])
         .groupBy(*KEYS, "hit.query")
         .agg(F.min_by(F.struct("uuid", "line_no", F.col("hit.snippet").alias("snippet")), F.struct("dfs_pos", "block_no")).alias("h"))
         .select(*KEYS, "query", F.col("h.line_no").alias("line_no"), F.col("h.uuid").alias("message_id"), F.col("h.snippet").alias("snippet"))
@@ -137,7 +141,8 @@ def content_hits(tree: DataFrame, queries: Sequence[str]) -> DataFrame:
 
 
 def search_global(
-    sessions: DataFrame, projects: DataFrame, tree: DataFrame, queries: Sequence[str], limit: int = GLOBAL_LIMIT
+    sessions: DataFrame, projects: DataFrame, tree: DataFrame, messages: DataFrame, queries: Sequence[str],
+    limit: int = GLOBAL_LIMIT,
 ) -> DataFrame:
     """Search with content: project key (0) or path (1), session id (0), summary (2), content (3).
 
@@ -155,7 +160,7 @@ def search_global(
     named = with_project(sessions, projects)
     by_metadata = _session_hits(named, queries, lambda q: (_session_rank(q), _no_snippet()))
     by_content = (
-        content_hits(tree, queries)
+        content_hits(tree, messages, queries)
         .join(named, KEYS)
         .where(
             ~F.lower("session_id").startswith(F.col("query")) & ~F.contains(F.lower("summary"), F.col("query"))
@@ -172,49 +177,52 @@ def search_global(
 FACETS = ("user", "response", "thinking", "tool", "agent")
 
 
-def faceted_search(tree: DataFrame, query: str, facets: Sequence[str] = FACETS) -> DataFrame:
+def faceted_search(tree: DataFrame, messages: DataFrame, query: str, facets: Sequence[str] = FACETS) -> DataFrame:
     """Search inside sessions by facet, scored; queries under two characters find nothing.
 
     User messages score 50 more than responses; tool calls and sub-agents
     have a fixed score. Every shown message that is no user prompt is a
-    response, and is searched without its thinking.
+    response, and is searched without its thinking. All facets of a message
+    are tested in one pass; ``block_no`` is -1 where the whole message hit.
     """
     unknown = set(facets) - set(FACETS)
     if unknown:
         raise ValueError(f"unknown facets: {sorted(unknown)}")
     q = query.strip().lower()
-    blocks = explode_blocks(reachable(tree), "kind", "dfs_pos").drop("image_data")
-    messages = reachable(tree)
+
+    def hit(facet: str, wanted: Column, block_no: Column, score: Column) -> Column:
+        if facet not in facets or len(q) < 2:
+            wanted = F.lit(False)
+        found = F.struct(F.lit(facet).alias("type"), block_no.cast("bigint").alias("block_no"), score.alias("score"))
+        return F.when(wanted & (score > 0), found)
+
     said = F.when(F.col("is_command"), F.concat_ws("\n", "command_name", "command_args")).otherwise(
         F.array_join(texts_of(F.col("items")), "\n")
     )
-    called = F.concat_ws(" ", "tool_name", tool_preview(F.col("tool_name"), F.col("tool_input")))
-    in_brackets = F.regexp_extract(called, r"\[([^\]]+)\]", 1)
-    shown = ["query", "type", *KEYS, "line_no", "block_no", "score"]
-
-    def scored(df: DataFrame, facet: str, score: Column) -> DataFrame:
-        return df.select(F.lit(query).alias("query"), F.lit(facet).alias("type"), *KEYS, "line_no", "block_no", score.alias("score")).where(
-            "score > 0"
+    kind, relevance = F.col("kind"), F.col("relevance")
+
+    def item_hits(item: Column, n: Column) -> Column:
+        is_call = item_type(item) == "tool_use"
+        name = F.coalesce(text_at(item, "$.name"), F.lit(""))
+        called = F.concat_ws(" ", name, tool_preview(name, child(item, "$.input")))
+        agent = F.regexp_extract(called, r"\[([^\]]+)\]", 1)
+        thought = text.relevance(text_at(item, "$.thinking"), query)
+        return F.array(
+            hit("thinking", item_type(item) == "thinking", n, thought),
+            hit("tool", is_call & text.contains_folded(called, q), n, F.lit(20.0)),
+            hit("agent", is_call & F.contains(called, F.lit("Task")) & (agent != "") & text.contains_folded(agent, q), n, F.lit(25.0)),
         )
 
-    whole = messages.withColumn("block_no", F.lit(-1).cast("bigint")).withColumn("said", said)
-    relevance = text.relevance(F.col("said"), query)
-    branches = {
-        "user": lambda: scored(whole.where("kind = 'user_prompt'"), "user", F.when(relevance > 0, relevance + 50).otherwise(0.0)),
-        "response": lambda: scored(whole.where("kind not in ('user_prompt', 'tool_result')"), "response", relevance),
-        "thinking": lambda: scored(blocks.where("block_type = 'thinking'"), "thinking", text.relevance(F.col("text"), query)),
-        "tool": lambda: scored(
-            blocks.where("block_type = 'tool_use'"), "tool", F.when(text.contains_folded(called, q), 20.0).otherwise(0.0)
-        ),
-        "agent": lambda: scored(
-            blocks.where("block_type = 'tool_use'").where(F.contains(called, F.lit("Task"))), "agent",
-            F.when((in_brackets != "") & text.contains_folded(in_brackets, q), 25.0).otherwise(0.0),
-        ),
-    }
-    found = None
-    for facet in facets:
-        part = branches[facet]()
-        found = part if found is None else found.unionByName(part)
-    if len(q) < 2:
-        found = found.where(F.lit(False))
-    return found.select(*shown).orderBy(F.col("score").desc(), *KEYS, "line_no", "block_no", "type")
+    whole = F.array(
+        hit("user", kind == "user_prompt", F.lit(-1), F.when(relevance > 0, relevance + 50).otherwise(0.0)),
+        hit("response", ~kind.isin("user_prompt", "tool_result"), F.lit(-1), relevance),
+    )
+    hits = F.array_compact(F.concat(whole, F.flatten(F.transform("items", item_hits))))
+    scored = once(once(messages, "said", said), "relevance", text.relevance(F.col("said"), query))
+    return (
+        scored.select(*KEYS, "line_no", F.explode(hits).alias("hit"))
+        .select(F.lit(query).alias("query"), *KEYS, "line_no", "hit.*")
+        .join(reachable(tree).select(*KEYS, "line_no"), [*KEYS, "line_no"], "left_semi")
+        .select("query", "type", *KEYS, "line_no", "block_no", "score")
+        .orderBy(F.col("score").desc(), *KEYS, "line_no", "block_no", "type")
+    )

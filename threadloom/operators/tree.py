@@ -20,27 +20,35 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from threadloom.functions import text
+from threadloom.operators.messages import classify, is_conversational
 from threadloom.operators.records import KEYS
 from threadloom.operators.scans import running
-from threadloom.session import cut_lineage
+from threadloom.session import stage
 
 PACK_LIMIT = 4096
 DOUBLINGS = 4  # 2**4 = the 16 hops followed across compaction boundaries
 TREE_COLUMNS = ["parent_line", "is_root", "reachable", "depth", "dfs_pos", "dfs_end"]
 
 
-def boundaries(records: DataFrame) -> DataFrame:
-    """Compaction boundaries with a logical parent, the last one per uuid."""
-    parent = text.none_if_empty(text.trim_all(F.col("logical_parent_uuid")))
-    return (
-        records.where("type = 'system' and subtype = 'compact_boundary' and uuid is not null")
-        .withColumn("target", parent)
-        .where("target is not null")
-        .groupBy(*KEYS, "uuid")
-        .agg(F.max_by("target", "line_no").alias("target"))
+def skeleton(records: DataFrame) -> DataFrame:
+    """What the tree needs of messages and compaction boundaries, narrow, in one pass.
+
+    ``target`` is the logical parent of a boundary and NULL on messages.
+    """
+    is_boundary = F.coalesce((F.col("type") == "system") & (F.col("subtype") == "compact_boundary"), F.lit(False))
+    target = text.none_if_empty(text.trim_all(F.col("logical_parent_uuid")))
+    kept = records.where(is_conversational() | (is_boundary & F.col("uuid").isNotNull() & target.isNotNull()))
+    return classify(kept).select(
+        *KEYS, "line_no", "uuid", "parent_uuid_raw", "type", "kind", "is_compacted", "is_sidechain",
+        F.when(is_boundary, target).alias("target"),
     )
 
 
+def boundaries(bones: DataFrame) -> DataFrame:
+    """Compaction boundaries with a logical parent, the last one per uuid."""
+    return bones.where("target is not null").groupBy(*KEYS, "uuid").agg(F.max_by("target", "line_no").alias("target"))
+
+
 def hop_targets(bounds: DataFrame) -> DataFrame:
     """Where each boundary leads after at most 16 hops.
 
@@ -48,39 +56,41 @@ def hop_targets(bounds: DataFrame) -> DataFrame:
     applied 16 times, which is four squarings of f. Squaring stops early once
     no target is itself a boundary.
     """
-    hops = cut_lineage(bounds)
+    hops = bounds
     for _ in range(DOUBLINGS):
         further = hops.select(*KEYS, F.col("uuid").alias("target"), F.col("target").alias("next_target"))
-        moved = hops.join(further, [*KEYS, "target"], "left").select(
-            *KEYS, "uuid", F.coalesce("next_target", "target").alias("target"),
-            F.coalesce(F.col("next_target") != F.col("target"), F.lit(False)).alias("moved"),
+        moved = stage(
+            hops.join(further, [*KEYS, "target"], "left").select(
+                *KEYS, "uuid", F.coalesce("next_target", "target").alias("target"),
+                F.coalesce(F.col("next_target") != F.col("target"), F.lit(False)).alias("moved"),
+            )
         )
-        moved = cut_lineage(moved)
         hops = moved.drop("moved")
         if moved.where("moved").isEmpty():
             break
     return hops
 
 
-def resolve_parents(messages: DataFrame, records: DataFrame) -> DataFrame:
-    """Add ``parent_uuid``: the logged parent after hops over compaction boundaries."""
-    bounds = cut_lineage(boundaries(records))
-    if bounds.isEmpty():
+def _spread_nulls(df: DataFrame, column: str) -> DataFrame:
+    """Give rows without a link a key of their own, so they do not pile up in one join task."""
+    return df.withColumn("__link", F.coalesce(column, F.concat(F.lit("\u0000"), F.col("line_no").cast("string"))))
+
+
+def resolve_parents(bones: DataFrame) -> DataFrame:
+    """Messages with ``parent_uuid``: the logged parent after hops over compaction boundaries."""
+    messages = bones.where("target is null").drop("target")
+    bounds = boundaries(bones)
+    if bones.where("target is not null").isEmpty():
         return messages.withColumn("parent_uuid", F.col("parent_uuid_raw"))
-    hops = hop_targets(bounds).select(*KEYS, F.col("uuid").alias("parent_uuid_raw"), F.col("target"))
+    hops = hop_targets(bounds).withColumnRenamed("uuid", "__link")
     return (
         _spread_nulls(messages, "parent_uuid_raw")
-        .join(hops.withColumnRenamed("parent_uuid_raw", "__link"), [*KEYS, "__link"], "left")
+        .join(hops, [*KEYS, "__link"], "left")
         .withColumn("parent_uuid", F.coalesce("target", "parent_uuid_raw"))
         .drop("target", "__link")
     )
 
 
-def _spread_nulls(df: DataFrame, column: str) -> DataFrame:
-    """Give rows without a link a key of their own, so they do not pile up in one join task."""
-    return df.withColumn("__link", F.coalesce(column, F.concat(F.lit("\u0000"), F.col("line_no").cast("string"))))
-
-
 def link_parents(messages: DataFrame) -> DataFrame:
     """Add ``parent_line``, NULL for roots (no parent, or one that is not there).
 
@@ -186,7 +196,7 @@ def walk_doubling(links: DataFrame, longest: int) -> DataFrame:
     """Order sessions of any length by distributed pointer doubling."""
     family = links.withColumn("up", F.coalesce("parent_line", F.lit(-1)))
     with_next = running(
-        family, [*KEYS, "up"], "line_no", {"sibling": ("min", F.col("line_no"))}, inclusive=False, backward=True
+        family, [*KEYS, "up"], "line_no", {"sibling": ("min", F.col("line_no"), "before")}, backward=True
     )
     first_child = family.where("up >= 0").groupBy(*KEYS, "up").agg(F.min("line_no").alias("child"))
     linked = with_next.join(first_child.withColumnRenamed("up", "line_no"), [*KEYS, "line_no"], "left")
@@ -210,7 +220,7 @@ def walk_doubling(links: DataFrame, longest: int) -> DataFrame:
             )
         ).alias("s"),
     ).select(*KEYS, "s.*")
-    steps = cut_lineage(steps)
+    steps = stage(steps)
     for _ in range(math.ceil(math.log2(2 * longest + 1)) + 1):
         if steps.where("next is not null").isEmpty():
             break
@@ -223,7 +233,7 @@ def walk_doubling(links: DataFrame, longest: int) -> DataFrame:
             *KEYS, "at", F.col("next2").alias("next"), (F.col("enters") + F.col("e2")).alias("enters"),
             (F.col("level") + F.col("l2")).alias("level"),
         )
-        steps = cut_lineage(steps.where("next is null").unionByName(moved))
+        steps = stage(steps.where("next is null").unionByName(moved))
     done = F.col("next").isNull()
     per_message = (
         steps.withColumn("line_no", F.floor(F.col("at") / 2))
@@ -253,22 +263,33 @@ def order_messages(linked: DataFrame, pack_limit: int = PACK_LIMIT) -> DataFrame
     and get NULL positions.
     """
     links = linked.select(*KEYS, "line_no", "parent_line")
-    sizes = linked.select(*KEYS).groupBy(*KEYS).agg(F.count("*").alias("n"))
+    sizes = linked.groupBy(*KEYS).agg(F.count("*").alias("n"))
     long_sessions = sizes.where(F.col("n") > pack_limit)
     longest = long_sessions.agg(F.max("n")).first()[0]
     if longest is None:
         walked = walk_packed(links)
     else:
-        long_keys = cut_lineage(long_sessions.select(*KEYS))
+        long_keys = stage(long_sessions.select(*KEYS))
         walked = walk_packed(links.join(long_keys, KEYS, "left_anti")).unionByName(
             walk_doubling(links.join(long_keys, KEYS, "left_semi"), longest)
         )
     return linked.withColumn("is_root", F.col("parent_line").isNull()).join(walked, [*KEYS, "line_no"])
 
 
-def build_tree(messages: DataFrame, records: DataFrame, pack_limit: int = PACK_LIMIT) -> DataFrame:
-    """Messages with parent links, roots, depth and depth-first interval."""
-    return order_messages(link_parents(resolve_parents(messages, records)), pack_limit)
+def build_tree(records: DataFrame, pack_limit: int = PACK_LIMIT) -> DataFrame:
+    """The tree index: one narrow row per message with parent links and depth-first interval.
+
+    The records are read once. All views work on the index; ``with_content``
+    adds the message content where a rendering needs it.
+    """
+    linked = stage(link_parents(resolve_parents(stage(skeleton(records)))))
+    return stage(order_messages(linked, pack_limit))
+
+
+def with_content(tree: DataFrame, messages: DataFrame) -> DataFrame:
+    """Index rows with the remaining message columns."""
+    added = [c for c in messages.columns if c not in tree.columns]
+    return tree.join(messages.select(*KEYS, "line_no", *added), [*KEYS, "line_no"])
 
 
 def reachable(tree: DataFrame) -> DataFrame:
@@ -296,8 +317,10 @@ def in_pruned_subtree(
             "__below": F.when(F.col("is_compacted"), F.col("dfs_end")).otherwise(never) if cut_compacted else never,
         }
     )
-    marked = running(flagged, KEYS, "dfs_pos", {"__open_own": ("max", F.col("__own"))})
-    marked = running(marked, KEYS, "dfs_pos", {"__open_below": ("max", F.col("__below"))}, inclusive=False)
+    marked = running(
+        flagged, KEYS, "dfs_pos",
+        {"__open_own": ("max", F.col("__own")), "__open_below": ("max", F.col("__below"), "before")},
+    )
     hidden = F.greatest(F.coalesce("__open_own", F.lit(0)), F.coalesce("__open_below", F.lit(0))) > F.col("dfs_pos")
     return marked.withColumn("hidden", hidden).drop("__own", "__below", "__open_own", "__open_below")
 

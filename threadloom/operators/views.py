@@ -15,7 +15,8 @@ from threadloom.functions.variants import child, text_at
 from threadloom.operators.messages import first_text, item_type
 from threadloom.operators.records import KEYS
 from threadloom.operators.scans import running
-from threadloom.operators.tree import reachable
+from threadloom.operators.tree import reachable, with_content
+from threadloom.session import stage
 
 # Fixed values of the long-session view.
 TAIL_THRESHOLD = 500
@@ -49,10 +50,13 @@ def threads(tree: DataFrame) -> DataFrame:
     return out.withColumn("level", level)
 
 
+def _opens_section() -> Column:
+    return _flag(_is("compact_summary") & (F.col("dfs_pos") > 0))
+
+
 def sections(tree: DataFrame) -> DataFrame:
     """Add ``section_no``: a new section starts at every compact summary, the first is 0."""
-    starts = _is("compact_summary") & (F.col("dfs_pos") > 0)
-    return running(reachable(tree), KEYS, "dfs_pos", {"section_no": ("sum", _flag(starts))})
+    return running(reachable(tree), KEYS, "dfs_pos", {"section_no": ("sum", _opens_section())})
 
 
 def _fold_starts(prompts: Column, start: Column, size: int) -> Column:
@@ -74,8 +78,8 @@ def _fold_open(prompts: Column, start: Column, size: int) -> Column:
     return F.aggregate(prompts, start.cast("bigint"), lambda at, p: F.when(p - at >= size, p).otherwise(at))
 
 
-def prompt_chunks(tree: DataFrame, size: int = CHUNK_SIZE, span: int | None = None) -> DataFrame:
-    """Add ``chunk_no``: a prompt closes the open chunk once that holds ``size`` messages.
+def chunk_starts(tree: DataFrame, size: int = CHUNK_SIZE, span: int | None = None) -> DataFrame:
+    """Positions that open a chunk: a prompt does once the open chunk holds ``size`` messages.
 
     Greedy and sequential, so it folds over prompt positions, in segments of
     ``span`` positions. A segment only depends on how many messages the chunk
@@ -85,9 +89,10 @@ def prompt_chunks(tree: DataFrame, size: int = CHUNK_SIZE, span: int | None = No
     true case. Sessions of one segment skip that step.
     """
     span = span or CHUNK_SPAN
-    shown = reachable(tree)
+    if span < size:
+        raise ValueError("a segment must be longer than a chunk")
     prompts = (
-        shown.where(_is("user_prompt"))
+        reachable(tree).where(_is("user_prompt"))
         .withColumn("seg", F.floor(F.col("dfs_pos") / F.lit(span)))
         .groupBy(*KEYS, "seg")
         .agg(F.array_sort(F.collect_list("dfs_pos")).alias("prompts"))
@@ -129,12 +134,19 @@ def prompt_chunks(tree: DataFrame, size: int = CHUNK_SIZE, span: int | None = No
         *KEYS, F.col("e.seg").alias("seg"), F.col("e.held").alias("held")
     )
     held = F.when(F.col("seg") == 0, F.lit(0)).otherwise(F.coalesce("held", F.lit(size)))
-    starts = (
-        prompts.join(entries, [*KEYS, "seg"], "left")
-        .select(*KEYS, F.explode(_fold_starts(F.col("prompts"), seg_start - held, size)).alias("dfs_pos"))
-        .withColumn("opens_chunk", F.lit(1).cast("bigint"))
+    return prompts.join(entries, [*KEYS, "seg"], "left").select(
+        *KEYS, F.explode(_fold_starts(F.col("prompts"), seg_start - held, size)).alias("dfs_pos")
     )
-    marked = shown.join(starts, [*KEYS, "dfs_pos"], "left")
+
+
+def _with_chunk_starts(tree: DataFrame, size: int, span: int | None) -> DataFrame:
+    starts = chunk_starts(tree, size, span).withColumn("opens_chunk", F.lit(1).cast("bigint"))
+    return stage(reachable(tree).join(starts, [*KEYS, "dfs_pos"], "left"))
+
+
+def prompt_chunks(tree: DataFrame, size: int = CHUNK_SIZE, span: int | None = None) -> DataFrame:
+    """Add ``chunk_no``, the number of the greedy chunk a message is in."""
+    marked = _with_chunk_starts(tree, size, span)
     return running(marked, KEYS, "dfs_pos", {"chunk_no": ("sum", F.coalesce("opens_chunk", F.lit(0)))}).drop("opens_chunk")
 
 
@@ -147,9 +159,15 @@ def tail_view(
     at compact summaries, or in chunks where there is none; the last ``keep``
     parts are shown.
     """
-    parted = prompt_chunks(sections(tree), chunk_size)
-    totals = parted.groupBy(*KEYS).agg(
-        F.count("*").alias("n"), F.max("section_no").alias("max_section"), F.max("chunk_no").alias("max_chunk")
+    marked = _with_chunk_starts(tree, chunk_size, None)
+    parted = running(
+        marked, KEYS, "dfs_pos",
+        {"section_no": ("sum", _opens_section()), "chunk_no": ("sum", F.coalesce("opens_chunk", F.lit(0)))},
+    ).drop("opens_chunk")
+    # The numbers of the last sections and chunks are counts of their openings.
+    totals = marked.groupBy(*KEYS).agg(
+        F.count("*").alias("n"), F.sum(_opens_section()).alias("max_section"),
+        F.coalesce(F.sum("opens_chunk"), F.lit(0)).alias("max_chunk"),
     )
     part = F.when(F.col("n") <= threshold, F.lit(0)).when(F.col("max_section") > 0, F.col("section_no")).otherwise(F.col("chunk_no"))
     n_parts = F.when(F.col("n") <= threshold, F.lit(0)).when(F.col("max_section") > 0, F.col("max_section")).otherwise(F.col("max_chunk")) + 1
@@ -223,15 +241,15 @@ def nav_label() -> Column:
     )
 
 
-def nav_labels(tree: DataFrame) -> DataFrame:
-    return nav_messages(tree).withColumn("label", nav_label())
+def nav_labels(tree: DataFrame, messages: DataFrame) -> DataFrame:
+    return with_content(nav_messages(tree), messages).withColumn("label", nav_label())
 
 
 def prompt_neighbors(tree: DataFrame) -> DataFrame:
     """Per prompt the previous and next one, itself at the ends."""
     prompts = reachable(tree).where(_is("user_prompt"))
-    back = running(prompts, KEYS, "dfs_pos", {"prev_pos": ("max", F.col("dfs_pos"))}, inclusive=False)
-    both = running(back, KEYS, "dfs_pos", {"next_pos": ("min", F.col("dfs_pos"))}, inclusive=False, backward=True)
+    back = running(prompts, KEYS, "dfs_pos", {"prev_pos": ("max", F.col("dfs_pos"), "before")})
+    both = running(back, KEYS, "dfs_pos", {"next_pos": ("min", F.col("dfs_pos"), "before")}, backward=True)
     return both.withColumns(
         {"prev_pos": F.coalesce("prev_pos", "dfs_pos"), "next_pos": F.coalesce("next_pos", "dfs_pos")}
     )

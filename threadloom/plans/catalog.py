@@ -12,6 +12,7 @@ from threadloom.functions import paths, text, times, tools
 from threadloom.functions.variants import child
 from threadloom.operators import annotations, export, markup, messages, records, search, sessions, tool_calls, tree, views
 from threadloom.sources import bridges, transcripts
+from threadloom.session import stage
 from threadloom.streaming import tail
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,8 +63,7 @@ def chat_messages(spark, sf):
 
 
 def chat_tree(spark, sf):
-    found = chat_records(spark, sf)
-    return tree.build_tree(messages.build_messages(found), found)
+    return tree.build_tree(chat_records(spark, sf))
 
 
 def chat_blocks(spark, sf):
@@ -71,7 +71,7 @@ def chat_blocks(spark, sf):
 
 
 def chat_listing(spark, sf):
-    listed = sessions.listable(sessions.listing_sessions(chat_records(spark, sf)))
+    listed = stage(sessions.listable(sessions.listing_sessions(chat_records(spark, sf))))
     return listed, sessions.project_table(listed)
 
 
@@ -84,8 +84,7 @@ def event_messages(spark, sf):
 
 
 def event_tree(spark, sf):
-    found = records.decode(event_lines(spark, sf))
-    return tree.build_tree(messages.build_messages(found), found)
+    return tree.build_tree(records.decode(event_lines(spark, sf)))
 
 
 def event_blocks(spark, sf):
@@ -370,7 +369,7 @@ def nav_groups(spark, sf):
 
 @register
 def nav_labels(spark, sf):
-    return views.nav_labels(event_tree(spark, sf)).select(SID, "line_no", "group_no", "child_no", "listed", "label")
+    return views.nav_labels(event_tree(spark, sf), event_messages(spark, sf)).select(SID, "line_no", "group_no", "child_no", "listed", "label")
 
 
 @register
@@ -491,33 +490,33 @@ def search_type_filter(spark, sf):
 
 @register
 def content_first_hit(spark, sf):
-    return search.content_hits(chat_tree(spark, sf), [WORD, "tail"]).select(SID, "query", "line_no", "message_id", "snippet")
+    return search.content_hits(chat_tree(spark, sf), chat_messages(spark, sf), [WORD, "tail"]).select(SID, "query", "line_no", "message_id", "snippet")
 
 
 @register
 def tool_content_hit(spark, sf):
-    return search.content_hits(event_tree(spark, sf), ["run 3", "cents 99"]).select(SID, "query", "line_no", "message_id", "snippet")
+    return search.content_hits(event_tree(spark, sf), event_messages(spark, sf), ["run 3", "cents 99"]).select(SID, "query", "line_no", "message_id", "snippet")
 
 
 @register
 def search_global(spark, sf):
-    found = search.search_global(*chat_listing(spark, sf), chat_tree(spark, sf), [WORD, "proj4", "/src/proj", "conv-2"], limit=40)
+    found = search.search_global(*chat_listing(spark, sf), chat_tree(spark, sf), chat_messages(spark, sf), [WORD, "proj4", "/src/proj", "conv-2"], limit=40)
     return found.select("query", "priority", "type", *KEYS, "project", "summary", "snippet", "message_id")
 
 
 @register
 def faceted_search(spark, sf):
-    return search.faceted_search(chat_tree(spark, sf), WORD).drop("project_key")
+    return search.faceted_search(chat_tree(spark, sf), chat_messages(spark, sf), WORD).drop("project_key")
 
 
 @register
 def faceted_words(spark, sf):
-    return search.faceted_search(chat_tree(spark, sf), PHRASE, ["user", "response"]).drop("project_key")
+    return search.faceted_search(chat_tree(spark, sf), chat_messages(spark, sf), PHRASE, ["user", "response"]).drop("project_key")
 
 
 @register
 def faceted_tool_search(spark, sf):
-    return search.faceted_search(event_tree(spark, sf), "agent-2", ["tool", "agent"]).drop("project_key")
+    return search.faceted_search(event_tree(spark, sf), event_messages(spark, sf), "agent-2", ["tool", "agent"]).drop("project_key")
 
 
 @register
@@ -641,8 +640,8 @@ def tags_of_item(spark, sf):
 def _export_query(name: str, fmt: str, **options) -> None:
     def run(spark, sf):
         found = chat_records(spark, sf)
-        ordered = tree.build_tree(messages.build_messages(found), found)
-        return export.export_transcripts(ordered, sessions.detail_sessions(found), fmt, **options)
+        detail = stage(sessions.detail_sessions(found))
+        return export.export_transcripts(tree.build_tree(found), messages.build_messages(found), detail, fmt, **options)
 
     run.__name__ = name
     register(run)

@@ -12,7 +12,7 @@ from threadloom.operators.tool_calls import pair_calls
 from threadloom.operators.tree import build_tree
 from threadloom.sources.transcripts import scan_transcripts
 
-TABLES = ("quarantine", "records", "listing_records", "messages", "blocks", "tool_calls", "sessions", "listed_sessions", "projects")
+TABLES = ("quarantine", "records", "listing_records", "messages", "tree", "blocks", "tool_calls", "sessions", "listed_sessions", "projects")
 
 
 def build_lake(spark: SparkSession, root: str, out: str, *, strict: bool = False) -> None:
@@ -30,8 +30,9 @@ def build_lake(spark: SparkSession, root: str, out: str, *, strict: bool = False
     save("quarantine", quarantine(lines, strict=strict))
     detail = save("records", decode(lines, "detail", strict=strict, policy="fail_session"))
     listing = save("listing_records", decode(lines, "listing", strict=strict, policy="truncate_session"))
-    messages = save("messages", build_tree(build_messages(detail), detail))
-    blocks = save("blocks", explode_blocks(messages, "uuid", "kind", "dfs_pos"))
+    messages = save("messages", build_messages(detail))
+    save("tree", build_tree(detail))
+    blocks = save("blocks", explode_blocks(messages, "uuid", "kind"))
     save("tool_calls", pair_calls(blocks))
     save("sessions", session_table(detail, "detail"))
     listed = save("listed_sessions", listable(session_table(listing, "listing")))

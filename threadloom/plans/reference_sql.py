@@ -233,7 +233,7 @@ def _file(fmt: str) -> str:
 
 
 _TEXT_NAME = f"""{_DATE} || '-' || coalesce(nullif(substring(array_to_string(list_slice(
-  list_filter(string_split(regexp_replace(lower(ds.summary), '[^a-z0-9 ]', '', 'g'), ' '), w -> w <> ''), 1, 6), '-'), 1, 50), ''), 'session') || '.txt'"""
+  list_filter(string_split(regexp_replace(lower(ds.summary), '[^a-z0-9 ]', '', 'g'), ' '), lambda w: w <> ''), 1, 6), '-'), 1, 50), ''), 'session') || '.txt'"""
 
 # Text blocks of a message put through a template; hollow messages have none.
 def _texts(make) -> str:
@@ -259,8 +259,8 @@ _ORG = f"""CASE WHEN is_compacted THEN repeat('*', depth + 2) || {_quoted(" ═
 
 def _paragraphs(c: str) -> str:
     return (
-        f"array_to_string(list_transform(list_filter(list_transform(string_split({c}, {NL} || {NL}), p -> {_trim('p')}), p -> p <> ''), "
-        f"p -> '<p>' || {_escaped('p')} || '</p>' || {NL}), '')"
+        f"array_to_string(list_transform(list_filter(list_transform(string_split({c}, {NL} || {NL}), lambda p: {_trim('p')}), lambda p: p <> ''), "
+        f"lambda p: '<p>' || {_escaped('p')} || '</p>' || {NL}), '')"
     )
 
 
@@ -447,7 +447,7 @@ REFERENCE_SQL: dict[str, str] = {
     "message_tree": _tree("""SELECT session_id, line_no, CASE WHEN up IS NOT NULL THEN 'c' || c || '-t' || up END AS parent_uuid, parent_t * 2 AS parent_line,
       parent_t IS NULL AS is_root, true AS reachable FROM tr"""),
     "dfs_order": _tree("""SELECT tr.session_id, tr.line_no, tr.dfs_pos, tr.dfs_pos + count(*) AS dfs_end FROM tr
-      JOIN w d ON d.c = tr.c AND list_slice(d.path, 1, len(tr.path)) = tr.path GROUP BY ALL"""),
+      JOIN w d ON d.c = tr.c AND list_slice(d.path, 1, len(tr.path)) = tr.path GROUP BY tr.session_id, tr.line_no, tr.dfs_pos"""),
     "message_depth": _tree("SELECT session_id, line_no, CAST(depth AS BIGINT) AS depth FROM tr"),
     "root_messages": _tree("SELECT session_id, line_no, kind FROM tr WHERE parent_t IS NULL"),
     "subtree_prune": _tree(f"SELECT session_id, line_no, kind FROM tr WHERE NOT {_CUT_AGENT}"),
@@ -565,7 +565,7 @@ REFERENCE_SQL: dict[str, str] = {
     "encode_path": f"SELECT page_id, regexp_replace(replace({_PAGE_PATH}, '/', '-'), '^-', '') AS encoded FROM pages",
     "decode_path": f"SELECT page_id, CASE WHEN p = '' THEN '' ELSE '/' || p END AS decoded FROM (SELECT page_id, regexp_replace(replace(replace({_PAGE_PATH}, '/', '-'), '-', '/'), '^/', '') AS p FROM pages)",
     "project_display_name": f"""SELECT page_id, project_key, array_to_string(list_slice(parts, greatest(len(parts) - 3, 1), len(parts)), '-') AS display_name FROM (
-      SELECT page_id, {_PAGE_KEY} AS project_key, list_filter(string_split({_PAGE_PATH}, '/'), p -> p <> '') AS parts FROM (SELECT page_id, url FROM pages))""",
+      SELECT page_id, {_PAGE_KEY} AS project_key, list_filter(string_split({_PAGE_PATH}, '/'), lambda p: p <> '') AS parts FROM (SELECT page_id, url FROM pages))""",
     "recency_bucket": f"""SELECT event_id, CASE WHEN {_AGE} < 60000000 THEN 'just now'
         WHEN {_AGE} < 3600000000 THEN ({_AGE} // 60000000) || 'm ago' WHEN {_AGE} < 86400000000 THEN ({_AGE} // 3600000000) || 'h ago'
         WHEN {_AGE} < 604800000000 THEN ({_AGE} // 86400000000) || 'd ago' ELSE strftime(ts, '%Y-%m-%d') END AS age FROM events""",

@@ -31,20 +31,18 @@ def _text(*parts: Column | str) -> Column:
 
 
 def _quoted(c: Column) -> Column:
-    """JSON text of a string."""
-    listed = F.to_json(F.array(_s(c)))
-    return F.when(c.isNotNull(), F.substring(listed, 2, 1 << 30).substr(F.lit(1), F.length(listed) - 2))
+    """JSON string of a plain word: ids, numbers, names. Free text goes through ``to_json``."""
+    return F.concat(F.lit('"'), _s(c), F.lit('"'))
 
 
 def _object(**fields: Column) -> Column:
     """JSON object text; a NULL field is left out."""
-    parts = [F.concat(F.lit(f'"{k}":'), v) for k, v in fields.items()]
-    return F.concat(F.lit("{"), F.array_join(F.array_compact(F.array(*parts)), ","), F.lit("}"))
+    return F.concat(F.lit("{"), F.concat_ws(",", *[F.concat(F.lit(f'"{k}":'), v) for k, v in fields.items()]), F.lit("}"))
 
 
 def _array(*items: Column) -> Column:
     """JSON array text; NULL items are left out."""
-    return F.concat(F.lit("["), F.array_join(F.array_compact(F.array(*items)), ","), F.lit("]"))
+    return F.concat(F.lit("["), F.concat_ws(",", *items), F.lit("]"))
 
 
 def _true_if(c: Column) -> Column:
@@ -87,15 +85,14 @@ def chat_lines(conversations: DataFrame) -> DataFrame:
     asked = F.col("role") == "user"
     up = F.when((conv % 3 == 0) & (turn >= 2), turn - 2).when(turn >= 1, turn - 1)
 
-    def block(**fields: Column) -> Column:
-        return _object(**fields)
-
+    block = _object
+    said = F.col("said_json").substr(F.lit(2), F.length("said_json") - 2)
     blocks = _array(
         F.when(answer & (turn % 4 == 1), block(type=F.lit('"thinking"'), thinking=_quoted(_text("think ", turn)))),
-        block(type=F.lit('"text"'), text=_quoted(F.col("said"))),
+        block(type=F.lit('"text"'), text=said),
         F.when(conv % 4 == 3, block(type=F.lit('"text"'), text=_quoted(_text("tail ", turn)))),
     )
-    content = F.when((conv % 23 == 9) & asked, F.lit("[]")).when(conv % 2 == 1, blocks).otherwise(_quoted(F.col("said")))
+    content = F.when((conv % 23 == 9) & asked, F.lit("[]")).when(conv % 2 == 1, blocks).otherwise(said)
     n = F.length("text")
     usage = F.when(
         answer,
@@ -135,7 +132,7 @@ def chat_lines(conversations: DataFrame) -> DataFrame:
     )
     return (
         _lines(
-            conversations.withColumn("said", chat_text()), conv % 7, _text("conv-", conv), lines=both
+            conversations.withColumn("said_json", F.to_json(F.array(chat_text()))), conv % 7, _text("conv-", conv), lines=both
         )
         .select(*KEYS, F.explode("lines").alias("l"))
         .select(*KEYS, "l.line_no", "l.value")
@@ -180,8 +177,10 @@ def event_lines(events: DataFrame, malformed_every: int = 0) -> DataFrame:
     """
     linked = running(
         events, ["user_id"], "event_id",
-        {"prev_id": ("max", F.col("event_id")), "prev_call": ("max", F.when(F.col("event_type") != "signup", F.col("event_id")))},
-        inclusive=False,
+        {
+            "prev_id": ("max", F.col("event_id"), "before"),
+            "prev_call": ("max", F.when(F.col("event_type") != "signup", F.col("event_id")), "before"),
+        },
     )
     eid, kind = F.col("event_id"), F.col("event_type")
     k = event_knob()
@@ -260,7 +259,7 @@ def toolbox_lines(events: DataFrame) -> DataFrame:
     option = lambda n: _object(label=q(_text("opt", n)), description=q(_text("about ", eid)))
     inputs = {
         "Edit": _object(file_path=q(_text("a/", label, ".go")), old_string=q(_text("old ", kind)), new_string=q(_text("new ", kind))),
-        "Write": _object(file_path=q(_text("b/", label, ".md")), content=q(_text(kind, "\n", label))),
+        "Write": _object(file_path=q(_text("b/", label, ".md")), content=q(_text(kind, "\\n", label))),
         "TodoWrite": _object(todos=_array(todo(F.lit(0), F.lit("completed")), todo(F.lit(1), F.lit("in_progress")), todo(F.lit(2), kind))),
         "Task": _object(subagent_type=q(kind), model=F.when(eid % 2 == 0, q(F.lit("small"))), prompt=q(_text("do ", label)), description=q(label)),
         "Skill": _object(skill=q(kind), args=q(label)),
@@ -297,7 +296,8 @@ def toolbox_lines(events: DataFrame) -> DataFrame:
             ),
         ),
     )
-    return _lines(events, F.col("user_id") % 10, _text("box-", F.col("user_id")), line_no=eid, value=record)
+    keyed = _lines(events, F.col("user_id") % 10, _text("box-", F.col("user_id")), line_no=eid, record=F.array(record))
+    return keyed.select(*KEYS, "line_no", F.explode("record").alias("value"))
 
 
 def annotation_events(events: DataFrame) -> DataFrame:

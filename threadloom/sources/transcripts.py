@@ -76,6 +76,6 @@ def number_lines(raw: DataFrame) -> DataFrame:
 
 def line_ordinals(lines: DataFrame) -> DataFrame:
     """Add ``ordinal``: dense position of a line in its session, from 0."""
-    return running(lines, KEYS, "line_no", {"ordinal": ("sum", F.lit(1).cast("bigint"))}, inclusive=False).withColumn(
+    return running(lines, KEYS, "line_no", {"ordinal": ("sum", F.lit(1).cast("bigint"), "before")}).withColumn(
         "ordinal", F.coalesce("ordinal", F.lit(0).cast("bigint"))
     )

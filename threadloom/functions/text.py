@@ -61,15 +61,15 @@ def contains_folded(c: Column, needle: str) -> Column:
     return F.contains(F.lower(c), F.lit(needle.lower()))
 
 
-def snippet(c: Column, query: str, max_len: int) -> Column:
+def snippet(c: Column, query: Column, max_len: int) -> Column:
     """Text around the first hit: 20 characters before, ``max_len - 20`` after it.
 
-    NULL where the query does not occur. Lengths are characters.
+    ``query`` is in lower case. NULL where it does not occur. Lengths are
+    characters.
     """
-    query = query.lower()
     hit = F.instr(F.lower(c), query) - 1
     start = F.greatest(hit - 20, F.lit(0))
-    stop = F.least(hit + len(query) + max_len - 20, F.length(c))
+    stop = F.least(hit + F.length(query) + (max_len - 20), F.length(c))
     body = F.replace(c.substr(start + 1, F.greatest(stop - start, F.lit(0))), F.lit("\n"), F.lit(" "))
     return F.when(
         hit >= 0,

@@ -51,8 +51,8 @@ def tool_preview(name: Column, args: Column) -> Column:
         .when(name == "LSP", F.when(arg("filePath").isNotNull(), F.concat(arg("operation"), F.lit(" "), file_name)).otherwise(arg("operation")))
         .otherwise(own)
     )
-    first = F.get(entries_of(args), F.lit(0))
-    fallback = F.concat(first["key"], F.lit("="), show_value(first["value"]))
+    first = F.slice(entries_of(args), 1, 1)
+    fallback = F.get(F.transform(first, lambda e: F.concat(e["key"], F.lit("="), show_value(e["value"]))), F.lit(0))
     return F.when(is_object(args), F.coalesce(special, fallback, F.lit(""))).otherwise(F.lit(""))
 
 

@@ -40,10 +40,8 @@ def is_present(v: Column) -> Column:
 
 
 def entries_of(v: Column) -> Column:
-    """Object entries in key order, NULL for anything that is not an object."""
-    as_map = F.when(is_object(v), F.try_variant_get(v, "$", "map<string,variant>"))
-    keys = F.array_sort(F.map_keys(as_map))
-    return F.transform(keys, lambda k: F.struct(k.alias("key"), F.element_at(as_map, k).alias("value")))
+    """Object entries, NULL for anything that is not an object. VARIANT keeps its keys in order."""
+    return F.map_entries(F.when(is_object(v), F.try_variant_get(v, "$", "map<string,variant>")))
 
 
 def show_value(v: Column) -> Column:

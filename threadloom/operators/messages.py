@@ -30,7 +30,8 @@ def content_items(content: Column) -> Column:
 
 
 def item_type(item: Column) -> Column:
-    return F.coalesce(text_at(item, "$.type"), F.lit(""))
+    """Type of an item, to compare with the known types; these are no text form of other JSON."""
+    return F.coalesce(F.try_variant_get(item, "$.type", "string"), F.lit(""))
 
 
 def kind_of(type_: Column, compacted: Column, meta: Column, items: Column) -> Column:
@@ -106,7 +107,7 @@ def explode_blocks(messages: DataFrame, *carry: str) -> DataFrame:
     kind = F.col("block_type")
     return (
         messages.select(*KEYS, "line_no", *carry, F.posexplode("items").alias("block_no", "item"))
-        .withColumn("block_type", item_type(b))
+        .withColumn("block_type", F.coalesce(text_at(b, "$.type"), F.lit("")))
         .select(
             *KEYS,
             "line_no",

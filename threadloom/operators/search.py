@@ -28,29 +28,27 @@ def _blank(name: str, kind: str = "string") -> Column:
     return F.lit(None).cast(kind).alias(name)
 
 
-def _hit_list(queries: Sequence[str], hit_of) -> Column:
-    """Explode ``(query, priority, snippet)`` of the queries a row answers."""
+def _hits(queries: Sequence[str], priority_of) -> Column:
+    """Explode ``(query, priority)`` of the queries a row answers."""
     made = []
     for q in queries:
-        priority, shown = hit_of(q)
-        made.append(
-            F.when(priority.isNotNull(), F.struct(F.lit(q).alias("query"), priority.alias("priority"), shown.alias("snippet")))
-        )
+        priority = priority_of(q)
+        made.append(F.when(priority.isNotNull(), F.struct(F.lit(q).alias("query"), priority.alias("priority"))))
     return F.explode(F.array_compact(F.array(*made)))
 
 
-def _project_hits(projects: DataFrame, queries: Sequence[str], hit_of, summary: Column) -> DataFrame:
-    return projects.withColumn("hit", _hit_list(queries, hit_of)).select(
+def _project_hits(projects: DataFrame, queries: Sequence[str], priority_of, summary: Column, snippet: Column) -> DataFrame:
+    return projects.withColumn("hit", _hits(queries, priority_of)).select(
         "hit.query", "hit.priority", F.lit("project").alias("type"), "project_key", _blank("session_id"),
-        F.col("display_name").alias("project"), summary.alias("summary"), "hit.snippet", _blank("message_id"),
+        F.col("display_name").alias("project"), summary.alias("summary"), snippet.alias("snippet"), _blank("message_id"),
         F.col("last_modified").alias("project_modified"), _blank("end_time", "timestamp"),
     )
 
 
-def _session_hits(sessions: DataFrame, queries: Sequence[str], hit_of) -> DataFrame:
-    return sessions.withColumn("hit", _hit_list(queries, hit_of)).select(
+def _session_hits(named_sessions: DataFrame, queries: Sequence[str]) -> DataFrame:
+    return named_sessions.withColumn("hit", _hits(queries, _session_rank)).select(
         "hit.query", "hit.priority", F.lit("session").alias("type"), *KEYS, F.col("display_name").alias("project"),
-        "summary", "hit.snippet", _blank("message_id"), "project_modified", "end_time",
+        "summary", _blank("snippet"), _blank("message_id"), "project_modified", "end_time",
     )
 
 
@@ -68,10 +66,6 @@ def _session_rank(q: str) -> Column:
     return F.when(by_id, 0).when(by_summary, 2)
 
 
-def _no_snippet() -> Column:
-    return F.lit(None).cast("string")
-
-
 def search_sessions(
     sessions: DataFrame, projects: DataFrame, queries: Sequence[str], only: str | None = None, limit: int = METADATA_LIMIT
 ) -> DataFrame:
@@ -81,15 +75,15 @@ def search_sessions(
     """
     queries = [q.lower() for q in queries]
 
-    def project_hit(q: str) -> tuple[Column, Column]:
+    def project_rank(q: str) -> Column:
         named = [text.contains_folded(F.col(c), q) for c in ("project_key", "full_path", "display_name")]
-        return F.when(named[0] | named[1] | named[2], 1), _no_snippet()
+        return F.when(named[0] | named[1] | named[2], 1)
 
     branches = []
     if only != "session":
-        branches.append(_project_hits(projects, queries, project_hit, F.col("full_path")))
+        branches.append(_project_hits(projects, queries, project_rank, F.col("full_path"), _blank("snippet")))
     if only != "project":
-        branches.append(_session_hits(with_project(sessions, projects), queries, lambda q: (_session_rank(q), _no_snippet())))
+        branches.append(_session_hits(with_project(sessions, projects), queries))
     found = branches[0] if len(branches) == 1 else branches[0].unionByName(branches[1])
     return top_hits(found, queries, limit)
 
@@ -122,20 +116,22 @@ def content_hits(tree: DataFrame, messages: DataFrame, queries: Sequence[str]) -
     """
     queries = [q.lower() for q in queries]
     blocks = explode_blocks(messages, "uuid").drop("image_data")
-    body = F.col("body")
-
-    def hit_of(q: str) -> tuple[Column, Column]:
-        in_call = F.concat(F.lit("["), F.col("tool_name"), F.lit("] "), text.snippet(body, q, 40))
-        shown = F.when(F.col("block_type") == "tool_use", in_call).otherwise(text.snippet(body, q, 60))
-        return F.when(text.contains_folded(body, q), 3), shown
-
+    folded, query = F.lower("body"), F.col("query")
+    found = (
+        once(blocks, "body", _searchable(blocks))
+        .select(
+            *KEYS, "line_no", "uuid", "block_no", "block_type", "tool_name", "body",
+            F.explode(F.array_compact(F.array(*[F.when(F.contains(folded, F.lit(q)), F.lit(q)) for q in queries]))).alias("query"),
+        )
+    )
+    in_call = F.concat(F.lit("["), "tool_name", F.lit("] "), text.snippet(F.col("body"), query, 40))
+    shown = F.when(F.col("block_type") == "tool_use", in_call).otherwise(text.snippet(F.col("body"), query, 60))
+    first = F.min_by(F.struct("uuid", "line_no", "snippet"), F.struct("dfs_pos", "block_no"))
     return (
-        blocks.withColumn("body", _searchable(blocks))
-        .where(body.isNotNull())
-        .select(*KEYS, "line_no", "uuid", "block_no", _hit_list(queries, hit_of).alias("hit"))
+        found.select(*KEYS, "line_no", "uuid", "block_no", "query", shown.alias("snippet"))
         .join(reachable(tree).select(*KEYS, "line_no", "dfs_pos"), [*KEYS, "line_no"])
-        .groupBy(*KEYS, "hit.query")
-        .agg(F.min_by(F.struct("uuid", "line_no", F.col("hit.snippet").alias("snippet")), F.struct("dfs_pos", "block_no")).alias("h"))
+        .groupBy(*KEYS, "query")
+        .agg(first.alias("h"))
         .select(*KEYS, "query", F.col("h.line_no").alias("line_no"), F.col("h.uuid").alias("message_id"), F.col("h.snippet").alias("snippet"))
     )
 
@@ -151,14 +147,14 @@ def search_global(
     """
     queries = [q.lower() for q in queries]
 
-    def project_hit(q: str) -> tuple[Column, Column]:
-        by_key = F.contains("project_key", F.lit(q)) | (F.lower("project_key") == q)
-        by_path = text.contains_folded(F.col("full_path"), q) & ~F.contains("project_key", F.lit(q))
-        # A key equal but for case answers by its path as well.
-        return F.when(by_key, 0).when(by_path, 1), F.when(~by_key & by_path, F.col("full_path"))
+    def project_rank(q: str) -> Column:
+        key, path = F.col("project_key"), F.col("full_path")
+        by_key = F.contains(key, F.lit(q)) | (F.lower(key) == q)
+        return F.when(by_key, 0).when(text.contains_folded(path, q), 1)
 
+    by_path = F.when(F.col("hit.priority") == 1, F.col("full_path"))
     named = with_project(sessions, projects)
-    by_metadata = _session_hits(named, queries, lambda q: (_session_rank(q), _no_snippet()))
+    by_metadata = _session_hits(named, queries)
     by_content = (
         content_hits(tree, messages, queries)
         .join(named, KEYS)
@@ -170,7 +166,7 @@ def search_global(
             "summary", "snippet", "message_id", "project_modified", "end_time",
         )
     )
-    found = _project_hits(projects, queries, project_hit, F.col("display_name")).unionByName(by_metadata).unionByName(by_content)
+    found = _project_hits(projects, queries, project_rank, F.col("display_name"), by_path).unionByName(by_metadata).unionByName(by_content)
     return top_hits(found, queries, limit)
 
 

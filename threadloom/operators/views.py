@@ -13,7 +13,7 @@ from threadloom.functions import text
 from threadloom.functions.tools import tool_preview
 from threadloom.functions.variants import child, text_at
 from threadloom.operators.messages import first_text, item_type
-from threadloom.operators.records import KEYS
+from threadloom.operators.records import KEYS, once
 from threadloom.operators.scans import running
 from threadloom.operators.tree import reachable, with_content
 from threadloom.session import stage
@@ -222,27 +222,24 @@ def nav_groups(tree: DataFrame) -> DataFrame:
     )
 
 
-def nav_label() -> Column:
-    """Label of a message in the navigation, NULL where none is shown."""
+def nav_labels(tree: DataFrame, messages: DataFrame) -> DataFrame:
+    """Add ``label``, NULL where the navigation shows none."""
     call = F.get(F.filter("items", lambda i: item_type(i) == "tool_use"), F.lit(0))
-    name = F.coalesce(text_at(call, "$.name"), F.lit(""))
-    preview = tool_preview(name, child(call, "$.input"))
-    said = text.first_line(first_text(F.col("items")))
-    return (
+    found = once(with_content(nav_messages(tree), messages), "call", F.when(_is("assistant"), call))
+    found = found.withColumn("tool_name", F.coalesce(text_at(F.col("call"), "$.name"), F.lit("")))
+    found = once(found, "preview", tool_preview(F.col("tool_name"), child(F.col("call"), "$.input")))
+    found = once(found, "said", F.when(_is("user_prompt"), first_text(F.col("items"))))
+    preview = F.col("preview")
+    with_preview = F.concat("tool_name", F.lit("("), preview, F.lit(")"))
+    label = (
         F.when(_is("compact_summary"), "COMPACT")
         .when(_is("command"), F.col("command_name"))
-        .when(_is("user_prompt"), F.when(first_text(F.col("items")) == "", "(empty)").otherwise(text.cut_with_dots(said, 40)))
-        .when(_is("assistant") & call.isNull(), "response")
-        .when(
-            _is("assistant"),
-            F.when((preview != "") & (F.length(preview) < 30), F.concat(name, F.lit("("), preview, F.lit(")"))).otherwise(name),
-        )
+        .when(_is("user_prompt"), F.when(F.col("said") == "", "(empty)").otherwise(text.cut_with_dots(text.first_line(F.col("said")), 40)))
+        .when(_is("assistant") & F.col("call").isNull(), "response")
+        .when(_is("assistant"), F.when((preview != "") & (F.length(preview) < 30), with_preview).otherwise(F.col("tool_name")))
         .when(_is("meta"), "system")
     )
-
-
-def nav_labels(tree: DataFrame, messages: DataFrame) -> DataFrame:
-    return with_content(nav_messages(tree), messages).withColumn("label", nav_label())
+    return found.withColumn("label", label).drop("call", "tool_name", "preview", "said")
 
 
 def prompt_neighbors(tree: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,17 +48,20 @@ def _plain(df: DataFrame) -> DataFrame:
     return df.select(*[shape(f) for f in df.schema.fields])
 
 
-# --- shared inputs
+# --- shared inputs; plans only, no data is kept
 
 
+@lru_cache(maxsize=4)
 def chat_lines(spark, sf):
     return bridges.chat_lines(bridges.table(spark, sf, "conversations"))
 
 
+@lru_cache(maxsize=4)
 def chat_records(spark, sf):
     return records.decode(chat_lines(spark, sf))
 
 
+@lru_cache(maxsize=4)
 def chat_messages(spark, sf):
     return messages.build_messages(chat_records(spark, sf))
 
@@ -66,6 +70,7 @@ def chat_tree(spark, sf):
     return tree.build_tree(chat_records(spark, sf))
 
 
+@lru_cache(maxsize=4)
 def chat_blocks(spark, sf):
     return messages.explode_blocks(chat_messages(spark, sf))
 
@@ -75,10 +80,12 @@ def chat_listing(spark, sf):
     return listed, sessions.project_table(listed)
 
 
+@lru_cache(maxsize=4)
 def event_lines(spark, sf, malformed_every=0):
     return bridges.event_lines(bridges.table(spark, sf, "events"), malformed_every)
 
 
+@lru_cache(maxsize=4)
 def event_messages(spark, sf):
     return messages.build_messages(records.decode(event_lines(spark, sf)))
 
@@ -87,10 +94,12 @@ def event_tree(spark, sf):
     return tree.build_tree(records.decode(event_lines(spark, sf)))
 
 
+@lru_cache(maxsize=4)
 def event_blocks(spark, sf):
     return messages.explode_blocks(event_messages(spark, sf))
 
 
+@lru_cache(maxsize=4)
 def toolbox_blocks(spark, sf):
     lines = bridges.toolbox_lines(bridges.table(spark, sf, "events"))
     return messages.explode_blocks(messages.build_messages(records.decode(lines)))
@@ -521,7 +530,7 @@ def faceted_tool_search(spark, sf):
 
 @register
 def snippets(spark, sf):
-    return bridges.table(spark, sf, "documents").select("doc_id", text.snippet(F.col("text"), WORD, 60).alias("snippet")).where("snippet is not null")
+    return bridges.table(spark, sf, "documents").select("doc_id", text.snippet(F.col("text"), F.lit(WORD), 60).alias("snippet")).where("snippet is not null")
 
 
 @register

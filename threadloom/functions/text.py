@@ -12,7 +12,8 @@ BLANK = r"[\s\p{Z}\x{85}]"
 
 def trim_all(c: Column) -> Column:
     """Trim every Unicode blank from both ends (``F.trim`` only strips U+0020)."""
-    return F.regexp_replace(c, f"^{BLANK}+|{BLANK}+$", "")
+    at_edge = F.substring(c, 1, 1).rlike(BLANK) | F.substring(c, -1, 1).rlike(BLANK)
+    return F.when(at_edge, F.regexp_replace(c, rf"\A{BLANK}++|(?<!{BLANK}){BLANK}++\z", "")).otherwise(c)
 
 
 def has_ink(c: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.functions import text
-from threadloom.functions.variants import array_of, as_text, child, flag_at, is_object, text_at
+from threadloom.functions.variants import array_of, child, flag_at, is_object, text_at
 from threadloom.operators.records import KEYS, once
 
 CONVERSATIONAL = ("user", "assistant")
@@ -22,11 +22,13 @@ MESSAGE_COLUMNS = [
 
 def content_items(content: Column) -> Column:
     """A string is one text item, an array keeps its objects, anything else is empty."""
-    listed = array_of(content)
-    spoken = as_text(content)
+    spoken = F.try_variant_get(content, "$", "string")
     one = F.array(F.to_variant_object(F.struct(F.lit("text").alias("type"), spoken.alias("text"))))
-    none = F.filter(one, lambda _: F.lit(False))
-    return F.when(listed.isNotNull(), F.filter(listed, is_object)).when(spoken.isNotNull(), one).otherwise(none)
+    return F.coalesce(
+        F.filter(array_of(content), is_object),
+        F.when(F.schema_of_variant(content) == "STRING", one),
+        F.array().cast("array<variant>"),
+    )
 
 
 def item_type(item: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.functions import text, times
-from threadloom.functions.variants import child, is_object, is_present
+from threadloom.functions.variants import child, is_present
 
 KEYS = ["project_key", "session_id"]
 LINE_CAP = 10 * 1024 * 1024
@@ -85,10 +85,12 @@ def parse_lines(lines: DataFrame, cap: int = LINE_CAP) -> DataFrame:
     object has ``parse_ok = false``.
     """
     oversize = F.octet_length("value") > cap
-    parsed = lines.where(text.has_ink(F.col("value"))).withColumn("oversize", oversize)
-    parsed = once(parsed, "rec", F.when(~F.col("oversize"), F.try_parse_json(text.trim_all(F.col("value")))))
-    # An object unless it reads as something else; this looks at the head of the value only.
-    return parsed.withColumn("parse_ok", F.coalesce(is_object(F.col("rec")), F.lit(False)))
+    flagged = lines.where(text.has_ink(F.col("value"))).withColumns(
+        {"oversize": oversize, "__braced": F.col("value").rlike(r"\A[ \t\r\n]*\{")}
+    )
+    parsed = once(flagged, "rec", F.when(~F.col("oversize"), F.try_parse_json("value")))
+    # A document that parses and opens with a brace is an object.
+    return parsed.withColumn("parse_ok", F.col("rec").isNotNull() & F.col("__braced")).drop("__braced")
 
 
 def type_clash(rec: Column, profile: str) -> Column:
@@ -139,13 +141,18 @@ def envelope(parsed: DataFrame) -> DataFrame:
         .select(
             *KEYS,
             "line_no",
-            *[text.none_if_empty(F.try_variant_get(rec, p, "string")).alias(c) for c, p in TEXT_FIELDS.items()],
+            *[F.try_variant_get(rec, p, "string").alias(c) for c, p in TEXT_FIELDS.items()],
             *[F.coalesce(F.try_variant_get(rec, p, "boolean"), F.lit(False)).alias(c) for c, p in FLAG_FIELDS.items()],
             usage_of(rec).alias("usage"),
             child(rec, "$.message.content").alias("content"),
         )
-        .withColumns({c: F.try_variant_get(usage, p, "bigint") for c, p in TOKEN_FIELDS.items()})
-        .withColumn("ts", times.parse_time(raw_time))
+        .withColumns(
+            {
+                **{c: text.none_if_empty(F.col(c)) for c in TEXT_FIELDS},
+                **{c: F.try_variant_get(usage, p, "bigint") for c, p in TOKEN_FIELDS.items()},
+                "ts": times.parse_time(raw_time),
+            }
+        )
         .drop("usage")
     )
 

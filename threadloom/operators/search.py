@@ -18,6 +18,7 @@ from threadloom.operators.messages import explode_blocks, item_type, texts_of
 from threadloom.operators.records import KEYS, once
 from threadloom.operators.sessions import limited, with_project
 from threadloom.operators.tree import reachable
+from threadloom.session import stage
 
 METADATA_LIMIT = 20
 GLOBAL_LIMIT = 30
@@ -92,6 +93,8 @@ def top_hits(found: DataFrame, queries: Sequence[str], limit: int) -> DataFrame:
     """The first ``limit`` hits of every query, each a distributed top-k."""
     if len(queries) == 1:
         return limited(found.orderBy(*hit_order()), limit)
+    # Hits are few and narrow; every query reads them from a table of their own.
+    found = stage(found)
     parts = [limited(found.where(F.col("query") == q).orderBy(*hit_order()), limit) for q in queries]
     whole = parts[0]
     for part in parts[1:]:

@@ -58,7 +58,8 @@ def detail_sessions(records: DataFrame) -> DataFrame:
     per_line = classify(records.withColumn("talk", is_conversational())).withColumns(
         {
             "calls": F.when(talk, tool_call_count(F.col("items"))),
-            "prompt_text": F.when(prompt, text.none_if_empty(first_text(F.col("items")))),
+            # Only the first line is carried on; a first text of blanks counts, as an empty line.
+            "prompt_line": text.first_line(F.when(prompt, text.none_if_empty(first_text(F.col("items"))))),
             "talk_line": F.when(talk, F.col("line_no")),
             "summary_line": F.when(F.col("type") == "summary", text.none_if_empty(text.trim_all(F.col("summary_text")))),
         }
@@ -71,14 +72,14 @@ def detail_sessions(records: DataFrame) -> DataFrame:
         F.count_if(talk & F.col("is_sidechain")).alias("agent_sidechains"),
         F.min_by(F.struct("ts", "ts_raw"), "talk_line").alias("first"),
         F.max_by(F.struct("ts", "ts_raw"), "talk_line").alias("last"),
-        first_by_line(F.col("prompt_text")).alias("prompt_text"),
+        first_by_line(F.col("prompt_line")).alias("prompt_line"),
         first_by_line(F.col("summary_line")).alias("summary_line"),
         *[c.alias(n) for n, c in {**token_sums(), **metadata_picks()}.items()],
     )
     seconds = (F.unix_micros("last.ts") - F.unix_micros("first.ts")) / F.lit(1e6)
     return agg.select(
         *KEYS,
-        F.coalesce("summary_line", text.first_line(F.col("prompt_text")), F.lit(NO_SUMMARY)).alias("summary"),
+        F.coalesce("summary_line", "prompt_line", F.lit(NO_SUMMARY)).alias("summary"),
         F.col("first.ts").alias("start_time"),
         F.col("last.ts").alias("end_time"),
         F.col("first.ts_raw").alias("start_raw"),
@@ -100,9 +101,9 @@ def listing_sessions(records: DataFrame) -> DataFrame:
         .withColumn("items", content_items(F.col("content")))
         .withColumn("said", F.when(user & ~F.col("is_compacted"), joined_text(items)))
         .withColumn("calls", F.when(is_conversational(), tool_call_count(items)))
-        .drop("content", "items")
+        .withColumn("said_line", F.when((F.col("said") != "") & ~F.col("said").startswith("<"), text.head_line(F.col("said"))))
+        .drop("content", "items", "said")
     )
-    eligible = (F.col("said") != "") & ~F.col("said").startswith("<")
     listed_summary = last_by_line(F.col("summary_text"), F.col("type") == "summary")
     agg = per_line.groupBy(*KEYS).agg(
         F.count_if(prompt | (F.col("type") == "assistant")).alias("message_count"),
@@ -115,11 +116,11 @@ def listing_sessions(records: DataFrame) -> DataFrame:
         first_by_line(F.col("ts_raw"), F.col("ts").isNotNull()).alias("start_raw"),
         last_by_line(F.col("ts")).alias("end_time"),
         listed_summary.alias("listed"),
-        first_by_line(text.head_line(F.col("said")), eligible).alias("said"),
+        first_by_line(F.col("said_line")).alias("said_line"),
     )
     return agg.select(
         *KEYS,
-        F.coalesce("listed", "said", F.lit(NO_SUMMARY)).alias("summary"),
+        F.coalesce("listed", "said_line", F.lit(NO_SUMMARY)).alias("summary"),
         "start_time", "end_time", "start_raw", *METADATA, *STATS,
         F.lit(0.0).alias("duration_seconds"),
     )

@@ -408,13 +408,13 @@ def last_result(spark, sf):
 
 @register
 def tool_call_results(spark, sf):
-    found = tool_calls.pair_calls(event_blocks(spark, sf))
+    found = tool_calls.pair_calls(stage(event_blocks(spark, sf)))
     return found.select(SID, "line_no", "tool_id", "tool_name", "result_line", "is_error", "is_active", F.to_json("tool_result").alias("tool_result"))
 
 
 @register
 def tool_preview(spark, sf):
-    return tool_calls.pair_calls(event_blocks(spark, sf)).select(SID, "line_no", "tool_name", "preview")
+    return tool_calls.pair_calls(stage(event_blocks(spark, sf))).select(SID, "line_no", "tool_name", "preview")
 
 
 @register
@@ -478,7 +478,8 @@ def unknown_blocks(spark, sf):
 
 @register
 def table_cells(spark, sf):
-    docs = bridges.table(spark, sf, "documents").select("doc_id", "text")
+    piped = F.regexp_replace("text", r"(?dm)^(.*\|.*)$", r"\| $1 \|")
+    docs = bridges.table(spark, sf, "documents").select("doc_id", piped.alias("text"))
     return markup.table_cells(docs, ["doc_id"])
 
 

@@ -531,6 +531,13 @@ REFERENCE_SQL: dict[str, str] = {
     "other_arguments": _toolbox("Other", """'Other' AS tool_name, '{"a":[' || (event_id % 3) || ',"' || event_type || '"],"b":' || event_id || '}' AS arguments"""),
     "image_blocks": "SELECT 'box-' || user_id AS session_id, event_id AS line_no, CAST(2 AS BIGINT) AS block_no, 'image/png' AS media_type, base64(encode('v' || event_id)) AS image_data FROM events",
     "unknown_blocks": "SELECT 'box-' || user_id AS session_id, event_id AS line_no, CAST(3 AS BIGINT) AS block_no, 'mystery' AS block_type, CAST(NULL AS VARCHAR) AS text FROM events",
+    "table_cells": f"""WITH ln AS (
+        SELECT doc_id, parts[i] AS line, i FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT doc_id, string_split(text, {NL}) AS parts FROM documents))),
+      rn AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS run FROM ln WHERE contains(line, '|')),
+      kept AS (SELECT *, dense_rank() OVER (PARTITION BY doc_id ORDER BY run) - 1 AS table_no,
+          row_number() OVER (PARTITION BY doc_id, run ORDER BY i) - 1 AS row_no FROM rn WHERE NOT contains(line, '---')),
+      cl AS (SELECT doc_id, table_no, row_no, string_split(trim('| ' || line || ' |', '|'), '|') AS cells FROM kept)
+      SELECT doc_id, table_no, row_no, n - 1 AS cell_no, trim(cells[n]) AS cell FROM (SELECT *, unnest(range(1, len(cells) + 1)) AS n FROM cl)""",
     "search_sessions": _listing(f"SELECT query, CAST(priority AS BIGINT) AS priority, type, project_key, session_id, project, summary FROM ({_metadata_hits(['summary', 'conv-1', 'proj4'])})"),
     "search_type_filter": _listing(f"""SELECT query, CAST(priority AS BIGINT) AS priority, type, project_key, session_id, summary FROM ({_metadata_hits(['o'], 'session')})
       QUALIFY {_HIT_RANK} <= 20"""),

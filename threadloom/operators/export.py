@@ -25,7 +25,9 @@ from threadloom.operators.scans import running
 from threadloom.operators.tree import reachable, visible, with_content
 from threadloom.session import stage
 
-PART_CHARS = 64 * 1024 * 1024
+PART_CHARS = 32 * 1024 * 1024
+# What a fragment weighs besides its characters, so that a part is bounded in pieces too.
+FRAGMENT_COST = 64
 FORMATS = {"md": "md", "markdown": "md", "org": "org", "html": "html", "txt": "txt", "text": "txt", "json": "json"}
 EMPTY = ""
 
@@ -430,10 +432,10 @@ def assemble(pieces: DataFrame, part_chars: int = PART_CHARS) -> DataFrame:
     """Fragments to documents in parts of about ``part_chars`` characters.
 
     ``(keys, part_no, document)``; the parts of a session in order are its
-    whole document. A fragment is never split.
+    whole document. A fragment is never split; empty ones are left out.
     """
-    size = F.length("fragment").cast("bigint")
-    sized = running(stage(pieces), KEYS, "dfs_pos", {"before": ("sum", size, "before")})
+    size = F.length("fragment").cast("bigint") + FRAGMENT_COST
+    sized = running(stage(pieces.where("fragment != ''")), KEYS, "dfs_pos", {"before": ("sum", size, "before")})
     part = F.floor(F.coalesce("before", F.lit(0)) / F.lit(part_chars))
     ordered = F.array_sort(F.collect_list(F.struct("dfs_pos", "fragment")))
     return (
@@ -498,10 +500,6 @@ def export_transcripts(
     )
 
 
-def write_export(documents: DataFrame, folder: str) -> None:
-    documents.write.mode("overwrite").partitionBy("project_key").parquet(folder)
-
-
 def raw_content(items: Column) -> Column:
     """JSON array of a message's content items."""
     return _cat("[", F.array_join(F.transform(items, lambda i: F.to_json(i)), ","), "]")

@@ -10,6 +10,7 @@ from threadloom.operators.records import decode, quarantine
 from threadloom.operators.sessions import listable, project_table, session_table
 from threadloom.operators.tool_calls import pair_calls
 from threadloom.operators.tree import build_tree
+from threadloom.sources.sinks import write_table
 from threadloom.sources.transcripts import scan_transcripts
 
 TABLES = ("quarantine", "records", "listing_records", "messages", "tree", "blocks", "tool_calls", "sessions", "listed_sessions", "projects")
@@ -23,7 +24,7 @@ def build_lake(spark: SparkSession, root: str, out: str, *, strict: bool = False
     ``project_key`` is the partition column: a query for one project prunes.
     """
     def save(name: str, df: DataFrame) -> DataFrame:
-        df.write.mode("overwrite").partitionBy("project_key").parquet(f"{out}/{name}")
+        write_table(df, f"{out}/{name}")
         return read_table(spark, out, name)
 
     lines = scan_transcripts(spark, root).drop("file_path")

@@ -127,7 +127,16 @@ def replay(lines: DataFrame, transform: Callable[[DataFrame], DataFrame], mode:
     home = f"{shared_folder(spark)}/replay-{uuid.uuid4().hex}"
     lines.write.parquet(f"{home}/in")
     stream = spark.readStream.schema(LINE_SCHEMA).parquet(f"{home}/in")
-    query = land(transform(stream), f"{home}/out", f"{home}/state", mode, {"availableNow": True})
+    # The number of state partitions is fixed at the start of a stream: a small
+    # input gets few of them, a large one what the session says.
+    setting = "spark.sql.shuffle.partitions"
+    configured = spark.conf.get(setting)
+    splits = spark.read.parquet(f"{home}/in").rdd.getNumPartitions()
+    spark.conf.set(setting, str(min(int(configured), 4 * max(splits, 1))))
+    try:
+        query = land(transform(stream), f"{home}/out", f"{home}/state", mode, {"availableNow": True})
+    finally:
+        spark.conf.set(setting, configured)
     query.awaitTermination()
     landed = spark.read.parquet(f"{home}/out")
     return latest(landed, KEYS) if mode == "update" else landed.drop("batch")

@@ -76,6 +76,14 @@ def test_content_search(listing, corpus):
     ]
 
 
+def test_project_answers_by_key_and_path(spark, lines_of):
+    recs = decode(lines_of({"s": [user("x", timestamp="2025-01-01T00:00:00Z")]}, "ABC"))
+    listed = sessions.listable(sessions.listing_sessions(recs))
+    found = search.search_global(listed, sessions.project_table(listed), build_tree(recs), build_messages(recs), ["abc"]).collect()
+    assert [(r.priority, r.type, r.snippet) for r in found] == [(0, "project", None), (1, "project", "/ABC")]
+    assert search.search_global(listed, sessions.project_table(listed), build_tree(recs), build_messages(recs), [""]).count() == 0
+
+
 def test_facets(lines_of):
     rows = [
         user("find me", uuid="1"), answer([{"type": "thinking", "thinking": "find it"}, {"type": "text", "text": "no match"}, call("Task", {"subagent_type": "finder", "description": "d"})]),

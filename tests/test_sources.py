@@ -151,3 +151,23 @@ def test_growing_replay_with_cap(spark, tmp_path):
 
 def test_quarantine_keeps_text(lines_of):
     assert [(r.line_no, r.value) for r in quarantine(lines_of({"s": STORY})).collect()] == [(2, "{broken")]
+
+
+def test_filters_reach_the_scan(spark, lines_of, tmp_path):
+    """A filter on the keys passes the parse; columns nobody asks for are not read."""
+    lines_of({"s": STORY}).write.parquet(str(tmp_path / "lines"))
+    recs = decode(spark.read.parquet(str(tmp_path / "lines"))).where("project_key = '-p' and type = 'user'").select("session_id")
+    plan = recs._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(project_key,-p)" in plan
+    assert plan.count("VariantExpressionEvalUtils.parseJson") == 1
+    assert "$.cwd" not in plan
+
+
+def test_staged_files_are_dropped(spark):
+    from threadloom import session
+
+    staged = session.stage(spark.range(5).toDF("n"))
+    path = staged.inputFiles()[0].removeprefix("file:")
+    assert staged.count() == 5 and os.path.exists(path)
+    session.drop_stages(spark)
+    assert not os.path.exists(path)

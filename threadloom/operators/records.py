@@ -182,10 +182,14 @@ def quarantine(
     return parsed.select(*KEYS, "line_no", "value", reason.alias("reason")).where("reason is not null")
 
 
-def odd_case_keys(parsed: DataFrame) -> DataFrame:
-    """Records with a top-level key that differs from a declared one only in case."""
+def odd_keys(rec: Column) -> Column:
+    """Top-level keys that differ from a declared one only in case; they are not decoded."""
     declared = sorted({p[2:] for p in [*TEXT_FIELDS.values(), *FLAG_FIELDS.values()] if "." not in p[2:]} | {"usage", "message"})
     folded = [k.lower() for k in declared]
-    keys = F.map_keys(F.try_variant_get("rec", "$", "map<string,variant>"))
-    near = F.filter(keys, lambda k: F.lower(k).isin(*folded) & ~k.isin(*declared))
-    return parsed.where("parse_ok").select(*KEYS, "line_no", near.alias("odd_keys")).where(F.size("odd_keys") > 0)
+    keys = F.map_keys(F.try_variant_get(rec, "$", "map<string,variant>"))
+    return F.filter(keys, lambda k: F.lower(k).isin(*folded) & ~k.isin(*declared))
+
+
+def odd_case_keys(parsed: DataFrame) -> DataFrame:
+    """Records that hold such keys."""
+    return parsed.where("parse_ok").select(*KEYS, "line_no", odd_keys(F.col("rec")).alias("odd_keys")).where(F.size("odd_keys") > 0)

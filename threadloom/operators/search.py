@@ -29,17 +29,18 @@ def _blank(name: str, kind: str = "string") -> Column:
     return F.lit(None).cast(kind).alias(name)
 
 
-def _hits(queries: Sequence[str], priority_of) -> Column:
-    """Explode ``(query, priority)`` of the queries a row answers."""
-    made = []
-    for q in queries:
-        priority = priority_of(q)
-        made.append(F.when(priority.isNotNull(), F.struct(F.lit(q).alias("query"), priority.alias("priority"))))
+def _hits(queries: Sequence[str], *ranks) -> Column:
+    """Explode ``(query, priority)`` of the queries a row answers, by each of the ranks."""
+    made = [
+        F.when(priority.isNotNull(), F.struct(F.lit(q).alias("query"), priority.alias("priority")))
+        for q in queries
+        for priority in (rank(q) for rank in ranks)
+    ]
     return F.explode(F.array_compact(F.array(*made)))
 
 
-def _project_hits(projects: DataFrame, queries: Sequence[str], priority_of, summary: Column, snippet: Column) -> DataFrame:
-    return projects.withColumn("hit", _hits(queries, priority_of)).select(
+def _project_hits(projects: DataFrame, queries: Sequence[str], ranks, summary: Column, snippet: Column) -> DataFrame:
+    return projects.withColumn("hit", _hits(queries, *ranks)).select(
         "hit.query", "hit.priority", F.lit("project").alias("type"), "project_key", _blank("session_id"),
         F.col("display_name").alias("project"), summary.alias("summary"), snippet.alias("snippet"), _blank("message_id"),
         F.col("last_modified").alias("project_modified"), _blank("end_time", "timestamp"),
@@ -82,7 +83,7 @@ def search_sessions(
 
     branches = []
     if only != "session":
-        branches.append(_project_hits(projects, queries, project_rank, F.col("full_path"), _blank("snippet")))
+        branches.append(_project_hits(projects, queries, [project_rank], F.col("full_path"), _blank("snippet")))
     if only != "project":
         branches.append(_session_hits(with_project(sessions, projects), queries))
     found = branches[0] if len(branches) == 1 else branches[0].unionByName(branches[1])
@@ -146,14 +147,20 @@ def search_global(
     """Search with content: project key (0) or path (1), session id (0), summary (2), content (3).
 
     A session answers a query once, by its best branch. All content is ranked
-    before the limit, so the answer does not depend on scan order.
+    before the limit, so the answer does not depend on scan order. An empty
+    query finds nothing.
     """
-    queries = [q.lower() for q in queries]
+    wanted = [q.lower() for q in queries if q]
+    queries = wanted or ["-"]
 
-    def project_rank(q: str) -> Column:
-        key, path = F.col("project_key"), F.col("full_path")
-        by_key = F.contains(key, F.lit(q)) | (F.lower(key) == q)
-        return F.when(by_key, 0).when(text.contains_folded(path, q), 1)
+    key, path = F.col("project_key"), F.col("full_path")
+
+    def key_rank(q: str) -> Column:
+        return F.when(F.contains(key, F.lit(q)) | (F.lower(key) == q), 0)
+
+    def path_rank(q: str) -> Column:
+        # A key equal to the query but for case answers by its path as well.
+        return F.when(text.contains_folded(path, q) & ~F.contains(key, F.lit(q)), 1)
 
     by_path = F.when(F.col("hit.priority") == 1, F.col("full_path"))
     named = with_project(sessions, projects)
@@ -169,8 +176,8 @@ def search_global(
             "summary", "snippet", "message_id", "project_modified", "end_time",
         )
     )
-    found = _project_hits(projects, queries, project_rank, F.col("display_name"), by_path).unionByName(by_metadata).unionByName(by_content)
-    return top_hits(found, queries, limit)
+    found = _project_hits(projects, queries, [key_rank, path_rank], F.col("display_name"), by_path).unionByName(by_metadata).unionByName(by_content)
+    return top_hits(found if wanted else found.limit(0), queries, limit)
 
 
 FACETS = ("user", "response", "thinking", "tool", "agent")

@@ -16,7 +16,7 @@ from threadloom.functions.variants import array_of, is_object
 from threadloom.operators.messages import (
     classify, content_items, first_text, is_conversational, item_type, joined_text, tool_call_count,
 )
-from threadloom.operators.records import KEYS
+from threadloom.operators.records import KEYS, odd_keys
 
 NO_SUMMARY = "(no summary)"
 METADATA = ("slug", "version", "git_branch", "cwd")
@@ -288,6 +288,7 @@ def ingest_audit(parsed: DataFrame, sessions: DataFrame) -> DataFrame:
         F.count("*").alias("lines"),
         F.count_if(~F.col("parse_ok")).alias("bad_lines"),
         F.count_if("oversize").alias("oversize_lines"),
+        F.count_if(F.col("parse_ok") & (F.size(odd_keys(F.col("rec"))) > 0)).alias("odd_case_lines"),
     )
     per_project = sessions.groupBy("project_key").agg(
         F.count("*").alias("n"),

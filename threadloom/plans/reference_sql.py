@@ -441,7 +441,7 @@ REFERENCE_SQL: dict[str, str] = {
         ON starts_with(session_id, s) AND (p = '' OR display_name = p)
       QUALIFY row_number() OVER (PARTITION BY request ORDER BY project_modified DESC, project_key, end_time DESC, session_id) = 1"""),
     "global_stats": _listing("SELECT count(DISTINCT project_key) AS projects, count(*) AS sessions FROM li"),
-    "ingest_audit": f"""SELECT 2 * count(*) AS lines, count(*) FILTER (event_id % {MALFORMED_EVERY} = 0) AS bad_lines, CAST(0 AS BIGINT) AS oversize_lines,
+    "ingest_audit": f"""SELECT 2 * count(*) AS lines, count(*) FILTER (event_id % {MALFORMED_EVERY} = 0) AS bad_lines, CAST(0 AS BIGINT) AS oversize_lines, CAST(0 AS BIGINT) AS odd_case_lines,
       count(DISTINCT user_id % 10) AS projects_found, count(DISTINCT user_id % 10) AS empty_projects, count(DISTINCT user_id) AS sessions_found,
       count(DISTINCT user_id) AS sessions_dropped FROM events""",
     "message_tree": _tree("""SELECT session_id, line_no, CASE WHEN up IS NOT NULL THEN 'c' || c || '-t' || up END AS parent_uuid, parent_t * 2 AS parent_line,

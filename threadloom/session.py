@@ -51,6 +51,16 @@ def stage(df: DataFrame) -> DataFrame:
     small. Used for narrow tables that several branches of a job read.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/stage-{uuid.uuid4().hex}"
+    path = f"{_stage_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def _stage_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/stages-{spark.sparkContext.applicationId}"
+
+
+def drop_stages(spark: SparkSession) -> None:
+    """Delete what this application staged, once its results have been written."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(_stage_folder(spark))
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

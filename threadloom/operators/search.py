@@ -188,47 +188,51 @@ def faceted_search(tree: DataFrame, messages: DataFrame, query: str, facets: Seq
 
     User messages score 50 more than responses; tool calls and sub-agents
     have a fixed score. Every shown message that is no user prompt is a
-    response, and is searched without its thinking. All facets of a message
-    are tested in one pass; ``block_no`` is -1 where the whole message hit.
+    response, and is searched without its thinking. One pass over the messages
+    gives a row per message (``block_no`` -1) and per content item.
     """
     unknown = set(facets) - set(FACETS)
     if unknown:
         raise ValueError(f"unknown facets: {sorted(unknown)}")
     q = query.strip().lower()
-
-    def hit(facet: str, wanted: Column, block_no: Column, score: Column) -> Column:
-        if facet not in facets or len(q) < 2:
-            wanted = F.lit(False)
-        found = F.struct(F.lit(facet).alias("type"), block_no.cast("bigint").alias("block_no"), score.alias("score"))
-        return F.when(wanted & (score > 0), found)
-
     said = F.when(F.col("is_command"), F.concat_ws("\n", "command_name", "command_args")).otherwise(
         F.array_join(texts_of(F.col("items")), "\n")
     )
-    kind, relevance = F.col("kind"), F.col("relevance")
-
-    def item_hits(item: Column, n: Column) -> Column:
-        is_call = item_type(item) == "tool_use"
-        name = F.coalesce(text_at(item, "$.name"), F.lit(""))
-        called = F.concat_ws(" ", name, tool_preview(name, child(item, "$.input")))
-        agent = F.regexp_extract(called, r"\[([^\]]+)\]", 1)
-        thought = text.relevance(text_at(item, "$.thinking"), query)
-        return F.array(
-            hit("thinking", item_type(item) == "thinking", n, thought),
-            hit("tool", is_call & text.contains_folded(called, q), n, F.lit(20.0)),
-            hit("agent", is_call & F.contains(called, F.lit("Task")) & (agent != "") & text.contains_folded(agent, q), n, F.lit(25.0)),
+    item, kind = F.col("item"), F.col("kind")
+    is_item = F.col("block_no") >= 0
+    units = (
+        once(messages, "said", said)
+        .select(
+            *KEYS, "line_no", "kind", "said",
+            F.posexplode(F.concat(F.array(F.lit(None).cast("variant")), "items")).alias("unit_no", "item"),
         )
-
-    whole = F.array(
-        hit("user", kind == "user_prompt", F.lit(-1), F.when(relevance > 0, relevance + 50).otherwise(0.0)),
-        hit("response", ~kind.isin("user_prompt", "tool_result"), F.lit(-1), relevance),
+        .withColumn("block_no", F.col("unit_no").cast("bigint") - 1)
+        .withColumn("item_type", F.when(is_item, item_type(item)))
+        .where(~is_item | F.col("item_type").isin("thinking", "tool_use"))
     )
-    hits = F.array_compact(F.concat(whole, F.flatten(F.transform("items", item_hits))))
-    scored = once(once(messages, "said", said), "relevance", text.relevance(F.col("said"), query))
-    return (
-        scored.select(*KEYS, "line_no", F.explode(hits).alias("hit"))
-        .select(F.lit(query).alias("query"), *KEYS, "line_no", "hit.*")
+    name = F.coalesce(text_at(item, "$.name"), F.lit(""))
+    is_call = F.col("item_type") == "tool_use"
+    called = F.when(is_call, F.concat_ws(" ", name, tool_preview(name, child(item, "$.input"))))
+    prose = F.when(~is_item, F.col("said")).when(F.col("item_type") == "thinking", text_at(item, "$.thinking"))
+    units = once(units, "called", called)
+    units = once(units, "agent", F.when(F.contains("called", F.lit("Task")), F.regexp_extract("called", r"\[([^\]]+)\]", 1)))
+    units = once(units, "relevance", text.relevance(prose, query)).drop("said", "item")
+    relevance, hit = F.col("relevance"), F.col("relevance") > 0
+    rules = {
+        "user": (~is_item & (kind == "user_prompt") & hit, relevance + 50),
+        "response": (~is_item & ~kind.isin("user_prompt", "tool_result") & hit, relevance),
+        "thinking": ((F.col("item_type") == "thinking") & hit, relevance),
+        "tool": (text.contains_folded(F.col("called"), q), F.lit(20.0)),
+        "agent": (text.contains_folded(F.col("agent"), q), F.lit(25.0)),
+    }
+    hits = [
+        F.when(rules[f][0] & F.lit(len(q) >= 2), F.struct(F.lit(f).alias("type"), rules[f][1].alias("score"))) for f in facets
+    ]
+    found = (
+        units.select(*KEYS, "line_no", "block_no", F.explode(F.array_compact(F.array(*hits))).alias("hit"))
+        .select(F.lit(query).alias("query"), *KEYS, "line_no", "block_no", "hit.*")
         .join(reachable(tree).select(*KEYS, "line_no"), [*KEYS, "line_no"], "left_semi")
         .select("query", "type", *KEYS, "line_no", "block_no", "score")
-        .orderBy(F.col("score").desc(), *KEYS, "line_no", "block_no", "type")
     )
+    # A global sort samples its input first; the hits are few, so they are written once.
+    return stage(found).orderBy(F.col("score").desc(), *KEYS, "line_no", "block_no", "type")

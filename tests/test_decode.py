@@ -133,6 +133,18 @@ def test_strict_types(lines_of):
     assert {r.line_no for r in records.quarantine(lines, "detail", strict=True).collect()} == {0, 1, 3, 4, 6}
 
 
+def test_one_table_for_both_readers(lines_of):
+    big = json.dumps(user("x" * 300))
+    lines = lines_of({"a": [user("1"), big, user("2")], "b": [user("3"), user(uuid=5), "{", user(isMeta="x")]})
+    table = records.ingest(lines, strict=True, cap=200)
+    seen = lambda profile: [(r.session_id, r.line_no) for r in records.records_for(table, profile).orderBy("session_id", "line_no").collect()]
+    assert seen("detail") == [("b", 0)]
+    assert seen("listing") == [("a", 0), ("b", 0), ("b", 1)]
+    assert records.records_for(table, "detail").columns == records.decode(lines).columns
+    bad = {(r.session_id, r.line_no): r.reason for r in records.rejected(table).collect()}
+    assert bad == {("a", 1): "oversize", ("b", 1): "type_clash", ("b", 2): "not_json", ("b", 3): "type_clash"}
+
+
 def one(df):
     return df.first().asDict()
 

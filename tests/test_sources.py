@@ -73,11 +73,15 @@ def test_lake(spark, tmp_path):
     lake.build_lake(spark, str(tmp_path / "logs"), out)
     read = lambda name: lake.read_table(spark, out, name)
     assert {r.project_key for r in read("sessions").collect()} == {"-home-u-src-x", "007"}
-    assert [(r.line_no, r.reason) for r in read("quarantine").collect()] == [(2, "not_json")]
+    assert [(r.line_no, r.reason, r.value) for r in lake.read_rejected(spark, out).collect()] == [(2, "not_json", "{broken")]
+    assert lake.read_messages(spark, out).where("project_key = '007'").first().kind == "user_prompt"
     assert [r.display_name for r in read("projects").collect()] == ["x"]
     call_row = read("tool_calls").first()
     assert (call_row.preview, call_row.result_line) == ("$ x", 3)
     assert read("tree").where("project_key = '-home-u-src-x'").count() == 7
+    write(tmp_path / "numbers", "042", "n.jsonl", [user("x", timestamp="2025-01-02T00:00:00Z")])
+    lake.build_lake(spark, str(tmp_path / "numbers"), str(tmp_path / "lake2"))
+    assert [r.project_key for r in lake.read_table(spark, str(tmp_path / "lake2"), "tree").collect()] == ["042"]
     plan = read("tree").where("project_key = '007'")._jdf.queryExecution().toString()
     assert "PartitionFilters" in plan
 

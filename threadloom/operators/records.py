@@ -103,7 +103,7 @@ def type_clash(rec: Column, profile: str) -> Column:
     return clash
 
 
-def apply_size_policy(parsed: DataFrame, policy: str) -> DataFrame:
+def _apply_policy(kept: DataFrame, oversize: DataFrame, policy: str) -> DataFrame:
     """Treat sessions holding an oversize line.
 
     ``skip_line`` drops the line, ``truncate_session`` also everything after
@@ -112,10 +112,9 @@ def apply_size_policy(parsed: DataFrame, policy: str) -> DataFrame:
     """
     if policy not in POLICIES:
         raise ValueError(f"unknown size policy: {policy}")
-    kept = parsed.where(~F.col("oversize"))
     if policy == "skip_line":
         return kept
-    first_bad = parsed.where("oversize").groupBy(*KEYS).agg(F.min("line_no").alias("cut_line"))
+    first_bad = oversize.groupBy(*KEYS).agg(F.min("line_no").alias("cut_line"))
     if policy == "fail_session":
         return kept.join(first_bad, KEYS, "left_anti")
     return (
@@ -131,16 +130,14 @@ def usage_of(rec: Column) -> Column:
     return F.when(is_present(top), top).otherwise(child(rec, "$.message.usage"))
 
 
-def envelope(parsed: DataFrame) -> DataFrame:
-    """Typed columns of well-formed records. Absent and empty text become NULL."""
+def _envelope(parsed: DataFrame, *keep: str) -> DataFrame:
+    """Typed columns of the records. Absent and empty text become NULL."""
     rec = F.col("rec")
-    usage = F.col("usage")
-    raw_time = F.col("ts_raw")
     return (
-        parsed.where("parse_ok")
-        .select(
+        parsed.select(
             *KEYS,
             "line_no",
+            *keep,
             *[F.try_variant_get(rec, p, "string").alias(c) for c, p in TEXT_FIELDS.items()],
             *[F.coalesce(F.try_variant_get(rec, p, "boolean"), F.lit(False)).alias(c) for c, p in FLAG_FIELDS.items()],
             usage_of(rec).alias("usage"),
@@ -149,8 +146,8 @@ def envelope(parsed: DataFrame) -> DataFrame:
         .withColumns(
             {
                 **{c: text.none_if_empty(F.col(c)) for c in TEXT_FIELDS},
-                **{c: F.try_variant_get(usage, p, "bigint") for c, p in TOKEN_FIELDS.items()},
-                "ts": times.parse_time(raw_time),
+                **{c: F.try_variant_get(F.col("usage"), p, "bigint") for c, p in TOKEN_FIELDS.items()},
+                "ts": times.parse_time(F.col("ts_raw")),
             }
         )
         .drop("usage")
@@ -161,10 +158,19 @@ def decode(
     lines: DataFrame, profile: str = "detail", *, strict: bool = False, cap: int = LINE_CAP, policy: str = "skip_line"
 ) -> DataFrame:
     """Lines to records in one pass. ``policy`` says what an oversize line does."""
-    parsed = apply_size_policy(parse_lines(lines, cap), policy)
+    parsed = parse_lines(lines, cap)
+    kept = parsed.where("parse_ok")
     if strict:
-        parsed = parsed.where(~type_clash(F.col("rec"), profile))
-    return envelope(parsed)
+        kept = kept.where(~type_clash(F.col("rec"), profile))
+    return _envelope(_apply_policy(kept, parsed.where("oversize"), policy))
+
+
+def _reason() -> Column:
+    return (
+        F.when(F.col("oversize"), "oversize")
+        .when(F.col("rec").isNull(), "not_json")
+        .when(~F.col("parse_ok"), "not_an_object")
+    )
 
 
 def quarantine(
@@ -172,16 +178,44 @@ def quarantine(
 ) -> DataFrame:
     """Lines that give no record, with the reason."""
     parsed = parse_lines(lines, cap)
-    bad_type = type_clash(F.col("rec"), profile) if strict else F.lit(False)
-    reason = (
-        F.when(F.col("oversize"), "oversize")
-        .when(F.col("rec").isNull(), "not_json")
-        .when(~F.col("parse_ok"), "not_an_object")
-        .when(bad_type, "type_clash")
-    )
+    reason = _reason()
+    if strict:
+        reason = F.coalesce(reason, F.when(type_clash(F.col("rec"), profile), "type_clash"))
     return parsed.select(*KEYS, "line_no", "value", reason.alias("reason")).where("reason is not null")
 
 
+def ingest(lines: DataFrame, *, strict: bool = False, cap: int = LINE_CAP) -> DataFrame:
+    """All lines in one table for both profiles, parsed once.
+
+    ``reason`` says why a line is no record and ``bad_value`` keeps its text;
+    both are NULL on records. ``clash_<profile>`` marks type clashes.
+    """
+    parsed = parse_lines(lines, cap)
+    marked = parsed.withColumns(
+        {
+            "reason": _reason(),
+            **{f"clash_{p}": type_clash(F.col("rec"), p) if strict else F.lit(False) for p in STRICT_FIELDS},
+        }
+    ).withColumn("bad_value", F.when(F.col("reason").isNotNull() | F.col("clash_detail"), F.col("value")))
+    return _envelope(marked, "reason", "bad_value", *[f"clash_{p}" for p in STRICT_FIELDS])
+
+
+# How each reader treats a session with an oversize line.
+PROFILE_POLICY = {"detail": "fail_session", "listing": "truncate_session"}
+
+
+def records_for(ingested: DataFrame, profile: str) -> DataFrame:
+    """The records one reader sees of an ingested table."""
+    kept = ingested.where(f"reason is null and not clash_{profile}").drop("reason", "bad_value", "clash_detail", "clash_listing")
+    return _apply_policy(kept, ingested.where("reason = 'oversize'"), PROFILE_POLICY[profile])
+
+
+def rejected(ingested: DataFrame) -> DataFrame:
+    """Lines of an ingested table the detail reader does not see, with the reason."""
+    reason = F.coalesce("reason", F.when(F.col("clash_detail"), "type_clash"))
+    return ingested.select(*KEYS, "line_no", F.col("bad_value").alias("value"), reason.alias("reason")).where("reason is not null")
+
+
 def odd_keys(rec: Column) -> Column:
     """Top-level keys that differ from a declared one only in case; they are not decoded."""
     declared = sorted({p[2:] for p in [*TEXT_FIELDS.values(), *FLAG_FIELDS.values()] if "." not in p[2:]} | {"usage", "message"})

@@ -1,46 +1,70 @@
-"""The persisted tables of an organisation's logs, built once and read by every query."""
+"""The persisted tables of an organisation's logs, built once and read by every query.
+
+``records`` holds every line once, parsed, with its content; all other tables
+are narrow or small:
+
+==================  ==========================================================
+``records``         lines as records of both profiles, and the rejected ones
+``tree``            tree index of all messages
+``tool_calls``      calls paired with their last result
+``sessions``        detail profile
+``listed_sessions`` listing profile, what a listing shows
+``projects``        projects of the listed sessions
+==================  ==========================================================
+"""
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from threadloom.operators.messages import build_messages, explode_blocks
-from threadloom.operators.records import decode, quarantine
+from threadloom.operators.records import ingest, records_for, rejected
 from threadloom.operators.sessions import listable, project_table, session_table
 from threadloom.operators.tool_calls import pair_calls
 from threadloom.operators.tree import build_tree
 from threadloom.sources.sinks import write_table
 from threadloom.sources.transcripts import scan_transcripts
 
-TABLES = ("quarantine", "records", "listing_records", "messages", "tree", "blocks", "tool_calls", "sessions", "listed_sessions", "projects")
-
 
 def build_lake(spark: SparkSession, root: str, out: str, *, strict: bool = False) -> None:
     """Scan ``root`` and write every table below ``out``.
 
-    Each step reads what the one before wrote, so the logs are parsed once per
-    reader profile and a lost executor costs a stage, not the ingest.
-    ``project_key`` is the partition column: a query for one project prunes.
+    The logs are read and parsed once; each later step reads the columns it
+    needs of what was written. ``project_key`` is the partition column, so a
+    query for one project prunes the rest.
     """
     def save(name: str, df: DataFrame) -> DataFrame:
         write_table(df, f"{out}/{name}")
+        # The schema is kept beside the tables: a table may be empty, and project
+        # keys are text also where they look like numbers.
+        spark.createDataFrame([(df.schema.json(),)], "value string").coalesce(1).write.mode("overwrite").text(f"{out}/_schemas/{name}")
         return read_table(spark, out, name)
 
-    lines = scan_transcripts(spark, root).drop("file_path")
-    save("quarantine", quarantine(lines, strict=strict))
-    detail = save("records", decode(lines, "detail", strict=strict, policy="fail_session"))
-    listing = save("listing_records", decode(lines, "listing", strict=strict, policy="truncate_session"))
-    messages = save("messages", build_messages(detail))
+    save("records", ingest(scan_transcripts(spark, root).drop("file_path"), strict=strict))
+    detail = read_records(spark, out, "detail")
     save("tree", build_tree(detail))
-    blocks = save("blocks", explode_blocks(messages, "uuid", "kind"))
-    save("tool_calls", pair_calls(blocks))
+    save("tool_calls", pair_calls(explode_blocks(build_messages(detail))))
     save("sessions", session_table(detail, "detail"))
-    listed = save("listed_sessions", listable(session_table(listing, "listing")))
-    project_table(listed).write.mode("overwrite").parquet(f"{out}/projects")
+    listed = save("listed_sessions", listable(session_table(read_records(spark, out, "listing"), "listing")))
+    save("projects", project_table(listed))
 
 
 def read_table(spark: SparkSession, out: str, name: str) -> DataFrame:
-    """A lake table; project keys stay text whatever they look like."""
-    df = spark.read.parquet(f"{out}/{name}")
-    return df.withColumn("project_key", F.col("project_key").cast("string"))
+    schema = T.StructType.fromJson(json.loads(spark.read.text(f"{out}/_schemas/{name}").first()[0]))
+    return spark.read.schema(schema).parquet(f"{out}/{name}").select(*schema.names)
+
+
+def read_records(spark: SparkSession, out: str, profile: str = "detail") -> DataFrame:
+    return records_for(read_table(spark, out, "records"), profile)
+
+
+def read_messages(spark: SparkSession, out: str) -> DataFrame:
+    """Messages with their content; classified on reading, which costs no shuffle."""
+    return build_messages(read_records(spark, out))
+
+
+def read_rejected(spark: SparkSession, out: str) -> DataFrame:
+    return rejected(read_table(spark, out, "records"))

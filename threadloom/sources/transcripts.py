@@ -35,30 +35,30 @@ def scan_transcripts(spark: SparkSession, root: str, *, with_side_files: bool =
     a log file are left out.
     """
     root = root.rstrip("/")
+    path = F.col("_metadata.file_path")
+    # Folders are listed, in parallel, not files one by one. These filters only
+    # look at the path, so files that fail them are never opened.
+    at_depth = F.size(F.split(F.regexp_replace(path, "^[a-z0-9]+:/*", ""), "/")) == _depth(root) + 2
+    side_file = path.rlike(r"/agent-[^/]*\.jsonl$")
     try:
-        raw = (
-            spark.read.option("lineSep", "\n").option("pathGlobFilter", "*.jsonl").text(f"{root}/*/*.jsonl")
-            .select(
-                F.col("_metadata.file_path").alias("raw_path"),
-                F.col("_metadata.file_block_start").alias("split"),
-                F.monotonically_increasing_id().alias("scan_pos"),
-                "value",
-            )
-        )
+        files = spark.read.option("lineSep", "\n").option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").text(root)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], _EMPTY)
-    path = F.url_decode(F.replace("raw_path", F.lit("+"), F.lit("%2B")))
+    raw = files.where(at_depth if with_side_files else at_depth & ~side_file).select(
+        path.alias("raw_path"),
+        F.col("_metadata.file_block_start").alias("split"),
+        F.monotonically_increasing_id().alias("scan_pos"),
+        "value",
+    )
+    readable = F.url_decode(F.replace("raw_path", F.lit("+"), F.lit("%2B")))
     project, session = path_keys(F.col("file_path"))
-    plain = F.regexp_replace(F.col("file_path"), "^[a-z0-9]+:/*", "")
-    lines = (
+    return (
         number_lines(raw)
-        .withColumn("file_path", path)
-        .where(F.size(F.split(plain, "/")) == _depth(root) + 2)
+        .withColumn("file_path", readable)
         .select(project.alias("project_key"), session.alias("session_id"), "file_path", "line_no", "value")
     )
-    return lines if with_side_files else lines.where(~is_side_file(F.col("session_id")))
 
 
 def number_lines(raw: DataFrame) -> DataFrame:

@@ -405,7 +405,7 @@ def json_fragment() -> Column:
 def fragments(
     tree: DataFrame, messages: DataFrame, fmt: str, *, with_thinking: bool = False, with_agents: bool = False, by_kind: bool = False
 ) -> DataFrame:
-    """One text per message and its place, ``(keys, dfs_pos, fragment)``.
+    """One text per message and its place, ``(keys, dfs_pos, fragment)``; a ``file_name`` of the index is kept.
 
     What is shown is decided on the narrow tree index; content joins it once.
     """
@@ -425,7 +425,8 @@ def fragments(
         body = markdown_kind_fragment() if fmt == "md" else org_kind_fragment()
     else:
         body = {"md": markdown_fragment, "org": org_fragment, "html": html_fragment}[fmt](with_thinking)
-    return shown.select(*KEYS, "dfs_pos", body.alias("fragment"))
+    carried = [c for c in ("file_name",) if c in tree.columns]
+    return shown.select(*KEYS, "dfs_pos", *carried, body.alias("fragment"))
 
 
 def assemble(pieces: DataFrame, part_chars: int = PART_CHARS) -> DataFrame:
@@ -438,11 +439,14 @@ def assemble(pieces: DataFrame, part_chars: int = PART_CHARS) -> DataFrame:
     sized = running(stage(pieces.where("fragment != ''")), KEYS, "dfs_pos", {"before": ("sum", size, "before")})
     part = F.floor(F.coalesce("before", F.lit(0)) / F.lit(part_chars))
     ordered = F.array_sort(F.collect_list(F.struct("dfs_pos", "fragment")))
+    named = [F.max(c).alias(c) for c in ("file_name",) if c in pieces.columns]
     return (
         sized.withColumn("part_no", part)
         .groupBy(*KEYS, "part_no")
-        .agg(ordered.alias("f"))
-        .select(*KEYS, "part_no", F.array_join("f.fragment", EMPTY).alias("document"))
+        .agg(ordered.alias("f"), *named)
+        .drop("dfs_pos")
+        .withColumn("document", F.array_join("f.fragment", EMPTY))
+        .drop("f")
     )
 
 
@@ -477,6 +481,13 @@ def export_transcripts(
     subtrees; ``by_kind`` selects the flat rendering by message kind.
     """
     wanted = FORMATS.get(fmt.lower())
+    by_summary = wanted == "txt"
+    if by_summary:
+        # The name depends on the session row: it joins the narrow index, not the documents.
+        named = sessions.withColumn("file_name", text_file_name(F.col("summary"), _start_date()))
+        tree = tree.join(named.select(*KEYS, "file_name"), KEYS)
+    else:
+        named = sessions
     pieces = fragments(tree, messages, fmt, with_thinking=with_thinking, with_agents=with_agents, by_kind=by_kind)
     heads = {
         "md": markdown_kind_head() if by_kind else markdown_head(),
@@ -486,18 +497,16 @@ def export_transcripts(
         # The plain text opens with two blank lines where a product banner would be.
         "txt": F.lit("\n\n"),
     }
-    head = sessions.select(*KEYS, F.lit(-1).cast("bigint").alias("dfs_pos"), heads[wanted].alias("fragment"))
-    whole = head.unionByName(pieces)
+    carried = ["file_name"] if by_summary else []
+    before, after = F.lit(-1).cast("bigint"), F.lit(1 << 62).cast("bigint")
+    whole = named.select(*KEYS, before.alias("dfs_pos"), *carried, heads[wanted].alias("fragment")).unionByName(pieces)
     foot = {"html": HTML_FOOT, "json": JSON_FOOT}.get(wanted)
     if foot:
-        last = F.lit((1 << 62)).cast("bigint")
-        whole = whole.unionByName(sessions.select(*KEYS, last.alias("dfs_pos"), F.lit(foot).alias("fragment")))
-    name = (
-        text_file_name(F.col("summary"), _start_date()) if wanted == "txt" else default_file_name(F.col("session_id"), wanted)
-    )
-    return assemble(whole, part_chars).join(sessions.select(*KEYS, name.alias("file_name")), KEYS).select(
-        *KEYS, "part_no", "file_name", "document"
-    )
+        whole = whole.unionByName(named.select(*KEYS, after.alias("dfs_pos"), F.lit(foot).alias("fragment")))
+    documents = assemble(whole, part_chars)
+    if not by_summary:
+        documents = documents.withColumn("file_name", default_file_name(F.col("session_id"), wanted))
+    return documents.select(*KEYS, "part_no", "file_name", "document")
 
 
 def raw_content(items: Column) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from threadloom.functions import text, times
 from threadloom.functions.variants import child, is_present
+from threadloom.session import stage
 
 KEYS = ["project_key", "session_id"]
 LINE_CAP = 10 * 1024 * 1024
@@ -114,7 +115,10 @@ def _apply_policy(kept: DataFrame, oversize: DataFrame, policy: str) -> DataFram
         raise ValueError(f"unknown size policy: {policy}")
     if policy == "skip_line":
         return kept
-    first_bad = oversize.groupBy(*KEYS).agg(F.min("line_no").alias("cut_line"))
+    # Written first, so that its true size is known and the records need no shuffle.
+    first_bad = stage(oversize.groupBy(*KEYS).agg(F.min("line_no").alias("cut_line")))
+    if first_bad.isEmpty():
+        return kept
     if policy == "fail_session":
         return kept.join(first_bad, KEYS, "left_anti")
     return (

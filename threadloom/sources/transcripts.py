@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from threadloom.operators.records import KEYS
 from threadloom.operators.scans import running
+from threadloom.session import stage
 
 _EMPTY = "project_key string, session_id string, file_path string, line_no bigint, value string"
 
@@ -65,13 +66,14 @@ def number_lines(raw: DataFrame) -> DataFrame:
     """Line numbers over input splits without moving the lines.
 
     Within a split the scan position counts the lines. One row per split says
-    how many lines came before it; that table is scanned and joined back.
+    how many lines came before it and where it starts; this table is written,
+    so that its size is known and a small one is broadcast to the lines.
     """
     key = ["raw_path", "split"]
     splits = raw.groupBy(*key).agg(F.min("scan_pos").alias("first_pos"), F.count("*").alias("n"))
     before = Window.partitionBy("raw_path").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = splits.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    return raw.join(offsets, key).withColumn("line_no", F.col("offset") + F.col("scan_pos") - F.col("first_pos"))
+    starts = stage(splits.select(*key, (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first_pos")).alias("shift")))
+    return raw.join(starts, key).withColumn("line_no", F.col("scan_pos") + F.col("shift"))
 
 
 def line_ordinals(lines: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ from threadloom.functions import text, times
 from threadloom.functions.tools import argument_lines, argument_preview, guess_language, result_text
 from threadloom.functions.variants import child, flag_at, is_present, show_value, text_at
 from threadloom.operators.messages import first_text, item_type
-from threadloom.operators.records import KEYS
+from threadloom.operators.records import KEYS, once
 from threadloom.operators.scans import running
 from threadloom.operators.tree import reachable, visible, with_content
 from threadloom.session import stage
@@ -426,7 +426,7 @@ def fragments(
     else:
         body = {"md": markdown_fragment, "org": org_fragment, "html": html_fragment}[fmt](with_thinking)
     carried = [c for c in ("file_name",) if c in tree.columns]
-    return shown.select(*KEYS, "dfs_pos", *carried, body.alias("fragment"))
+    return once(shown, "fragment", body).select(*KEYS, "dfs_pos", *carried, "fragment")
 
 
 def assemble(pieces: DataFrame, part_chars: int = PART_CHARS) -> DataFrame:
@@ -436,15 +436,23 @@ def assemble(pieces: DataFrame, part_chars: int = PART_CHARS) -> DataFrame:
     whole document. A fragment is never split; empty ones are left out.
     """
     size = F.length("fragment").cast("bigint") + FRAGMENT_COST
-    sized = running(stage(pieces.where("fragment != ''")), KEYS, "dfs_pos", {"before": ("sum", size, "before")})
-    part = F.floor(F.coalesce("before", F.lit(0)) / F.lit(part_chars))
+    sized = stage(pieces.where("fragment != ''").withColumn("size", size))
+    totals = sized.groupBy(*KEYS).agg(F.sum("size").alias("total"))
+    long_keys = stage(totals.where(F.col("total") > part_chars).select(*KEYS))
+    parted = sized
+    part = F.lit(0).cast("bigint")
+    if not long_keys.isEmpty():
+        # Only sessions of several parts need the running size.
+        before = running(sized.join(long_keys, KEYS, "left_semi"), KEYS, "dfs_pos", {"before": ("sum", F.col("size"), "before")})
+        short = sized.join(long_keys, KEYS, "left_anti").withColumn("before", F.lit(0).cast("bigint"))
+        parted = short.unionByName(before)
+        part = F.floor(F.coalesce("before", F.lit(0)) / F.lit(part_chars))
     ordered = F.array_sort(F.collect_list(F.struct("dfs_pos", "fragment")))
     named = [F.max(c).alias(c) for c in ("file_name",) if c in pieces.columns]
     return (
-        sized.withColumn("part_no", part)
+        parted.withColumn("part_no", part)
         .groupBy(*KEYS, "part_no")
         .agg(ordered.alias("f"), *named)
-        .drop("dfs_pos")
         .withColumn("document", F.array_join("f.fragment", EMPTY))
         .drop("f")
     )

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.functions import text
+from threadloom.operators.records import once
 
 # Multi-line mode with \n as the only line end.
 _FENCE = r"(?dm)^```"
@@ -18,15 +19,14 @@ def code_blocks(texts: DataFrame, keys: list[str], column: str = "text") -> Data
     Splitting at line-start fences leaves every second piece inside a fence.
     The last piece is kept when its fence is never closed.
     """
-    pieces = F.split(F.col(column), _FENCE)
     inside = F.col("piece")
     newline = F.instr(inside, "\n")
     body = F.when(newline > 0, inside.substr(newline + 1, F.length(inside))).otherwise("")
     closed = F.col("piece_no") < F.col("n_pieces") - 1
     lang = F.substring_index(inside, "\n", 1)
     return (
-        texts.where(F.col(column).rlike(_FENCE))
-        .select(*keys, F.size(pieces).alias("n_pieces"), F.posexplode(pieces).alias("piece_no", "piece"))
+        once(texts.where(F.col(column).rlike(_FENCE)), "pieces", F.split(F.col(column), _FENCE))
+        .select(*keys, F.size("pieces").alias("n_pieces"), F.posexplode("pieces").alias("piece_no", "piece"))
         .where("piece_no % 2 = 1")
         .select(
             *keys,
@@ -62,10 +62,11 @@ def table_cells(texts: DataFrame, keys: list[str], column: str = "text") -> Data
     )
     stripped = F.regexp_replace(text.trim_all(F.col("row")), r"^\|+|\|+$", "")
     return (
-        texts.where(F.col(column).contains("|"))
-        .select(*keys, F.posexplode(F.filter(rows, lambda r: F.size(r) > 0)).alias("table_no", "rows"))
+        once(texts.where(F.col(column).contains("|")), "tables", F.filter(rows, lambda r: F.size(r) > 0))
+        .select(*keys, F.posexplode("tables").alias("table_no", "rows"))
         .select(*keys, "table_no", F.posexplode("rows").alias("row_no", "row"))
-        .select(*keys, "table_no", "row_no", F.posexplode(F.split(stripped, r"\|")).alias("cell_no", "cell"))
+        .select(*keys, "table_no", "row_no", F.split(stripped, r"\|").alias("cells"))
+        .select(*keys, "table_no", "row_no", F.posexplode("cells").alias("cell_no", "cell"))
         .select(
             *keys, *[F.col(c).cast("bigint").alias(c) for c in ("table_no", "row_no", "cell_no")],
             text.trim_all(F.col("cell")).alias("cell"),

@@ -79,6 +79,11 @@ def once(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.withColumn(name, F.explode(F.array(value)))
 
 
+def explode_once(df: DataFrame, name: str, values: Column) -> DataFrame:
+    """A row per array element, the array being computed once per row."""
+    return once(df, "__values", values).withColumn(name, F.explode("__values")).drop("__values")
+
+
 def parse_lines(lines: DataFrame, cap: int = LINE_CAP) -> DataFrame:
     """Drop blank lines; add ``rec``, ``oversize`` and ``parse_ok``.
 

@@ -15,7 +15,7 @@ from threadloom.functions import text
 from threadloom.functions.tools import tool_preview
 from threadloom.functions.variants import child, show_value, text_at
 from threadloom.operators.messages import explode_blocks, item_type, texts_of
-from threadloom.operators.records import KEYS, once
+from threadloom.operators.records import KEYS, explode_once, once
 from threadloom.operators.sessions import limited, with_project
 from threadloom.operators.tree import reachable
 from threadloom.session import stage
@@ -30,17 +30,17 @@ def _blank(name: str, kind: str = "string") -> Column:
 
 
 def _hits(queries: Sequence[str], *ranks) -> Column:
-    """Explode ``(query, priority)`` of the queries a row answers, by each of the ranks."""
+    """Array of ``(query, priority)`` of the queries a row answers, by each of the ranks."""
     made = [
         F.when(priority.isNotNull(), F.struct(F.lit(q).alias("query"), priority.alias("priority")))
         for q in queries
         for priority in (rank(q) for rank in ranks)
     ]
-    return F.explode(F.array_compact(F.array(*made)))
+    return F.array_compact(F.array(*made))
 
 
 def _project_hits(projects: DataFrame, queries: Sequence[str], ranks, summary: Column, snippet: Column) -> DataFrame:
-    return projects.withColumn("hit", _hits(queries, *ranks)).select(
+    return explode_once(projects, "hit", _hits(queries, *ranks)).select(
         "hit.query", "hit.priority", F.lit("project").alias("type"), "project_key", _blank("session_id"),
         F.col("display_name").alias("project"), summary.alias("summary"), snippet.alias("snippet"), _blank("message_id"),
         F.col("last_modified").alias("project_modified"), _blank("end_time", "timestamp"),
@@ -48,7 +48,7 @@ def _project_hits(projects: DataFrame, queries: Sequence[str], ranks, summary: C
 
 
 def _session_hits(named_sessions: DataFrame, queries: Sequence[str]) -> DataFrame:
-    return named_sessions.withColumn("hit", _hits(queries, _session_rank)).select(
+    return explode_once(named_sessions, "hit", _hits(queries, _session_rank)).select(
         "hit.query", "hit.priority", F.lit("session").alias("type"), *KEYS, F.col("display_name").alias("project"),
         "summary", _blank("snippet"), _blank("message_id"), "project_modified", "end_time",
     )
@@ -121,13 +121,8 @@ def content_hits(tree: DataFrame, messages: DataFrame, queries: Sequence[str]) -
     queries = [q.lower() for q in queries]
     blocks = explode_blocks(messages, "uuid").drop("image_data")
     folded, query = F.lower("body"), F.col("query")
-    found = (
-        once(blocks, "body", _searchable(blocks))
-        .select(
-            *KEYS, "line_no", "uuid", "block_no", "block_type", "tool_name", "body",
-            F.explode(F.array_compact(F.array(*[F.when(F.contains(folded, F.lit(q)), F.lit(q)) for q in queries]))).alias("query"),
-        )
-    )
+    answered = F.array_compact(F.array(*[F.when(F.contains(folded, F.lit(q)), F.lit(q)) for q in queries]))
+    found = explode_once(once(blocks, "body", _searchable(blocks)), "query", answered)
     in_call = F.concat(F.lit("["), "tool_name", F.lit("] "), text.snippet(F.col("body"), query, 40))
     shown = F.when(F.col("block_type") == "tool_use", in_call).otherwise(text.snippet(F.col("body"), query, 60))
     first = F.min_by(F.struct("uuid", "line_no", "snippet"), F.struct("dfs_pos", "block_no"))
@@ -229,7 +224,7 @@ def faceted_search(tree: DataFrame, messages: DataFrame, query: str, facets: Seq
         F.when(rules[f][0] & F.lit(len(q) >= 2), F.struct(F.lit(f).alias("type"), rules[f][1].alias("score"))) for f in facets
     ]
     found = (
-        units.select(*KEYS, "line_no", "block_no", F.explode(F.array_compact(F.array(*hits))).alias("hit"))
+        explode_once(units, "hit", F.array_compact(F.array(*hits)))
         .select(F.lit(query).alias("query"), *KEYS, "line_no", "block_no", "hit.*")
         .join(reachable(tree).select(*KEYS, "line_no"), [*KEYS, "line_no"], "left_semi")
         .select("query", "type", *KEYS, "line_no", "block_no", "score")

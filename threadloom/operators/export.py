@@ -102,6 +102,9 @@ def _thinking_of(item: Column, with_thinking: bool) -> Column:
     return text.none_if_empty(text_at(item, "$.thinking")) if with_thinking else F.lit(None).cast("string")
 
 
+# The headings, marks and rules in the renderings below are the
+# formats readers of these exports expect.
+
 # --- Markdown and Org by tree, HTML: pruned subtrees, full input and results
 
 
@@ -405,7 +408,7 @@ def json_fragment() -> Column:
 def fragments(
     tree: DataFrame, messages: DataFrame, fmt: str, *, with_thinking: bool = False, with_agents: bool = False, by_kind: bool = False
 ) -> DataFrame:
-    """One text per message and its place, ``(keys, dfs_pos, fragment)``; a ``file_name`` of the index is kept.
+    """One text per message and its place, ``(keys, dfs_pos, fragment)``; a file name in the index is kept.
 
     What is shown is decided on the narrow tree index; content joins it once.
     """

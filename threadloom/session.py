@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,20 +26,18 @@ def build_session(app_name: str = "threadloom", master: str | None = None, **ext
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors see, as named by ``spark.checkpoint.dir``.
+    """The folder all executors see: ``spark.checkpoint.dir``, or one beside the session's own tables where that is unset.
 
-    Only a local master may fall back to a temporary folder; on a cluster a
-    missing setting is an error, since a machine-local path would not survive
+    Only a local master may go without the setting; on a cluster a missing
+    setting is an error, since a folder of one machine would not survive
     the loss of an executor.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.sparkContext.master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    folder = tempfile.mkdtemp(prefix="threadloom-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_stages"
 
 
 def stage(df: DataFrame) -> DataFrame:
@@ -53,7 +50,14 @@ def stage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{_stage_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    staged = spark.read.schema(df.schema).parquet(path)
+    staged.stage_path = path
+    return staged
+
+
+def unstage(staged: DataFrame) -> None:
+    """Delete a staged table that nothing reads any more."""
+    _delete(staged.sparkSession, staged.stage_path)
 
 
 def _stage_folder(spark: SparkSession) -> str:
@@ -62,5 +66,9 @@ def _stage_folder(spark: SparkSession) -> str:
 
 def drop_stages(spark: SparkSession) -> None:
     """Delete what this application staged, once its results have been written."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(_stage_folder(spark))
+    _delete(spark, _stage_folder(spark))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

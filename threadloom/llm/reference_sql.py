@@ -39,13 +39,13 @@ FROM embeddings e LEFT JOIN least ON least.x = e.vec_id LEFT JOIN degree ON degr
 
 OP8 = """
 WITH l AS (
-  SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS at FROM documents)
-, t AS (SELECT doc_id, source, at, line, trim(line, ' ' || chr(9) || chr(13)) AS core FROM l)
+  SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents)
+, t AS (SELECT doc_id, source, pos, line, trim(line, ' ' || chr(9) || chr(13)) AS core FROM l)
 , f AS (SELECT core FROM t WHERE core <> '' GROUP BY core HAVING count(DISTINCT coalesce(source, '')) >= 10)
 , h AS (SELECT t.*, f.core IS NOT NULL AS hit FROM t LEFT JOIN f ON t.core = f.core)
 , d AS (
   SELECT doc_id, count(*) AS n_lines, count(*) FILTER (hit) AS hits, coalesce(sum(length(core)) FILTER (hit), 0) AS chars,
-         coalesce(string_agg(line, chr(10) ORDER BY at) FILTER (NOT hit), '') AS rest
+         coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT hit), '') AS rest
   FROM h GROUP BY doc_id)
 SELECT documents.doc_id, CASE WHEN hits > 0 AND chars <= 0.5 * length(text) THEN rest ELSE text END AS text, coalesce(n_lines, 0) AS n_lines,
        CASE WHEN chars <= 0.5 * length(text) THEN hits ELSE 0 END AS n_removed

@@ -7,7 +7,7 @@ costs a stage at most. Empty tables pass through all stages; a null or empty tex
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from threadloom.llm import dominance_packing, language_id, line_spread, ngram_join, quality_rules, vocabularies
@@ -17,39 +17,48 @@ from threadloom.session import stage
 MIN_POSTERIOR = 0.5
 
 
+def _columns(rows: DataFrame, docs: DataFrame, changed: dict[str, Column]) -> DataFrame:
+    """The columns of ``docs`` out of ``rows.row``, some of them changed."""
+    return rows.select(*(changed.get(c, F.col(f"row.`{c}`")).cast(docs.schema[c].dataType).alias(c) for c in docs.columns))
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps texts with a clear language; a missing language is filled in."""
     model = language_id.train(docs)
-    found = language_id.predict(docs, model, prefix="_found_")
-    clear = found.where((F.col("_found_lang_pred") != language_id.UNKNOWN) & (F.col("_found_score") >= MIN_POSTERIOR))
-    return clear.withColumn("lang", F.coalesce("lang", "_found_lang_pred")).select(*docs.columns)
+    prefix = "found_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix += "_"
+    found = language_id.predict(docs, model, prefix=prefix)
+    language, score = F.col(f"{prefix}lang_pred"), F.col(f"{prefix}score")
+    clear = found.where((language != language_id.UNKNOWN) & (score >= MIN_POSTERIOR))
+    return clear.withColumn("lang", F.coalesce("lang", language)).select(*docs.columns)
 
 
 def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps texts that the base rules and the fertility bands let pass."""
-    print_of = {"_print_1": F.xxhash64("text", "lang"), "_print_2": F.xxhash64("lang", "text", F.lit(1))}
+    print_of = {"print_1": F.xxhash64("text", "lang"), "print_2": F.xxhash64("lang", "text", F.lit(1))}
     shared = vocabularies.share_file(spark, vocabularies.default_path("piece_bpe_32k.model"))
     measured = stage(quality_rules.measure(docs.select("text", "lang", *(p.alias(n) for n, p in print_of.items())), shared))
     rejected = quality_rules.judged(measured).where("not kept").select(*print_of).distinct()
-    return docs.withColumns(print_of).join(rejected, list(print_of), "left_anti").select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("row"), *(p.alias(n) for n, p in print_of.items()))
+    return _columns(rows.join(rejected, list(print_of), "left_anti"), docs, {})
 
 
 def remove_furniture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes lines that stand on many sites out of the texts."""
     cleaned = line_spread.without_furniture(docs)
-    changed = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
-    return cleaned.select(*(changed.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
+    return _columns(cleaned, docs, {"text": F.col("text"), "n_chars": F.length("text").cast("long")})
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the least id of each group of near duplicates, and all without links."""
     found = ngram_join.near_duplicates(docs)
-    gone = found.where("doc_id is null and class_id is not null or doc_id <> class_id").select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_gone")), "left_anti")
+    gone = found.where("doc_id is null and class_id is not null or doc_id <> class_id").select(F.col("doc_id").alias("gone")).distinct()
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", F.xxhash64("text").alias("print"))
+    left = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti")
     # Repeated rows share their id: one of each stays.
-    same = Window.partitionBy("doc_id", "_print").orderBy("_print")
-    numbered = left.withColumn("_print", F.xxhash64("text")).withColumn("_n", F.row_number().over(same))
-    return numbered.where("_n = 1").select(*docs.columns)
+    same = Window.partitionBy("doc_id", "print").orderBy("print")
+    return _columns(left.withColumn("n", F.row_number().over(same)).where("n = 1"), docs, {})
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from threadloom.llm import vocabularies
-from threadloom.llm.text import EncodingTable, coded_words, gather, segment_sums, slices, texts_of
+from threadloom.llm.text import EncodingTable, coded_words, gather, passed_on, segment_sums, slices, texts_of
 
 #: Code points whose case, composition and classes are the same in all Unicode tables in use.
 PLAIN = re.compile(r"[\t-\r\x20-\x7e\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-İĲ-ǃΑ-ΡΤ-Ωα-ωА-я]*")
@@ -198,9 +198,8 @@ def encode(documents: DataFrame, vocabulary: str, text: str = "text", digests: b
     With ``digests`` the two are replaced by ``n_tokens``, ``ids_sha256`` and ``decoded_sha256``.
     """
     shared = vocabularies.share_file(documents.sparkSession, vocabulary)
-    others = [c for c in documents.columns if c != text]
-    kept = [f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in others]
-    made = ["n_tokens long", "ids_sha256 string", "decoded_sha256 string"] if digests else ["ids binary", "decoded string"]
+    made = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "ids binary, decoded string"
+    others, schema = passed_on(documents, made, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = vocabularies.worker_copy("word ends", shared.value, ChunkEncoder)
@@ -213,6 +212,6 @@ def encode(documents: DataFrame, vocabulary: str, text: str = "text", digests: b
                 ]
             else:
                 columns = [pa.array([ids.tobytes() for ids, _ in found], pa.binary()), pa.array([decoded for _, decoded in found], pa.string())]
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in others), *columns], [*others, *(m.split()[0] for m in made)])
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in others), *columns], schema.names)
 
-    return documents.mapInArrow(run, ", ".join([*kept, *made]))
+    return documents.mapInArrow(run, schema)

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.text import coded_words, mixed, segment_sums, slices, texts_of
+from threadloom.llm.text import coded_words, mixed, passed_on, segment_sums, slices, texts_of
 
 ORDERS = (1, 2, 3, 4)
 BUCKETS = 1 << 15
@@ -120,17 +120,16 @@ def score_texts(texts: pa.Array, model: Model) -> tuple[list[str], np.ndarray]:
 
 
 def predict(documents: DataFrame, model: Model, text: str = "text", prefix: str = "") -> DataFrame:
-    """All columns of ``documents``, then ``lang_pred`` and ``score`` (the posterior); no shuffle."""
+    """All columns of ``documents``, then ``lang_pred`` and ``score`` (the posterior), which replace columns of these names; no shuffle."""
     shared = documents.sparkSession.sparkContext.broadcast(model)
-    names = [*documents.columns, prefix + "lang_pred", prefix + "score"]
-    kept = [f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in documents.columns]
+    others, schema = passed_on(documents, f"{prefix}lang_pred string, {prefix}score double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, text):
             languages, scores = score_texts(texts_of(part, text), shared.value)
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(languages, pa.string()), pa.array(scores)], names)
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in others), pa.array(languages, pa.string()), pa.array(scores)], schema.names)
 
-    return documents.mapInArrow(run, ", ".join([*kept, f"`{names[-2]}` string", f"`{names[-1]}` double"]))
+    return documents.mapInArrow(run, schema)
 
 
 def fold(id: str, folds: int) -> Column:

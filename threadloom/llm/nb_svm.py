@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.text import Coded, coded_words, mixed, segment_sums, slices, texts_of
+from threadloom.llm.text import Coded, coded_words, mixed, passed_on, segment_sums, slices, texts_of
 
 BUCKETS = 1 << 18
 
@@ -159,13 +159,13 @@ def score_texts(texts: pa.Array, model: Model) -> np.ndarray:
 
 
 def score(documents: DataFrame, model: Model, text: str = "text", column: str = "score") -> DataFrame:
-    """All columns of ``documents`` but the text, then the score."""
+    """All columns of ``documents`` but the text, then the score, which replaces a column of its name."""
     shared = documents.sparkSession.sparkContext.broadcast(model)
-    others = [c for c in documents.columns if c != text]
-    kept = [f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in others]
+    others, schema = passed_on(documents, f"{column} double", text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, text):
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in others), pa.array(score_texts(texts_of(part, text), shared.value))], [*others, column])
+            scores = score_texts(texts_of(part, text), shared.value)
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in others), pa.array(scores)], schema.names)
 
-    return documents.mapInArrow(run, ", ".join([*kept, f"`{column}` double"]))
+    return documents.mapInArrow(run, schema)

@@ -4,7 +4,7 @@ Every text is measured under a public sentencepiece vocabulary: tokens per
 word, characters per token, share of byte-fallback tokens, and the evenness of its token
 distribution (entropy over the largest entropy that many tokens can have). A text is rejected
 when a measure leaves the band of its language, or of its script where the
-language has too few texts. Bands are quartiles of the whole corpus widened by a multiple of
+language has too few texts of that length, or of its language at all lengths. Bands are quartiles of the whole corpus widened by a multiple of
 their distance, kept per class of length (octaves of the token count), since
 the measures drift with length.
 
@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.llm import vocabularies
-from threadloom.llm.text import Coded, coded, coded_words, gather, mixed, segment_sums, slices, texts_of
+from threadloom.llm.text import Coded, coded, coded_words, gather, mixed, passed_on, segment_sums, slices, texts_of
 from threadloom.session import stage
 
 #: First code points of runs of one script (0 = no script of its own).
@@ -49,6 +49,10 @@ MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_r
 SLACK = {"tokens_per_word": 1.0, "chars_per_token": 0.5, "byte_share": 0.1, "evenness": 0.1}
 
 
+#: Copies of the table of bands, so that its join spreads.
+BAND_COPIES = 64
+
+
 def _script_rows(words: Coded, strings: list[str]) -> np.ndarray:
     """The script that most words of each text begin with (ties: the lower code)."""
     first = np.fromiter((ord(w[0]) for w in strings), np.int64, len(strings))
@@ -124,14 +128,12 @@ def measure_texts(texts: pa.Array, encoder: vocabularies.PieceEncoder) -> list[p
 
 def measure(texts: DataFrame, vocabulary: Broadcast, text: str = "text") -> DataFrame:
     """All columns of ``texts`` but the text, followed by its measures; no shuffle."""
-    others = [c for c in texts.columns if c != text]
-    schema = ", ".join([*(f"`{c}` {texts.schema[c].dataType.simpleString()}" for c in others), MEASURES])
+    others, schema = passed_on(texts, MEASURES, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = vocabularies.worker_copy("pieces", vocabulary.value, vocabularies.PieceEncoder)
-        names = [*others, *(m.split()[0] for m in MEASURES.split(", "))]
         for part in slices(batches, text):
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in others), *measure_texts(texts_of(part, text), encoder)], names)
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in others), *measure_texts(texts_of(part, text), encoder)], schema.names)
 
     return texts.mapInArrow(run, schema)
 
@@ -154,21 +156,31 @@ def judged(measured: DataFrame, language: str = "lang", spread: float = 4.0, min
             "_octave": F.floor(F.log2(F.greatest(F.col("n_tokens"), F.lit(1)))).cast("int"),
             "_language": F.concat(F.lit("language "), F.col(language)), "_script": F.concat(F.lit("script "), F.col("script")),
         }
+    ).withColumns(
+        {
+            "_by_language": F.when(F.col("_language").isNotNull(), F.struct(F.col("_language").alias("group"), F.col("_octave").alias("octave"))),
+            "_by_script": F.struct(F.col("_script").alias("group"), F.col("_octave").alias("octave")),
+            "_by_all": F.struct(F.coalesce("_language", "_script").alias("group"), F.lit(-1).alias("octave")),
+        }
     )
+    levels = ("_by_language", "_by_script", "_by_all")
     grouped = (
         rows.where("not base_failed")
-        .select(F.explode(F.array("_language", "_script")).alias("_group"), "_octave", *SLACK)
-        .where("_group is not null").groupBy("_group", "_octave")
+        .select(F.explode(F.array_compact(F.array(*levels))).alias("_group"), *SLACK)
+        .groupBy("_group.group", "_group.octave")
     )
-    quartiles = grouped.agg(F.count("*").alias("_n"), *(F.percentile_approx(m, [0.25, 0.75], 1000).alias(f"_{m}") for m in SLACK))
-    bands = quartiles.where(F.col("_n") >= min_texts).drop("_n")
-    for by in ("_language", "_script"):
-        rows = rows.join(
-            bands.select(F.col("_group").alias(by), "_octave", *(F.col(f"_{m}").alias(f"{by}_{m}") for m in SLACK)), [by, "_octave"], "left"
-        )
+    quartiles = grouped.agg(F.count("*").alias("n"), *(F.percentile_approx(m, [0.25, 0.75], 1000).alias(m) for m in SLACK))
+    # One language may hold most rows: each row looks its band up in one of BAND_COPIES copies of the small table.
+    copies = F.sequence(F.lit(0).cast("long"), F.lit(BAND_COPIES - 1).cast("long"))
+    bands = quartiles.where(F.col("n") >= min_texts).withColumn("_copy", F.explode(copies))
+    rows = rows.withColumn("_copy", F.pmod(F.xxhash64("n_words", "word_chars", "evenness", "chars_per_token"), F.lit(BAND_COPIES)))
+    for by in levels:
+        band = bands.select(F.struct("group", "octave").alias(by), "_copy", *(F.col(m).alias(f"{by}_{m}") for m in SLACK))
+        rows = rows.join(band, [by, "_copy"], "left")
     outside = F.lit(False)
     for m, slack in SLACK.items():
-        band = F.coalesce(F.col(f"_language_{m}"), F.col(f"_script_{m}"))
+        # Evenness falls with length, so a band over all lengths says nothing about it.
+        band = F.coalesce(*(F.col(f"{by}_{m}") for by in (levels[:2] if m == "evenness" else levels)))
         reach = F.greatest(spread * (band[1] - band[0]), F.lit(slack))
         above, below = F.col(m) > band[1] + reach, F.col(m) < band[0] - reach
         outside = outside | F.coalesce({"byte_share": above, "evenness": below}.get(m, above | below), F.lit(False))

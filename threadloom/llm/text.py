@@ -14,6 +14,8 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 SLICE_BYTES = 4 << 20
 
@@ -23,6 +25,17 @@ def process_state() -> dict:
     return sys.modules.setdefault("threadloom_process_state", types.ModuleType("threadloom_process_state")).__dict__
 
 
+def passed_on(frame: DataFrame, made: str, without: str = "") -> tuple[list[str], T.StructType]:
+    """Columns of ``frame`` that a step passes on, and the schema of these and the ``made`` ones.
+
+    A made column takes the place of a given one of the same name; ``without`` is left out.
+    """
+    fields = T.StructType.fromDDL(made).fields
+    taken = {f.name.lower() for f in fields} | {without.lower()}
+    kept = [f for f in frame.schema.fields if f.name.lower() not in taken]
+    return [f.name for f in kept], T.StructType([*kept, *fields])
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)

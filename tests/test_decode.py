@@ -86,8 +86,8 @@ def test_usage_and_envelope(lines_of):
     assert [r.input_tokens for r in got] == [1, 4, None, None]
     assert got[2].cache_create_tokens == 8
     assert (got[3].uuid, got[3].is_meta) == (None, False)
-    odd = records.odd_case_keys(records.parse_lines(lines_of({"s": rows}))).collect()
-    assert [(r.line_no, r.odd_keys) for r in odd] == [(3, ["UUID"])]
+    odd = records.parse_lines(lines_of({"s": rows})).select("line_no", records.odd_keys(F.col("rec")).alias("odd_keys")).collect()
+    assert {r.line_no: r.odd_keys for r in odd if r.odd_keys} == {3: ["UUID"]}
 
 
 @pytest.mark.parametrize(
@@ -121,6 +121,24 @@ def test_size_policies(lines_of):
         left("other")
 
 
+def test_no_line_is_too_long_by_default(lines_of):
+    """A line of 11 MiB is a record like any other, in all profiles, and so are its neighbours."""
+    lines = lines_of({"a": [user("1"), json.dumps(user("x" * (11 << 20))), user("2")]})
+    assert records.decode(lines).count() == 3
+    table = records.ingest(lines)
+    assert [records.records_for(table, p).count() for p in ("detail", "listing")] == [3, 3]
+    assert records.rejected(table).count() == 0
+
+
+def test_json_that_gives_no_record_has_a_reason_of_its_own(spark, lines_of):
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "false")
+    try:
+        bad = records.quarantine(lines_of({"s": ['{"type":"user","type":"assistant"}', "{no"]})).collect()
+    finally:
+        spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    assert {r.line_no: r.reason for r in bad} == {0: "not_held", 1: "not_json"}
+
+
 def test_strict_types(lines_of):
     rows = [
         user(usage={"input_tokens": 1.5}), user(uuid=5), user(content="ok"), user(isMeta="true"), {"type": "user", "message": "text"},
@@ -137,9 +155,10 @@ def test_one_table_for_both_readers(lines_of):
     big = json.dumps(user("x" * 300))
     lines = lines_of({"a": [user("1"), big, user("2")], "b": [user("3"), user(uuid=5), "{", user(isMeta="x")]})
     table = records.ingest(lines, strict=True, cap=200)
-    seen = lambda profile: [(r.session_id, r.line_no) for r in records.records_for(table, profile).orderBy("session_id", "line_no").collect()]
-    assert seen("detail") == [("b", 0)]
-    assert seen("listing") == [("a", 0), ("b", 0), ("b", 1)]
+    seen = lambda profile, policy: [(r.session_id, r.line_no) for r in records.records_for(table, profile, policy).orderBy("session_id", "line_no").collect()]
+    assert seen("detail", "fail_session") == [("b", 0)]
+    assert seen("listing", "truncate_session") == [("a", 0), ("b", 0), ("b", 1)]
+    assert seen("detail", "skip_line") == [("a", 0), ("a", 2), ("b", 0)]
     assert records.records_for(table, "detail").columns == records.decode(lines).columns
     bad = {(r.session_id, r.line_no): r.reason for r in records.rejected(table).collect()}
     assert bad == {("a", 1): "oversize", ("b", 1): "type_clash", ("b", 2): "not_json", ("b", 3): "type_clash"}

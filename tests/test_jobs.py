@@ -10,6 +10,7 @@ from threadloom.operators import annotations, export, search, sessions
 from threadloom.operators.messages import build_messages
 from threadloom.operators.records import decode
 from threadloom.operators.tree import build_tree
+from threadloom.sources import sinks
 
 
 @pytest.fixture(scope="module")
@@ -50,6 +51,29 @@ def test_listing(listing):
         sessions.list_projects(projects, "size")
 
 
+def test_an_index_needs_a_size(listing):
+    with pytest.raises(ValueError):
+        sessions.recent_index(*listing, 0)
+
+
+def test_orders_hold(listing, corpus):
+    """Collected rows come in the order the listing promises, also after the join with their projects."""
+    listed, projects = listing
+    joined = sessions.list_sessions(sessions.with_project(listed, projects)).select("session_id", "display_name").collect()
+    assert [r.session_id for r in joined] == ["abc-9", "zed", "abc-1"]
+    hits = search.search_sessions(listed, projects, ["a", "needle"]).collect()
+    assert [(r.query, r.priority, r.project) for r in hits] == [("a", 0, "beta"), ("a", 0, "alpha"), ("a", 1, "beta"), ("a", 1, "alpha"), ("needle", 2, "alpha")]
+    first = search.search_sessions(listed, projects, ["a", "needle"], limit=1).collect()
+    assert [(r.query, r.session_id) for r in first] == [("a", "abc-9"), ("needle", "zed")]
+
+
+def test_numbered_rows_and_json(spark, tmp_path):
+    rows = spark.range(1000).select(((F.col("id") * 7919) % 1009).alias("v")).repartition(7)
+    sinks.write_json(rows, str(tmp_path / "out"), F.col("v").desc())
+    back = spark.read.schema("v bigint, position bigint").json(str(tmp_path / "out")).orderBy("position").collect()
+    assert [r.position for r in back] == list(range(1, 1001)) and [r.v for r in back] == sorted((r.v for r in back), reverse=True)
+
+
 def test_lookup(listing):
     listed, projects = listing
     names = {r.request: r.display_name for r in sessions.find_projects(projects, ["a", "ALPHA", "-home-u-src-beta", "none"]).collect()}
@@ -146,7 +170,7 @@ def test_org(story):
         "* Session Metadata\n- Started: 2025-05-05 01:02\n- Messages: 5\n- Tool Calls: 1\n- Continuations: 1\n\n* Conversation\n\n"
         "** USER [2025-05-05 Mon 01:02]\nAsk <b>\n\nmore\n\n\n"
         "*** ASSISTANT [2025-05-05 Mon 01:02]\nSure\n\n**** TOOL: Read\n#+BEGIN_SRC go\n"
-        'deep: {"e":{},"x":[1,"y"]}\nfile_path: a.go\n#+END_SRC\n\n[[data:image/png;base64,QUJD...]]\n\n\n'
+        'deep: {"e":{},"x":[1,"y"]}\nfile_path: a.go\n#+END_SRC\n\n[[data:image/png;base64,QUJD]]\n\n\n'
         "**** USER [0001-01-01 Mon 00:00]\n***** ERROR\n#+BEGIN_EXAMPLE\nr&r\n#+END_EXAMPLE\n\n***** RESULT\n***** RESULT\n"
         '#+BEGIN_EXAMPLE\n[1,"z"]\n#+END_EXAMPLE\n\n\n'
         "*** ASSISTANT [0001-01-01 Mon 00:00]\nagent\n\n\n**** ASSISTANT [0001-01-01 Mon 00:00]\nbelow agent\n\n\n"
@@ -180,6 +204,13 @@ def test_org_and_text_by_kind(story):
     )
 
 
+def test_long_results_are_whole(lines_of):
+    recs = decode(lines_of({"s": [user([result("r" * 9000)], uuid="1")]}))
+    for fmt in ("md", "org", "html"):
+        doc = export.export_transcripts(build_tree(recs), build_messages(recs), sessions.detail_sessions(recs), fmt).first().document
+        assert "r" * 9000 in doc
+
+
 def test_html(story):
     _, doc = document(story, "html", with_agents=True)
     for part in (
@@ -203,6 +234,10 @@ def test_parts_make_the_whole(story):
     whole = document(story, "md")[1]
     parts = export.export_transcripts(*story, "md", part_chars=100).orderBy("part_no").collect()
     assert len(parts) > 2 and "".join(p.document for p in parts) == whole
+    names = [p.file_name for p in parts]
+    assert names[0] == "session-01234567.md" and len(set(names)) == len(names) and names[1] == f"session-01234567-part-{parts[1].part_no + 1:04d}.md"
+    page = export.export_transcripts(*story, "html", part_chars=100).orderBy("part_no").collect()
+    assert "".join(p.document for p in page) == document(story, "html")[1]
     with pytest.raises(ValueError):
         export.export_transcripts(*story, "pdf")
 
@@ -234,3 +269,14 @@ def test_annotations(spark):
     assert [r.name for r in annotations.tags_of(annotations.all_tags(log), annotations.item_tags(log), "session", "a").collect()] == ["x"]
     assert [r.seq for r in annotations.rejected_events(log).orderBy("seq").collect()] == [6, 11]
     assert annotations.valid_events(log).count() == 9
+
+
+def test_annotation_log_is_written_once(spark, tmp_path):
+    schema = "seq bigint, action string, item_type string, item_id string, project_id string, note string, tag string"
+    rows = [(1, "add", "session", "a", "p", "n", ""), (2, "drop", "session", "a", "", "", ""), (2, "drop", "session", "a", "", "", ""), (3, None, "x", "a", "", "", "")]
+    log = str(tmp_path / "log")
+    assert annotations.read_log(spark, log) is None
+    for part in (rows[:1], rows, rows + [(4, "remove", "session", "a", "p", "", "")]):
+        annotations.append_events(spark.createDataFrame(part, schema), log)
+    assert sorted(r.seq for r in annotations.read_log(spark, log).collect()) == [1, 4]
+    assert sorted(r.seq for r in annotations.read_log(spark, log, "rejected").collect()) == [2, 3]

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from threadloom.operators.records import decode, quarantine
 from threadloom.operators.sessions import session_table
 from threadloom.plans import lake
+from threadloom.sources import bridges, stores
 from threadloom.sources.transcripts import line_ordinals, scan_transcripts
 from threadloom.streaming import growing, tail
 
@@ -37,21 +38,57 @@ def test_scan(spark, tmp_path):
     assert scan_transcripts(spark, str(tmp_path / "gone")).count() == 0
 
 
+@pytest.mark.parametrize("then", ["1k", "128m"])
 @pytest.mark.parametrize("split", ["1k", "128m"])
-def test_line_numbers_over_splits(spark, tmp_path, split):
+def test_line_numbers_over_splits(spark, tmp_path, split, then):
+    """The settings may change between the scan and its use; parallelism as well."""
     for k in range(3):
         write(tmp_path, "-p", f"s{k}.jsonl", [json.dumps({"n": n, "pad": "é" * (n % 37)}) for n in range(600)])
-    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.minPartitionNum")
+    before = {n: spark.conf.get(n, None) for n in names}
     try:
+        spark.conf.set(names[0], split)
+        spark.conf.set(names[1], "3")
         lines = scan_transcripts(spark, str(tmp_path))
-        assert (lines.rdd.getNumPartitions() > 3) == (split == "1k")
+        spark.conf.set(names[0], then)
+        spark.conf.set(names[1], "40")
         got = lines.select("session_id", "line_no", F.get_json_object("value", "$.n").cast("int").alias("n")).collect()
     finally:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        for n, value in before.items():
+            spark.conf.unset(n) if value is None else spark.conf.set(n, value)
     assert len(got) == 1800 and all(r.line_no == r.n for r in got)
 
 
+def test_scan_of_some_projects(spark, tmp_path):
+    for name in ("-p[1]", "-p1", "-q*"):
+        write(tmp_path, name, "s.jsonl", [f"in {name}"])
+    lines = lambda projects: sorted(r.value for r in scan_transcripts(spark, str(tmp_path), projects=projects).collect())
+    assert lines(["-p[1]", "-q*", "none"]) == ["in -p[1]", "in -q*"]
+    assert lines(["none"]) == lines([]) == []
+    assert len(lines(None)) == 3
+
+
+def test_the_driver_opens_no_log(spark, tmp_path, monkeypatch):
+    """Offsets come from sizes alone; only ``read``, which runs in tasks, opens files."""
+    write(tmp_path, "-p", "s.jsonl", ["a", "b" * 40, "c"])
+    reader = growing.GrowingReader({"path": str(tmp_path), "startingOffsets": "earliest", "maxBytesPerTrigger": "20"})
+
+    class Sizes:
+        def __init__(self, store):
+            self.get_file_info = store.get_file_info
+
+    monkeypatch.setattr(growing, "open_store", lambda root: (Sizes(stores.open_store(root)[0]), stores.open_store(root)[1]))
+    start, spans = reader.initialOffset(), []
+    for _ in range(5):
+        end = reader.latestOffset()
+        spans += reader.partitions(start, end)
+        assert sum(end.values()) - sum(start.values()) <= 20
+        start = end
+    monkeypatch.undo()
+    got = [(n, value) for span in spans for _, _, n, value in reader.read(span)]
+    assert got == [(0, "a"), (1, "b" * 40), (2, "c")]
+
+
 def test_ordinals(spark):
     df = spark.createDataFrame([("p", "s", n * 7) for n in range(50)], "project_key string, session_id string, line_no bigint")
     assert sorted((r.line_no, r.ordinal) for r in line_ordinals(df).collect()) == [(n * 7, n) for n in range(50)]
@@ -86,28 +123,57 @@ def test_lake(spark, tmp_path):
     assert "PartitionFilters" in plan
 
 
-def test_stream_equals_batch(spark, lines_of):
+def landed(spark, tmp_path, stream, start, **where):
+    query = start(stream, checkpoint=str(tmp_path / "state"), trigger={"availableNow": True}, **where)
+    query.awaitTermination()
+
+
+def test_stream_equals_batch(spark, lines_of, tmp_path):
     lines = lines_of({"s": STORY, "t": [user("x"), answer("y", usage={"input_tokens": 3})]})
+    bridges.write_logs(lines, str(tmp_path / "chunks"), chunk=2)
+    bridges.write_logs(lines, str(tmp_path / "logs"))
     key = lambda df: sorted(map(str, df.collect()))
     shown = ["session_id", "line_no", "tail_kind", "is_agent"]
-    assert key(tail.replay(lines, tail.tail_messages).select(shown)) == key(tail.tail_messages(lines).select(shown))
+    want = key(tail.tail_messages(lines).select(shown))
+    for name, stream in (
+        ("chunks", tail.read_chunks(spark, str(tmp_path / "chunks"), max_files=1)),
+        ("logs", tail.read_growing(spark, str(tmp_path / "logs"), startingOffsets="earliest", maxBytesPerTrigger=0)),
+    ):
+        home = tmp_path / f"tail-{name}"
+        landed(spark, home, stream, lambda s, **o: tail.land(s, lambda b: tail.tail_messages(b).select(shown), **o), out=str(home / "out"))
+        assert key(spark.read.parquet(str(home / "out")).select(shown)) == want
     counts = ["session_id", "message_count", "user_prompts", "tool_calls", "continuations", "input_tokens"]
-    streamed = tail.replay(lines, tail.running_stats, "update")
-    assert key(streamed.select(counts)) == key(session_table(decode(lines)).select(counts))
-    names = tail.replay(lines, lambda s: tail.result_names(s, delay="0 seconds"))
-    assert [(r.tool_id, r.tool_name) for r in names.where("tool_id = 't'").collect()] == [("t", "Bash")]
+    home = tmp_path / "stats"
+    landed(spark, home, tail.read_chunks(spark, str(tmp_path / "chunks"), max_files=1), lambda s, **o: tail.land(s, tail.running_stats, **o), out=str(home / "out"))
+    assert key(tail.current_stats(spark.read.parquet(str(home / "out"))).select(counts)) == key(session_table(decode(lines)).select(counts))
+
+
+@pytest.mark.parametrize("keep", [None, 1])
+def test_every_result_gets_a_name_at_arrival(spark, lines_of, tmp_path, keep):
+    """Paired, without a call, without a time, two days late: all four come out."""
+    rows = [
+        answer([call("Bash", {}, id="a"), call("Read", {}, id="late")], timestamp="2025-01-01T00:00:00Z"), user([result("1", id="a")], timestamp="2025-01-01T00:00:01Z"),
+        user([result("2", id="gone")], timestamp="2025-01-01T00:00:02Z"), answer([call("Grep", {}, id="c")]), user([result("3", id="c")]),
+        user([result("4", id="late")], timestamp="2025-01-03T00:00:00Z"),
+    ]
+    bridges.write_logs(lines_of({"s": rows}), str(tmp_path / "logs"), chunk=2)
+    stream = tail.read_chunks(spark, str(tmp_path / "logs"), max_files=1)
+    landed(spark, tmp_path, stream, lambda s, **o: tail.land_result_names(s, keep_batches=keep, **o), out=str(tmp_path / "out"), calls=str(tmp_path / "calls"))
+    got = {(r.line_no, r.tool_id): r.tool_name for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {(1, "a"): "Bash", (2, "gone"): "result", (4, "c"): "result" if keep else "Grep", (5, "late"): "result" if keep else "Read"}
 
 
 def test_closed_chunks(spark, tmp_path):
+    (tmp_path / "logs" / "-p").mkdir(parents=True)
     write(tmp_path / "logs" / "-p", "s", "part-0.jsonl", [user("a")])
-    stream = tail.tail_messages(tail.read_chunks(spark, str(tmp_path / "logs")))
+    stream = tail.read_chunks(spark, str(tmp_path / "logs"))
     out, state = str(tmp_path / "out"), str(tmp_path / "state")
     for round_no in range(2):
-        query = tail.land(stream, out, state, trigger={"availableNow": True})
+        query = tail.land(stream, tail.tail_messages, out, state, trigger={"availableNow": True})
         query.awaitTermination()
         write(tmp_path / "logs" / "-p", "s", f"part-{round_no + 1}.jsonl", [answer("b")])
     got = spark.read.parquet(out).orderBy("batch").collect()
-    assert [(r.project_key, r.session_id, r.tail_kind) for r in got] == [("-p", "s", "user"), ("-p", "s", "assistant")]
+    assert [(r.project_key, r.session_id, r.line_no, r.tail_kind) for r in got] == [("-p", "s", 0, "user"), ("-p", "s", 1, "assistant")]
 
 
 def test_growing_file(spark, tmp_path):
@@ -127,10 +193,14 @@ def test_growing_file(spark, tmp_path):
         write(root, "-q", "new.jsonl", ["first"])
         live.processAllAvailable()
         got = spark.table("live").orderBy("session_id", "line_no").collect()
-        assert [(r.session_id, r.value) for r in got] == [("new", "first"), ("s", "one"), ("s", "two"), ("s", "three")]
+        assert [(r.session_id, r.line_no, r.value) for r in got] == [("new", 0, "first"), ("s", 1, "one"), ("s", 2, "two"), ("s", 4, "three")]
         (root / "-p" / "s.jsonl").write_text("x\n")
         live.processAllAvailable()
         assert spark.table("live").count() == 4
+        (root / "-p" / "s.jsonl").write_text("x\n" + "y" * 60 + "\nlast\n")
+        live.processAllAvailable()
+        late = [r.value for r in spark.table("live").where("session_id = 's'").collect()][3:]
+        assert late and set(late) <= {"x", "y" * 60, "last"}
     finally:
         live.stop()
 
@@ -146,10 +216,11 @@ def test_growing_replay_with_cap(spark, tmp_path):
             if spark.table("capped").count() == 30:
                 break
             query.processAllAvailable()
-        values = [r.value.split()[1] for r in spark.table("capped").orderBy("line_no").collect()]
+        rows = spark.table("capped").orderBy("line_no").collect()
+        values = [r.value.split()[1] for r in rows]
     finally:
         query.stop()
-    assert values == [str(n) for n in range(30)]
+    assert values == [str(n) for n in range(30)] and [r.line_no for r in rows] == list(range(30))
     assert os.path.getsize(tmp_path / "-p" / "s.jsonl") > 64 * 10
 
 
@@ -167,6 +238,38 @@ def test_filters_reach_the_scan(spark, lines_of, tmp_path):
     assert "$.cwd" not in plan
 
 
+def test_jobs_leave_nothing_behind(spark, tmp_path):
+    from threadloom import session
+    from threadloom.plans import catalog
+
+    def staged():
+        folder = session._stage_folder(spark)
+        return set(os.listdir(folder)) if os.path.isdir(folder) else set()
+
+    before = staged()
+    write(tmp_path / "logs", "-home-u-src-x", "s.jsonl", STORY)
+    lake.build_lake(spark, str(tmp_path / "logs"), str(tmp_path / "lake"))
+    with session.scratch(spark):
+        catalog.QUERIES["export_markdown"](spark, "/root/testdata/sf0.001").write.format("noop").mode("overwrite").save()
+        catalog.QUERIES["tail_chunks"](spark, "/root/testdata/sf0.001").write.format("noop").mode("overwrite").save()
+        assert staged() != before
+    assert staged() == before
+
+
+def test_shared_folder(spark):
+    """The session names it; a cluster without the setting is refused, a local session stays beside its own tables."""
+    from types import SimpleNamespace
+
+    from threadloom import session
+
+    assert session.shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
+    conf = SimpleNamespace(get=lambda name, default=None: {"spark.sql.warehouse.dir": "file:/w/"}.get(name, default))
+    made = lambda master: session.shared_folder(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master)))
+    assert made("local[4]") == "file:/w/_stages"
+    with pytest.raises(RuntimeError):
+        made("spark://host:7077")
+
+
 def test_staged_files_are_dropped(spark):
     from threadloom import session
 

@@ -6,13 +6,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from threadloom.functions import text
-from threadloom.functions.variants import as_text, entries_of, is_object, is_present, show_value, text_at
+from threadloom.functions.variants import entries_of, is_object, is_present, show_value, text_at
 
 # Tools that change state.
 ACTIVE_TOOLS = (
     "Write", "Edit", "Bash", "Task", "TodoWrite", "Skill", "NotebookEdit", "KillShell", "AskUserQuestion",
 )
-RESULT_CAP = 5000
 
 
 def is_active(name: Column) -> Column:
@@ -81,11 +80,11 @@ def guess_language(name: Column, shown: Column) -> Column:
     return F.when(name == "Bash", "bash").when(on_file, by_file).otherwise("")
 
 
-def cap_result(c: Column) -> Column:
-    return text.ellipsize(c, RESULT_CAP)
+def cap_result(c: Column, size: int = 5000) -> Column:
+    """A result shortened for display."""
+    return text.ellipsize(c, size)
 
 
 def result_text(result: Column) -> Column:
-    """Result for a rendering: long strings capped, other JSON as it is. NULL where absent."""
-    spoken = as_text(result)
-    return F.when(is_present(result), F.coalesce(cap_result(spoken), show_value(result)))
+    """Result for a rendering, whole: strings as they are, other JSON as JSON. NULL where absent."""
+    return F.when(is_present(result), show_value(result))

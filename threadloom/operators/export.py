@@ -3,28 +3,22 @@
 A message becomes a fragment of text by Column expressions alone. Fragments of
 a session are put together in order, in parts of bounded size: the common
 session is one part, a huge one many, and the parts in order are the whole
-document. No task ever holds more than one part.
+document. Which message goes to which part is decided on the narrow tree index, from the
+lengths it holds, before any content is read. No task ever holds more than one part, and no document is staged.
 """
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.functions import pandas_udf
 
 from threadloom.functions import text, times
 from threadloom.functions.tools import argument_lines, argument_preview, guess_language, result_text
-from threadloom.functions.variants import child, flag_at, is_present, show_value, text_at
+from threadloom.functions.variants import array_of, child, entries_of, flag_at, is_object, is_present, show_value, text_at
 from threadloom.operators.messages import first_text, item_type
 from threadloom.operators.records import KEYS, once
 from threadloom.operators.scans import running
 from threadloom.operators.tree import reachable, visible, with_content
-from threadloom.session import stage
-
 PART_CHARS = 32 * 1024 * 1024
 # What a fragment weighs besides its characters, so that a part is bounded in pieces too.
 FRAGMENT_COST = 64
@@ -176,9 +170,7 @@ def org_fragment(with_thinking: bool) -> Column:
                     inner, F.when(flag_at(i, "$.is_error"), " ERROR\n").otherwise(" RESULT\n"),
                     F.coalesce(_cat("#+BEGIN_EXAMPLE\n", result, "\n#+END_EXAMPLE\n\n"), F.lit(EMPTY)),
                 ),
-                "image": _cat(
-                    "[[data:", F.coalesce(text_at(i, "$.source.media_type"), F.lit(EMPTY)), ";base64,", text.cut(data, 20), "...]]\n\n"
-                ),
+                "image": _cat("[[data:", F.coalesce(text_at(i, "$.source.media_type"), F.lit(EMPTY)), ";base64,", data, "]]\n\n"),
             },
         )
 
@@ -255,28 +247,31 @@ def html_fragment(with_thinking: bool) -> Column:
 # --- Markdown, Org and text by message kind: nothing pruned
 
 
-@pandas_udf(T.ArrayType(T.StringType()))
-def _indented(documents: pd.Series) -> pd.Series:
-    """Each JSON text of the array laid out over lines, two blanks per level."""
-    def lay_out(doc: str | None) -> str | None:
-        return None if doc is None else json.dumps(json.loads(doc), indent=2, ensure_ascii=False)
-
-    return documents.map(lambda docs: None if docs is None else [lay_out(d) for d in docs])
+def laid_out(v: Column, levels: int = 4, depth: int = 0) -> Column:
+    """JSON text over lines, two blanks per level; what lies deeper than ``levels`` stays on one line."""
+    if not levels:
+        return F.to_json(v)
+    inner, outer = "\n" + "  " * (depth + 1), "\n" + "  " * depth
 
+    def block(parts: Column, opening: str, closing: str) -> Column:
+        return F.when(F.size(parts) == 0, opening + closing).otherwise(
+            _cat(opening + inner, F.array_join(parts, "," + inner), outer + closing)
+        )
 
-def with_indented_inputs(messages: DataFrame) -> DataFrame:
-    """Add ``inputs``: per item the tool input as indented JSON, NULL for other items.
+    def named(e: Column) -> Column:
+        name = F.to_json(F.array(e["key"]))
+        return _cat(F.substring(name, F.lit(2), F.length(name) - 2), ": ", laid_out(e["value"], levels - 1, depth + 1))
 
-    Messages without a tool call skip the Python step with a NULL.
-    """
-    calls = F.transform(
-        "items",
-        lambda i: F.when(
-            (item_type(i) == "tool_use") & is_present(child(i, "$.input")), F.to_json(child(i, "$.input"))
-        ),
+    return (
+        F.when(is_object(v), block(F.transform(entries_of(v), named), "{", "}"))
+        .when(F.schema_of_variant(v).startswith("ARRAY"), block(F.transform(array_of(v), lambda x: laid_out(x, levels - 1, depth + 1)), "[", "]"))
+        .otherwise(F.to_json(v))
     )
-    some = F.exists(calls, lambda c: c.isNotNull())
-    return messages.withColumn("inputs", _indented(F.when(some, calls)))
+
+
+def _laid_out_input(item: Column) -> Column:
+    args = child(item, "$.input")
+    return F.when(is_present(args), laid_out(args))
 
 
 def _kind_switch(cases: dict[str, Column], otherwise: Column) -> Column:
@@ -286,10 +281,6 @@ def _kind_switch(cases: dict[str, Column], otherwise: Column) -> Column:
     return out
 
 
-def _each_numbered_item(render) -> Column:
-    return F.array_join(F.transform("items", lambda i, n: render(i, F.get("inputs", n))), EMPTY)
-
-
 def markdown_kind_head() -> Column:
     return _cat(
         "# Session ", F.col("session_id"), "\n\n**Started:** ", _start_date(), " ", _start_clock(),
@@ -299,7 +290,8 @@ def markdown_kind_head() -> Column:
 
 
 def markdown_kind_fragment() -> Column:
-    def item(i: Column, args: Column) -> Column:
+    def item(i: Column) -> Column:
+        args = _laid_out_input(i)
         return _item_switch(
             i,
             {
@@ -324,7 +316,7 @@ def markdown_kind_fragment() -> Column:
         F.lit(EMPTY),
     )
     command = _cat("## ⌘ ", F.col("command_name"), at, args)
-    return F.when(F.col("kind") == "command", command).otherwise(_cat(head, _each_numbered_item(item)))
+    return F.when(F.col("kind") == "command", command).otherwise(_cat(head, _each_item(item)))
 
 
 def org_kind_head() -> Column:
@@ -332,7 +324,8 @@ def org_kind_head() -> Column:
 
 
 def org_kind_fragment() -> Column:
-    def item(i: Column, args: Column) -> Column:
+    def item(i: Column) -> Column:
+        args = _laid_out_input(i)
         return _item_switch(
             i,
             {
@@ -357,7 +350,7 @@ def org_kind_fragment() -> Column:
         F.lit(EMPTY),
     )
     command = _cat("* ⌘ ", F.col("command_name"), at, args)
-    return F.when(F.col("kind") == "command", command).otherwise(_cat(head, _each_numbered_item(item)))
+    return F.when(F.col("kind") == "command", command).otherwise(_cat(head, _each_item(item)))
 
 
 def text_fragment() -> Column:
@@ -405,55 +398,39 @@ def json_fragment() -> Column:
 # --- Assembly
 
 
-def fragments(
-    tree: DataFrame, messages: DataFrame, fmt: str, *, with_thinking: bool = False, with_agents: bool = False, by_kind: bool = False
-) -> DataFrame:
-    """One text per message and its place, ``(keys, dfs_pos, fragment)``; a file name in the index is kept.
-
-    What is shown is decided on the narrow tree index; content joins it once.
-    """
-    fmt = FORMATS.get(fmt.lower())
-    if fmt is None:
-        raise ValueError("unknown export format")
-    if by_kind and fmt == "html":
-        raise ValueError("HTML is exported by tree only")
+def shown_index(tree: DataFrame, fmt: str, *, with_agents: bool = False, by_kind: bool = False) -> DataFrame:
+    """The index rows a format shows."""
     pruned = fmt in ("md", "org", "html") and not by_kind
-    shown = with_content(visible(tree, include_agents=with_agents) if pruned else reachable(tree), messages)
+    return visible(tree, include_agents=with_agents) if pruned else reachable(tree)
+
+
+def in_parts(index: DataFrame, part_chars: int) -> DataFrame:
+    """Add ``part_no``: parts hold about ``part_chars`` characters of content, and each message some more for its marks."""
+    cost = F.col("weight") + FRAGMENT_COST
+    placed = running(index, KEYS, "dfs_pos", {"before": ("sum", cost, "before")})
+    return placed.withColumn("part_no", F.floor(F.coalesce("before", F.lit(0)) / F.lit(part_chars)).cast("bigint")).drop("before")
+
+
+def fragments(index: DataFrame, messages: DataFrame, fmt: str, *, with_thinking: bool = False, by_kind: bool = False) -> DataFrame:
+    """One text per message of the index and its place, ``(keys, part_no, dfs_pos, fragment)``; a file name in the index is kept."""
     if fmt == "txt":
         body = text_fragment()
     elif fmt == "json":
         body = json_fragment()
     elif by_kind:
-        shown = with_indented_inputs(shown)
         body = markdown_kind_fragment() if fmt == "md" else org_kind_fragment()
     else:
         body = {"md": markdown_fragment, "org": org_fragment, "html": html_fragment}[fmt](with_thinking)
-    carried = [c for c in ("file_name",) if c in tree.columns]
-    return once(shown, "fragment", body).select(*KEYS, "dfs_pos", *carried, "fragment")
-
+    carried = [c for c in ("file_name",) if c in index.columns]
+    return once(with_content(index, messages), "fragment", body).select(*KEYS, "part_no", "dfs_pos", *carried, "fragment")
 
-def assemble(pieces: DataFrame, part_chars: int = PART_CHARS) -> DataFrame:
-    """Fragments to documents in parts of about ``part_chars`` characters.
 
-    ``(keys, part_no, document)``; the parts of a session in order are its
-    whole document. A fragment is never split; empty ones are left out.
-    """
-    size = F.length("fragment").cast("bigint") + FRAGMENT_COST
-    sized = stage(pieces.where("fragment != ''").withColumn("size", size))
-    totals = sized.groupBy(*KEYS).agg(F.sum("size").alias("total"))
-    long_keys = stage(totals.where(F.col("total") > part_chars).select(*KEYS))
-    parted = sized
-    part = F.lit(0).cast("bigint")
-    if not long_keys.isEmpty():
-        # Only sessions of several parts need the running size.
-        before = running(sized.join(long_keys, KEYS, "left_semi"), KEYS, "dfs_pos", {"before": ("sum", F.col("size"), "before")})
-        short = sized.join(long_keys, KEYS, "left_anti").withColumn("before", F.lit(0).cast("bigint"))
-        parted = short.unionByName(before)
-        part = F.floor(F.coalesce("before", F.lit(0)) / F.lit(part_chars))
+def assemble(pieces: DataFrame) -> DataFrame:
+    """Fragments to documents, ``(keys, part_no, document)``. A part without any text is left out."""
     ordered = F.array_sort(F.collect_list(F.struct("dfs_pos", "fragment")))
     named = [F.max(c).alias(c) for c in ("file_name",) if c in pieces.columns]
     return (
-        parted.withColumn("part_no", part)
+        pieces.where("fragment != ''")
         .groupBy(*KEYS, "part_no")
         .agg(ordered.alias("f"), *named)
         .withColumn("document", F.array_join("f.fragment", EMPTY))
@@ -487,19 +464,24 @@ def export_transcripts(
 ) -> DataFrame:
     """Every session as ``(keys, part_no, file_name, document)``.
 
-    ``sessions`` is the detail table. Write the result with
+    ``sessions`` is the detail table, ``tree`` a written index. Write the result with
     ``partitionBy("project_key")``. By default trees are rendered with pruned
-    subtrees; ``by_kind`` selects the flat rendering by message kind.
+    subtrees; ``by_kind`` selects the flat rendering by message kind. The parts of a
+    session in order of ``part_no`` are its whole document; a later part has its number in its file name.
     """
     wanted = FORMATS.get(fmt.lower())
+    if wanted is None:
+        raise ValueError("unknown export format")
+    if by_kind and wanted == "html":
+        raise ValueError("HTML is exported by tree only")
     by_summary = wanted == "txt"
+    index = in_parts(shown_index(tree, wanted, with_agents=with_agents, by_kind=by_kind), part_chars)
+    named = sessions
     if by_summary:
         # The name depends on the session row: it joins the narrow index, not the documents.
         named = sessions.withColumn("file_name", text_file_name(F.col("summary"), _start_date()))
-        tree = tree.join(named.select(*KEYS, "file_name"), KEYS)
-    else:
-        named = sessions
-    pieces = fragments(tree, messages, fmt, with_thinking=with_thinking, with_agents=with_agents, by_kind=by_kind)
+        index = index.join(named.select(*KEYS, "file_name"), KEYS)
+    pieces = fragments(index, messages, wanted, with_thinking=with_thinking, by_kind=by_kind)
     heads = {
         "md": markdown_kind_head() if by_kind else markdown_head(),
         "org": org_kind_head() if by_kind else org_head(),
@@ -509,15 +491,26 @@ def export_transcripts(
         "txt": F.lit("\n\n"),
     }
     carried = ["file_name"] if by_summary else []
-    before, after = F.lit(-1).cast("bigint"), F.lit(1 << 62).cast("bigint")
-    whole = named.select(*KEYS, before.alias("dfs_pos"), *carried, heads[wanted].alias("fragment")).unionByName(pieces)
+    first, before, after = F.lit(0).cast("bigint"), F.lit(-1).cast("bigint"), F.lit(1 << 62).cast("bigint")
+    whole = pieces.unionByName(
+        named.select(*KEYS, first.alias("part_no"), before.alias("dfs_pos"), *carried, heads[wanted].alias("fragment"))
+    )
     foot = {"html": HTML_FOOT, "json": JSON_FOOT}.get(wanted)
     if foot:
-        whole = whole.unionByName(named.select(*KEYS, after.alias("dfs_pos"), F.lit(foot).alias("fragment")))
-    documents = assemble(whole, part_chars)
+        last = index.groupBy(*KEYS).agg(F.max("part_no").alias("part_no"))
+        closed = named.select(*KEYS).join(last, KEYS, "left").withColumn("part_no", F.coalesce("part_no", first))
+        whole = whole.unionByName(closed.select(*KEYS, "part_no", after.alias("dfs_pos"), F.lit(foot).alias("fragment")))
+    documents = assemble(whole)
     if not by_summary:
         documents = documents.withColumn("file_name", default_file_name(F.col("session_id"), wanted))
-    return documents.select(*KEYS, "part_no", "file_name", "document")
+    return documents.select(*KEYS, "part_no", part_file_name(F.col("file_name"), F.col("part_no")).alias("file_name"), "document")
+
+
+def part_file_name(name: Column, part_no: Column) -> Column:
+    """The name of a part: the first has the plain name, the second ``...-part-0002.md``."""
+    mark = _cat("-part-", F.lpad((part_no + 1).cast("string"), 4, "0"))
+    stem = F.regexp_extract(name, r"^(.*)(\.[^.]*)$", 1)
+    return F.when(part_no == 0, name).otherwise(_cat(stem, mark, F.regexp_extract(name, r"^(.*)(\.[^.]*)$", 2)))
 
 
 def raw_content(items: Column) -> Column:

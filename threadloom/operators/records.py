@@ -14,7 +14,6 @@ from threadloom.functions.variants import child, is_present
 from threadloom.session import stage
 
 KEYS = ["project_key", "session_id"]
-LINE_CAP = 10 * 1024 * 1024
 POLICIES = ("skip_line", "truncate_session", "fail_session")
 
 # Envelope text fields: column -> JSON path.
@@ -84,13 +83,13 @@ def explode_once(df: DataFrame, name: str, values: Column) -> DataFrame:
     return once(df, "__values", values).withColumn(name, F.explode("__values")).drop("__values")
 
 
-def parse_lines(lines: DataFrame, cap: int = LINE_CAP) -> DataFrame:
+def parse_lines(lines: DataFrame, cap: int | None = None) -> DataFrame:
     """Drop blank lines; add ``rec``, ``oversize`` and ``parse_ok``.
 
-    Lines above ``cap`` bytes are never parsed. A line that is not a JSON
+    With a ``cap`` lines of more bytes are not parsed. A line that is not a JSON
     object has ``parse_ok = false``.
     """
-    oversize = F.octet_length("value") > cap
+    oversize = F.lit(False) if cap is None else F.octet_length("value") > cap
     flagged = lines.where(text.has_ink(F.col("value"))).withColumns(
         {"oversize": oversize, "__braced": F.col("value").rlike(r"\A[ \t\r\n]*\{")}
     )
@@ -164,9 +163,9 @@ def _envelope(parsed: DataFrame, *keep: str) -> DataFrame:
 
 
 def decode(
-    lines: DataFrame, profile: str = "detail", *, strict: bool = False, cap: int = LINE_CAP, policy: str = "skip_line"
+    lines: DataFrame, profile: str = "detail", *, strict: bool = False, cap: int | None = None, policy: str = "skip_line"
 ) -> DataFrame:
-    """Lines to records in one pass. ``policy`` says what an oversize line does."""
+    """Lines to records in one pass. ``policy`` says what a line above the ``cap`` does, if there is one."""
     parsed = parse_lines(lines, cap)
     kept = parsed.where("parse_ok")
     if strict:
@@ -175,15 +174,17 @@ def decode(
 
 
 def _reason() -> Column:
+    """Why a line is no record. What is JSON and yet gives no VARIANT is too large for one, or repeats a key where that is not allowed."""
     return (
         F.when(F.col("oversize"), "oversize")
+        .when(F.col("rec").isNull() & F.get_json_object("value", "$").isNotNull(), "not_held")
         .when(F.col("rec").isNull(), "not_json")
         .when(~F.col("parse_ok"), "not_an_object")
     )
 
 
 def quarantine(
-    lines: DataFrame, profile: str = "detail", *, strict: bool = False, cap: int = LINE_CAP
+    lines: DataFrame, profile: str = "detail", *, strict: bool = False, cap: int | None = None
 ) -> DataFrame:
     """Lines that give no record, with the reason."""
     parsed = parse_lines(lines, cap)
@@ -193,7 +194,7 @@ def quarantine(
     return parsed.select(*KEYS, "line_no", "value", reason.alias("reason")).where("reason is not null")
 
 
-def ingest(lines: DataFrame, *, strict: bool = False, cap: int = LINE_CAP) -> DataFrame:
+def ingest(lines: DataFrame, *, strict: bool = False, cap: int | None = None) -> DataFrame:
     """All lines in one table for both profiles, parsed once.
 
     ``reason`` says why a line is no record and ``bad_value`` keeps its text;
@@ -209,14 +210,10 @@ def ingest(lines: DataFrame, *, strict: bool = False, cap: int = LINE_CAP) -> Da
     return _envelope(marked, "reason", "bad_value", *[f"clash_{p}" for p in STRICT_FIELDS])
 
 
-# How each reader treats a session with an oversize line.
-PROFILE_POLICY = {"detail": "fail_session", "listing": "truncate_session"}
-
-
-def records_for(ingested: DataFrame, profile: str) -> DataFrame:
-    """The records one reader sees of an ingested table."""
+def records_for(ingested: DataFrame, profile: str, policy: str = "skip_line") -> DataFrame:
+    """The records one reader sees of an ingested table; ``policy`` counts where a cap was set."""
     kept = ingested.where(f"reason is null and not clash_{profile}").drop("reason", "bad_value", "clash_detail", "clash_listing")
-    return _apply_policy(kept, ingested.where("reason = 'oversize'"), PROFILE_POLICY[profile])
+    return _apply_policy(kept, ingested.where("reason = 'oversize'"), policy)
 
 
 def rejected(ingested: DataFrame) -> DataFrame:
@@ -231,8 +228,3 @@ def odd_keys(rec: Column) -> Column:
     folded = [k.lower() for k in declared]
     keys = F.map_keys(F.try_variant_get(rec, "$", "map<string,variant>"))
     return F.filter(keys, lambda k: F.lower(k).isin(*folded) & ~k.isin(*declared))
-
-
-def odd_case_keys(parsed: DataFrame) -> DataFrame:
-    """Records that hold such keys."""
-    return parsed.where("parse_ok").select(*KEYS, "line_no", odd_keys(F.col("rec")).alias("odd_keys")).where(F.size("odd_keys") > 0)

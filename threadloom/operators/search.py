@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.functions import text
@@ -16,12 +16,10 @@ from threadloom.functions.tools import tool_preview
 from threadloom.functions.variants import child, show_value, text_at
 from threadloom.operators.messages import explode_blocks, item_type, texts_of
 from threadloom.operators.records import KEYS, explode_once, once
-from threadloom.operators.sessions import limited, with_project
+from threadloom.operators.sessions import with_project
 from threadloom.operators.tree import reachable
 from threadloom.session import stage
 
-METADATA_LIMIT = 20
-GLOBAL_LIMIT = 30
 HIT_COLUMNS = ["query", "priority", "type", *KEYS, "project", "summary", "snippet", "message_id", "project_modified", "end_time"]
 
 
@@ -69,11 +67,11 @@ def _session_rank(q: str) -> Column:
 
 
 def search_sessions(
-    sessions: DataFrame, projects: DataFrame, queries: Sequence[str], only: str | None = None, limit: int = METADATA_LIMIT
+    sessions: DataFrame, projects: DataFrame, queries: Sequence[str], only: str | None = None, limit: int = 0
 ) -> DataFrame:
     """Metadata search: session id prefix (0), project key, path or name (1), summary (2).
 
-    ``only`` keeps ``project`` or ``session`` results; ``limit`` is per query.
+    ``only`` keeps ``project`` or ``session`` results; ``limit`` is per query, 0 meaning all.
     """
     queries = [q.lower() for q in queries]
 
@@ -87,20 +85,15 @@ def search_sessions(
     if only != "project":
         branches.append(_session_hits(with_project(sessions, projects), queries))
     found = branches[0] if len(branches) == 1 else branches[0].unionByName(branches[1])
-    return top_hits(found, queries, limit)
+    return top_hits(found, limit)
 
 
-def top_hits(found: DataFrame, queries: Sequence[str], limit: int) -> DataFrame:
-    """The first ``limit`` hits of every query, each a distributed top-k."""
-    if len(queries) == 1:
-        return limited(found.orderBy(*hit_order()), limit)
-    # Hits are few and narrow; every query reads them from a table of their own.
-    found = stage(found)
-    parts = [limited(found.where(F.col("query") == q).orderBy(*hit_order()), limit) for q in queries]
-    whole = parts[0]
-    for part in parts[1:]:
-        whole = whole.unionByName(part)
-    return whole
+def top_hits(found: DataFrame, limit: int) -> DataFrame:
+    """Hits by query and rank, the first ``limit`` of each query (0: all). Ranks are cut per task before the shuffle."""
+    if limit > 0:
+        best = Window.partitionBy("query").orderBy(*hit_order())
+        found = found.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= limit).drop("nth")
+    return found.orderBy(*hit_order())
 
 
 def _searchable(blocks: DataFrame) -> Column:
@@ -137,7 +130,7 @@ def content_hits(tree: DataFrame, messages: DataFrame, queries: Sequence[str]) -
 
 def search_global(
     sessions: DataFrame, projects: DataFrame, tree: DataFrame, messages: DataFrame, queries: Sequence[str],
-    limit: int = GLOBAL_LIMIT,
+    limit: int = 0,
 ) -> DataFrame:
     """Search with content: project key (0) or path (1), session id (0), summary (2), content (3).
 
@@ -172,7 +165,7 @@ def search_global(
         )
     )
     found = _project_hits(projects, queries, [key_rank, path_rank], F.col("display_name"), by_path).unionByName(by_metadata).unionByName(by_content)
-    return top_hits(found if wanted else found.limit(0), queries, limit)
+    return top_hits(found if wanted else found.limit(0), limit)
 
 
 FACETS = ("user", "response", "thinking", "tool", "agent")

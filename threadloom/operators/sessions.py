@@ -214,6 +214,8 @@ def recent_sessions(sessions: DataFrame, projects: DataFrame, limit: int = 20) -
 
 def recent_index(sessions: DataFrame, projects: DataFrame, size: int = 10) -> DataFrame:
     """The ``@1`` ... ``@size`` shortcuts: a top-k of the discovery order, numbered."""
+    if size <= 0:
+        raise ValueError("an index needs a size; number_in_order numbers a whole listing")
     top = recent_sessions(sessions, projects, size)
     numbered = F.row_number().over(Window.orderBy(*discovery_order()))  # at most ``size`` rows
     return top.withColumn("position", numbered.cast("bigint"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.functions import text
@@ -20,30 +20,36 @@ def tool_results(blocks: DataFrame) -> DataFrame:
 
 
 def last_results(results: DataFrame) -> DataFrame:
-    """The last result per tool id of a session, in file order; results without an id are left out."""
-    last = F.max_by(F.struct("line_no", "block_no", "tool_result", "is_error"), F.struct("line_no", "block_no"))
+    """The last result per tool id of a session, in file order; results without an id are left out.
+
+    The first of a falling order, which Spark cuts per task before the shuffle.
+    """
+    newest = Window.partitionBy(*KEYS, "tool_id").orderBy(F.desc("line_no"), F.desc("block_no"))
     return (
         results.where("tool_id != ''")
-        .groupBy(*KEYS, "tool_id")
-        .agg(last.alias("r"))
-        .select(
-            *KEYS, "tool_id", F.col("r.line_no").alias("result_line"), F.col("r.block_no").alias("result_block"),
-            F.col("r.tool_result").alias("tool_result"), F.col("r.is_error").alias("is_error"),
-        )
+        .withColumn("nth", F.row_number().over(newest)).where("nth = 1")
+        .select(*KEYS, "tool_id", F.col("line_no").alias("result_line"), F.col("block_no").alias("result_block"), "tool_result", "is_error")
     )
 
 
 def pair_calls(blocks: DataFrame) -> DataFrame:
-    """Every tool call with its last result, if any."""
-    uses = tool_uses(blocks).withColumn(
+    """Every tool call with its last result, if any.
+
+    Calls and results pass one exchange together, by session and tool id; there each call looks at the results beside it.
+    """
+    call = F.col("block_type") == "tool_use"
+    both = blocks.where(call | ((F.col("block_type") == "tool_result") & (F.col("tool_id") != ""))).select(
+        *KEYS, "line_no", "block_no", "tool_id", "tool_name", "tool_input", call.alias("is_call"),
         # Calls without an id get a key of their own and so spread over the tasks.
-        "pair_id", F.coalesce(text.none_if_empty(F.col("tool_id")), F.concat_ws("\u0000", F.lit(""), "line_no", "block_no"))
+        F.coalesce(text.none_if_empty(F.col("tool_id")), F.concat_ws("\u0000", F.lit(""), "line_no", "block_no")).alias("pair_id"),
+        F.when(~call, F.struct(F.col("line_no").alias("result_line"), F.col("block_no").alias("result_block"), "tool_result", "is_error")).alias("result"),
     )
-    results = last_results(tool_results(blocks)).withColumnRenamed("tool_id", "pair_id")
+    beside = Window.partitionBy(*KEYS, "pair_id")
+    at = F.when(~F.col("is_call"), F.struct("line_no", "block_no"))
+    paired = both.withColumn("result", F.max_by("result", at).over(beside)).where("is_call")
     name, args = F.col("tool_name"), F.col("tool_input")
     return (
-        uses.join(results, [*KEYS, "pair_id"], "left")
-        .drop("pair_id")
+        paired.select(*KEYS, "line_no", "block_no", "tool_id", "tool_name", "tool_input", "result.*")
         .withColumn("preview", tool_preview(name, args))
         .withColumn("is_active", is_active(name))
     )

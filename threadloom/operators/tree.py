@@ -33,14 +33,14 @@ TREE_COLUMNS = ["parent_line", "is_root", "reachable", "depth", "dfs_pos", "dfs_
 def skeleton(records: DataFrame) -> DataFrame:
     """What the tree needs of messages and compaction boundaries, narrow, in one pass.
 
-    ``target`` is the logical parent of a boundary and NULL on messages.
+    ``target`` is the logical parent of a boundary and NULL on messages; ``weight`` is the length of the content.
     """
     is_boundary = F.coalesce((F.col("type") == "system") & (F.col("subtype") == "compact_boundary"), F.lit(False))
     target = text.none_if_empty(text.trim_all(F.col("logical_parent_uuid")))
     kept = records.where(is_conversational() | (is_boundary & F.col("uuid").isNotNull() & target.isNotNull()))
     return classify(kept).select(
         *KEYS, "line_no", "uuid", "parent_uuid_raw", "type", "kind", "is_compacted", "is_sidechain",
-        F.when(is_boundary, target).alias("target"),
+        F.coalesce(F.length(F.to_json("content")), F.lit(0)).cast("bigint").alias("weight"), F.when(is_boundary, target).alias("target"),
     )
 
 
@@ -220,20 +220,30 @@ def walk_doubling(links: DataFrame, longest: int) -> DataFrame:
             )
         ).alias("s"),
     ).select(*KEYS, "s.*")
-    steps = stage(steps)
+    moved = stage(steps)
+    finished = [moved.where("next is null")]
     for _ in range(math.ceil(math.log2(2 * longest + 1)) + 1):
-        if steps.where("next is not null").isEmpty():
+        going = moved.where("next is not null")
+        if going.isEmpty():
             break
-        # Finished steps are left out of the join and only added back.
-        going = steps.where("next is not null")
-        ahead = steps.select(
+        # Each round writes the steps that are still under way; finished ones stay where they were written.
+        whole = going
+        for table in finished:
+            whole = whole.unionByName(table)
+        ahead = whole.select(
             *KEYS, F.col("at").alias("next"), F.col("next").alias("next2"), F.col("enters").alias("e2"), F.col("level").alias("l2")
         )
-        moved = going.join(ahead, [*KEYS, "next"]).select(
-            *KEYS, "at", F.col("next2").alias("next"), (F.col("enters") + F.col("e2")).alias("enters"),
-            (F.col("level") + F.col("l2")).alias("level"),
+        moved = stage(
+            going.join(ahead, [*KEYS, "next"]).select(
+                *KEYS, "at", F.col("next2").alias("next"), (F.col("enters") + F.col("e2")).alias("enters"),
+                (F.col("level") + F.col("l2")).alias("level"),
+            )
         )
-        steps = stage(steps.where("next is null").unionByName(moved))
+        finished.append(moved.where("next is null"))
+    # What is left under way runs in a circle.
+    steps = moved.where("next is not null")
+    for table in finished:
+        steps = steps.unionByName(table)
     done = F.col("next").isNull()
     per_message = (
         steps.withColumn("line_no", F.floor(F.col("at") / 2))

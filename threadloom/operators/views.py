@@ -19,13 +19,12 @@ from threadloom.operators.tree import reachable, with_content
 from threadloom.session import stage
 
 # Fixed values of the long-session view.
-TAIL_THRESHOLD = 500
 TAIL_SECTIONS = 3
 CHUNK_SIZE = 50
 NAV_CHILDREN = 10
 NAV_OPEN_GROUPS = 3
-# Positions folded by one task when chunking; see prompt_chunks.
-CHUNK_SPAN = 1 << 20
+# Chunk sizes of positions folded in one row when chunking; see chunk_starts.
+CHUNKS_PER_SPAN = 1024
 
 
 def _is(*kinds: str) -> Column:
@@ -82,13 +81,13 @@ def chunk_starts(tree: DataFrame, size: int = CHUNK_SIZE, span: int | None = Non
     """Positions that open a chunk: a prompt does once the open chunk holds ``size`` messages.
 
     Greedy and sequential, so it folds over prompt positions, in segments of
-    ``span`` positions. A segment only depends on how many messages the chunk
+    ``span`` positions, so that a fold makes a bounded number of starts. A segment only depends on how many messages the chunk
     open at its start holds, and any number from ``size`` up acts alike. So
     every segment of a longer session first works out its result for each of
     the ``size + 1`` cases; chaining these short tables gives each segment its
     true case. Sessions of one segment skip that step.
     """
-    span = span or CHUNK_SPAN
+    span = span or size * CHUNKS_PER_SPAN
     if span < size:
         raise ValueError("a segment must be longer than a chunk")
     prompts = (
@@ -151,13 +150,13 @@ def prompt_chunks(tree: DataFrame, size: int = CHUNK_SIZE, span: int | None = No
 
 
 def tail_view(
-    tree: DataFrame, threshold: int = TAIL_THRESHOLD, keep: int = TAIL_SECTIONS, chunk_size: int = CHUNK_SIZE
+    tree: DataFrame, keep: int = TAIL_SECTIONS, threshold: int | None = None, chunk_size: int = CHUNK_SIZE
 ) -> DataFrame:
     """Add ``part_no`` and ``shown`` with the hidden counts per session.
 
-    Sessions up to ``threshold`` messages are one part. Longer ones are parted
+    Sessions are parted
     at compact summaries, or in chunks where there is none; the last ``keep``
-    parts are shown.
+    parts are shown. With a ``threshold`` sessions up to so many messages stay whole.
     """
     marked = _with_chunk_starts(tree, chunk_size, None)
     parted = running(
@@ -169,8 +168,9 @@ def tail_view(
         F.count("*").alias("n"), F.sum(_opens_section()).alias("max_section"),
         F.coalesce(F.sum("opens_chunk"), F.lit(0)).alias("max_chunk"),
     )
-    part = F.when(F.col("n") <= threshold, F.lit(0)).when(F.col("max_section") > 0, F.col("section_no")).otherwise(F.col("chunk_no"))
-    n_parts = F.when(F.col("n") <= threshold, F.lit(0)).when(F.col("max_section") > 0, F.col("max_section")).otherwise(F.col("max_chunk")) + 1
+    whole = F.lit(False) if threshold is None else F.col("n") <= threshold
+    part = F.when(whole, F.lit(0)).when(F.col("max_section") > 0, F.col("section_no")).otherwise(F.col("chunk_no"))
+    n_parts = F.when(whole, F.lit(0)).when(F.col("max_section") > 0, F.col("max_section")).otherwise(F.col("max_chunk")) + 1
     return (
         parted.join(totals, KEYS)
         .withColumn("part_no", part.cast("bigint"))

@@ -12,8 +12,9 @@ from pyspark.sql import types as T
 from threadloom.functions import paths, text, times, tools
 from threadloom.functions.variants import child
 from threadloom.operators import annotations, export, markup, messages, records, search, sessions, tool_calls, tree, views
-from threadloom.sources import bridges, transcripts
-from threadloom.session import stage
+from threadloom.plans import lake
+from threadloom.session import new_folder, scratch, stage
+from threadloom.sources import bridges, sinks, transcripts
 from threadloom.streaming import tail
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -271,7 +272,7 @@ def session_filter(spark, sf):
 @register
 def session_listing(spark, sf):
     listed, projects = chat_listing(spark, sf)
-    return sessions.with_project(sessions.list_sessions(listed), projects).select(SID, "display_name", "summary", "start_time", "end_time")
+    return sessions.list_sessions(sessions.with_project(listed, projects)).select(SID, "display_name", "summary", "start_time", "end_time")
 
 
 @register
@@ -368,7 +369,7 @@ def prompt_chunks(spark, sf):
 
 @register
 def tail_sections(spark, sf):
-    return views.hidden_counts(views.tail_view(chat_tree(spark, sf), threshold=4, keep=1, chunk_size=2))
+    return views.hidden_counts(views.tail_view(chat_tree(spark, sf), keep=1, threshold=4, chunk_size=2))
 
 
 @register
@@ -408,13 +409,14 @@ def last_result(spark, sf):
 
 @register
 def tool_call_results(spark, sf):
-    found = tool_calls.pair_calls(stage(event_blocks(spark, sf)))
+    found = tool_calls.pair_calls(event_blocks(spark, sf))
     return found.select(SID, "line_no", "tool_id", "tool_name", "result_line", "is_error", "is_active", F.to_json("tool_result").alias("tool_result"))
 
 
 @register
 def tool_preview(spark, sf):
-    return tool_calls.pair_calls(stage(event_blocks(spark, sf))).select(SID, "line_no", "tool_name", "preview")
+    calls = tool_calls.tool_uses(event_blocks(spark, sf))
+    return calls.select(SID, "line_no", "tool_name", tools.tool_preview(F.col("tool_name"), F.col("tool_input")).alias("preview"))
 
 
 @register
@@ -545,7 +547,7 @@ def relevance_score(spark, sf):
 
 @register
 def result_cap(spark, sf):
-    return bridges.table(spark, sf, "documents").select("doc_id", tools.cap_result(F.col("text")).alias("capped"))
+    return bridges.table(spark, sf, "documents").select("doc_id", tools.cap_result(F.col("text"), 5000).alias("capped"))
 
 
 @register
@@ -647,9 +649,9 @@ def tags_of_item(spark, sf):
 # --- export
 
 
-def _export_query(name: str, fmt: str, **options) -> None:
+def _export_query(name: str, fmt: str, source=chat_records, **options) -> None:
     def run(spark, sf):
-        found = chat_records(spark, sf)
+        found = source(spark, sf)
         detail = stage(sessions.detail_sessions(found))
         return export.export_transcripts(tree.build_tree(found), messages.build_messages(found), detail, fmt, **options)
 
@@ -664,6 +666,28 @@ _export_query("export_markdown_kind", "md", by_kind=True)
 _export_query("export_org_kind", "org", by_kind=True)
 _export_query("export_text", "txt")
 _export_query("export_json", "json")
+_export_query("export_markdown_parts", "md", by_kind=True, part_chars=2000)
+
+
+def event_records(spark, sf):
+    return records.decode(event_lines(spark, sf))
+
+
+def toolbox_records(spark, sf):
+    return records.decode(bridges.toolbox_lines(bridges.table(spark, sf, "events")))
+
+
+for _fmt, _kind in (("md", False), ("org", False), ("html", False), ("md", True), ("org", True), ("txt", False), ("json", False)):
+    _long = {"md": "markdown", "txt": "text"}.get(_fmt, _fmt) + ("_kind" if _kind else "")
+    _export_query(f"export_{_long}_calls", _fmt, event_records, by_kind=_kind)
+
+
+@register
+def export_org_images(spark, sf):
+    found = toolbox_records(spark, sf)
+    whole = export.export_transcripts(tree.build_tree(found), messages.build_messages(found), sessions.detail_sessions(found), "org")
+    images = F.regexp_extract_all("document", F.lit(r"\[\[data:([^\]]*)\]\]"), F.lit(1))
+    return whole.select(*KEYS, F.array_join(images, "\n").alias("images"))
 
 
 @register
@@ -675,21 +699,195 @@ def export_filename(spark, sf):
     )
 
 
-# --- streaming: the same rows, read as a stream of closed chunks
+# --- log files: lines written as the log writers do, then scanned, ingested, tailed
+
+
+def _logs(spark, lines: DataFrame, **options) -> str:
+    root = new_folder(spark)
+    bridges.write_logs(lines, root, **options)
+    return root
+
+
+@register
+def scan_transcripts(spark, sf):
+    lines = transcripts.scan_transcripts(spark, _logs(spark, chat_lines(spark, sf), padded=True))
+    return records.decode(lines).select(*KEYS, "line_no", "type", "uuid")
+
+
+@register
+def scan_line_numbers(spark, sf):
+    lines = transcripts.scan_transcripts(spark, _logs(spark, event_lines(spark, sf)))
+    return records.decode(lines).select(*KEYS, "line_no", "uuid")
+
+
+@register
+def scan_projects(spark, sf):
+    wanted = [f"{bridges.PROJECT_PREFIX}{n}" for n in (3, 5)] + ["none"]
+    lines = transcripts.scan_transcripts(spark, _logs(spark, chat_lines(spark, sf), padded=True), projects=wanted)
+    return lines.where("value != ''").groupBy("project_key").agg(F.count("*").alias("n_lines"))
+
+
+def _lake(spark, lines: DataFrame, **options) -> str:
+    out = new_folder(spark)
+    with scratch(spark):
+        lake.build_lake(spark, _logs(spark, lines, **options), out)
+    return out
+
+
+@register
+def lake_sessions(spark, sf):
+    found = lake.read_table(spark, _lake(spark, chat_lines(spark, sf), padded=True), "sessions")
+    return found.select(*KEYS, "message_count", "user_prompts", "continuations", "agent_sidechains", "summary", "duration_seconds")
+
+
+@register
+def lake_projects(spark, sf):
+    return lake.read_table(spark, _lake(spark, chat_lines(spark, sf)), "projects")
+
+
+@register
+def lake_tool_calls(spark, sf):
+    found = lake.read_table(spark, _lake(spark, event_lines(spark, sf, MALFORMED_EVERY)), "tool_calls")
+    return found.groupBy("project_key", "tool_name", "is_error").agg(F.count("*").alias("n_calls"))
+
+
+# --- long sessions, by the paths that cut a session over many tasks
+
+
+@lru_cache(maxsize=4)
+def long_records(spark, sf):
+    return records.decode(bridges.long_lines(bridges.table(spark, sf, "events")))
+
+
+def long_tree(spark, sf):
+    return tree.build_tree(long_records(spark, sf), pack_limit=64)
+
+
+@register
+def dfs_order_long(spark, sf):
+    return long_tree(spark, sf).select(SID, "line_no", "depth", "dfs_pos")
+
+
+@register
+def subtree_prune_long(spark, sf):
+    return tree.visible(long_tree(spark, sf)).select(SID, "line_no", "kind")
+
+
+@register
+def prompt_chunks_long(spark, sf):
+    return views.prompt_chunks(long_tree(spark, sf), size=5, span=16).select(SID, "line_no", "chunk_no")
+
+
+# --- streaming: log files read as streams, landed batch by batch
+
+_STATS = "project_key string, session_id string, message_count bigint, user_prompts bigint, tool_calls bigint, input_tokens bigint, output_tokens bigint"
+
+
+def _land(apply):
+    return lambda stream, **where: tail.land(stream, apply, **where)
+
+
+def _tailed(stream: DataFrame) -> DataFrame:
+    shown = lambda lines: tail.tail_messages(lines).select(SID, "line_no", "tail_kind", "is_agent")
+    return tail.replay(stream, _land(shown), "session_id string, line_no bigint, tail_kind string, is_agent boolean").drop("batch")
+
+
+def _from_growing(spark, lines: DataFrame, **options) -> DataFrame:
+    return tail.read_growing(spark, _logs(spark, lines, **options), startingOffsets="earliest", maxBytesPerTrigger=0)
+
+
+def _named_results(spark, lines: DataFrame) -> DataFrame:
+    start = lambda stream, **where: tail.land_result_names(stream, calls=new_folder(spark), **where)
+    schema = "project_key string, session_id string, line_no bigint, block_no bigint, tool_id string, tool_name string"
+    return tail.replay(_from_growing(spark, lines), start, schema).select(SID, "line_no", "block_no", "tool_id", "tool_name")
 
 
 @register
 def tail_messages(spark, sf):
-    return tail.replay(chat_lines(spark, sf), tail.tail_messages).select(SID, "line_no", "tail_kind", "is_agent")
+    return _tailed(_from_growing(spark, chat_lines(spark, sf), padded=True))
+
+
+@register
+def tail_growing(spark, sf):
+    stream = _from_growing(spark, chat_lines(spark, sf), padded=True)
+    keys = lambda lines: lines.select(*KEYS, "line_no")
+    return tail.replay(stream, _land(keys), "project_key string, session_id string, line_no bigint").drop("batch")
+
+
+@register
+def tail_chunks(spark, sf):
+    return _tailed(tail.read_chunks(spark, _logs(spark, chat_lines(spark, sf), padded=True, chunk=3)))
 
 
 @register
 def tail_tool_names(spark, sf):
-    return tail.replay(event_lines(spark, sf), tail.result_names).select(SID, "line_no", "tool_id", "tool_name")
+    return _named_results(spark, event_lines(spark, sf))
+
+
+@register
+def tail_unknown_results(spark, sf):
+    lost = F.col("line_no") % 14 == 0  # every seventh event loses its first line
+    return _named_results(spark, event_lines(spark, sf).withColumn("value", F.when(lost, "").otherwise(F.col("value"))))
 
 
 @register
 def tail_running_stats(spark, sf):
-    return tail.replay(chat_lines(spark, sf), tail.running_stats, mode="update").select(
-        SID, "message_count", "user_prompts", "tool_calls", "input_tokens", "output_tokens"
-    )
+    stream = tail.read_chunks(spark, _logs(spark, chat_lines(spark, sf), padded=True, chunk=3), max_files=100)
+    sums = lambda lines: tail.running_stats(lines).select(*KEYS, "message_count", "user_prompts", "tool_calls", "input_tokens", "output_tokens")
+    return tail.current_stats(tail.replay(stream, _land(sums), _STATS)).drop("project_key")
+
+
+# --- sinks
+
+
+def _json_again(spark, listing: DataFrame, *order: Column) -> DataFrame:
+    folder = new_folder(spark)
+    sinks.write_json(listing, folder, *order)
+    return spark.read.schema(listing.withColumn("position", F.lit(0).cast("bigint")).schema).json(folder)
+
+
+@register
+def json_projects(spark, sf):
+    listed = chat_listing(spark, sf)[1].select("project_key", "n_sessions", "display_name", "full_path", F.unix_micros("last_modified").alias("last_modified"))
+    return _json_again(spark, listed, F.desc_nulls_last("last_modified"), F.asc("project_key"))
+
+
+@register
+def json_sessions(spark, sf):
+    listed = chat_listing(spark, sf)[0].select(*KEYS, "summary", "message_count", F.unix_micros("end_time").alias("end_time"))
+    return _json_again(spark, listed, F.desc_nulls_last("end_time"), F.asc("project_key"), F.asc(SID))
+
+
+@register
+def json_search(spark, sf):
+    found = search.search_sessions(*chat_listing(spark, sf), ["summary", "proj4"])
+    hits = found.withColumns({c: F.unix_micros(c) for c in ("project_modified", "end_time")})
+    shown = _json_again(spark, hits, *search.hit_order())
+    return shown.select("position", "query", "priority", "type", *KEYS, "summary")
+
+
+@register
+def json_documents(spark, sf):
+    found = chat_records(spark, sf)
+    whole = export.export_transcripts(tree.build_tree(found), messages.build_messages(found), sessions.detail_sessions(found), "txt")
+    folder = new_folder(spark)
+    sinks.write_documents(whole, folder)
+    return spark.read.schema(whole.schema).parquet(folder).select(*KEYS, "file_name", "document")
+
+
+@register
+def annotation_log(spark, sf):
+    log, events = new_folder(spark), notes(spark, sf)
+    annotations.append_events(events.where("seq % 3 != 0"), log)
+    annotations.append_events(events, log)
+    annotations.append_events(events, log)
+    return _star_rows(annotations.list_stars(annotations.current_stars(annotations.read_log(spark, log))))
+
+
+@register
+def annotation_rejects(spark, sf):
+    log, events = new_folder(spark), notes(spark, sf)
+    annotations.append_events(events, log)
+    annotations.append_events(events.unionByName(events), log)
+    both = [annotations.read_log(spark, log, name).withColumn("part", F.lit(name)) for name in ("events", "rejected")]
+    return both[0].unionByName(both[1]).groupBy("part", "action").agg(F.count("*").alias("n_events"))

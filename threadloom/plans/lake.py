@@ -16,6 +16,7 @@ are narrow or small:
 from __future__ import annotations
 
 import json
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -26,15 +27,20 @@ from threadloom.operators.sessions import listable, project_table, session_table
 from threadloom.operators.tool_calls import pair_calls
 from threadloom.operators.tree import build_tree
 from threadloom.sources.sinks import write_table
+from threadloom.session import scratch
 from threadloom.sources.transcripts import scan_transcripts
 
 
-def build_lake(spark: SparkSession, root: str, out: str, *, strict: bool = False) -> None:
+def build_lake(
+    spark: SparkSession, root: str, out: str, *, projects: Sequence[str] | None = None, strict: bool = False,
+    cap: int | None = None, policy: str = "skip_line",
+) -> None:
     """Scan ``root`` and write every table below ``out``.
 
     The logs are read and parsed once; each later step reads the columns it
     needs of what was written. ``project_key`` is the partition column, so a
-    query for one project prunes the rest.
+    query for one project prunes the rest. ``projects`` limits the scan. What is staged on the way is deleted as soon as
+    the tables it went into are written.
     """
     def save(name: str, df: DataFrame) -> DataFrame:
         write_table(df, f"{out}/{name}")
@@ -43,13 +49,15 @@ def build_lake(spark: SparkSession, root: str, out: str, *, strict: bool = False
         spark.createDataFrame([(df.schema.json(),)], "value string").coalesce(1).write.mode("overwrite").text(f"{out}/_schemas/{name}")
         return read_table(spark, out, name)
 
-    save("records", ingest(scan_transcripts(spark, root).drop("file_path"), strict=strict))
-    detail = read_records(spark, out, "detail")
-    save("tree", build_tree(detail))
-    save("tool_calls", pair_calls(explode_blocks(build_messages(detail))))
-    save("sessions", session_table(detail, "detail"))
-    listed = save("listed_sessions", listable(session_table(read_records(spark, out, "listing"), "listing")))
-    save("projects", project_table(listed))
+    with scratch(spark):
+        save("records", ingest(scan_transcripts(spark, root, projects=projects).drop("file_path"), strict=strict, cap=cap))
+    with scratch(spark):
+        detail = read_records(spark, out, "detail", policy)
+        save("tree", build_tree(detail))
+        save("tool_calls", pair_calls(explode_blocks(build_messages(detail))))
+        save("sessions", session_table(detail, "detail"))
+        listed = save("listed_sessions", listable(session_table(read_records(spark, out, "listing", policy), "listing")))
+        save("projects", project_table(listed))
 
 
 def read_table(spark: SparkSession, out: str, name: str) -> DataFrame:
@@ -57,8 +65,8 @@ def read_table(spark: SparkSession, out: str, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(f"{out}/{name}").select(*schema.names)
 
 
-def read_records(spark: SparkSession, out: str, profile: str = "detail") -> DataFrame:
-    return records_for(read_table(spark, out, "records"), profile)
+def read_records(spark: SparkSession, out: str, profile: str = "detail", policy: str = "skip_line") -> DataFrame:
+    return records_for(read_table(spark, out, "records"), profile, policy)
 
 
 def read_messages(spark: SparkSession, out: str) -> DataFrame:

@@ -389,6 +389,175 @@ _PAGE_PATH = "regexp_extract(url, '^https?://[^/]+(/[^?#]*)', 1)"
 _PAGE_KEY = f"regexp_replace(replace((CASE WHEN page_id % 2 = 0 THEN '/home/kim/work/github/com' ELSE '/Users/kim/src' END) || {_PAGE_PATH}, '/', '-'), '^-', '')"
 _AGE = "(epoch_us(TIMESTAMP '2024-01-12') - epoch_us(ts))"
 
+_TAILED = _chat("""SELECT session_id, line_no, CASE role WHEN 'assistant' THEN 'assistant' ELSE 'user' END AS tail_kind,
+      role = 'assistant' AND is_sidechain AS is_agent FROM m WHERE NOT is_meta AND NOT is_compacted""")
+
+# Events in files: two lines per event, without gaps.
+_EVENTS_NTH = _EVENTS + ", nth AS (SELECT e, row_number() OVER (PARTITION BY u ORDER BY e) - 1 AS nth FROM e0)"
+_DENSE = "(nth * 2 + 1)"
+
+
+def _long(sql: str, more: str = "") -> str:
+    """One long session per project; ``hidden`` follows sidechains and what hangs below compact summaries."""
+    return f"""WITH RECURSIVE l AS (
+        SELECT '-home-user-src-proj' || (user_id % 10) AS project_key, 'long-' || (user_id % 10) AS session_id,
+          row_number() OVER (PARTITION BY user_id % 10 ORDER BY event_id) - 1 AS n FROM events),
+      k AS (
+        SELECT *, CASE WHEN n = 0 THEN NULL WHEN n % 7 = 0 THEN n // 2 ELSE n - 1 END AS up, n % 50 = 49 AS compact, n % 97 = 41 AS side,
+          CASE WHEN n % 50 = 49 THEN 'compact_summary' WHEN n % 4 = 0 THEN 'user_prompt' ELSE 'assistant' END AS kind FROM l),
+      w AS (
+        SELECT session_id, n, kind, compact, [n] AS path, 0 AS depth, side AS hidden FROM k WHERE up IS NULL
+        UNION ALL
+        SELECT k.session_id, k.n, k.kind, k.compact, list_append(w.path, k.n), w.depth + 1, w.hidden OR w.compact OR k.side
+        FROM k JOIN w ON k.session_id = w.session_id AND k.up = w.n){more}
+      {sql}"""
+
+
+# Parts by the lengths of the contents: a part is full after 2,000 characters, 64 of them per message for its marks.
+_WEIGHT = f"length(CASE WHEN arr OR hollow THEN '[' || {_CONTENT_JSON} || ']' ELSE CAST(to_json(said) AS VARCHAR) END)"
+_MD_PARTS = f"""WITH RECURSIVE {_TREE}, {_DETAIL[len(_CHAT) + 1:]},
+  sized AS (SELECT *, {_WEIGHT} + 64 AS cost FROM tr),
+  cut AS (SELECT *, coalesce(sum(cost) OVER (PARTITION BY c ORDER BY dfs_pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 2000 AS part FROM sized),
+  fr AS (SELECT c, part, string_agg({_MD_KIND}, '' ORDER BY dfs_pos) AS body FROM cut GROUP BY c, part),
+  heads AS (SELECT ds.*, '# Session ' || ds.session_id || {_quoted(chr(10) * 2 + "**Started:** ")} || {_DATE} || ' ' || {_CLOCK} || {_quoted(chr(10) * 2 + "**Messages:** ")}
+    || message_count || ' | **Tools:** 0' || {_quoted(chr(10) * 2 + "---" + chr(10) * 2)} AS head FROM ds)
+  SELECT project_key, session_id, CAST(coalesce(part, 0) AS BIGINT) AS part_no,
+    'session-' || substring(session_id, 1, 8) || CASE WHEN coalesce(part, 0) = 0 THEN '' ELSE '-part-' || lpad(CAST(CAST(part AS BIGINT) + 1 AS VARCHAR), 4, '0') END || '.md' AS file_name,
+    CASE WHEN coalesce(part, 0) = 0 THEN head ELSE '' END || coalesce(body, '') AS document
+  FROM heads LEFT JOIN fr ON fr.c = heads.c"""
+
+
+# --- exports of sessions of tool calls: xm = messages in order with their calls and results
+
+_CALL_TREE = _EVENTS + """,
+xa AS (
+  SELECT e0.*, eu.tool_name, eu.tool_input, eu.preview, eu.cents,
+    count(*) FILTER (e0.kind <> 'signup') OVER (PARTITION BY e0.u ORDER BY e0.e ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - CAST(e0.kind <> 'signup' AS INTEGER) AS calls_before,
+    min(CASE WHEN e0.kind <> 'signup' AND e0.e % 13 = 5 THEN e0.e END) OVER (PARTITION BY e0.u) AS first_side
+  FROM e0 LEFT JOIN eu ON eu.e = e0.e),
+xm AS (
+  SELECT *, 'assistant' AS role, e * 2 AS line_no, calls_before * 2 AS depth FROM xa WHERE kind <> 'signup'
+  UNION ALL SELECT *, 'result', e * 2 + 1, calls_before * 2 + 1 FROM xa WHERE kind <> 'signup'
+  UNION ALL SELECT *, 'compact', e * 2 + 1, calls_before * 2 FROM xa WHERE kind = 'signup'),
+xt AS (
+  SELECT *, coalesce(e < first_side, true) AS shown, row_number() OVER (PARTITION BY u ORDER BY line_no) - 1 AS dfs_pos,
+    CASE WHEN e % 4 = 0 THEN '[{"text":"' || cents || '","type":"text"}]' ELSE cents END AS answer, e % 50 = 0 AS twice,
+    kind = 'error' AS failed FROM xm),
+xs AS (
+  SELECT u, any_value(project_key) AS project_key, any_value(session_id) AS session_id, count(*) FILTER (kind <> 'signup') AS calls,
+    count(*) FILTER (kind = 'signup') AS continuations, count(*) FILTER (kind <> 'signup' AND e % 13 = 5) AS sidechains, min_by(ts, e) AS start_ts
+  FROM e0 WHERE kind <> 'signup' OR true GROUP BY u)"""
+
+_ARGS = f"""CASE tool_name WHEN 'Probe' THEN 'k: ' || k WHEN 'Read' THEN 'file_path: src/f' || k || '.py'
+  WHEN 'Bash' THEN 'command: run ' || k || {NL} || 'timeout: ' || k
+  WHEN 'Task' THEN 'description: buy ' || k || {NL} || 'prompt: please ' || k || {NL} || 'subagent_type: agent-' || (k % 4)
+  ELSE 'path: src' || {NL} || 'pattern: err' || k END"""
+_INPUT_LINES = f"""CASE tool_name WHEN 'Probe' THEN '  "k": ' || k WHEN 'Read' THEN '  "file_path": "src/f' || k || '.py"'
+  WHEN 'Bash' THEN '  "command": "run ' || k || '",' || {NL} || '  "timeout": ' || k
+  WHEN 'Task' THEN '  "description": "buy ' || k || '",' || {NL} || '  "prompt": "please ' || k || '",' || {NL} || '  "subagent_type": "agent-' || (k % 4) || '"'
+  ELSE '  "path": "src",' || {NL} || '  "pattern": "err' || k || '"' END"""
+_XCLOCK, _XDATE = "strftime(ts, '%H:%M:%S')", "strftime(start_ts, '%Y-%m-%d')"
+_XSTAMP = "strftime(ts, '%Y-%m-%d %a %H:%M')"
+
+
+def _lines(*parts: str) -> str:
+    """SQL text of literal parts and expressions in turn; a literal is written ``=text``."""
+    return " || ".join(_quoted(p[1:]) if p.startswith("=") else f"({p})" for p in parts)
+
+
+def _call_document(head: str, fragment: str, ending: str, pruned: bool, foot: str = "''", joiner: str = "''", name: str | None = None) -> str:
+    named = name or f"'session-' || substring(xs.session_id, 1, 8) || '.{ending}'"
+    where = "WHERE shown" if pruned else ""
+    return f"""WITH {_CALL_TREE}, fr AS (SELECT u, string_agg({fragment}, {joiner} ORDER BY dfs_pos) AS body FROM xt {where} GROUP BY u)
+      SELECT xs.project_key, xs.session_id, CAST(0 AS BIGINT) AS part_no, {named} AS file_name, {head} || coalesce(fr.body, '') || {foot} AS document
+      FROM xs LEFT JOIN fr ON fr.u = xs.u"""
+
+
+def _each_answer(make) -> str:
+    return f"({make('answer', 'failed')} || CASE WHEN twice THEN {make(chr(39) + 'again ' + chr(39) + ' || e', 'false')} ELSE '' END)"
+
+
+_STEP = "CASE WHEN e % 3 = 0 THEN 'step ' || e || {} ELSE '' END"
+_COMPACTED = "'Compacted at ' || e"
+_XSHORT = "substring(xs.session_id, 1, 8)"
+_XMINUTE = "strftime(start_ts, '%H:%M')"
+
+_CALL_EXPORTS = {
+    "export_markdown_calls": _call_document(
+        _lines("=# Session: ", _XSHORT, "=\n\n**Started:** ", _XDATE, "= ", _XMINUTE, "=\n**Messages:** ", "calls", "= | **Tools:** ", "calls", "=\n\n---\n\n"),
+        f"""CASE role
+          WHEN 'compact' THEN {_lines("=## ═══ Context Compacted ═══" + chr(10) * 2 + "*", _COMPACTED, "=*" + chr(10) * 2 + "---" + chr(10) * 2)}
+          WHEN 'assistant' THEN {_lines("=## Assistant (", _XCLOCK, "=)" + chr(10) * 2, _STEP.format(f"{NL} || {NL}"), "=### Tool: ", "tool_name", "=" + chr(10) * 2,
+            f"CASE WHEN contains({_ARGS}, {NL}) OR length({_ARGS}) > 80 THEN '```' || {NL} || {_ARGS} || {NL} || '```' ELSE '`' || {_ARGS} || '`' END", "=" + chr(10) * 2 + "---" + chr(10) * 2)}
+          ELSE {_lines("=## User (", _XCLOCK, "=)" + chr(10) * 2, _each_answer(lambda a, bad: _lines(f"CASE WHEN {bad} THEN '### Error' ELSE '### Result' END", "=" + chr(10) * 2 + "```" + chr(10), a, "=" + chr(10) + "```" + chr(10) * 2)), "=---" + chr(10) * 2)} END""",
+        "md", True,
+    ),
+    "export_org_calls": _call_document(
+        _lines("=#+TITLE: Session ", _XSHORT, "=\n#+DATE: ", _XDATE, "=\n#+OPTIONS: toc:2 num:nil\n\n* Session Metadata\n- Started: ", _XDATE, "= ", _XMINUTE, "=\n- Messages: ", "calls",
+               "=\n- Tool Calls: ", "calls", "=\n", f"CASE WHEN continuations > 0 THEN '- Continuations: ' || continuations || {NL} ELSE '' END", "=\n* Conversation\n\n"),
+        f"""CASE role
+          WHEN 'compact' THEN {_lines("repeat('*', depth + 2)", "= ═══ COMPACTED ═══" + chr(10), _COMPACTED, "=" + chr(10) * 2)}
+          WHEN 'assistant' THEN {_lines("repeat('*', depth + 2)", "= ASSISTANT [", _XSTAMP, "=]" + chr(10), _STEP.format(f"{NL} || {NL}"), "repeat('*', depth + 3)", "= TOOL: ", "tool_name", "=" + chr(10) + "#+BEGIN_SRC ",
+            "CASE tool_name WHEN 'Read' THEN 'python' WHEN 'Bash' THEN 'bash' ELSE '' END", "=" + chr(10), _ARGS, "=" + chr(10) + "#+END_SRC" + chr(10) * 3)}
+          ELSE {_lines("repeat('*', depth + 2)", "= USER [", _XSTAMP, "=]" + chr(10), _each_answer(lambda a, bad: _lines("repeat('*', depth + 3)", f"CASE WHEN {bad} THEN ' ERROR' ELSE ' RESULT' END", "=" + chr(10) + "#+BEGIN_EXAMPLE" + chr(10), a, "=" + chr(10) + "#+END_EXAMPLE" + chr(10) * 2)), "=" + chr(10))} END""",
+        "org", True,
+    ),
+    "export_html_calls": _call_document(
+        _lines('=<!DOCTYPE html>\n<html lang="en">\n<head>\n<meta charset="UTF-8">\n<title>Session: ', _XSHORT, '=</title>\n</head>\n<body>\n<div class="container">\n<header>\n<h1>Session: ', _XSHORT,
+               '=</h1>\n<p class="meta">Started: ', _XDATE, "= ", _XMINUTE, "= | Messages: ", "calls", "= | Tools: ", "calls", '=</p>\n</header>\n<div class="messages">\n'),
+        f"""CASE role
+          WHEN 'compact' THEN {_lines('=<div class="message compacted">' + chr(10) + '<div class="message-header compacted-header">═══ COMPACTED ═══</div>' + chr(10) + '<div class="message-content">' + chr(10) + '<p class="dim">', _COMPACTED, "=</p>" + chr(10) + "</div>" + chr(10) + "</div>" + chr(10))}
+          WHEN 'assistant' THEN {_lines('=<div class="message assistant">' + chr(10) + '<div class="message-header assistant-header">[ASSISTANT] ', _XCLOCK, "=</div>" + chr(10) + '<div class="message-content">' + chr(10),
+            "CASE WHEN e % 3 = 0 THEN '<p>step ' || e || '</p>' || chr(10) ELSE '' END", '=<div class="tool-use">' + chr(10) + '<div class="tool-header">Tool: ', "tool_name", "=</div>" + chr(10) + '<pre class="tool-input">', _ARGS, "=</pre>" + chr(10) + "</div>" + chr(10) + "</div>" + chr(10) + "</div>" + chr(10))}
+          ELSE {_lines('=<div class="message user">' + chr(10) + '<div class="message-header user-header">[USER] ', _XCLOCK, "=</div>" + chr(10) + '<div class="message-content">' + chr(10),
+            _each_answer(lambda a, bad: _lines('=<div class="tool-result', f"CASE WHEN {bad} THEN ' error' ELSE '' END", '=">' + chr(10) + "<pre>", _escaped(a), "=</pre>" + chr(10) + "</div>" + chr(10))), "=</div>" + chr(10) + "</div>" + chr(10))} END""",
+        "html", True, foot=_quoted("</div>\n</div>\n</body>\n</html>"),
+    ),
+    "export_markdown_kind_calls": _call_document(
+        _lines("=# Session ", "xs.session_id", "=\n\n**Started:** ", _XDATE, "= ", "strftime(start_ts, '%H:%M:%S')", "=\n\n**Messages:** ", "calls", "= | **Tools:** ", "calls", "=\n\n---\n\n"),
+        f"""CASE role
+          WHEN 'compact' THEN {_lines("=---" + chr(10) + "## ◇ CONTEXT COMPACTED" + chr(10) * 2, _COMPACTED, "=" + chr(10) * 2)}
+          WHEN 'assistant' THEN {_lines("=### ● ASSISTANT (", _XCLOCK, "=)" + chr(10) * 2, _STEP.format(f"{NL} || {NL}"), "=#### ● ", "tool_name", "=" + chr(10) * 2 + "```json" + chr(10) + "{" + chr(10), _INPUT_LINES, "=" + chr(10) + "}" + chr(10) + "```" + chr(10) * 2)}
+          ELSE {_each_answer(lambda a, bad: _lines("=```" + chr(10), a, "=" + chr(10) + "```" + chr(10) * 2))} END""",
+        "md", False,
+    ),
+    "export_org_kind_calls": _call_document(
+        _lines("=#+TITLE: Session ", "xs.session_id", "=\n#+DATE: ", _XDATE, "=\n\n"),
+        f"""CASE role
+          WHEN 'compact' THEN {_lines("=* ◇ CONTEXT COMPACTED" + chr(10), _COMPACTED, "=" + chr(10))}
+          WHEN 'assistant' THEN {_lines("=** ● ASSISTANT [", _XCLOCK, "=]" + chr(10), _STEP.format(NL), "=*** ● ", "tool_name", "=" + chr(10) + "#+BEGIN_SRC json" + chr(10) + "{" + chr(10), _INPUT_LINES, "=" + chr(10) + "}" + chr(10) + "#+END_SRC" + chr(10))}
+          ELSE {_each_answer(lambda a, bad: _lines("=#+BEGIN_EXAMPLE" + chr(10), a, "=" + chr(10) + "#+END_EXAMPLE" + chr(10)))} END""",
+        "org", False,
+    ),
+    "export_text_calls": _call_document(
+        f"{NL} || {NL}",
+        f"""CASE role
+          WHEN 'compact' THEN {_quoted("══════════════════ Conversation compacted ═════════════════" + chr(10) * 2)}
+          WHEN 'assistant' THEN {_lines("=● ", "CASE WHEN e % 3 = 0 THEN 'step ' || e ELSE '' END", "=" + chr(10) * 2 + "● ", "tool_name", "=(",
+            "CASE tool_name WHEN 'Read' THEN 'src/f' || k || '.py' WHEN 'Bash' THEN 'run ' || k WHEN 'Grep' THEN 'err' || k ELSE '' END", "=)" + chr(10))}
+          ELSE '' END""",
+        "txt", False, name=f"{_XDATE} || '-no-summary.txt'",
+    ),
+    "export_json_calls": _call_document(
+        """'{"session":{"project_key":"' || xs.project_key || '","session_id":"' || xs.session_id || '","summary":"(no summary)","message_count":' || calls || ',"user_prompts":0,"tool_calls":' || calls ||
+          ',"continuations":' || continuations || ',"agent_sidechains":' || sidechains || ',"input_tokens":0,"output_tokens":0},"messages":['""",
+        """'{"line":' || line_no ||
+          CASE WHEN role = 'result' THEN ',"parent_line":' || (e * 2) WHEN prev_call IS NOT NULL THEN ',"parent_line":' || (prev_call * 2 + 1) ELSE '' END || ',"depth":' || depth ||
+          ',"uuid":"e' || e || CASE role WHEN 'assistant' THEN '-u' WHEN 'result' THEN '-r' ELSE '-c' END || '","type":"' || CASE role WHEN 'assistant' THEN 'assistant' ELSE 'user' END ||
+          '","kind":"' || CASE role WHEN 'assistant' THEN 'assistant' WHEN 'result' THEN 'tool_result' ELSE 'compact_summary' END || '","is_sidechain":' || (role = 'assistant' AND e % 13 = 5) ||
+          ',"is_compacted":' || (role = 'compact') || ',"content":[' ||
+          CASE role WHEN 'compact' THEN '{"text":"Compacted at ' || e || '","type":"text"}'
+            WHEN 'assistant' THEN CASE WHEN e % 3 = 0 THEN '{"text":"step ' || e || '","type":"text"},' ELSE '' END ||
+              '{"id":"tool-' || e || '","input":' || tool_input || ',"name":"' || tool_name || '","type":"tool_use"}'
+            ELSE '{"content":' || CASE WHEN e % 4 = 0 THEN answer ELSE '"' || answer || '"' END || CASE WHEN failed THEN ',"is_error":true' ELSE '' END || ',"tool_use_id":"tool-' || e || '","type":"tool_result"}' ||
+              CASE WHEN twice THEN ',{"content":"again ' || e || '","tool_use_id":"tool-' || e || '","type":"tool_result"}' ELSE '' END END || ']}'""",
+        "json", False, foot="']}'", joiner="','",
+    ),
+}
+
+_ORG_IMAGES = f"""SELECT '-home-user-src-proj' || (user_id % 10) AS project_key, 'box-' || user_id AS session_id,
+  string_agg('image/png;base64,' || base64(encode('v' || event_id)), {NL} ORDER BY event_id) AS images FROM events GROUP BY user_id"""
+
 REFERENCE_SQL: dict[str, str] = {
     "line_ordinal": _chat("""SELECT project_key, session_id, line_no, row_number() OVER (PARTITION BY session_id ORDER BY line_no) - 1 AS ordinal
       FROM (SELECT project_key, session_id, line_no FROM c0 UNION ALL SELECT project_key, session_id, line_no FROM notes)"""),
@@ -540,7 +709,7 @@ REFERENCE_SQL: dict[str, str] = {
       SELECT doc_id, table_no, row_no, n - 1 AS cell_no, trim(cells[n]) AS cell FROM (SELECT *, unnest(range(1, len(cells) + 1)) AS n FROM cl)""",
     "search_sessions": _listing(f"SELECT query, CAST(priority AS BIGINT) AS priority, type, project_key, session_id, project, summary FROM ({_metadata_hits(['summary', 'conv-1', 'proj4'])})"),
     "search_type_filter": _listing(f"""SELECT query, CAST(priority AS BIGINT) AS priority, type, project_key, session_id, summary FROM ({_metadata_hits(['o'], 'session')})
-      QUALIFY {_HIT_RANK} <= 20"""),
+"""),
     "content_first_hit": _tree(f"SELECT session_id, query, line_no, message_id, snippet FROM ({_content_hits(WORD)} UNION ALL {_content_hits('tail')})"),
     "tool_content_hit": _events(f"SELECT session_id, query, line_no, message_id, snippet FROM ({_tool_hits('run 3')} UNION ALL {_tool_hits('cents 99')})"),
     "search_global": f"""WITH RECURSIVE {_TREE}, {_LISTING[len(_CHAT) + 1:]},
@@ -613,8 +782,44 @@ REFERENCE_SQL: dict[str, str] = {
     "export_text": _document(f"{NL} || {NL}", _TXT, _TEXT_NAME),
     "export_json": _document(_JSON_HEAD, _JSON, _file("json"), foot="']}'", json_commas=True),
     "export_filename": _detail(f"SELECT session_id, {_TEXT_NAME} AS text_name, {_file('md')} AS default_name FROM ds"),
-    "tail_messages": _chat("""SELECT session_id, line_no, CASE role WHEN 'assistant' THEN 'assistant' ELSE 'user' END AS tail_kind,
-      role = 'assistant' AND is_sidechain AS is_agent FROM m WHERE NOT is_meta AND NOT is_compacted"""),
-    "tail_tool_names": _events("SELECT session_id, result_line AS line_no, tool_id, tool_name FROM er"),
+    "tail_messages": _TAILED,
+    "tail_growing": _chat("SELECT project_key, session_id, line_no FROM c0 UNION ALL SELECT project_key, session_id, line_no FROM notes"),
+    "tail_chunks": _TAILED,
+    "tail_tool_names": _events(f"SELECT session_id, {_DENSE} AS line_no, CAST(result_block AS BIGINT) AS block_no, tool_id, tool_name FROM er JOIN nth USING (e)").replace(_EVENTS, _EVENTS_NTH),
+    "tail_unknown_results": _events(f"""SELECT session_id, {_DENSE} AS line_no, CAST(result_block AS BIGINT) AS block_no, tool_id,
+      CASE WHEN e % 7 = 0 THEN 'result' ELSE tool_name END AS tool_name FROM er JOIN nth USING (e)""").replace(_EVENTS, _EVENTS_NTH),
     "tail_running_stats": _detail("SELECT session_id, message_count, user_prompts, CAST(0 AS BIGINT) AS tool_calls, input_tokens, output_tokens FROM ds"),
+    "scan_transcripts": _chat("""SELECT project_key, session_id, line_no, role AS type, 'c' || c || '-t' || t AS uuid FROM c0
+      UNION ALL SELECT project_key, session_id, line_no, 'summary', NULL FROM notes"""),
+    "scan_line_numbers": f"""WITH {_EVENTS_NTH} SELECT project_key, session_id, {_DENSE} - 1 + h AS line_no,
+      'e' || e || CASE WHEN kind = 'signup' THEN CASE h WHEN 0 THEN '-b' ELSE '-c' END ELSE CASE h WHEN 0 THEN '-u' ELSE '-r' END END AS uuid
+      FROM e0 JOIN nth USING (e), range(2) r(h)""",
+    "scan_projects": _chat("""SELECT project_key, count(*) AS n_lines FROM (SELECT project_key FROM c0 UNION ALL SELECT project_key FROM notes)
+      WHERE project_key IN ('-home-user-src-proj3', '-home-user-src-proj5') GROUP BY project_key"""),
+    "lake_sessions": _detail("SELECT project_key, session_id, message_count, user_prompts, continuations, agent_sidechains, summary, duration_seconds FROM ds"),
+    "lake_projects": _listing("SELECT project_key, n_sessions, last_modified, display_name, full_path FROM pr"),
+    "lake_tool_calls": _events(f"""SELECT eu.project_key, eu.tool_name, el.is_error, count(*) AS n_calls FROM eu LEFT JOIN el ON el.u = eu.u AND el.tool_id = eu.tool_id
+      WHERE eu.e % {MALFORMED_EVERY} <> 0 GROUP BY ALL"""),
+    "dfs_order_long": _long("SELECT session_id, n AS line_no, CAST(depth AS BIGINT) AS depth, row_number() OVER (PARTITION BY session_id ORDER BY path) - 1 AS dfs_pos FROM w"),
+    "subtree_prune_long": _long("SELECT session_id, n AS line_no, kind FROM w WHERE NOT hidden"),
+    "prompt_chunks_long": _long("SELECT session_id, line_no, chunk_no FROM ch", """, tr AS (
+        SELECT *, n AS line_no, row_number() OVER (PARTITION BY session_id ORDER BY path) - 1 AS dfs_pos FROM w),
+      ch AS (
+        SELECT session_id, dfs_pos, line_no, CAST(0 AS BIGINT) AS open_pos, CAST(0 AS BIGINT) AS chunk_no FROM tr WHERE dfs_pos = 0
+        UNION ALL SELECT tr.session_id, tr.dfs_pos, tr.line_no,
+          CASE WHEN tr.kind = 'user_prompt' AND tr.dfs_pos - ch.open_pos >= 5 THEN tr.dfs_pos ELSE ch.open_pos END,
+          ch.chunk_no + CASE WHEN tr.kind = 'user_prompt' AND tr.dfs_pos - ch.open_pos >= 5 THEN 1 ELSE 0 END
+        FROM ch JOIN tr ON tr.session_id = ch.session_id AND tr.dfs_pos = ch.dfs_pos + 1)"""),
+    "json_projects": _listing("""SELECT project_key, n_sessions, last_modified, display_name, full_path,
+      row_number() OVER (ORDER BY last_modified DESC, project_key) AS position FROM pr"""),
+    "json_sessions": _listing("""SELECT project_key, session_id, summary, message_count, end_time,
+      row_number() OVER (ORDER BY end_time DESC NULLS LAST, project_key, session_id) AS position FROM li"""),
+    "json_search": _listing(f"""SELECT row_number() OVER (ORDER BY query, priority, project_modified DESC, project_key, type <> 'project', end_time DESC NULLS LAST, session_id NULLS FIRST) AS position,
+      query, CAST(priority AS BIGINT) AS priority, type, project_key, session_id, summary FROM ({_metadata_hits(['summary', 'proj4'])})"""),
+    "json_documents": f"SELECT project_key, session_id, file_name, document FROM ({_document(f'{NL} || {NL}', _TXT, _TEXT_NAME)})",
+    "annotation_log": _notes("SELECT star_id, item_type, item_id, project_id, note FROM stars"),
+    "annotation_rejects": _notes("SELECT CASE WHEN action = 'bogus' THEN 'rejected' ELSE 'events' END AS part, action, count(*) AS n_events FROM log GROUP BY ALL"),
+    "export_markdown_parts": _MD_PARTS,
+    **_CALL_EXPORTS,
+    "export_org_images": _ORG_IMAGES,
 }

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,13 +51,42 @@ def stage(df: DataFrame) -> DataFrame:
     small. Used for narrow tables that several branches of a job read.
     """
     spark = df.sparkSession
-    path = f"{_stage_folder(spark)}/{uuid.uuid4().hex}"
+    path = new_folder(spark)
     df.write.parquet(path)
     staged = spark.read.schema(df.schema).parquet(path)
     staged.stage_path = path
     return staged
 
 
+_SCOPES = threading.local()
+
+
+def _scopes() -> list[list[str]]:
+    """Open scopes of this thread; streams run theirs in threads of their own."""
+    if not hasattr(_SCOPES, "open"):
+        _SCOPES.open = []
+    return _SCOPES.open
+
+
+def new_folder(spark: SparkSession) -> str:
+    """A folder of its own in the shared folder; it goes with the scope it was made in."""
+    path = f"{_stage_folder(spark)}/{uuid.uuid4().hex}"
+    if _scopes():
+        _scopes()[-1].append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete at the end what is staged inside; results must be written by then."""
+    _scopes().append([])
+    try:
+        yield
+    finally:
+        for path in _scopes().pop():
+            _delete(spark, path)
+
+
 def unstage(staged: DataFrame) -> None:
     """Delete a staged table that nothing reads any more."""
     _delete(staged.sparkSession, staged.stage_path)

@@ -3,16 +3,21 @@
 ``chat_lines`` turns ``conversations`` into sessions of prompts and answers,
 ``event_lines`` turns ``events`` into sessions of tool calls with results and
 compaction boundaries, and ``toolbox_lines`` gives every tool a call with its
-own arguments.
+own arguments. ``long_lines`` makes one long session per project, and ``write_logs`` puts
+lines into files as the log writers do.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.operators.records import KEYS
 from threadloom.operators.scans import running
+from threadloom.sources.stores import open_store
 
 LINE_COLUMNS = [*KEYS, "line_no", "value"]
 PROJECT_PREFIX = "-home-user-src-proj"
@@ -240,6 +245,67 @@ def event_lines(events: DataFrame, malformed_every: int = 0) -> DataFrame:
     )
 
 
+def long_lines(events: DataFrame) -> DataFrame:
+    """``events`` as one long session per project: the n-th event hangs below the one before, every seventh below event n / 2.
+
+    Every fourth message is a prompt, one in fifty a compact summary, one in 97 a sidechain.
+    """
+    counted = running(
+        events.withColumn("project", F.col("user_id") % 10), ["project"], "event_id", {"nth": ("sum", F.lit(1).cast("bigint"), "before")}
+    ).withColumn("n", F.coalesce("nth", F.lit(0)))
+    n = F.col("n")
+    up = F.when(n == 0, None).when(n % 7 == 0, F.floor(n / 2)).otherwise(n - 1)
+    compact = n % 50 == 49
+    role = F.when(compact | (n % 4 == 0), F.lit("user")).otherwise(F.lit("assistant"))
+    record = _object(
+        type=_quoted(role), timestamp=_quoted(_event_stamp()), uuid=_quoted(_text("n", n)),
+        parentUuid=F.when(up.isNotNull(), _quoted(_text("n", up))), isSidechain=_true_if(n % 97 == 41), isCompactSummary=_true_if(compact),
+        message=_object(role=_quoted(role), content=_quoted(_text("say ", n))),
+    )
+    return _lines(counted, F.col("project"), _text("long-", F.col("project")), line_no=n.cast("bigint"), value=record)
+
+
+def write_logs(lines: DataFrame, root: str, *, padded: bool = False, chunk: int = 0) -> None:
+    """Write lines as ``<root>/<project>/<session>.jsonl``, a side file in every project folder beside them.
+
+    With ``padded`` a line stands at its own line number, blank lines fill the gaps; else lines follow each other.
+    With ``chunk`` a session is a folder of closed chunks of so many lines, named after their first line.
+    """
+    def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = open_store(root)
+        session, values = None, []
+
+        def put(path: str, rows: list[str]) -> None:
+            store.create_dir(path.rsplit("/", 1)[0], recursive=True)
+            with store.open_output_stream(path) as f:
+                f.write("".join(r + "\n" for r in rows).encode())
+
+        def close() -> None:
+            if session is None:
+                return
+            folder = f"{base}/{session[0]}"
+            if not chunk:
+                put(f"{folder}/{session[1]}.jsonl", values)
+                put(f"{folder}/agent-{session[1]}.jsonl", ['{"type":"user"}'])
+            for at in range(0, len(values), chunk or len(values) + 1):
+                if chunk:
+                    put(f"{folder}/{session[1]}/part-{at:08d}.jsonl", values[at : at + chunk])
+
+        for batch in batches:
+            for project, name, number, value in zip(*(batch.column(c).to_pylist() for c in LINE_COLUMNS)):
+                if (project, name) != session:
+                    close()
+                    session, values = (project, name), []
+                if padded:
+                    values += [""] * (number - len(values))
+                values.append(value)
+        close()
+        yield pa.RecordBatch.from_pydict({"done": [1]})
+
+    by_session = lines.select(*LINE_COLUMNS).repartition(*KEYS).sortWithinPartitions(*KEYS, "line_no")
+    by_session.mapInArrow(save, "done long").agg(F.sum("done")).collect()
+
+
 # The tools of the toolbox bridge, by event id.
 TOOLBOX = ("Edit", "Write", "TodoWrite", "Task", "Skill", "WebSearch", "WebFetch", "AskUserQuestion", "LSP",
            "TaskOutput", "KillShell", "Glob", "Other")

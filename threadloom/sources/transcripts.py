@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -21,32 +21,37 @@ def path_keys(path: Column) -> tuple[Column, Column]:
     return F.regexp_extract(path, tail, 1), F.regexp_extract(path, tail, 2)
 
 
-def is_side_file(session_id: Column) -> Column:
-    return session_id.startswith("agent-")
-
-
 def _depth(path: str) -> int:
     return len(re.sub(r"^[a-z0-9]+:/*", "", path).strip("/").split("/"))
 
 
-def scan_transcripts(spark: SparkSession, root: str, *, with_side_files: bool = False) -> DataFrame:
+def _existing(spark: SparkSession, folders: Sequence[str]) -> list[str]:
+    """The folders that exist, as paths in which no character is a pattern."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    conf = spark._jsc.hadoopConfiguration()
+    found = [f for f in folders if path(f).getFileSystem(conf).exists(path(f))]
+    return [re.sub(r"([{}\[\]*?\\])", r"\\\1", f) for f in found]
+
+
+def scan_transcripts(
+    spark: SparkSession, root: str, *, projects: Sequence[str] | None = None, with_side_files: bool = False
+) -> DataFrame:
     """Every ``<root>/<project>/<session>.jsonl`` as numbered lines from 0.
 
-    A missing root, or one without logs, gives no rows. Folders that look like
-    a log file are left out.
+    ``projects`` names the project folders to read; others are not even listed. A missing root or project, or one
+    without logs, gives no rows. Folders that look like a log file are left out. The logs are read once, into a
+    staged table from which all that follows is taken.
     """
     root = root.rstrip("/")
+    folders = _existing(spark, [root] if projects is None else [f"{root}/{p}" for p in projects])
+    if not folders:
+        return spark.createDataFrame([], _EMPTY)
     path = F.col("_metadata.file_path")
     # Folders are listed, in parallel, not files one by one. These filters only
     # look at the path, so files that fail them are never opened.
     at_depth = F.size(F.split(F.regexp_replace(path, "^[a-z0-9]+:/*", ""), "/")) == _depth(root) + 2
     side_file = path.rlike(r"/agent-[^/]*\.jsonl$")
-    try:
-        files = spark.read.option("lineSep", "\n").option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").text(root)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], _EMPTY)
+    files = spark.read.option("lineSep", "\n").option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").text(folders)
     raw = files.where(at_depth if with_side_files else at_depth & ~side_file).select(
         path.alias("raw_path"),
         F.col("_metadata.file_block_start").alias("split"),
@@ -56,7 +61,7 @@ def scan_transcripts(spark: SparkSession, root: str, *, with_side_files: bool =
     readable = F.url_decode(F.replace("raw_path", F.lit("+"), F.lit("%2B")))
     project, session = path_keys(F.col("file_path"))
     return (
-        number_lines(raw)
+        number_lines(stage(raw))
         .withColumn("file_path", readable)
         .select(project.alias("project_key"), session.alias("session_id"), "file_path", "line_no", "value")
     )
@@ -65,8 +70,9 @@ def scan_transcripts(spark: SparkSession, root: str, *, with_side_files: bool =
 def number_lines(raw: DataFrame) -> DataFrame:
     """Line numbers over input splits without moving the lines.
 
-    Within a split the scan position counts the lines. One row per split says
-    how many lines came before it and where it starts; this table is written,
+    ``raw`` is a written table, so splits and positions are those of one scan, whatever the settings
+    are when it is read. Within a split the scan position counts the lines. One row per split says
+    how many lines came before it and where it starts; this table is written too,
     so that its size is known and a small one is broadcast to the lines.
     """
     key = ["raw_path", "split"]

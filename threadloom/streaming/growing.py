@@ -1,9 +1,14 @@
 """A streaming source for log files that grow in place.
 
-The offset is the number of bytes read per file. A batch ends at the last
-newline it can see, so an unfinished line waits for the next batch and no
-partial text is carried. A file that shrank gives nothing until it is longer
-than before.
+The driver lists sizes and opens no file. The offset is the number of bytes
+given out per file; a tick moves it by at most ``maxBytesPerTrigger`` over all
+files. A range of bytes stands for the lines whose *end* lies in it: the task that gets
+the range looks back for the start of its first line, so an
+unfinished line waits, no partial text is carried, and a range may be cut anywhere.
+A file that shrank gives nothing until it is longer than before, and then whole lines.
+
+Lines have the numbers that a scan of the file gives them; for that a task counts
+the line ends before its range.
 """
 
 from __future__ import annotations
@@ -14,14 +19,18 @@ from collections.abc import Iterator
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
-MAX_BYTES = 1 << 20
+from threadloom.sources.stores import open_store
 
+MAX_BYTES = 64 << 20
+SPAN_BYTES = 8 << 20
+CHUNK = 1 << 20
 
-def _list(root: str) -> dict[str, int]:
+
+def list_logs(root: str) -> dict[str, int]:
     """Size of every ``<root>/<project>/<session>.jsonl``, side files left out."""
     from pyarrow import fs
 
-    store, base = fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), root)
+    store, base = open_store(root)
     found = store.get_file_info(fs.FileSelector(base, recursive=True, allow_not_found=True))
     depth = len(base.strip("/").split("/")) + 2
     return {
@@ -34,26 +43,26 @@ def _list(root: str) -> dict[str, int]:
     }
 
 
-def _read(root: str, path: str, start: int, length: int) -> bytes:
-    from pyarrow import fs
-
-    store = fs.FileSystem.from_uri(root)[0] if "://" in root else fs.LocalFileSystem()
-    with store.open_input_file(path) as f:
-        return f.read_at(length, start)
-
-
-def complete_end(root: str, path: str, start: int, size: int, cap: int) -> int:
-    """Offset after the last newline within ``cap`` bytes; a longer line makes the window grow."""
-    window = cap
-    while start < size:
-        data = _read(root, path, start, min(window, size - start))
-        cut = data.rfind(b"\n")
-        if cut >= 0:
-            return start + cut + 1
-        if start + window >= size:
-            break
-        window *= 2
-    return start
+def lines_ending_in(file, start: int, stop: int) -> Iterator[tuple[int, bytes]]:
+    """Number and bytes of the lines whose line end lies in ``[start, stop)``."""
+    number, line_start = 0, 0
+    for at in range(0, start, CHUNK):
+        data = file.read_at(min(CHUNK, start - at), at)
+        ends = data.count(b"\n")
+        if ends:
+            number, line_start = number + ends, at + data.rfind(b"\n") + 1
+    # The open line may be longer than the range: its parts are joined once, at its end.
+    parts, at = [], line_start
+    while at < stop:
+        data = file.read_at(min(CHUNK, stop - at), at)
+        if not data:
+            return
+        at += len(data)
+        *ended, rest = data.split(b"\n")
+        for piece in ended:
+            yield number, b"".join([*parts, piece])
+            parts, number = [], number + 1
+        parts.append(rest)
 
 
 class Span(InputPartition):
@@ -69,38 +78,45 @@ class GrowingReader(DataSourceStreamReader):
         self.seen: dict[str, int] = {}
 
     def initialOffset(self) -> dict:
-        self.seen = {} if self.replay else _list(self.root)
+        self.seen = {} if self.replay else list_logs(self.root)
         return dict(self.seen)
 
     def latestOffset(self) -> dict:
-        """Per file the end of the complete lines; called with the last offset in ``seen``."""
-        for path, size in _list(self.root).items():
-            start = self.seen.get(path, 0)
-            if size > start:
-                self.seen[path] = complete_end(self.root, path, start, size, self.cap)
+        """Where this tick ends: files that are furthest behind go first, all files together stay within the cap."""
+        behind = {p: size - self.seen.get(p, 0) for p, size in list_logs(self.root).items()}
+        left = self.cap if self.cap > 0 else sum(max(n, 0) for n in behind.values())
+        for path, n in sorted(behind.items(), key=lambda x: (-x[1], x[0])):
+            take = min(n, left)
+            if take <= 0:
+                break
+            self.seen[path] = self.seen.get(path, 0) + take
+            left -= take
         return dict(self.seen)
 
     def partitions(self, start: dict, end: dict) -> list[Span]:
         self.seen = {**self.seen, **end}
-        return [Span(p, start.get(p, 0), stop) for p, stop in end.items() if stop > start.get(p, 0)]
+        return [
+            Span(path, at, min(at + SPAN_BYTES, stop))
+            for path, stop in end.items()
+            for at in range(start.get(path, 0), stop, SPAN_BYTES)
+        ]
 
     def read(self, span: Span) -> Iterator[tuple]:
         match = re.search(r"([^/]+)/([^/]+)\.jsonl$", span.path)
-        at = span.start
-        for line in _read(self.root, span.path, span.start, span.stop - span.start).split(b"\n")[:-1]:
-            if line.strip():
-                yield match.group(1), match.group(2), at, line.decode("utf-8", "replace")
-            at += len(line) + 1
+        with open_store(self.root)[0].open_input_file(span.path) as file:
+            for number, line in lines_ending_in(file, span.start, span.stop):
+                if line.strip():
+                    yield match.group(1), match.group(2), number, line.decode("utf-8", "replace")
 
     def commit(self, end: dict) -> None:
         pass
 
 
 class GrowingJsonl(DataSource):
-    """``spark.readStream.format("growing_jsonl").load(root)``.
+    """``spark.readStream.format("growing_jsonl").load(root)``: the columns of a line.
 
-    Columns are those of a line; ``line_no`` is the byte offset of the line,
-    which orders a file as its line numbers do.
+    Options: ``startingOffsets`` (``latest``, or ``earliest`` for all there is) and
+    ``maxBytesPerTrigger`` (0: no bound). The offset log holds a size per file.
     """
 
     @classmethod

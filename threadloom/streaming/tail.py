@@ -3,46 +3,53 @@
 Spark's file source sees new files, not bytes added to old ones. So a live
 tail either has producers land closed chunks (``read_chunks``), or reads
 growing files through the ``growing_jsonl`` source of
-``threadloom.streaming.growing``. Both give lines; from there the batch
-operators are used as they are.
+``threadloom.streaming.growing``. Both give numbered lines; from there the batch
+operators are used as they are, micro-batch by micro-batch. What must be known from earlier
+batches is read from the tables they landed, so no state is kept in the stream.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.functions.variants import array_of
 from threadloom.operators.messages import build_messages, classify, explode_blocks, is_conversational, item_type, tool_call_count
 from threadloom.operators.records import KEYS, TOKEN_FIELDS, decode
-from threadloom.session import shared_folder
+from threadloom.session import new_folder, scratch, stage
+from threadloom.streaming.growing import register_source
 
 POLL = "500 milliseconds"
-LINE_SCHEMA = "project_key string, session_id string, line_no bigint, value string"
+CALL_SCHEMA = "project_key string, session_id string, tool_id string, tool_name string, line_no bigint, block_no bigint, batch bigint"
 
 
 def read_chunks(spark: SparkSession, root: str, max_files: int = 1000) -> DataFrame:
-    """Stream of closed chunks ``<root>/<project>/<session>/<part>.jsonl``.
+    """Stream of closed chunks ``<root>/<project>/<session>/<name>-<first>.jsonl``.
 
-    A chunk is complete when it appears. A text stream carries no line number;
-    where order matters take the growing source.
+    A chunk is complete when it appears, and is named after the number of its first
+    line, so its lines have the numbers of the whole log. A chunk is one row until it is cut into lines.
     """
     path = F.col("_metadata.file_path")
-    keys = r"([^/]+)/([^/]+)/[^/]+\.jsonl$"
+    keys = r"([^/]+)/([^/]+)/[^/]*?(\d+)\.jsonl$"
     return (
-        spark.readStream.format("text").option("lineSep", "\n").option("maxFilesPerTrigger", max_files).load(f"{root}/*/*/*.jsonl")
+        spark.readStream.format("text").option("wholetext", True).option("maxFilesPerTrigger", max_files).load(f"{root}/*/*/*.jsonl")
         .select(
-            F.regexp_extract(path, keys, 1).alias("project_key"),
-            F.regexp_extract(path, keys, 2).alias("session_id"),
-            F.lit(None).cast("bigint").alias("line_no"),
-            "value",
+            F.regexp_extract(path, keys, 1).alias("project_key"), F.regexp_extract(path, keys, 2).alias("session_id"),
+            F.regexp_extract(path, keys, 3).cast("bigint").alias("first"), F.posexplode(F.split("value", "\n", -1)).alias("at", "value"),
         )
+        .select(*KEYS, (F.col("first") + F.col("at")).alias("line_no"), "value")
     )
 
 
+def read_growing(spark: SparkSession, root: str, **options) -> DataFrame:
+    """Stream of the lines of files that grow."""
+    register_source(spark)
+    return spark.readStream.format("growing_jsonl").options(**options).load(root)
+
+
 def _first_is_result() -> Column:
     return F.coalesce(item_type(F.get(array_of(F.col("content")), F.lit(0))) == "tool_result", F.lit(False))
 
@@ -58,31 +65,8 @@ def tail_messages(lines: DataFrame) -> DataFrame:
     )
 
 
-def result_names(lines: DataFrame, delay: str = "400 days", window: str = "1 day") -> DataFrame:
-    """Tool results with the name of the tool that gave them, ``result`` where unknown.
-
-    A stream-stream join on the tool id. The watermark bounds the state: a
-    call is kept for ``window``, and ``delay`` says how late a line may be.
-    """
-    blocks = explode_blocks(build_messages(decode(lines)), "ts")
-    uses = (
-        blocks.where("block_type = 'tool_use' and tool_id != ''")
-        .select(*[F.col(k).alias(f"use_{k}") for k in KEYS], F.col("tool_id").alias("use_id"), "tool_name", F.col("ts").alias("use_ts"))
-        .withWatermark("use_ts", delay)
-    )
-    results = (
-        blocks.where("block_type = 'tool_result'")
-        .select(*KEYS, "line_no", "block_no", "tool_id", "ts")
-        .withWatermark("ts", delay)
-    )
-    same = [F.col(k) == F.col(f"use_{k}") for k in KEYS]
-    near = F.expr(f"use_ts between ts - interval {window} and ts")
-    joined = results.join(uses, [*same, F.col("tool_id") == F.col("use_id"), near], "left_outer")
-    return joined.select(*KEYS, "line_no", "block_no", "tool_id", F.coalesce("tool_name", F.lit("result")).alias("tool_name"))
-
-
 def running_stats(lines: DataFrame) -> DataFrame:
-    """Session counters kept up to date while tailing (sums and counts only)."""
+    """Session counters of some lines (sums and counts only); ``current_stats`` adds up those of all batches."""
     talk = F.col("talk")
     prompt = talk & (F.col("kind") == "user_prompt")
     rows = classify(decode(lines).withColumn("talk", is_conversational()))
@@ -96,47 +80,80 @@ def running_stats(lines: DataFrame) -> DataFrame:
     )
 
 
-def dedup(lines: DataFrame, event_time: str, delay: str = "1 hour") -> DataFrame:
-    """Drop lines seen before, within the watermark, so replayed chunks do no harm."""
-    return lines.withWatermark(event_time, delay).dropDuplicatesWithinWatermark([*KEYS, "line_no"])
+def current_stats(landed: DataFrame) -> DataFrame:
+    """Counters per session over all landed batches."""
+    return landed.groupBy(*KEYS).agg(*[F.sum(c).alias(c) for c in landed.columns if c not in (*KEYS, "batch")])
 
 
-def land(stream: DataFrame, out: str, checkpoint: str, mode: str = "append", trigger: dict | None = None):
-    """Start writing a stream as one folder per batch; a repeated batch overwrites its own folder."""
+def land(stream: DataFrame, apply: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, trigger: dict | None = None):
+    """Start writing ``apply`` of every micro-batch as a folder of its own; a repeated batch overwrites its own folder."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        apply(batch).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    return _start(stream, write, checkpoint, trigger)
 
+
+def land_result_names(
+    stream: DataFrame, out: str, calls: str, checkpoint: str, trigger: dict | None = None, keep_batches: int | None = None
+):
+    """Start landing tool results with the name of the tool that gave them, ``result`` where it is unknown.
+
+    Every result comes out in the batch it arrives in. The calls of each batch are landed below ``calls``, and the
+    results of a batch look up the last call of their session and id there. ``keep_batches`` bounds how
+    many batches back calls are looked up; by default all are.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        with scratch(spark):
+            blocks = explode_blocks(build_messages(decode(batch)))
+            narrow = stage(
+                blocks.where("block_type in ('tool_use', 'tool_result')").select(*KEYS, "line_no", "block_no", "block_type", "tool_id", "tool_name")
+            )
+            uses = narrow.where("block_type = 'tool_use' and tool_id != ''")
+            uses.select(*KEYS, "tool_id", "tool_name", "line_no", "block_no").write.mode("overwrite").parquet(f"{calls}/batch={batch_id}")
+            known = spark.read.schema(CALL_SCHEMA).parquet(calls).where(F.col("batch") <= batch_id)
+            if keep_batches is not None:
+                known = known.where(F.col("batch") > batch_id - keep_batches)
+            results = narrow.where("block_type = 'tool_result'").select(*KEYS, "line_no", "block_no", "tool_id")
+            last = known.join(results.select(*KEYS, "tool_id").distinct(), [*KEYS, "tool_id"], "left_semi").groupBy(*KEYS, "tool_id").agg(
+                F.max_by("tool_name", F.struct("batch", "line_no", "block_no")).alias("tool_name")
+            )
+            named = results.join(last, [*KEYS, "tool_id"], "left")
+            named.select(*KEYS, "line_no", "block_no", "tool_id", F.coalesce("tool_name", F.lit("result")).alias("tool_name")).write.mode(
+                "overwrite"
+            ).parquet(f"{out}/batch={batch_id}")
+
+    return _start(stream, write, checkpoint, trigger)
+
+
+def _start(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, trigger: dict | None):
     return (
-        stream.writeStream.outputMode(mode)
-        .option("checkpointLocation", checkpoint)
+        stream.writeStream.option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"processingTime": POLL}))
         .foreachBatch(write)
         .start()
     )
 
 
-def latest(landed: DataFrame, keys: list[str]) -> DataFrame:
-    """Current value per key of an update stream: the row of the last batch that touched it."""
-    rest = [c for c in landed.columns if c not in (*keys, "batch")]
-    return landed.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("v")).select(*keys, "v.*")
-
-
-def replay(lines: DataFrame, transform: Callable[[DataFrame], DataFrame], mode: str = "append") -> DataFrame:
-    """Run stored lines through a streaming job until all are read, and return what it wrote."""
-    spark = lines.sparkSession
-    home = f"{shared_folder(spark)}/replay-{uuid.uuid4().hex}"
-    lines.write.parquet(f"{home}/in")
-    stream = spark.readStream.schema(LINE_SCHEMA).parquet(f"{home}/in")
-    # The number of state partitions is fixed at the start of a stream: a small
-    # input gets few of them, a large one what the session says.
-    setting = "spark.sql.shuffle.partitions"
-    configured = spark.conf.get(setting)
-    splits = spark.read.parquet(f"{home}/in").rdd.getNumPartitions()
-    spark.conf.set(setting, str(min(int(configured), 4 * max(splits, 1))))
+def read_landed(spark: SparkSession, out: str, schema: str) -> DataFrame:
+    """What was landed so far; nothing landed gives no rows."""
     try:
-        query = land(transform(stream), f"{home}/out", f"{home}/state", mode, {"availableNow": True})
-    finally:
-        spark.conf.set(setting, configured)
-    query.awaitTermination()
-    landed = spark.read.parquet(f"{home}/out")
-    return latest(landed, KEYS) if mode == "update" else landed.drop("batch")
+        return spark.read.schema(f"{schema}, batch bigint").parquet(out)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], f"{schema}, batch bigint")
+
+
+def replay(stream: DataFrame, start: Callable[..., object], out_schema: str) -> DataFrame:
+    """Run a stream until all there is has been read, and return what it landed.
+
+    ``start`` is called as ``start(stream, out=..., checkpoint=..., trigger=...)``. The stream's own
+    files are deleted at once, what it landed with the scope.
+    """
+    spark = stream.sparkSession
+    out = new_folder(spark)
+    with scratch(spark):
+        query = start(stream, out=out, checkpoint=new_folder(spark), trigger={"availableNow": True})
+        query.awaitTermination()
+    return read_landed(spark, out, out_schema)

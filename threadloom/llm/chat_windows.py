@@ -24,6 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from threadloom.session import stage, unstage
+
 #: Fixed values of the template.
 END = " </turn>\n"
 START = "### "
@@ -106,11 +108,13 @@ def format_windows(
     """
     if not 0 <= history < budget:
         raise ValueError("history must be smaller than the budget")
-    turns = _turns(conversations, conv, turn, role, text)
+    turns = stage(_turns(conversations, conv, turn, role, text))
     stretches = _stretches(turns, budget, history)
     placed = _placed(turns, stretches)
     by_window = Window.partitionBy("conv", "part", "run", "window").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    placed = placed.withColumns({"first_turn": F.first("at").over(by_window), "first_begin": F.first("begin").over(by_window)})
+    # Written once for the four branches below that read it.
+    placed = stage(placed.withColumns({"first_turn": F.first("at").over(by_window), "first_begin": F.first("begin").over(by_window)}))
+    unstage(turns)
     targets = placed.select(
         "conv", "first_turn", F.struct(F.col("at"), F.lit(False).alias("repeated"), F.col("role"), "head", "body", "shown", "tokens").alias("turn")
     )

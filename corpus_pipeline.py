@@ -7,7 +7,7 @@ costs a stage at most. Empty tables pass through all stages; a null or empty tex
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.llm import dominance_packing, language_id, line_spread, ngram_join, quality_rules, vocabularies
@@ -51,14 +51,20 @@ def remove_furniture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least id of each group of near duplicates, and all without links."""
-    found = ngram_join.near_duplicates(docs)
-    gone = found.where("doc_id is null and class_id is not null or doc_id <> class_id").select(F.col("doc_id").alias("gone")).distinct()
-    rows = docs.select(F.struct("*").alias("row"), "doc_id", F.xxhash64("text").alias("print"))
-    left = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti")
-    # Repeated rows share their id: one of each stays.
-    same = Window.partitionBy("doc_id", "print").orderBy("print")
-    return _columns(left.withColumn("n", F.row_number().over(same)).where("n = 1"), docs, {})
+    """Keeps the document with the least id of each group of near duplicates, and all without links.
+
+    Rows are told apart by id and text, so a null or repeated id takes no unlike row with it; of rows equal in
+    both one stays. A null id goes before no other id.
+    """
+    print_of = {"print_1": F.xxhash64("text"), "print_2": F.xxhash64("text", F.lit(1))}
+    found = ngram_join.classed_documents(docs, also=print_of).where("n_links > 0")
+    member = F.struct(F.col("doc").isNull().alias("unnamed"), "doc", *print_of)
+    groups = stage(found.select("component", member.alias("member")).distinct())
+    first = groups.groupBy("component").agg(F.min("member").alias("first"))
+    gone = groups.join(first, "component").where("member <> first").select("member")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("doc"), *(p.alias(n) for n, p in print_of.items()))
+    left = rows.withColumn("member", member).join(gone, "member", "left_anti")
+    return _columns(left.dropDuplicates(["doc", *print_of]), docs, {})
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -203,6 +203,21 @@ def test_near_duplicate_stage_keeps_one_of_each_group(spark):
     assert kept == sorted(rows[n].doc_id for n in range(len(rows)) if root[n] == n)
 
 
+def test_near_duplicate_stage_with_null_and_repeated_ids(spark):
+    def text(n):
+        return " ".join(f"{n}w{k}" for k in range(40))
+
+    rows = [
+        (None, text(1)), (1, text(1) + " end"), (None, text(2)), (None, text(2)), (None, text(3)), (None, text(3) + " end"),
+        (5, text(4)), (5, text(5)), (5, text(5) + " end"), (6, text(5)), (7, text(4)), (8, None), (8, ""), (None, None), (8, None),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = Counter((r.doc_id, r.text) for r in staged(spark, "near_duplicates", docs).collect())
+    either = [{(None, text(3)), (None, text(3) + " end")}, {(5, text(5)), (5, text(5) + " end")}]
+    assert all(sum(kept.pop(m, 0) for m in sorted(group, key=str)) == 1 for group in either)
+    assert kept == Counter([(1, text(1) + " end"), (None, text(2)), (5, text(4)), (8, None), (8, ""), (None, None)])
+
+
 def test_pipeline_packs_what_is_left(spark):
     rows = corpus_pipeline.run(spark, FOLDER).collect()
     fill = {}

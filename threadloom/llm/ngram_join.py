@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.llm.buckets import linked_items
@@ -156,16 +156,22 @@ def jaccard_links(left: list[np.ndarray], right: list[np.ndarray], candidates: n
     return out & candidates
 
 
-def near_duplicates(
-    documents: DataFrame, id: str = "doc_id", text: str = "text", width: int = WIDTH, threshold: float = THRESHOLD,
-    recall: float = RECALL, block: int = 128, block_grams: int = 1_000_000,
+def classed_documents(
+    documents: DataFrame, id: str = "doc_id", text: str = "text", also: dict[str, Column] | None = None, width: int = WIDTH,
+    threshold: float = THRESHOLD, recall: float = RECALL, block: int = 128, block_grams: int = 1_000_000,
 ) -> DataFrame:
-    """``id``, ``class_id`` (least id reachable by links) and ``n_links`` of every row of ``documents``."""
+    """``doc`` (the id), ``class_id`` (least id reachable by links), ``n_links`` and ``component`` of every row of ``documents``.
+
+    ``component`` tells the groups apart even where ids repeat, and is null for a text without n-grams. ``also`` names further
+    columns, computed from the given ones, that tell rows apart.
+    """
     bands, rows = choose_bands(threshold, recall)
-    narrow = documents.select(F.col(id).alias("doc"), F.col(text).alias("text"))
-    kind = narrow.schema["doc"].dataType.simpleString()
+    also = also or {}
+    narrow = documents.select(F.col(id).alias("doc"), F.col(text).alias("text"), *(c.alias(f"_{n}") for n, c in also.items()))
+    passed = ["doc", *(f"_{n}" for n in also)]
+    fields = ", ".join(f"{c} {narrow.schema[c].dataType.simpleString()}" for c in passed)
     signed = stage(
-        narrow.mapInArrow(lambda b: _signatures(b, ["doc"], "text", width, bands, rows), f"doc {kind}, id long, size long, keys array<long>")
+        narrow.mapInArrow(lambda b: _signatures(b, passed, "text", width, bands, rows), f"{fields}, id long, size long, keys array<long>")
     )
     items = stage(
         signed.where("id is not null").groupBy("id")
@@ -174,7 +180,7 @@ def near_duplicates(
 
     def payload(needed: DataFrame) -> DataFrame:
         wanted = items.select("id", "doc").join(needed, "id", "left_semi").select("doc").distinct()
-        texts = narrow.join(wanted.withColumnRenamed("doc", "_doc"), F.col("doc").eqNullSafe(F.col("_doc")), "left_semi")
+        texts = narrow.join(wanted.withColumnRenamed("doc", "_wanted"), F.col("doc").eqNullSafe(F.col("_wanted")), "left_semi")
         sets = texts.select("text").mapInArrow(lambda b: _sets(b, width), "id long, data binary")
         return sets.groupBy("id").agg(F.first("data").alias("data"))
 
@@ -183,8 +189,14 @@ def near_duplicates(
     names = linked.groupBy("component").agg(F.min("doc").alias("class_id"))
     classes = stage(
         linked.join(names, "component")
-        .select(F.col("id"), "class_id", (F.col("weight") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
+        .select("id", "class_id", "component", (F.col("weight") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
     )
-    return signed.select("doc", "id").join(classes, "id", "left").select(
-        F.col("doc").alias(id), F.coalesce("class_id", "doc").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")
+    return signed.select(*passed, "id").join(classes, "id", "left").select(
+        "doc", F.coalesce("class_id", "doc").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "component",
+        *(F.col(f"_{n}").alias(n) for n in also),
     )
+
+
+def near_duplicates(documents: DataFrame, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """``id``, ``class_id`` (least id reachable by links) and ``n_links`` of every row of ``documents``; options as above."""
+    return classed_documents(documents, id, text, **options).select(F.col("doc").alias(id), "class_id", "n_links")

@@ -57,12 +57,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     both one stays. A null id goes before no other id.
     """
     print_of = {"print_1": F.xxhash64("text"), "print_2": F.xxhash64("text", F.lit(1))}
-    found = ngram_join.classed_documents(docs, also=print_of).where("n_links > 0")
-    member = F.struct(F.col("doc").isNull().alias("unnamed"), "doc", *print_of)
-    groups = stage(found.select("component", member.alias("member")).distinct())
-    first = groups.groupBy("component").agg(F.min("member").alias("first"))
-    gone = groups.join(first, "component").where("member <> first").select("member")
+    found = ngram_join.classed_documents(docs, also=print_of)
+    gone = found.where("n_links > 0 and member <> first").select("member").distinct()
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("doc"), *(p.alias(n) for n, p in print_of.items()))
+    member = F.struct(F.col("doc").isNull().alias("unnamed"), "doc", *print_of)
     left = rows.withColumn("member", member).join(gone, "member", "left_anti")
     return _columns(left.dropDuplicates(["doc", *print_of]), docs, {})
 

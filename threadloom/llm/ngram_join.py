@@ -160,40 +160,41 @@ def classed_documents(
     documents: DataFrame, id: str = "doc_id", text: str = "text", also: dict[str, Column] | None = None, width: int = WIDTH,
     threshold: float = THRESHOLD, recall: float = RECALL, block: int = 128, block_grams: int = 1_000_000,
 ) -> DataFrame:
-    """``doc`` (the id), ``class_id`` (least id reachable by links), ``n_links`` and ``component`` of every row of ``documents``.
+    """``doc`` (the id), ``class_id`` (least id reachable by links), ``n_links``, ``member`` and ``first`` of every row of ``documents``.
 
-    ``component`` tells the groups apart even where ids repeat, and is null for a text without n-grams. ``also`` names further
-    columns, computed from the given ones, that tell rows apart.
+    ``member`` is a struct of whether the id is null, the id, and the columns that ``also`` computes to tell rows apart;
+    ``first`` is the least member of the row's group, null for a text without n-grams.
     """
     bands, rows = choose_bands(threshold, recall)
     also = also or {}
     narrow = documents.select(F.col(id).alias("doc"), F.col(text).alias("text"), *(c.alias(f"_{n}") for n, c in also.items()))
     passed = ["doc", *(f"_{n}" for n in also)]
+    member = F.struct(F.col("doc").isNull().alias("unnamed"), "doc", *(F.col(f"_{n}").alias(n) for n in also))
     fields = ", ".join(f"{c} {narrow.schema[c].dataType.simpleString()}" for c in passed)
     signed = stage(
         narrow.mapInArrow(lambda b: _signatures(b, passed, "text", width, bands, rows), f"{fields}, id long, size long, keys array<long>")
     )
     items = stage(
         signed.where("id is not null").groupBy("id")
-        .agg(F.count("*").alias("weight"), F.min("doc").alias("doc"), F.first("size").alias("size"), F.first("keys").alias("keys"))
+        .agg(F.count("*").alias("weight"), F.min(member).alias("least"), F.first("size").alias("size"), F.first("keys").alias("keys"))
     )
 
     def payload(needed: DataFrame) -> DataFrame:
-        wanted = items.select("id", "doc").join(needed, "id", "left_semi").select("doc").distinct()
+        wanted = items.select("id", "least.doc").join(needed, "id", "left_semi").select("doc").distinct()
         texts = narrow.join(wanted.withColumnRenamed("doc", "_wanted"), F.col("doc").eqNullSafe(F.col("_wanted")), "left_semi")
         sets = texts.select("text").mapInArrow(lambda b: _sets(b, width), "id long, data binary")
         return sets.groupBy("id").agg(F.first("data").alias("data"))
 
     found = stage(linked_items(items, payload, load_sets, lambda a, b, c: jaccard_links(a, b, c, threshold), block, block_grams))
-    linked = items.select("id", "doc", "weight").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    names = linked.groupBy("component").agg(F.min("doc").alias("class_id"))
+    linked = items.select("id", "least", "weight").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    names = linked.groupBy("component").agg(F.min("least").alias("first"))
     classes = stage(
         linked.join(names, "component")
-        .select("id", "class_id", "component", (F.col("weight") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
+        .select("id", "first", (F.col("weight") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
     )
     return signed.select(*passed, "id").join(classes, "id", "left").select(
-        "doc", F.coalesce("class_id", "doc").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "component",
-        *(F.col(f"_{n}").alias(n) for n in also),
+        "doc", F.coalesce("first.doc", "doc").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"),
+        member.alias("member"), "first",
     )
 
 

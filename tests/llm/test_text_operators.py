@@ -88,6 +88,16 @@ def test_quality_query_keeps_good_documents(spark):
     assert by[1] > 0.99
 
 
+def test_quality_query_rejects_junk_and_keeps_good(spark):
+    """Shares by label, and tables of invented words, whose symbols exceed a tenth of their letters."""
+    folder = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    got = catalog.op1_quality_rules(spark, folder).where("not base_failed").join(labels, "doc_id", "left").select("quality", "n_symbols", "word_chars", "kept").toPandas()
+    assert got[got.quality == 1].kept.mean() > 0.99
+    assert got[got.quality == 0].kept.mean() < 0.2
+    assert got[got.n_symbols > 0.1 * got.word_chars].kept.mean() < 0.15
+
+
 def test_word_grams_are_those_of_padded_words():
     words = ["ab", "c", "défg", "x"]
     for order, (bucket, counts) in zip(language_id.ORDERS, language_id.word_grams(words)):

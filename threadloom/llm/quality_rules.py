@@ -5,8 +5,8 @@ word, characters per token, share of byte-fallback tokens, and the evenness of i
 distribution (entropy over the largest entropy that many tokens can have). A text is rejected
 when a measure leaves the band of its language, or of its script where the
 language has too few texts of that length, or of its language at all lengths. Bands are quartiles of the whole corpus widened by a multiple of
-their distance, kept per class of length (octaves of the token count), since
-the measures drift with length.
+their distance, kept per class of length (half octaves of the token count), since
+the measures drift with length. Texts of equal measures count once for the quartiles, so copies do not narrow a band.
 
 Defined results: a null text counts as empty; an empty text fails the base rules; a
 null language uses the script's band; groups too small for a band reject
@@ -45,8 +45,10 @@ SYMBOLS = np.isin(np.arange(256), list(b"#*$%&|<>"))
 
 MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_tokens long, tokens_per_word double, chars_per_token double, byte_share double, evenness double, script string"
 
-#: Least width that a band reaches beyond its quartiles, per measure.
-SLACK = {"tokens_per_word": 1.0, "chars_per_token": 0.5, "byte_share": 0.1, "evenness": 0.1}
+#: How far a band reaches beyond its quartiles, per measure: in quartile distances, and at least. Keys and
+#: numbers raise the tokens per word of good texts too; their evenness and characters per token hardly vary.
+SPREAD = {"tokens_per_word": 4.0, "chars_per_token": 3.0, "byte_share": 4.0, "evenness": 2.0}
+SLACK = {"tokens_per_word": 0.25, "chars_per_token": 0.125, "byte_share": 0.1, "evenness": 0.02}
 
 
 #: Copies of the table of bands, so that its join spreads.
@@ -142,18 +144,18 @@ def base_failed() -> Column:
     return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
 
 
-def judged(measured: DataFrame, language: str = "lang", spread: float = 4.0, min_texts: int = 200, min_tokens: int = 128) -> DataFrame:
+def judged(measured: DataFrame, language: str = "lang", spread: dict[str, float] = SPREAD, min_texts: int = 200, min_tokens: int = 128) -> DataFrame:
     """``measured`` with ``base_failed`` and ``kept``: inside the bands of its language or script.
 
     Bands come from the texts that pass the base rules. The table of bands has one row per
-    language or script and octave of length; percentiles combine before the shuffle, so a
+    language or script and half octave of length; equal rows and percentiles combine before their shuffles, so a
     language that most texts share costs one sketch per task. Below ``min_tokens`` tokens the
     measures say too little, and the base rules decide alone.
     """
     rows = measured.withColumns(
         {
             "base_failed": base_failed(),
-            "_octave": F.floor(F.log2(F.greatest(F.col("n_tokens"), F.lit(1)))).cast("int"),
+            "_octave": F.floor(2 * F.log2(F.greatest(F.col("n_tokens"), F.lit(1)))).cast("int"),
             "_language": F.concat(F.lit("language "), F.col(language)), "_script": F.concat(F.lit("script "), F.col("script")),
         }
     ).withColumns(
@@ -165,7 +167,7 @@ def judged(measured: DataFrame, language: str = "lang", spread: float = 4.0, min
     )
     levels = ("_by_language", "_by_script", "_by_all")
     grouped = (
-        rows.where("not base_failed")
+        rows.where("not base_failed").select(*levels, "n_tokens", "n_words", *SLACK).distinct()
         .select(F.explode(F.array_compact(F.array(*levels))).alias("_group"), *SLACK)
         .groupBy("_group.group", "_group.octave")
     )
@@ -181,7 +183,7 @@ def judged(measured: DataFrame, language: str = "lang", spread: float = 4.0, min
     for m, slack in SLACK.items():
         # Evenness falls with length, so a band over all lengths says nothing about it.
         band = F.coalesce(*(F.col(f"{by}_{m}") for by in (levels[:2] if m == "evenness" else levels)))
-        reach = F.greatest(spread * (band[1] - band[0]), F.lit(slack))
+        reach = F.greatest(spread[m] * (band[1] - band[0]), F.lit(slack))
         above, below = F.col(m) > band[1] + reach, F.col(m) < band[0] - reach
         outside = outside | F.coalesce({"byte_share": above, "evenness": below}.get(m, above | below), F.lit(False))
     outside = outside & (F.col("n_tokens") >= min_tokens)
@@ -190,7 +192,7 @@ def judged(measured: DataFrame, language: str = "lang", spread: float = 4.0, min
 
 def fertility_verdicts(
     documents: DataFrame, vocabulary: str | None = None, id: str = "doc_id", text: str = "text", language: str = "lang",
-    spread: float = 4.0, min_texts: int = 200, min_tokens: int = 128,
+    spread: dict[str, float] = SPREAD, min_texts: int = 200, min_tokens: int = 128,
 ) -> DataFrame:
     """Id, language, measures, ``base_failed`` and ``kept`` of every text; texts are read once."""
     shared = vocabularies.share_file(documents.sparkSession, vocabulary or vocabularies.default_path("piece_bpe_32k.model"))

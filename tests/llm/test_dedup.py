@@ -159,6 +159,17 @@ def test_line_spread(spark):
     assert line_spread.without_furniture(documents.limit(0)).count() == 0
 
 
+def test_furniture_goes_whatever_its_share(spark):
+    passage = " ".join(f"word{k}" for k in range(60))
+    rows = [(n, f"{passage}\nAll rights reserved.\nown words of page {n}\n \nAll rights reserved.", f"s{n}") for n in range(12)]
+    rows += [(20, f"{passage}\n\nAll rights reserved.", "s1"), (21, "\tAll rights reserved.\nmine", "s2"), (22, "All rights reserved.", "s3"), (23, " \n", "s3")]
+    documents = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.row.doc_id: (r.text, r.n_removed) for r in line_spread.without_furniture(documents).collect()}
+    want = {n: (f"own words of page {n}\n ", 3) for n in range(12)}
+    want |= {20: (rows[12][1], 0), 21: ("mine", 1), 22: (rows[14][1], 0), 23: (" \n", 0)}
+    assert got == want
+
+
 def staged(spark, name, docs):
     return dict(corpus_pipeline.STAGES)[name](spark, docs, FOLDER)
 

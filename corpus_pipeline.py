@@ -15,6 +15,8 @@ from threadloom.session import stage
 
 #: A text whose best language has a smaller posterior has no clear language.
 MIN_POSTERIOR = 0.5
+#: A text whose n-grams are less likely than this, in deviations from those of its best language, is in none of the learned languages.
+MIN_FIT = -1.25
 
 
 def _columns(rows: DataFrame, docs: DataFrame, changed: dict[str, Column]) -> DataFrame:
@@ -23,15 +25,15 @@ def _columns(rows: DataFrame, docs: DataFrame, changed: dict[str, Column]) -> Da
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps texts with a clear language; a missing language is filled in."""
+    """Keeps texts that are clearly in one of the learned languages; that language takes the place of a missing or contrary one."""
     model = language_id.train(docs)
     prefix = "found_"
     while any(c.lower().startswith(prefix) for c in docs.columns):
         prefix += "_"
-    found = language_id.predict(docs, model, prefix=prefix)
-    language, score = F.col(f"{prefix}lang_pred"), F.col(f"{prefix}score")
-    clear = found.where((language != language_id.UNKNOWN) & (score >= MIN_POSTERIOR))
-    return clear.withColumn("lang", F.coalesce("lang", language)).select(*docs.columns)
+    found = language_id.predict(docs, model, prefix=prefix, fit=True)
+    language, score, fit = (F.col(f"{prefix}{c}") for c in ("lang_pred", "score", "fit"))
+    clear = found.where((language != language_id.UNKNOWN) & (score >= MIN_POSTERIOR) & (fit >= MIN_FIT))
+    return clear.withColumn("lang", language.cast(docs.schema["lang"].dataType)).select(*docs.columns)
 
 
 def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -205,6 +205,25 @@ def test_language_stage_rejects_and_fills(spark):
     assert not {10_000, 10_001, 10_002, 10_003} & set(rows) and rows[10_005].lang is not None
 
 
+UNLEARNED = [
+    "kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan heille on annettu järki ja omatunto ja heidän on toimittava toisiaan kohtaan veljeyden hengessä",
+    "όλοι οι άνθρωποι γεννιούνται ελεύθεροι και ίσοι στην αξιοπρέπεια και τα δικαιώματα είναι προικισμένοι με λογική και συνείδηση",
+    "人 人 生 而 自由 在 尊严 和 权利 上 一律 平等 他们 赋有 理性 和 良心 并 应 以 兄弟 关系 的 精神 相 对待",
+]
+
+
+def test_language_stage_rejects_what_was_never_learned(spark):
+    rng = random.Random(3)
+    strange = UNLEARNED + [" ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 9))) for _ in range(n)) for letters in ("bcdfghjklmnpqrstvwxz", "abcdefghijklmnopqrstuvwxyz") for n in (40, 4000)]
+    given = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    mislabelled = given.where("lang = 'es' and n_chars > 400").orderBy("doc_id").limit(1).collect()[0]
+    rows = [(90_000 + n, t, None, "s", len(t)) for n, t in enumerate(strange)] + [(91_000, mislabelled.text + " ", "en", "s", 1)]
+    left = {r.doc_id: r.lang for r in staged(spark, "language_id", given.unionByName(spark.createDataFrame(rows, given.schema))).collect()}
+    assert not {d for d in left if 90_000 <= d < 91_000} and left[91_000] == "es"
+    good = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").where("quality = 1").collect()
+    assert sum(r.doc_id in left for r in good) >= 0.99 * len(good)
+
+
 def test_near_duplicate_stage_keeps_one_of_each_group(spark):
     docs = odd_documents(spark).where("doc_id is not null")
     given = sorted({(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()}, key=lambda r: r[0])

@@ -8,6 +8,11 @@ buckets by languages, whose size does not depend on the corpus; it is broadcast.
 computes a vector per distinct word of a slice (sparse rows of hashed n-grams against
 the matrix) and adds up the words of each text.
 
+The posterior only compares the learned languages and nears 1 with length, also for a text in none of them. The
+fit says whether a text is in its best language at all: the mean log-probability of its n-grams, less the
+mean that texts drawn from the model have, in deviations of a single n-gram. It does not grow with length; few
+n-grams scatter more, so their fit counts for less.
+
 Defined results: a text that is null or has no letter gets ``und`` with score 0; so
 does every text when nothing could be learned. Equal posteriors fall to the first language in
 alphabetical order. Null languages are not learned. More than ``MAX_LANGUAGES``
@@ -31,6 +36,8 @@ ORDERS = (1, 2, 3, 4)
 BUCKETS = 1 << 15
 MAX_LANGUAGES = 256
 UNKNOWN = "und"
+#: A text of n n-grams scatters by this many deviations over the root of n.
+FEW = 3.0
 
 
 class Model(NamedTuple):
@@ -38,6 +45,14 @@ class Model(NamedTuple):
     log_prior: np.ndarray
     log_probability: np.ndarray
 
+    @property
+    def spread(self) -> tuple[np.ndarray, np.ndarray]:
+        """Mean and deviation of the log-probability of an n-gram drawn from each language."""
+        logs = self.log_probability.astype(np.float64)
+        shares = np.exp(logs)
+        mean = (shares * logs).sum(axis=0)
+        return mean, np.sqrt((shares * (logs - mean) ** 2).sum(axis=0))
+
 
 def word_grams(words: list[str], buckets: int = BUCKETS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each order: the bucket of every n-gram, and how many each word has.
@@ -100,34 +115,43 @@ def train(labelled: DataFrame, text: str = "text", language: str = "lang", smoot
     return Model(languages, np.log(texts / max(texts.sum(), 1)), np.log(grams / grams.sum(axis=0)).astype(np.float32))
 
 
-def score_texts(texts: pa.Array, model: Model) -> tuple[list[str], np.ndarray]:
+def score_texts(texts: pa.Array, model: Model, spread: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Language, posterior and, where the model's spread is given, fit of every text."""
     words = coded_words(texts)
     strings = words.distinct.to_pylist()
     lettered = pc.match_substring_regex(words.distinct, r"\p{L}").to_numpy(zero_copy_only=False)
     has_letter = segment_sums(lettered[words.code].astype(np.int64), words.counts) > 0
     if not model.languages or not strings:
-        return [UNKNOWN] * len(texts), np.zeros(len(texts))
-    per_word = np.zeros((len(strings), len(model.languages)))
+        return [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
+    per_word, grams_of = np.zeros((len(strings), len(model.languages))), np.zeros(len(strings), np.int64)
     for bucket, counts in word_grams(strings):
         per_word += segment_sums(model.log_probability[bucket].astype(np.float64), counts)
-    logs = segment_sums(per_word[words.code], words.counts) + model.log_prior
+        grams_of += counts
+    likelihood = segment_sums(per_word[words.code], words.counts)
+    logs = likelihood + model.log_prior
     logs -= logs.max(axis=1, keepdims=True)
     shares = np.exp(logs)
     shares /= shares.sum(axis=1, keepdims=True)
     best = shares.argmax(axis=1)
     names = [model.languages[b] if ok else UNKNOWN for b, ok in zip(best.tolist(), has_letter.tolist())]
-    return names, np.where(has_letter, shares[np.arange(len(best)), best], 0.0)
+    at, fits = np.arange(len(best)), np.zeros(len(best))
+    if spread:
+        (mean, deviation), n = spread, np.maximum(segment_sums(grams_of[words.code], words.counts), 1)
+        fits = (likelihood[at, best] / n - mean[best]) / (np.maximum(deviation[best], 1e-9) * (1 + FEW / np.sqrt(n)))
+    return names, np.where(has_letter, shares[at, best], 0.0), np.where(has_letter, fits, 0.0)
 
 
-def predict(documents: DataFrame, model: Model, text: str = "text", prefix: str = "") -> DataFrame:
-    """All columns of ``documents``, then ``lang_pred`` and ``score`` (the posterior), which replace columns of these names; no shuffle."""
+def predict(documents: DataFrame, model: Model, text: str = "text", prefix: str = "", fit: bool = False) -> DataFrame:
+    """All columns of ``documents``, then ``lang_pred``, ``score`` (the posterior) and, if asked for, ``fit``, which replace columns of these names; no shuffle."""
     shared = documents.sparkSession.sparkContext.broadcast(model)
-    others, schema = passed_on(documents, f"{prefix}lang_pred string, {prefix}score double")
+    others, schema = passed_on(documents, f"{prefix}lang_pred string, {prefix}score double" + (f", {prefix}fit double" if fit else ""))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spread = shared.value.spread if fit else None
         for part in slices(batches, text):
-            languages, scores = score_texts(texts_of(part, text), shared.value)
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in others), pa.array(languages, pa.string()), pa.array(scores)], schema.names)
+            languages, scores, fits = score_texts(texts_of(part, text), shared.value, spread)
+            made = [pa.array(languages, pa.string()), pa.array(scores), *([pa.array(fits)] if fit else [])]
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in others), *made], schema.names)
 
     return documents.mapInArrow(run, schema)
 

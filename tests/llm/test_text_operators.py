@@ -88,6 +88,23 @@ def test_quality_query_keeps_good_documents(spark):
     assert by[1] > 0.99
 
 
+def test_few_texts_are_judged_too(spark):
+    rng = random.Random(6)
+    common = "the and for with that this from have they will one all would there their what about which when make".split()
+
+    def rows(n, texts):
+        return [(k, t, "en") for k, t in enumerate(" ".join(rng.choice(common) for _ in range(200)) for _ in range(n))] + [(1000 + k, t, lang) for k, (t, lang) in enumerate(texts)]
+
+    held_by_bytes = " ".join("".join(chr(rng.randint(0x12000, 0x12300)) for _ in range(6)) for _ in range(80))
+    noisy = " ".join("".join(rng.choice("qxzjkvw#%&") for _ in range(14)) for _ in range(180))
+    for n in (30, 90):
+        odd = [(held_by_bytes, "sux"), (noisy, "xx")]
+        documents = spark.createDataFrame(rows(n, odd), "doc_id long, text string, lang string")
+        got = {r.doc_id: r for r in quality_rules.fertility_verdicts(documents).collect()}
+        assert all(got[k].kept for k in range(n)) and not any(got[k].base_failed for k in (1000, 1001))
+        assert not got[1000].kept and not got[1001].kept
+
+
 def test_quality_query_rejects_junk_and_keeps_good(spark):
     """Shares by label, and tables of invented words, whose symbols exceed a tenth of their letters."""
     folder = "/root/testdata/sf0.1"

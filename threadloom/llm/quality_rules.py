@@ -4,13 +4,14 @@ Every text is measured under a public sentencepiece vocabulary: tokens per
 word, characters per token, share of byte-fallback tokens, and the evenness of its token
 distribution (entropy over the largest entropy that many tokens can have). A text is rejected
 when a measure leaves the band of its language, or of its script where the
-language has too few texts of that length, or of its language at all lengths. Bands are quartiles of the whole corpus widened by a multiple of
+language has too few texts of that length, or of its language at all lengths, or, for byte share and characters
+per token, of all texts. Bands are quartiles of the whole corpus widened by a multiple of
 their distance, kept per class of length (half octaves of the token count), since
 the measures drift with length. Texts of equal measures count once for the quartiles, so copies do not narrow a band.
 
 Defined results: a null text counts as empty; an empty text fails the base rules; a
-null language uses the script's band; groups too small for a band reject
-nothing. Rows with equal ids are measured and returned one by one.
+null language uses the script's band. A group with fewer texts reaches further, by its count, and one with fewer
+than ``min_texts`` has no band of its own; the band of all texts is there for any count. Rows with equal ids are measured and returned one by one.
 """
 
 from __future__ import annotations
@@ -50,6 +51,11 @@ MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_r
 SPREAD = {"tokens_per_word": 4.0, "chars_per_token": 3.0, "byte_share": 4.0, "evenness": 2.0}
 SLACK = {"tokens_per_word": 0.25, "chars_per_token": 0.125, "byte_share": 0.1, "evenness": 0.02}
 
+#: The quartiles of n texts are uncertain by about their distance over the root of n: a band reaches further by this many of those.
+FEW = 4.0
+
+#: Measures that the band of all texts judges where no narrower one does.
+ANY_TEXT = ("byte_share", "chars_per_token")
 
 #: Copies of the table of bands, so that its join spreads.
 BAND_COPIES = 64
@@ -144,7 +150,7 @@ def base_failed() -> Column:
     return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
 
 
-def judged(measured: DataFrame, language: str = "lang", spread: dict[str, float] = SPREAD, min_texts: int = 200, min_tokens: int = 128) -> DataFrame:
+def judged(measured: DataFrame, language: str = "lang", spread: dict[str, float] = SPREAD, min_texts: int = 50, min_tokens: int = 128) -> DataFrame:
     """``measured`` with ``base_failed`` and ``kept``: inside the bands of its language or script.
 
     Bands come from the texts that pass the base rules. The table of bands has one row per
@@ -163,27 +169,30 @@ def judged(measured: DataFrame, language: str = "lang", spread: dict[str, float]
             "_by_language": F.when(F.col("_language").isNotNull(), F.struct(F.col("_language").alias("group"), F.col("_octave").alias("octave"))),
             "_by_script": F.struct(F.col("_script").alias("group"), F.col("_octave").alias("octave")),
             "_by_all": F.struct(F.coalesce("_language", "_script").alias("group"), F.lit(-1).alias("octave")),
+            "_by_any": F.struct(F.lit("any").alias("group"), F.lit(-1).alias("octave")),
         }
     )
-    levels = ("_by_language", "_by_script", "_by_all")
+    levels = ("_by_language", "_by_script", "_by_all", "_by_any")
     grouped = (
         rows.where("not base_failed").select(*levels, "n_tokens", "n_words", *SLACK).distinct()
         .select(F.explode(F.array_compact(F.array(*levels))).alias("_group"), *SLACK)
         .groupBy("_group.group", "_group.octave")
     )
-    quartiles = grouped.agg(F.count("*").alias("n"), *(F.percentile_approx(m, [0.25, 0.75], 1000).alias(m) for m in SLACK))
+    # Written once for the levels below that read it.
+    quartiles = stage(grouped.agg(F.count("*").alias("n"), *(F.percentile_approx(m, [0.25, 0.75], 1000).alias(m) for m in SLACK)))
     # One language may hold most rows: each row looks its band up in one of BAND_COPIES copies of the small table.
     copies = F.sequence(F.lit(0).cast("long"), F.lit(BAND_COPIES - 1).cast("long"))
-    bands = quartiles.where(F.col("n") >= min_texts).withColumn("_copy", F.explode(copies))
+    bands = quartiles.where((F.col("n") >= min_texts) | (F.col("group") == "any")).withColumn("_copy", F.explode(copies))
     rows = rows.withColumn("_copy", F.pmod(F.xxhash64("n_words", "word_chars", "evenness", "chars_per_token"), F.lit(BAND_COPIES)))
     for by in levels:
-        band = bands.select(F.struct("group", "octave").alias(by), "_copy", *(F.col(m).alias(f"{by}_{m}") for m in SLACK))
+        band = bands.select(F.struct("group", "octave").alias(by), "_copy", *(F.col(m).alias(f"{by}_{m}") for m in (*SLACK, "n")))
         rows = rows.join(band, [by, "_copy"], "left")
     outside = F.lit(False)
     for m, slack in SLACK.items():
         # Evenness falls with length, so a band over all lengths says nothing about it.
-        band = F.coalesce(*(F.col(f"{by}_{m}") for by in (levels[:2] if m == "evenness" else levels)))
-        reach = F.greatest(spread[m] * (band[1] - band[0]), F.lit(slack))
+        by = levels[: 2 if m == "evenness" else 4 if m in ANY_TEXT else 3]
+        band, n = (F.coalesce(*(F.col(f"{b}_{c}") for b in by)) for c in (m, "n"))
+        reach = F.greatest(spread[m] * (band[1] - band[0]), F.lit(slack)) * (1 + FEW / F.sqrt(n))
         above, below = F.col(m) > band[1] + reach, F.col(m) < band[0] - reach
         outside = outside | F.coalesce({"byte_share": above, "evenness": below}.get(m, above | below), F.lit(False))
     outside = outside & (F.col("n_tokens") >= min_tokens)
@@ -192,7 +201,7 @@ def judged(measured: DataFrame, language: str = "lang", spread: dict[str, float]
 
 def fertility_verdicts(
     documents: DataFrame, vocabulary: str | None = None, id: str = "doc_id", text: str = "text", language: str = "lang",
-    spread: dict[str, float] = SPREAD, min_texts: int = 200, min_tokens: int = 128,
+    spread: dict[str, float] = SPREAD, min_texts: int = 50, min_tokens: int = 128,
 ) -> DataFrame:
     """Id, language, measures, ``base_failed`` and ``kept`` of every text; texts are read once."""
     shared = vocabularies.share_file(documents.sparkSession, vocabulary or vocabularies.default_path("piece_bpe_32k.model"))

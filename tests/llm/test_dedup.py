@@ -141,6 +141,9 @@ def test_line_spread(spark):
         rows.append((n, f"{shared}\n{own}\n\n{few}\nexact ten\n" if n < 10 else f"{shared}\n{own}\n\n{few}\n", site(n), 1))
     rows += [(20, "Subscribe now", "s1", 1), (21, None, "s2", 2), (22, "", None, 3), (23, "Subscribe now\n" + rows[0][1], "s5", 4), (0, rows[0][1], "s0", 1)]
     rows.append((24, "Subscribe now\n" * 3 + "z" * 300_000, "s5", 4))
+    for n, share in enumerate((0.5, 0.6, 0.75, 0.9)):  # furniture makes up this share of the text
+        own = "o" * max(1, round(13 * (1 - share) / share))
+        rows.append((30 + n, f"Subscribe now\n{own}", "s6", 2))
     documents = spark.createDataFrame(rows, "doc_id long, text string, source string, hits int")
     got = Counter((r.row.doc_id, r.text, r.n_lines, r.n_removed) for r in line_spread.without_furniture(documents).collect())
     sites = {}
@@ -153,7 +156,7 @@ def test_line_spread(spark):
     for doc, text, _, _ in rows:
         lines = [] if text is None else text.split("\n")
         hits = [line for line in lines if line.strip(" \t\r") in furniture]
-        drop = hits and sum(len(h.strip(" \t\r")) for h in hits) <= 0.5 * len(text)
+        drop = len(hits) < sum(bool(line.strip(" \t\r")) for line in lines) and hits
         want[(doc, "\n".join(x for x in lines if x.strip(" \t\r") not in furniture) if drop else text, len(lines), len(hits) if drop else 0)] += 1
     assert got == want
     assert line_spread.without_furniture(documents.limit(0)).count() == 0

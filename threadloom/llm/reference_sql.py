@@ -44,11 +44,11 @@ WITH l AS (
 , f AS (SELECT core FROM t WHERE core <> '' GROUP BY core HAVING count(DISTINCT coalesce(source, '')) >= 10)
 , h AS (SELECT t.*, f.core IS NOT NULL AS hit FROM t LEFT JOIN f ON t.core = f.core)
 , d AS (
-  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (hit) AS hits, coalesce(sum(length(core)) FILTER (hit), 0) AS chars,
+  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (hit) AS hits, count(*) FILTER (core <> '') > count(*) FILTER (hit) AS own,
          coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT hit), '') AS rest
   FROM h GROUP BY doc_id)
-SELECT documents.doc_id, CASE WHEN hits > 0 AND chars <= 0.5 * length(text) THEN rest ELSE text END AS text, coalesce(n_lines, 0) AS n_lines,
-       CASE WHEN chars <= 0.5 * length(text) THEN hits ELSE 0 END AS n_removed
+SELECT documents.doc_id, CASE WHEN own AND hits > 0 THEN rest ELSE text END AS text, coalesce(n_lines, 0) AS n_lines,
+       CASE WHEN own THEN hits ELSE 0 END AS n_removed
 FROM documents LEFT JOIN d USING (doc_id)
 """
 

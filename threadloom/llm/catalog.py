@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.llm import (
-    binary_packing, bpe_trie, chat_windows, dominance_packing, embedding_dedup, language_id, line_spread, nb_svm, ngram_join, quality_rules,
-    vocabularies,
+    binary_packing, bpe_trie, chat_windows, collocations, dominance_packing, embedding_dedup, language_id, line_spread, nb_svm, ngram_join,
+    quality_rules, scalar_tables, vocabularies,
 )
+from threadloom.session import stage
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -88,10 +89,21 @@ def op10_nb_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def op12_scalar_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed, centroids = scalar_tables.cluster(_table(spark, sf_dir, "embeddings"))
+    placed = stage(placed)
+    per_cluster = F.broadcast(scalar_tables.summary(placed, centroids))  # at most 40 rows
+    return placed.join(per_cluster, "cluster").select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_quality_rules, op2_language_id, op3_bpe_trie, op4_binary_packing, op5_chat_windows, op6_ngram_join, op7_embedding_dedup,
-        op8_line_spread, op9_dominance_packing, op10_nb_svm,
+        op8_line_spread, op9_dominance_packing, op10_nb_svm, op12_scalar_tables, op13_collocations,
     )
 }

@@ -52,4 +52,59 @@ SELECT documents.doc_id, CASE WHEN own AND hits > 0 THEN rest ELSE text END AS t
 FROM documents LEFT JOIN d USING (doc_id)
 """
 
-REFERENCE_SQL = {"op6_ngram_join": OP6, "op7_embedding_dedup": OP7, "op8_line_spread": OP8}
+
+def _op12(rounds: int = 5) -> str:
+    """Lloyd's rounds written out, all vectors against all centroids."""
+    steps = ["""
+  v AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: floor(256 * x)::BIGINT) AS v FROM embeddings
+        WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)
+, c0 AS (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id::VARCHAR)) - 1 AS k, v AS c FROM v
+         QUALIFY row_number() OVER (ORDER BY sha256('2:' || vec_id::VARCHAR)) <= 40)"""]
+    for n in range(rounds + 1):
+        steps.append(f"""
+, d{n} AS (SELECT vec_id, v, k, list_sum(list_transform(list_zip(v, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM v, c{n})
+, a{n} AS (SELECT vec_id, any_value(v) AS v, min((d, k)) AS best FROM d{n} GROUP BY vec_id)""")
+        if n < rounds:
+            steps.append(f"""
+, m{n} AS (SELECT k, list(m ORDER BY i) AS c FROM (
+    SELECT k, i, ((sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*))::BIGINT AS m
+    FROM (SELECT best[2] AS k, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM a{n}) GROUP BY k, i) GROUP BY k)
+, c{n + 1} AS (SELECT c{n}.k, coalesce(m{n}.c, c{n}.c) AS c FROM c{n} LEFT JOIN m{n} USING (k))""")
+    return f"""
+WITH {"".join(steps)}
+SELECT vec_id, best[2]::INTEGER AS cluster, best[1] AS distance, (sum(best[1]) OVER (PARTITION BY best[2]))::BIGINT AS cluster_inertia,
+       (sum(best[1]) OVER ())::BIGINT AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} ON best[2] = k
+"""
+
+
+OP13 = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents)
+, w AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p)
+, n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang)
+, g AS (
+  SELECT lang, s, unnest(list_transform(range(1, len(w) - s + 2), lambda i: w[i:i + s - 1])) AS g FROM w, (SELECT unnest([1, 2, 3, 4]) AS s) WHERE len(w) >= s)
+, f AS (SELECT lang, s, array_to_string(g, ' ') AS phrase, any_value(g) AS g, count(*) AS f FROM g GROUP BY lang, s, phrase HAVING count(*) >= 30)
+, cut AS (
+  SELECT lang, phrase, s, g, f AS a, k, array_to_string(g[1:k], ' ') AS x, array_to_string(g[k + 1:], ' ') AS y
+  FROM f, (SELECT unnest([1, 2, 3]) AS k) WHERE s >= 2 AND k < s)
+, best AS (
+  SELECT cut.lang, cut.phrase, any_value(cut.g) AS g, any_value(a) AS a,
+         min({'score': (2000000::HUGEINT * a // (l.f + r.f))::BIGINT, 'k': k, 'l': l.f, 'r': r.f}) AS b
+  FROM cut JOIN f l ON l.lang = cut.lang AND l.phrase = x JOIN f r ON r.lang = cut.lang AND r.phrase = y GROUP BY cut.lang, cut.phrase)
+, inner_phrase AS (
+  SELECT lang, array_to_string(g[i:i + m - 1], ' ') AS phrase, f AS longer
+  FROM f, (SELECT unnest([2, 3]) AS m), (SELECT unnest([1, 2, 3]) AS i) WHERE m < s AND i + m - 1 <= s)
+, held AS (SELECT lang, phrase, max(longer) AS longer FROM inner_phrase GROUP BY lang, phrase)
+, ranked AS (
+  SELECT best.*, row_number() OVER (PARTITION BY best.lang ORDER BY b.score DESC, a DESC, encode(best.phrase)) AS rank
+  FROM best LEFT JOIN held ON held.lang = best.lang AND held.phrase = best.phrase WHERE longer IS NULL OR 100 * longer < 80 * a)
+SELECT ranked.lang, rank, phrase, a, b.l AS l, b.r AS r, n, b.score AS score FROM ranked JOIN n USING (lang) WHERE rank <= 2000
+"""
+
+REFERENCE_SQL = {
+    "op6_ngram_join": OP6, "op7_embedding_dedup": OP7, "op8_line_spread": OP8, "op12_scalar_tables": _op12(), "op13_collocations": OP13,
+}

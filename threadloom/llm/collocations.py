@@ -168,9 +168,11 @@ def count_phrases(
         for part in slices(batches, "text"):
             for found in _phrase_counts(texts_of(part), part.column("grp"), longest, shortest, *shared.value):
                 group, size, phrase, times, h = found
+                if not len(times):
+                    continue
                 held.append(pa.RecordBatch.from_arrays([group, size, phrase.cast(pa.large_string()).cast(pa.string()), times, h], ["grp", "n_words", "phrase", "a", "h"]))
                 rows += len(times)
-            if rows > max(GATHERED // 4, 2 * combined):
+            if rows > max(GATHERED // 4, 2 * combined) and held:
                 held = [_combined(held)]
                 rows = combined = held[0].num_rows
             if combined > GATHERED:

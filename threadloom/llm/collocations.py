@@ -1,14 +1,16 @@
 """Phrase collocations by Toivonen's sampling.
 
-A sample of the texts proposes phrases, at a lowered threshold. One full pass then counts, exactly, the proposed phrases
-together with their negative border: every phrase that was not proposed though its first and its last words but one
-were. Whatever else occurs holds an infrequent part, unless a border phrase turns out frequent. Such failures join the proposal, and a further
-full pass counts only the phrases this adds, until a pass finds no failure. Then every frequent phrase has been counted over all texts.
-
-Proposals travel as a bitmap of fixed size (``phrase_filter``). A phrase that slips through it is counted too much, never
-too little, and whether a phrase was counted before is answered by the same bitmaps, so counts are exact at any size.
-Phrases are counted per slice of text, in the task, and by partial aggregation before the shuffle on the phrase, so a
-word or language that a third of all rows hold costs a few rows per task.
+A sample of the texts proposes phrases, at a lowered threshold. One full pass then counts the proposed phrases
+together with their negative border: every phrase that was not proposed though its parts without the last and without the first
+word were. Whatever else occurs holds an infrequent part, unless a border phrase turns out frequent. Such failures join the proposal,
+and a further full pass counts only the phrases this adds, until a pass finds no failure.
+
+These passes count 64-bit prints of phrases, which are shorter to shuffle than phrases; equal prints can only add up to
+more. A last full pass counts the phrases whose print was found frequent, by their words, so the counts given are exact.
+Proposals and frequent prints travel as bitmaps of fixed size (``phrase_filter``). What slips through one is
+counted needlessly, never left out, and whether a print was counted before is asked of the same bitmaps, so results do
+not hang on their size. A task adds up what it counts before the shuffle, so a word
+or language that a third of all rows hold costs a few rows per task.
 
 Defined results: a null text counts as empty, a null group as ``und``. Repeated rows count each time. Texts may be of any
 length; they are read whole. An empty table gives no rows. Columns other than the two named are ignored.
@@ -18,6 +20,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -39,10 +42,19 @@ ROLE[list(b".,;:!?\n\x0b\x0c\r")] = 2
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
-#: Counted phrases a task gathers before it hands them on.
-GATHERED = 400_000
+#: Prints, and phrases, that a task gathers before it hands them on.
+PRINTS, PHRASES = 3_000_000, 200_000
+
 
-COUNTED = "grp string, n_words int, phrase string, a long, h long"
+class Words(NamedTuple):
+    """Words of a slice: row, piece and code of each, the distinct words, the group of each and the distinct groups."""
+
+    row: np.ndarray
+    piece: np.ndarray
+    code: np.ndarray
+    distinct: pa.Array
+    group: np.ndarray
+    groups: pa.Array
 
 
 def hashes_of(strings: pa.Array) -> np.ndarray:
@@ -93,98 +105,132 @@ def pieces_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.A
     return row, piece, encoded.indices.to_numpy(zero_copy_only=False).astype(np.int64), encoded.dictionary
 
 
-def _phrase_counts(
-    texts: pa.Array, groups: pa.Array, longest: int, shortest: int, proposed: np.ndarray, before: np.ndarray | None
-) -> Iterator[tuple[pa.Array, ...]]:
-    """Counted phrases of a slice, longest ``longest`` words. See ``count_phrases``."""
-    row, piece, code, words = pieces_of(texts)
-    names = groups.dictionary_encode()
-    group = names.indices.to_numpy(zero_copy_only=False).astype(np.int64)[row]
-    seed = hashes_of(names.dictionary.cast(pa.large_binary()))[group]
-    spread = hashes_of(words)[code]
-    if before is None:
-        total = np.bincount(group, minlength=len(names.dictionary))
-        some = np.flatnonzero(total)
-        yield names.dictionary.take(pa.array(some)), pa.array(np.zeros(len(some), np.int32)), pa.array([b""] * len(some), pa.large_binary()), pa.array(total[some]), pa.array(np.zeros(len(some), np.int64))
-    print_of = seed
-    inside = kept = fresh = None
-    for n in range(1, longest + 1):
-        m = len(code) - n + 1
-        if m <= 0:
-            return
+def words_of(part: pa.RecordBatch) -> Words:
+    row, piece, code, distinct = pieces_of(texts_of(part))
+    names = part.column("grp").dictionary_encode()
+    return Words(row, piece, code, distinct, names.indices.to_numpy(zero_copy_only=False).astype(np.int64)[row], names.dictionary)
+
+
+def prints_by_length(words: Words, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For 1, 2, ... words: the print of the phrase that starts at each word, and whether it lies in one piece.
+
+    A print holds the group, and its number of words less one in the two lowest bits.
+    """
+    seed = hashes_of(words.groups.cast(pa.large_binary()))[words.group]
+    spread = hashes_of(words.distinct)[words.code]
+    for n in range(1, min(longest, len(words.code)) + 1):
         with np.errstate(over="ignore"):
-            print_of = mixed(print_of[:m] * np.uint64(0x9E3779B97F4A7C15) + spread[n - 1 :])
-        whole = piece[:m] == piece[n - 1 :]
+            seed = mixed(seed[: len(spread) - n + 1] * np.uint64(0x9E3779B97F4A7C15) + spread[n - 1 :])
+        yield n, (seed & ~np.uint64(3)) | np.uint64(n - 1), words.piece[: len(seed)] == words.piece[n - 1 :]
+
+
+def _candidates(words: Words, longest: int, proposed: np.ndarray, before: np.ndarray | None) -> Iterator[tuple[int, np.ndarray]]:
+    """Prints of the phrases to count, one per occurrence; see ``count_prints``."""
+    inside = known = None
+    for n, prints, whole in prints_by_length(words, longest):
         if n > 1:
-            counted = inside[:-1] & inside[1:] & whole
+            wanted = inside[:-1] & inside[1:] & whole
             if before is not None:
-                counted &= ~(kept[:-1] & kept[1:])
-        else:
-            counted = whole if before is None else np.zeros(m, bool)
-        if n >= shortest:
-            at = np.flatnonzero(counted)
-            if len(at):
-                keys, where, times = np.unique(print_of[at], return_index=True, return_counts=True)
-                where = at[where]
-                parts = [words.take(pa.array(code[where + k])) for k in range(n)]
-                phrase = pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.large_binary())) if n > 1 else parts[0]
-                yield (
-                    names.dictionary.take(pa.array(group[where])), pa.array(np.full(len(where), n, np.int32)), phrase,
-                    pa.array(times.astype(np.int64)), pa.array(keys.view(np.int64)),
-                )
+                wanted &= ~(known[:-1] & known[1:])
+            yield n, prints[wanted]
+        elif before is None:
+            yield n, prints
         if n < longest:
-            inside = phrase_filter.holds(proposed, print_of) & whole
-            if before is not None:
-                kept = phrase_filter.holds(before, print_of) & whole
+            inside = phrase_filter.holds(proposed, prints) & whole
+            known = None if before is None else phrase_filter.holds(before, prints) & whole
 
 
-def _combined(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-    """Equal phrases of one task as one row each."""
-    table = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-    key = mixed(table.column("h").to_numpy().view(np.uint64) + table.column("n_words").to_numpy().astype(np.uint64))
-    order = np.argsort(key, kind="stable")
-    changed = np.concatenate([[True], key[order][1:] != key[order][:-1]])
-    # The total of a group has no phrase and hash 0 in every group: never combined here.
-    changed |= table.column("n_words").to_numpy()[order] == 0
-    starts = np.flatnonzero(changed)
-    sums = np.add.reduceat(table.column("a").to_numpy()[order], starts)
-    out = table.take(pa.array(order[starts]))
-    return pa.RecordBatch.from_arrays([*out.columns[:3], pa.array(sums), out.column("h")], out.schema.names)
-
-
-def count_phrases(
-    texts: DataFrame, longest: int, shortest: int, proposed: np.ndarray, before: np.ndarray | None, least: int
-) -> DataFrame:
-    """``grp``, ``n_words``, ``phrase``, ``a`` and ``h`` of phrases counted ``least`` times or more in ``(grp, text)``.
+def _added_up(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    prints, times = (np.concatenate(x) for x in zip(*held))
+    order = np.argsort(prints)
+    prints = prints[order]
+    starts = np.flatnonzero(np.concatenate([[True], prints[1:] != prints[:-1]]))
+    return prints[starts], np.add.reduceat(times[order], starts)
+
+
+def count_prints(texts: DataFrame, longest: int, shortest: int, proposed: np.ndarray, before: np.ndarray | None, least: int) -> DataFrame:
+    """``h`` and ``a`` of prints counted ``least`` times or more, of phrases of ``shortest`` to ``longest`` words in ``(grp, text)``.
 
-    Counted are phrases of ``shortest`` to ``longest`` words whose parts without the last and without the first word
-    are both ``proposed``, and, where ``before`` is given, not both in ``before``. Without ``before`` all words count, and
-    the number of all words is there as a phrase of no words.
+    Counted are phrases whose parts without the last and without the first word are both ``proposed``, and, where ``before``
+    is given, not both in ``before``. Words count where it is not given.
     """
-    spark = texts.sparkSession
-    shared = spark.sparkContext.broadcast((proposed, before))
+    shared = texts.sparkSession.sparkContext.broadcast((proposed, before))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        rows = added = 0
+
+        def batch(found: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(found[0].view(np.int64)), pa.array(found[1])], ["h", "a"])
+
+        for part in slices(batches, "text"):
+            for n, prints in _candidates(words_of(part), longest, *shared.value):
+                if n >= shortest and len(prints):
+                    held.append(np.unique(prints, return_counts=True))
+                    rows += len(held[-1][0])
+            if rows > max(PRINTS // 4, 2 * added):
+                held = [_added_up(held)]
+                rows = added = len(held[0][0])
+            if added > PRINTS:
+                yield batch(held[0])
+                held, rows, added = [], 0, 0
+        if held:
+            yield batch(_added_up(held))
+
+    # Tasks have added up already: dealt out first, so that no task tries again before the shuffle.
+    found = texts.mapInArrow(run, "h long, a long").repartition("h")
+    return found.groupBy("h").agg(F.sum("a").alias("a")).where(F.col("a") >= least)
+
+
+def _same_phrases(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """Equal phrases of one task as one row each."""
+    table = pa.Table.from_batches(held).combine_chunks()
+    return pa.Table.group_by(table, ["grp", "n_words", "phrase"], use_threads=False).aggregate([("a", "sum")]).rename_columns(
+        ["grp", "n_words", "phrase", "a"]
+    ).combine_chunks().to_batches()[0]
+
+
+def count_phrases(texts: DataFrame, longest: int, frequent: np.ndarray, least: int) -> DataFrame:
+    """``grp``, ``n_words``, ``phrase`` and ``a`` of phrases in ``frequent`` that occur ``least`` times or more; no words: all words of a group."""
+    shared = texts.sparkSession.sparkContext.broadcast(frequent)
+
+    def found_in(words: Words) -> Iterator[pa.RecordBatch]:
+        def batch(group: np.ndarray, n: int, phrase: pa.Array, times: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [words.groups.take(pa.array(group)), pa.array(np.full(len(group), n, np.int32)), phrase.cast(pa.large_string()).cast(pa.string()), pa.array(times)],
+                ["grp", "n_words", "phrase", "a"],
+            )
+
+        total = np.bincount(words.group, minlength=len(words.groups))
+        some = np.flatnonzero(total)
+        if len(some):
+            yield batch(some, 0, pa.array([b""] * len(some), pa.large_binary()), total[some])
+        for n, prints, whole in prints_by_length(words, longest):
+            at = np.flatnonzero(whole & phrase_filter.holds(shared.value, prints))
+            if len(at):
+                _, first, times = np.unique(prints[at], return_index=True, return_counts=True)
+                first = at[first]
+                parts = [words.distinct.take(pa.array(words.code[first + k])) for k in range(n)]
+                yield batch(words.group[first], n, pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.large_binary())) if n > 1 else parts[0], times)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        rows = combined = 0
+        rows = added = 0
         for part in slices(batches, "text"):
-            for found in _phrase_counts(texts_of(part), part.column("grp"), longest, shortest, *shared.value):
-                group, size, phrase, times, h = found
-                if not len(times):
-                    continue
-                held.append(pa.RecordBatch.from_arrays([group, size, phrase.cast(pa.large_string()).cast(pa.string()), times, h], ["grp", "n_words", "phrase", "a", "h"]))
-                rows += len(times)
-            if rows > max(GATHERED // 4, 2 * combined) and held:
-                held = [_combined(held)]
-                rows = combined = held[0].num_rows
-            if combined > GATHERED:
+            for found in found_in(words_of(part)):
+                held.append(found)
+                rows += found.num_rows
+            if rows > max(PHRASES, 2 * added):
+                held = [_same_phrases(held)]
+                rows = added = held[0].num_rows
+            if added > PHRASES:
                 yield held[0]
-                held, rows, combined = [], 0, 0
+                held, rows, added = [], 0, 0
         if held:
-            yield _combined(held)
+            yield _same_phrases(held)
 
-    found = texts.mapInArrow(run, COUNTED)
-    return found.groupBy("grp", "n_words", "phrase").agg(F.sum("a").alias("a"), F.first("h").alias("h")).where((F.col("a") >= least) | (F.col("n_words") == 0))
+    found = texts.mapInArrow(run, "grp string, n_words int, phrase string, a long")
+    return found.groupBy("grp", "n_words", "phrase").agg(F.sum("a").alias("a")).where((F.col("a") >= least) | (F.col("n_words") == 0))
 
 
 def sampled_proposal(texts: DataFrame, longest: int, least: int, part: int, bits: int) -> np.ndarray:
@@ -197,8 +243,7 @@ def sampled_proposal(texts: DataFrame, longest: int, least: int, part: int, bits
     lowered = max(2, math.floor(mean - math.sqrt(mean)))
     proposed = phrase_filter.empty(bits)
     for n in range(1, longest):
-        frequent = count_phrases(sample, n, n, proposed, None, lowered).where("n_words > 0")
-        proposed = proposed | phrase_filter.built(frequent, bits)
+        proposed = proposed | phrase_filter.built(count_prints(sample, n, n, proposed, None, lowered), bits)
     return proposed
 
 
@@ -208,18 +253,15 @@ def frequent_phrases(
     """``grp``, ``n_words``, ``phrase`` and ``a`` of all phrases of up to ``longest`` words that occur ``least`` times; no words: all words."""
     texts = documents.select(F.coalesce(F.col(group).cast("string"), F.lit(UNKNOWN)).alias("grp"), F.coalesce(text, F.lit("")).alias("text"))
     proposed, before = sampled_proposal(texts, longest, least, part, bits), None
-    passes = []
+    frequent = phrase_filter.empty(bits)
     while True:
-        found = stage(count_phrases(texts, longest, 1, proposed, before, least))
-        passes.append(found)
-        wider = proposed | phrase_filter.built(found.where((F.col("n_words") > 0) & (F.col("n_words") < longest)), bits)
+        found = stage(count_prints(texts, longest, 1, proposed, before, least))
+        frequent = frequent | phrase_filter.built(found, bits)
+        shorter = F.col("h").bitwiseAND(F.lit(3)) < longest - 1
+        wider = proposed | phrase_filter.built(found.where(shorter), bits)
         if (wider == proposed).all():
-            break
+            return count_phrases(texts, longest, frequent, least)
         proposed, before = wider, proposed
-    whole = passes[0]
-    for found in passes[1:]:
-        whole = whole.unionAll(found)
-    return whole.drop("h")
 
 
 def _joined(words: Column, first: Column | int, n: Column) -> Column:

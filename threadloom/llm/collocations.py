@@ -5,9 +5,9 @@ together with their negative border: every phrase that was not proposed though i
 word were. Whatever else occurs holds an infrequent part, unless a border phrase turns out frequent. Such failures join the proposal,
 and a further full pass counts only the phrases this adds, until a pass finds no failure.
 
-These passes count 64-bit prints of phrases, which are shorter to shuffle than phrases; equal prints can only add up to
-more. A last full pass counts the phrases whose print was found frequent, by their words, so the counts given are exact.
-Proposals and frequent prints travel as bitmaps of fixed size (``phrase_filter``). What slips through one is
+These passes count prints of phrases (two independent hashes, 93 bits), which are shorter to shuffle than phrases. The words of a
+frequent print are then looked up in growing samples of the texts, each round only for prints still without words, the last in all texts.
+Proposals and wanted prints travel as bitmaps of fixed size (``phrase_filter``). What slips through one is
 counted needlessly, never left out, and whether a print was counted before is asked of the same bitmaps, so results do
 not hang on their size. A task adds up what it counts before the shuffle, so a word
 or language that a third of all rows hold costs a few rows per task.
@@ -42,8 +42,8 @@ ROLE[list(b".,;:!?\n\x0b\x0c\r")] = 2
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
-#: Prints, and phrases, that a task gathers before it hands them on.
-PRINTS, PHRASES = 3_000_000, 200_000
+#: Prints that a task gathers before it hands them on.
+PRINTS = 3_000_000
 
 
 class Words(NamedTuple):
@@ -57,7 +57,7 @@ class Words(NamedTuple):
     groups: pa.Array
 
 
-def hashes_of(strings: pa.Array) -> np.ndarray:
+def hashes_of(strings: pa.Array, seed: int = 0) -> np.ndarray:
     """64-bit hashes of binary strings: mixed bytes and places, summed up."""
     sizes = pc.binary_length(strings).to_numpy(zero_copy_only=False).astype(np.int64)
     if not len(sizes):
@@ -69,7 +69,7 @@ def hashes_of(strings: pa.Array) -> np.ndarray:
     full = np.flatnonzero(sizes)
     if len(full):
         with np.errstate(over="ignore"):
-            sums[full] = np.add.reduceat(mixed(mixed(place + 1) + data), (ends - sizes)[full])
+            sums[full] = np.add.reduceat(mixed(mixed(place + 1 + (seed << 48)) + data), (ends - sizes)[full])
     return mixed(sums + sizes.astype(np.uint64))
 
 
@@ -111,126 +111,133 @@ def words_of(part: pa.RecordBatch) -> Words:
     return Words(row, piece, code, distinct, names.indices.to_numpy(zero_copy_only=False).astype(np.int64)[row], names.dictionary)
 
 
-def prints_by_length(words: Words, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For 1, 2, ... words: the print of the phrase that starts at each word, and whether it lies in one piece.
+#: Lowest bits of a print: the number of words of its phrase; 0 stands for the group itself, counted once per word.
+SIZE_BITS = 7
 
-    A print holds the group, and its number of words less one in the two lowest bits.
-    """
-    seed = hashes_of(words.groups.cast(pa.large_binary()))[words.group]
-    spread = hashes_of(words.distinct)[words.code]
-    for n in range(1, min(longest, len(words.code)) + 1):
-        with np.errstate(over="ignore"):
-            seed = mixed(seed[: len(spread) - n + 1] * np.uint64(0x9E3779B97F4A7C15) + spread[n - 1 :])
-        yield n, (seed & ~np.uint64(3)) | np.uint64(n - 1), words.piece[: len(seed)] == words.piece[n - 1 :]
+
+class Phrases(NamedTuple):
+    """The phrases of ``n`` words from each word on: two prints, and whether the phrase lies in one piece."""
+
+    n: int
+    h: np.ndarray
+    g: np.ndarray
+    whole: np.ndarray
 
 
-def _candidates(words: Words, longest: int, proposed: np.ndarray, before: np.ndarray | None) -> Iterator[tuple[int, np.ndarray]]:
-    """Prints of the phrases to count, one per occurrence; see ``count_prints``."""
+def phrases_by_length(words: Words, longest: int) -> Iterator[Phrases]:
+    strings, names = words.distinct, words.groups.cast(pa.large_binary())
+    h, g = hashes_of(names)[words.group], hashes_of(names, 1)[words.group]
+    each_h, each_g = hashes_of(strings)[words.code], hashes_of(strings, 1)[words.code]
+    for n in range(min(longest, len(words.code)) + 1):
+        if n:
+            with np.errstate(over="ignore"):
+                h = mixed(h[: len(each_h) - n + 1] * np.uint64(0x9E3779B97F4A7C15) + each_h[n - 1 :])
+                g = (g[: len(h)] ^ (g[: len(h)] >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93) + each_g[n - 1 :]
+        size = np.uint64(SIZE_BITS)
+        whole = words.piece[: len(h)] == words.piece[max(n - 1, 0) :]
+        yield Phrases(n, (h & ~size) | np.uint64(n), (g >> np.uint64(33)).astype(np.int32), whole)
+
+
+def _candidates(words: Words, longest: int, proposed: np.ndarray, before: np.ndarray | None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Size and prints of the phrases to count, one per occurrence; see ``count_prints``."""
     inside = known = None
-    for n, prints, whole in prints_by_length(words, longest):
+    for n, h, g, whole in phrases_by_length(words, longest):
         if n > 1:
             wanted = inside[:-1] & inside[1:] & whole
             if before is not None:
                 wanted &= ~(known[:-1] & known[1:])
-            yield n, prints[wanted]
+            yield n, h[wanted], g[wanted]
         elif before is None:
-            yield n, prints
-        if n < longest:
-            inside = phrase_filter.holds(proposed, prints) & whole
-            known = None if before is None else phrase_filter.holds(before, prints) & whole
+            yield n, h, g
+        if 0 < n < longest:
+            inside = phrase_filter.holds(proposed, h) & whole
+            known = None if before is None else phrase_filter.holds(before, h) & whole
 
 
-def _added_up(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    prints, times = (np.concatenate(x) for x in zip(*held))
-    order = np.argsort(prints)
-    prints = prints[order]
-    starts = np.flatnonzero(np.concatenate([[True], prints[1:] != prints[:-1]]))
-    return prints[starts], np.add.reduceat(times[order], starts)
+def _added_up(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    h, g, times = (np.concatenate(x) for x in zip(*held))
+    order = np.argsort(h)
+    h, g = h[order], g[order]
+    starts = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (g[1:] != g[:-1])]))
+    return h[starts], g[starts], np.add.reduceat(times[order], starts)
 
 
 def count_prints(texts: DataFrame, longest: int, shortest: int, proposed: np.ndarray, before: np.ndarray | None, least: int) -> DataFrame:
-    """``h`` and ``a`` of prints counted ``least`` times or more, of phrases of ``shortest`` to ``longest`` words in ``(grp, text)``.
+    """Prints ``h`` and ``g`` with their counts ``a`` of ``least`` or more, of phrases of ``shortest`` to ``longest`` words in ``(grp, text)``.
 
     Counted are phrases whose parts without the last and without the first word are both ``proposed``, and, where ``before``
-    is given, not both in ``before``. Words count where it is not given.
+    is given, not both in ``before``. Words and groups count where it is not given.
     """
     shared = texts.sparkSession.sparkContext.broadcast((proposed, before))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         rows = added = 0
 
-        def batch(found: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(found[0].view(np.int64)), pa.array(found[1])], ["h", "a"])
+        def batch(h: np.ndarray, g: np.ndarray, times: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(g), pa.array(times)], ["h", "g", "a"])
 
         for part in slices(batches, "text"):
-            for n, prints in _candidates(words_of(part), longest, *shared.value):
-                if n >= shortest and len(prints):
-                    held.append(np.unique(prints, return_counts=True))
-                    rows += len(held[-1][0])
+            fresh = [(h, g, np.ones(len(h), np.int64)) for n, h, g in _candidates(words_of(part), longest, *shared.value) if n >= shortest and len(h)]
+            if fresh:
+                held.append(_added_up(fresh))
+                rows += len(held[-1][0])
             if rows > max(PRINTS // 4, 2 * added):
                 held = [_added_up(held)]
                 rows = added = len(held[0][0])
             if added > PRINTS:
-                yield batch(held[0])
+                yield batch(*held[0])
                 held, rows, added = [], 0, 0
         if held:
-            yield batch(_added_up(held))
+            yield batch(*_added_up(held))
 
     # Tasks have added up already: dealt out first, so that no task tries again before the shuffle.
-    found = texts.mapInArrow(run, "h long, a long").repartition("h")
-    return found.groupBy("h").agg(F.sum("a").alias("a")).where(F.col("a") >= least)
-
-
-def _same_phrases(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-    """Equal phrases of one task as one row each."""
-    table = pa.Table.from_batches(held).combine_chunks()
-    return pa.Table.group_by(table, ["grp", "n_words", "phrase"], use_threads=False).aggregate([("a", "sum")]).rename_columns(
-        ["grp", "n_words", "phrase", "a"]
-    ).combine_chunks().to_batches()[0]
-
-
-def count_phrases(texts: DataFrame, longest: int, frequent: np.ndarray, least: int) -> DataFrame:
-    """``grp``, ``n_words``, ``phrase`` and ``a`` of phrases in ``frequent`` that occur ``least`` times or more; no words: all words of a group."""
-    shared = texts.sparkSession.sparkContext.broadcast(frequent)
-
-    def found_in(words: Words) -> Iterator[pa.RecordBatch]:
-        def batch(group: np.ndarray, n: int, phrase: pa.Array, times: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays(
-                [words.groups.take(pa.array(group)), pa.array(np.full(len(group), n, np.int32)), phrase.cast(pa.large_string()).cast(pa.string()), pa.array(times)],
-                ["grp", "n_words", "phrase", "a"],
-            )
-
-        total = np.bincount(words.group, minlength=len(words.groups))
-        some = np.flatnonzero(total)
-        if len(some):
-            yield batch(some, 0, pa.array([b""] * len(some), pa.large_binary()), total[some])
-        for n, prints, whole in prints_by_length(words, longest):
-            at = np.flatnonzero(whole & phrase_filter.holds(shared.value, prints))
-            if len(at):
-                _, first, times = np.unique(prints[at], return_index=True, return_counts=True)
-                first = at[first]
-                parts = [words.distinct.take(pa.array(words.code[first + k])) for k in range(n)]
-                yield batch(words.group[first], n, pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.large_binary())) if n > 1 else parts[0], times)
+    found = texts.mapInArrow(run, "h long, g int, a long").repartition("h")
+    return found.groupBy("h", "g").agg(F.sum("a").alias("a")).where(F.col("a") >= least)
+
+
+def words_of_prints(texts: DataFrame, longest: int, wanted: np.ndarray) -> DataFrame:
+    """``h``, ``g``, ``grp``, ``n_words`` and ``phrase`` of the phrases in ``texts`` whose print may be in ``wanted``, once per slice at most."""
+    shared = texts.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        rows = added = 0
         for part in slices(batches, "text"):
-            for found in found_in(words_of(part)):
-                held.append(found)
-                rows += found.num_rows
-            if rows > max(PHRASES, 2 * added):
-                held = [_same_phrases(held)]
-                rows = added = held[0].num_rows
-            if added > PHRASES:
-                yield held[0]
-                held, rows, added = [], 0, 0
-        if held:
-            yield _same_phrases(held)
-
-    found = texts.mapInArrow(run, "grp string, n_words int, phrase string, a long")
-    return found.groupBy("grp", "n_words", "phrase").agg(F.sum("a").alias("a")).where((F.col("a") >= least) | (F.col("n_words") == 0))
+            words = words_of(part)
+            for n, h, g, whole in phrases_by_length(words, longest):
+                at = np.flatnonzero(whole & phrase_filter.holds(shared.value, h))
+                at = at[np.unique(h[at], return_index=True)[1]]
+                if not len(at):
+                    continue
+                parts = [words.distinct.take(pa.array(words.code[at + k])) for k in range(n)]
+                phrase = pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.large_binary())) if n else pa.array([b""] * len(at), pa.large_binary())
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(h[at].view(np.int64)), pa.array(g[at]), words.groups.take(pa.array(words.group[at])),
+                        pa.array(np.full(len(at), n, np.int32)), phrase.cast(pa.large_string()).cast(pa.string()),
+                    ],
+                    ["h", "g", "grp", "n_words", "phrase"],
+                )
+
+    return texts.mapInArrow(run, "h long, g int, grp string, n_words int, phrase string")
+
+
+def with_words(texts: DataFrame, frequent: DataFrame, longest: int, bits: int, samples: tuple[int, ...] = (32, 4, 1)) -> DataFrame:
+    """``frequent`` prints with ``grp``, ``n_words`` and ``phrase``: looked up in one of 32 texts, then in one of 4, then in all.
+
+    Only prints without words yet are wanted of a round, so no round makes many rows for a print, however common.
+    """
+    named, missing = None, frequent
+    for n, part in enumerate(samples):
+        some = texts if part == 1 else texts.sample(1 / part, seed=101 + n)
+        found = words_of_prints(some, longest, phrase_filter.built(missing, bits))
+        once = found.groupBy("h", "g").agg(*(F.first(c).alias(c) for c in ("grp", "n_words", "phrase")))
+        looked = stage(missing.join(once, ["h", "g"], "left"))
+        got = looked.where("phrase is not null")
+        named = got if named is None else named.unionAll(got)
+        missing = looked.where("phrase is null").select("h", "g", "a")
+        if missing.isEmpty():
+            break
+    return named
 
 
 def sampled_proposal(texts: DataFrame, longest: int, least: int, part: int, bits: int) -> np.ndarray:
@@ -248,19 +255,24 @@ def sampled_proposal(texts: DataFrame, longest: int, least: int, part: int, bits
 
 
 def frequent_phrases(
-    documents: DataFrame, longest: int = 4, least: int = 30, part: int = 4, bits: int = phrase_filter.BITS, group: str = "lang", text: str = "text",
+    documents: DataFrame, longest: int = 4, least: int = 30, part: int = 8, bits: int = phrase_filter.BITS, group: str = "lang", text: str = "text",
 ) -> DataFrame:
-    """``grp``, ``n_words``, ``phrase`` and ``a`` of all phrases of up to ``longest`` words that occur ``least`` times; no words: all words."""
+    """``grp``, ``n_words``, ``phrase`` and ``a`` of all phrases of up to ``longest`` words that occur ``least`` times.
+
+    The empty phrase stands for all words of its group, where they are as many.
+    """
     texts = documents.select(F.coalesce(F.col(group).cast("string"), F.lit(UNKNOWN)).alias("grp"), F.coalesce(text, F.lit("")).alias("text"))
+    if not 1 < longest < SIZE_BITS:
+        raise ValueError("phrases have two to six words")
     proposed, before = sampled_proposal(texts, longest, least, part, bits), None
-    frequent = phrase_filter.empty(bits)
+    frequent = None
     while True:
-        found = stage(count_prints(texts, longest, 1, proposed, before, least))
-        frequent = frequent | phrase_filter.built(found, bits)
-        shorter = F.col("h").bitwiseAND(F.lit(3)) < longest - 1
-        wider = proposed | phrase_filter.built(found.where(shorter), bits)
+        found = stage(count_prints(texts, longest, 0, proposed, before, least))
+        frequent = found if frequent is None else frequent.unionAll(found)
+        size = F.col("h").bitwiseAND(F.lit(SIZE_BITS))
+        wider = proposed | phrase_filter.built(found.where((size > 0) & (size < longest)), bits)
         if (wider == proposed).all():
-            return count_phrases(texts, longest, frequent, least)
+            return with_words(texts, frequent, longest, bits).drop("h", "g")
         proposed, before = wider, proposed
 
 
@@ -269,7 +281,7 @@ def _joined(words: Column, first: Column | int, n: Column) -> Column:
 
 
 def collocations(
-    documents: DataFrame, least: int = 30, top: int = 2000, longest: int = 4, part: int = 4, group: str = "lang", text: str = "text",
+    documents: DataFrame, least: int = 30, top: int = 2000, longest: int = 4, part: int = 8, group: str = "lang", text: str = "text",
 ) -> DataFrame:
     """The best phrases of two words or more per group: ``group``, ``rank``, ``phrase``, ``a``, ``l``, ``r``, ``n`` and ``score``.
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from threadloom.llm import (
     binary_packing, bpe_trie, chat_windows, collocations, dominance_packing, embedding_dedup, language_id, line_spread, nb_svm, ngram_join,
-    quality_rules, scalar_tables, vocabularies,
+    quality_rules, relative_parse, scalar_tables, vocabularies,
 )
 from threadloom.session import stage
 
@@ -89,6 +89,11 @@ def op10_nb_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def op11_relative_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = relative_parse.without_duplicates(_table(spark, sf_dir, "documents"))
+    return left.withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
+
+
 def op12_scalar_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed, centroids = scalar_tables.cluster(_table(spark, sf_dir, "embeddings"))
     placed = stage(placed)
@@ -104,6 +109,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_quality_rules, op2_language_id, op3_bpe_trie, op4_binary_packing, op5_chat_windows, op6_ngram_join, op7_embedding_dedup,
-        op8_line_spread, op9_dominance_packing, op10_nb_svm, op12_scalar_tables, op13_collocations,
+        op8_line_spread, op9_dominance_packing, op10_nb_svm, op11_relative_parse, op12_scalar_tables,
+        op13_collocations,
     )
 }

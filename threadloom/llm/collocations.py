@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.llm import phrase_filter
-from threadloom.llm.text import mixed, slices, texts_of
+from threadloom.llm.text import bytes_of, hashes_of, mixed, offsets_of, slices, texts_of
 from threadloom.session import stage
 
 UNKNOWN = "und"
@@ -43,7 +43,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
 #: Prints that a task gathers before it hands them on.
-PRINTS = 3_000_000
+PRINTS = 1_500_000
 
 
 class Words(NamedTuple):
@@ -57,36 +57,11 @@ class Words(NamedTuple):
     groups: pa.Array
 
 
-def hashes_of(strings: pa.Array, seed: int = 0) -> np.ndarray:
-    """64-bit hashes of binary strings: mixed bytes and places, summed up."""
-    sizes = pc.binary_length(strings).to_numpy(zero_copy_only=False).astype(np.int64)
-    if not len(sizes):
-        return np.zeros(0, np.uint64)
-    data = _bytes_of(strings)
-    ends = np.cumsum(sizes)
-    place = np.arange(len(data)) - np.repeat(ends - sizes, sizes)
-    sums = np.zeros(len(sizes), np.uint64)
-    full = np.flatnonzero(sizes)
-    if len(full):
-        with np.errstate(over="ignore"):
-            sums[full] = np.add.reduceat(mixed(mixed(place + 1 + (seed << 48)) + data), (ends - sizes)[full])
-    return mixed(sums + sizes.astype(np.uint64))
-
-
-def _offsets_of(strings: pa.Array) -> np.ndarray:
-    return np.frombuffer(strings.buffers()[1], np.int64, len(strings) + 1, strings.offset * 8)
-
-
-def _bytes_of(strings: pa.Array) -> np.ndarray:
-    offsets, data = _offsets_of(strings), strings.buffers()[2]
-    return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, np.uint8)
-
-
 def pieces_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
     """Row, piece and code of every word, and the distinct words: A-Z lower-cased, split at the marks of ``ROLE``."""
-    offsets = _offsets_of(texts)
+    offsets = offsets_of(texts)
     offsets = offsets - offsets[0]
-    data = LOWER[_bytes_of(texts)]
+    data = LOWER[bytes_of(texts)]
     n = len(data)
     if not n:
         return *(np.zeros(0, np.int64) for _ in range(3)), pa.array([], pa.large_binary())

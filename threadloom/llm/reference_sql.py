@@ -53,6 +53,20 @@ FROM documents LEFT JOIN d USING (doc_id)
 """
 
 
+OP11 = r"""
+WITH t AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents)
+, g AS (SELECT doc_id, unnest(range(1, len(w) - 48)) AS i, unnest(list_transform(range(1, len(w) - 48), lambda i: sha256(array_to_string(w[i:i + 49], ' ')))) AS g
+        FROM t WHERE len(w) >= 50)
+, low AS (SELECT g, min(doc_id) AS low FROM g GROUP BY g)
+, hit AS (SELECT doc_id, i FROM g JOIN low USING (g) WHERE doc_id > low)
+, gone AS (SELECT doc_id, list(DISTINCT p) AS gone FROM (SELECT doc_id, unnest(range(i, i + 50)) AS p FROM hit) GROUP BY doc_id)
+, left_over AS (
+  SELECT doc_id, len(w) AS n_words, coalesce(len(gone), 0) AS n_removed, array_to_string(list_filter(w, lambda x, p: gone IS NULL OR NOT list_contains(gone, p)), ' ') AS kept
+  FROM t LEFT JOIN gone USING (doc_id))
+SELECT doc_id, n_words::BIGINT AS n_words, n_removed::BIGINT AS n_removed, sha256(kept) AS kept_sha256 FROM left_over
+"""
+
+
 def _op12(rounds: int = 5) -> str:
     """Lloyd's rounds written out, all vectors against all centroids."""
     steps = ["""
@@ -106,5 +120,6 @@ SELECT ranked.lang, rank, phrase, a, b.l AS l, b.r AS r, n, b.score AS score FRO
 """
 
 REFERENCE_SQL = {
-    "op6_ngram_join": OP6, "op7_embedding_dedup": OP7, "op8_line_spread": OP8, "op12_scalar_tables": _op12(), "op13_collocations": OP13,
+    "op6_ngram_join": OP6, "op7_embedding_dedup": OP7, "op8_line_spread": OP8, "op11_relative_parse": OP11,
+    "op12_scalar_tables": _op12(), "op13_collocations": OP13,
 }

@@ -110,6 +110,31 @@ def mixed(values: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def hashes_of(strings: pa.Array, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of strings with 64-bit offsets: mixed bytes and places, summed up."""
+    sizes = pc.binary_length(strings).to_numpy(zero_copy_only=False).astype(np.int64)
+    if not len(sizes):
+        return np.zeros(0, np.uint64)
+    data = bytes_of(strings)
+    ends = np.cumsum(sizes)
+    place = np.arange(len(data)) - np.repeat(ends - sizes, sizes)
+    sums = np.zeros(len(sizes), np.uint64)
+    full = np.flatnonzero(sizes)
+    if len(full):
+        with np.errstate(over="ignore"):
+            sums[full] = np.add.reduceat(mixed(mixed(place + 1 + (seed << 48)) + data), (ends - sizes)[full])
+    return mixed(sums + sizes.astype(np.uint64))
+
+
+def offsets_of(strings: pa.Array) -> np.ndarray:
+    return np.frombuffer(strings.buffers()[1], np.int64, len(strings) + 1, strings.offset * 8)
+
+
+def bytes_of(strings: pa.Array) -> np.ndarray:
+    offsets, data = offsets_of(strings), strings.buffers()[2]
+    return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, np.uint8)
+
+
 class EncodingTable:
     """Integer encodings of distinct strings, computed once while this worker remembers them.
 

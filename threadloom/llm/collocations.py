@@ -32,6 +32,9 @@ from threadloom.llm import phrase_filter
 from threadloom.llm.text import bytes_of, hashes_of, mixed, offsets_of, slices, texts_of
 from threadloom.session import stage
 
+#: Bytes of text at a time: a word takes some hundred bytes of arrays here.
+SLICE = 1 << 20
+
 UNKNOWN = "und"
 
 #: What a byte does: 0 belongs to a word, 1 stands between words, 2 ends a piece.
@@ -152,7 +155,7 @@ def count_prints(texts: DataFrame, longest: int, shortest: int, proposed: np.nda
         def batch(h: np.ndarray, g: np.ndarray, times: np.ndarray) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(g), pa.array(times)], ["h", "g", "a"])
 
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", SLICE):
             fresh = [(h, g, np.ones(len(h), np.int64)) for n, h, g in _candidates(words_of(part), longest, *shared.value) if n >= shortest and len(h)]
             if fresh:
                 held.append(_added_up(fresh))
@@ -176,7 +179,7 @@ def words_of_prints(texts: DataFrame, longest: int, wanted: np.ndarray) -> DataF
     shared = texts.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", SLICE):
             words = words_of(part)
             for n, h, g, whole in phrases_by_length(words, longest):
                 at = np.flatnonzero(whole & phrase_filter.holds(shared.value, h))

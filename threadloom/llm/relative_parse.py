@@ -36,6 +36,9 @@ from threadloom.llm import phrase_filter
 from threadloom.llm.text import Coded, coded_words, hashes_of, mixed, slices, texts_of
 from threadloom.session import stage
 
+#: Bytes of text at a time: a word takes some hundred bytes of arrays here.
+SLICE = 1 << 20
+
 #: Words of an anchor. Longer ones stand in fewer texts by chance, shorter ones make fewer stretches.
 ANCHOR = 16
 
@@ -113,7 +116,7 @@ def anchors_of(texts: DataFrame, width: int, anchor: int) -> DataFrame:
     """``h`` and ``doc`` of every anchor of ``(doc, key, text)``, once per slice and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", SLICE):
             found = stretches_of(coded_words(texts_of(part)), width, anchor)
             order = np.lexsort((found.row, found.anchor))
             row, h = found.row[order], found.anchor[order]
@@ -129,7 +132,7 @@ def stretches_in(texts: DataFrame, width: int, anchor: int, live: np.ndarray) ->
     shared = texts.sparkSession.sparkContext.broadcast(live)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", SLICE):
             found = stretches_of(coded_words(texts_of(part)), width, anchor)
             at = np.flatnonzero(phrase_filter.holds(shared.value, found.anchor))
             row = pa.array(found.row[at])
@@ -150,7 +153,7 @@ def boundary_windows(edges: DataFrame, width: int, shared_windows: np.ndarray |
     shared = edges.sparkSession.sparkContext.broadcast(shared_windows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", SLICE):
             words = coded_words(texts_of(part))
             if not len(words.code):
                 continue
@@ -216,7 +219,7 @@ def duplicate_spans(documents: DataFrame, width: int = 50, anchor: int = ANCHOR,
 
 def _without(batches: Iterator[pa.RecordBatch], id: str) -> Iterator[pa.RecordBatch]:
     """Texts as words joined by one space, without the words in their spans."""
-    for part in slices(batches, "text"):
+    for part in slices(batches, "text", SLICE):
         words = coded_words(texts_of(part))
         ends = np.cumsum(words.counts)
         kept = np.ones(len(words.code), bool)

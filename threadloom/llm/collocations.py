@@ -140,7 +140,9 @@ def _added_up(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np
     return h[starts], g[starts], np.add.reduceat(times[order], starts)
 
 
-def count_prints(texts: DataFrame, longest: int, shortest: int, proposed: np.ndarray, before: np.ndarray | None, least: int) -> DataFrame:
+def count_prints(
+    texts: DataFrame, longest: int, shortest: int, proposed: np.ndarray, before: np.ndarray | None, least: int, gather: int = PRINTS
+) -> DataFrame:
     """Prints ``h`` and ``g`` with their counts ``a`` of ``least`` or more, of phrases of ``shortest`` to ``longest`` words in ``(grp, text)``.
 
     Counted are phrases whose parts without the last and without the first word are both ``proposed``, and, where ``before``
@@ -160,10 +162,10 @@ def count_prints(texts: DataFrame, longest: int, shortest: int, proposed: np.nda
             if fresh:
                 held.append(_added_up(fresh))
                 rows += len(held[-1][0])
-            if rows > max(PRINTS // 4, 2 * added):
+            if rows > max(gather // 4, 2 * added):
                 held = [_added_up(held)]
                 rows = added = len(held[0][0])
-            if added > PRINTS:
+            if added > gather:
                 yield batch(*held[0])
                 held, rows, added = [], 0, 0
         if held:

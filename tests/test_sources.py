@@ -2,6 +2,7 @@
 
 import json
 import os
+import time
 
 import pytest
 from conftest import answer, call, result, user
@@ -12,7 +13,7 @@ from threadloom.operators.sessions import session_table
 from threadloom.plans import lake
 from threadloom.sources import bridges, stores
 from threadloom.sources.transcripts import line_ordinals, scan_transcripts
-from threadloom.streaming import growing, tail
+from threadloom.streaming import growing, names, tail
 
 
 def write(root, project, name, rows, mode="w", end="\n"):
@@ -142,25 +143,82 @@ def test_stream_equals_batch(spark, lines_of, tmp_path):
         home = tmp_path / f"tail-{name}"
         landed(spark, home, stream, lambda s, **o: tail.land(s, lambda b: tail.tail_messages(b).select(shown), **o), out=str(home / "out"))
         assert key(spark.read.parquet(str(home / "out")).select(shown)) == want
-    counts = ["session_id", "message_count", "user_prompts", "tool_calls", "continuations", "input_tokens"]
     home = tmp_path / "stats"
-    landed(spark, home, tail.read_chunks(spark, str(tmp_path / "chunks"), max_files=1), lambda s, **o: tail.land(s, tail.running_stats, **o), out=str(home / "out"))
-    assert key(tail.current_stats(spark.read.parquet(str(home / "out"))).select(counts)) == key(session_table(decode(lines)).select(counts))
+    landed(spark, home, tail.read_chunks(spark, str(tmp_path / "chunks"), max_files=1), tail.land_running_stats, out=str(home / "out"))
+    counts = ["session_id", "message_count", "user_prompts", "tool_calls", "continuations", "input_tokens"]
+    found = tail.current_stats(tail.read_landed(spark, str(home / "out"), STATS))
+    assert key(found.select(counts)) == key(session_table(decode(lines)).select(counts)) == key(tail.running_stats(lines).select(counts))
+
+
+STATS = (
+    "project_key string, session_id string, span bigint, message_count bigint, user_prompts bigint, tool_calls bigint, "
+    "continuations bigint, agent_sidechains bigint, input_tokens bigint, output_tokens bigint"
+)
 
 
-@pytest.mark.parametrize("keep", [None, 1])
+@pytest.mark.parametrize("keep", [86_400_000, 1])
 def test_every_result_gets_a_name_at_arrival(spark, lines_of, tmp_path, keep):
-    """Paired, without a call, without a time, two days late: all four come out."""
+    """Paired, without a call, without a time, two days late, without an id: all come out, each in the batch it arrives in."""
     rows = [
         answer([call("Bash", {}, id="a"), call("Read", {}, id="late")], timestamp="2025-01-01T00:00:00Z"), user([result("1", id="a")], timestamp="2025-01-01T00:00:01Z"),
-        user([result("2", id="gone")], timestamp="2025-01-01T00:00:02Z"), answer([call("Grep", {}, id="c")]), user([result("3", id="c")]),
-        user([result("4", id="late")], timestamp="2025-01-03T00:00:00Z"),
+        user([result("2", id="gone")], timestamp="2025-01-01T00:00:02Z"), answer([call("Grep", {}, id="c"), call("Lost", {}, id="")]), user([result("3", id="c")]),
+        user([result("4", id="late"), result("5", id="")], timestamp="2025-01-03T00:00:00Z"), answer([call("Edit", {}, id="a")]), user([result("6", id="a")]),
     ]
-    bridges.write_logs(lines_of({"s": rows}), str(tmp_path / "logs"), chunk=2)
+    bridges.write_logs(lines_of({"s": rows, "u": [user([result("7", id="a")])]}), str(tmp_path / "logs"), chunk=2)
     stream = tail.read_chunks(spark, str(tmp_path / "logs"), max_files=1)
-    landed(spark, tmp_path, stream, lambda s, **o: tail.land_result_names(s, keep_batches=keep, **o), out=str(tmp_path / "out"), calls=str(tmp_path / "calls"))
-    got = {(r.line_no, r.tool_id): r.tool_name for r in spark.read.parquet(str(tmp_path / "out")).collect()}
-    assert got == {(1, "a"): "Bash", (2, "gone"): "result", (4, "c"): "result" if keep else "Grep", (5, "late"): "result" if keep else "Read"}
+    landed(spark, tmp_path, stream, tail.land_result_names, out=str(tmp_path / "out"), keep_ms=keep)
+    found = tail.read_landed(spark, str(tmp_path / "out"), names.NAMED).collect()
+    got = {(r.session_id, r.line_no, r.tool_id): r.tool_name for r in found}
+    forgets = keep == 1
+    assert len(found) == len(got) and got == {
+        ("s", 1, "a"): "Bash", ("s", 2, "gone"): "result", ("s", 4, "c"): "result" if forgets else "Grep", ("s", 5, "late"): "result" if forgets else "Read",
+        ("s", 5, ""): "result", ("s", 7, "a"): "Edit", ("u", 0, "a"): "result",
+    }
+
+
+def test_names_survive_a_restart(spark, tmp_path):
+    """A query started again from its checkpoint goes on with the calls it knew, repeats nothing, and reads new lines only."""
+    logs, out, state = tmp_path / "logs", str(tmp_path / "out"), str(tmp_path / "state")
+    (logs / "-p").mkdir(parents=True)
+    read = []
+    for n in range(4):
+        write(logs / "-p", "s", f"part-{2 * n}.jsonl", [answer([call(f"Tool{n}", {}, id=f"t{n}")]), user([result("x", id=f"t{max(0, n - 1)}")])])
+        query = tail.land_result_names(tail.read_chunks(spark, str(logs)), out, state, trigger={"availableNow": True}, buckets=5)
+        query.awaitTermination()
+        read.append(sum(p.numInputRows for p in query.recentProgress))
+        assert sum(p.stateOperators[0].numRowsTotal for p in query.recentProgress[-1:]) == n + 1
+    got = [(r.line_no, r.tool_name) for r in tail.read_landed(spark, out, names.NAMED).orderBy("line_no").collect()]
+    assert got == [(1, "Tool0"), (3, "Tool0"), (5, "Tool1"), (7, "Tool2")]
+    assert read == [1, 1, 1, 1]  # a chunk is one row of the source
+    assert spark.conf.get("spark.sql.streaming.noDataMicroBatches.enabled") == "true"
+
+
+def test_idle_sessions_leave_the_state(spark, tmp_path):
+    """Sessions that come one after another, some coming back: the state holds the latest spans, the counts all of them."""
+    logs, out, state = tmp_path / "logs", str(tmp_path / "out"), str(tmp_path / "state")
+    (logs / "-p").mkdir(parents=True)
+    held = []
+    for n in range(6):
+        write(logs / "-p", f"s{n}", "part-0.jsonl", [user("a"), answer("b", usage={"input_tokens": 5})])
+        write(logs / "-p", "again", f"part-{n}.jsonl", [user("more")])
+        query = tail.land_running_stats(tail.read_chunks(spark, str(logs)), out, state, trigger={"availableNow": True}, span="1 second")
+        query.awaitTermination()
+        held.append(query.lastProgress.stateOperators[0].numRowsTotal)
+        time.sleep(1.2)
+    assert max(held) <= 6  # two sessions a span
+    stats = lambda: {r.session_id: (r.message_count, r.input_tokens) for r in tail.current_stats(tail.read_landed(spark, out, STATS)).collect()}
+    want = {**{f"s{n}": (2, 5) for n in range(6)}, "again": (6, 0)}
+    assert stats() == want
+    tail.fold_landed(spark, out, STATS, tail.last_counters)
+    folds = [f for f in os.listdir(out) if not f.startswith(".")]
+    assert len(folds) == 1 and stats() == want
+    write(logs / "-p", "again", "part-6.jsonl", [user("more")])
+    query = tail.land_running_stats(tail.read_chunks(spark, str(logs)), out, state, trigger={"availableNow": True}, span="1 second")
+    query.awaitTermination()
+    os.makedirs(f"{out}/folded-99")  # one that was cut short
+    assert stats() == {**want, "again": (7, 0)}
+    tail.fold_landed(spark, out, STATS, tail.last_counters)
+    assert stats() == {**want, "again": (7, 0)}
 
 
 def test_closed_chunks(spark, tmp_path):

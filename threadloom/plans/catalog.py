@@ -15,7 +15,7 @@ from threadloom.operators import annotations, export, markup, messages, records,
 from threadloom.plans import lake
 from threadloom.session import new_folder, scratch, stage
 from threadloom.sources import bridges, sinks, transcripts
-from threadloom.streaming import tail
+from threadloom.streaming import names, tail
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -780,7 +780,7 @@ def prompt_chunks_long(spark, sf):
 
 # --- streaming: log files read as streams, landed batch by batch
 
-_STATS = "project_key string, session_id string, message_count bigint, user_prompts bigint, tool_calls bigint, input_tokens bigint, output_tokens bigint"
+_STATS = "project_key string, session_id string, span bigint, message_count bigint, user_prompts bigint, tool_calls bigint, input_tokens bigint, output_tokens bigint"
 
 
 def _land(apply):
@@ -797,9 +797,8 @@ def _from_growing(spark, lines: DataFrame, **options) -> DataFrame:
 
 
 def _named_results(spark, lines: DataFrame) -> DataFrame:
-    start = lambda stream, **where: tail.land_result_names(stream, calls=new_folder(spark), **where)
-    schema = "project_key string, session_id string, line_no bigint, block_no bigint, tool_id string, tool_name string"
-    return tail.replay(_from_growing(spark, lines), start, schema).select(SID, "line_no", "block_no", "tool_id", "tool_name")
+    named = tail.replay(_from_growing(spark, lines), tail.land_result_names, names.NAMED)
+    return named.select(SID, "line_no", "block_no", "tool_id", "tool_name")
 
 
 @register
@@ -833,8 +832,7 @@ def tail_unknown_results(spark, sf):
 @register
 def tail_running_stats(spark, sf):
     stream = tail.read_chunks(spark, _logs(spark, chat_lines(spark, sf), padded=True, chunk=3), max_files=100)
-    sums = lambda lines: tail.running_stats(lines).select(*KEYS, "message_count", "user_prompts", "tool_calls", "input_tokens", "output_tokens")
-    return tail.current_stats(tail.replay(stream, _land(sums), _STATS)).drop("project_key")
+    return tail.current_stats(tail.replay(stream, tail.land_running_stats, _STATS)).drop("project_key")
 
 
 # --- sinks

@@ -84,12 +84,12 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         for path in _scopes().pop():
-            _delete(spark, path)
+            delete(spark, path)
 
 
 def unstage(staged: DataFrame) -> None:
     """Delete a staged table that nothing reads any more."""
-    _delete(staged.sparkSession, staged.stage_path)
+    delete(staged.sparkSession, staged.stage_path)
 
 
 def _stage_folder(spark: SparkSession) -> str:
@@ -98,9 +98,10 @@ def _stage_folder(spark: SparkSession) -> str:
 
 def drop_stages(spark: SparkSession) -> None:
     """Delete what this application staged, once its results have been written."""
-    _delete(spark, _stage_folder(spark))
+    delete(spark, _stage_folder(spark))
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder with all that is in it, on whatever store it is."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

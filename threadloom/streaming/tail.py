@@ -4,26 +4,30 @@ Spark's file source sees new files, not bytes added to old ones. So a live
 tail either has producers land closed chunks (``read_chunks``), or reads
 growing files through the ``growing_jsonl`` source of
 ``threadloom.streaming.growing``. Both give numbered lines; from there the batch
-operators are used as they are, micro-batch by micro-batch. What must be known from earlier
-batches is read from the tables they landed, so no state is kept in the stream.
+operators are used as they are, micro-batch by micro-batch.
+
+What must be known from earlier batches is kept in the stream's state: names of calls (``streaming.names``), and
+counters of the sessions seen lately. Counters leave the state with the watermark; what was landed of them is folded
+into one table now and then.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.functions.variants import array_of
-from threadloom.operators.messages import build_messages, classify, explode_blocks, is_conversational, item_type, tool_call_count
+from threadloom.operators.messages import classify, is_conversational, item_type, tool_call_count
 from threadloom.operators.records import KEYS, TOKEN_FIELDS, decode
-from threadloom.session import new_folder, scratch, stage
+from threadloom.session import delete, new_folder, scratch
 from threadloom.streaming.growing import register_source
+from threadloom.streaming.names import DAY_MS, STATE_SETTINGS, named_results
 
 POLL = "500 milliseconds"
-CALL_SCHEMA = "project_key string, session_id string, tool_id string, tool_name string, line_no bigint, block_no bigint, batch bigint"
 
 
 def read_chunks(spark: SparkSession, root: str, max_files: int = 1000) -> DataFrame:
@@ -65,84 +69,133 @@ def tail_messages(lines: DataFrame) -> DataFrame:
     )
 
 
-def running_stats(lines: DataFrame) -> DataFrame:
-    """Session counters of some lines (sums and counts only); ``current_stats`` adds up those of all batches."""
+def _classified(lines: DataFrame) -> DataFrame:
+    return classify(decode(lines).withColumn("talk", is_conversational()))
+
+
+def _counters() -> list[Column]:
     talk = F.col("talk")
     prompt = talk & (F.col("kind") == "user_prompt")
-    rows = classify(decode(lines).withColumn("talk", is_conversational()))
-    return rows.groupBy(*KEYS).agg(
+    return [
         F.count_if(prompt | (talk & (F.col("kind") == "assistant"))).alias("message_count"),
         F.count_if(prompt).alias("user_prompts"),
         F.coalesce(F.sum(F.when(talk, tool_call_count(F.col("items")))), F.lit(0).cast("bigint")).alias("tool_calls"),
         F.count_if(talk & F.col("is_compacted")).alias("continuations"),
         F.count_if(talk & F.col("is_sidechain")).alias("agent_sidechains"),
         *[F.coalesce(F.sum(c), F.lit(0).cast("bigint")).alias(c) for c in TOKEN_FIELDS],
-    )
+    ]
 
 
-def current_stats(landed: DataFrame) -> DataFrame:
-    """Counters per session over all landed batches."""
-    return landed.groupBy(*KEYS).agg(*[F.sum(c).alias(c) for c in landed.columns if c not in (*KEYS, "batch")])
+def running_stats(lines: DataFrame) -> DataFrame:
+    """Session counters of some lines (sums and counts only)."""
+    return _classified(lines).groupBy(*KEYS).agg(*_counters())
 
 
-def land(stream: DataFrame, apply: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, trigger: dict | None = None):
-    """Start writing ``apply`` of every micro-batch as a folder of its own; a repeated batch overwrites its own folder."""
-    def write(batch: DataFrame, batch_id: int) -> None:
-        apply(batch).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+def counted_sessions(stream: DataFrame, span: str = "1 hour") -> DataFrame:
+    """Stream of the counters of each session in the span of time its lines arrived in, as they change.
+
+    For update mode. Lines are dated by the start of their batch, so none is late, and a span's counters leave the
+    state once the watermark has passed it: the state holds the sessions of the last two spans, however many there were before.
+    """
+    seen = _classified(stream).withColumn("seen", F.current_timestamp()).withWatermark("seen", span)
+    counted = seen.groupBy(*KEYS, F.window("seen", span)).agg(*_counters())
+    return counted.withColumn("span", F.unix_micros("window.start")).drop("window")
 
-    return _start(stream, write, checkpoint, trigger)
 
+def current_stats(landed: DataFrame) -> DataFrame:
+    """Counters per session over all landed batches: the last of every span, added up."""
+    counters = [c for c in landed.columns if c not in (*KEYS, "span", "batch")]
+    return last_counters(landed).groupBy(*KEYS).agg(*[F.sum(c).alias(c) for c in counters])
 
-def land_result_names(
-    stream: DataFrame, out: str, calls: str, checkpoint: str, trigger: dict | None = None, keep_batches: int | None = None
-):
-    """Start landing tool results with the name of the tool that gave them, ``result`` where it is unknown.
 
-    Every result comes out in the batch it arrives in. The calls of each batch are landed below ``calls``, and the
-    results of a batch look up the last call of their session and id there. ``keep_batches`` bounds how
-    many batches back calls are looked up; by default all are.
-    """
+def last_counters(landed: DataFrame) -> DataFrame:
+    """The last row of every session and span; the rest is outdated."""
+    counters = [c for c in landed.columns if c not in (*KEYS, "span", "batch")]
+    last = landed.groupBy(*KEYS, "span").agg(F.max_by(F.struct(*counters), "batch").alias("c"), F.max("batch").alias("batch"))
+    return last.select(*KEYS, "span", *(f"c.{c}" for c in counters), "batch")
+
+
+def land(stream: DataFrame, apply: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, trigger: dict | None = None, mode: str = "append"):
+    """Start writing ``apply`` of every micro-batch as a folder of its own; a repeated batch overwrites its own folder."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        with scratch(spark):
-            blocks = explode_blocks(build_messages(decode(batch)))
-            narrow = stage(
-                blocks.where("block_type in ('tool_use', 'tool_result')").select(*KEYS, "line_no", "block_no", "block_type", "tool_id", "tool_name")
-            )
-            uses = narrow.where("block_type = 'tool_use' and tool_id != ''")
-            uses.select(*KEYS, "tool_id", "tool_name", "line_no", "block_no").write.mode("overwrite").parquet(f"{calls}/batch={batch_id}")
-            known = spark.read.schema(CALL_SCHEMA).parquet(calls).where(F.col("batch") <= batch_id)
-            if keep_batches is not None:
-                known = known.where(F.col("batch") > batch_id - keep_batches)
-            results = narrow.where("block_type = 'tool_result'").select(*KEYS, "line_no", "block_no", "tool_id")
-            last = known.join(results.select(*KEYS, "tool_id").distinct(), [*KEYS, "tool_id"], "left_semi").groupBy(*KEYS, "tool_id").agg(
-                F.max_by("tool_name", F.struct("batch", "line_no", "block_no")).alias("tool_name")
-            )
-            named = results.join(last, [*KEYS, "tool_id"], "left")
-            named.select(*KEYS, "line_no", "block_no", "tool_id", F.coalesce("tool_name", F.lit("result")).alias("tool_name")).write.mode(
-                "overwrite"
-            ).parquet(f"{out}/batch={batch_id}")
-
-    return _start(stream, write, checkpoint, trigger)
-
-
-def _start(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, trigger: dict | None):
+        apply(batch).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
     return (
         stream.writeStream.option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"processingTime": POLL}))
+        .outputMode(mode)
         .foreachBatch(write)
         .start()
     )
 
 
-def read_landed(spark: SparkSession, out: str, schema: str) -> DataFrame:
-    """What was landed so far; nothing landed gives no rows."""
+def land_result_names(stream: DataFrame, out: str, checkpoint: str, trigger: dict | None = None, keep_ms: int = 7 * DAY_MS, buckets: int = 256):
+    """Start landing tool results with the name of the tool that gave them, ``result`` where it is unknown."""
+    with settings(stream.sparkSession, STATE_SETTINGS):
+        return land(named_results(stream, keep_ms, buckets), lambda named: named, out, checkpoint, trigger)
+
+
+def land_running_stats(stream: DataFrame, out: str, checkpoint: str, trigger: dict | None = None, span: str = "1 hour"):
+    """Start landing the counters of the sessions a batch changes; ``current_stats`` reads them."""
+    return land(counted_sessions(stream, span), lambda changed: changed, out, checkpoint, trigger, "update")
+
+
+@contextmanager
+def settings(spark: SparkSession, wanted: dict[str, str]) -> Iterator[None]:
+    """Settings for the queries started inside; a query keeps those it was started with."""
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
     try:
-        return spark.read.schema(f"{schema}, batch bigint").parquet(out)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], f"{schema}, batch bigint")
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
+def fold_landed(spark: SparkSession, out: str, schema: str, merge: Callable[[DataFrame], DataFrame] = lambda landed: landed) -> None:
+    """Write what was landed so far as one table, less what ``merge`` drops, and delete the folders it replaces.
+
+    A fold is named after the last batch in it and counts once its success mark is there, so one that was cut short changes
+    nothing. Readers that had listed the old folders must list again. For finished batches: run it between queries, or from the thread that runs them.
+    """
+    names = _folders(spark, out)
+    if not names:
+        return
+    last = max(number for _, number in names)
+    merge(read_landed(spark, out, schema)).write.mode("overwrite").parquet(f"{out}/folded-{last}")
+    for name, number in names:
+        if number <= last and name != f"folded-{last}":
+            delete(spark, f"{out}/{name}")
+
+
+def _folders(spark: SparkSession, out: str) -> list[tuple[str, int]]:
+    """Names of the finished folders below, and the batch they are numbered after."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(out)
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(path):
+        return []
+    names = [f.getPath().getName() for f in store.listStatus(path)]
+    numbered = [(n, re.fullmatch(r"(?:batch=|folded-)(\d+)", n)) for n in names]
+    done = [(n, int(m.group(1))) for n, m in numbered if m and store.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{out}/{n}/_SUCCESS"))]
+    return sorted(done)
+
+
+def read_landed(spark: SparkSession, out: str, schema: str) -> DataFrame:
+    """What was landed so far, the newest fold and the batches after it; nothing landed gives no rows."""
+    folders = _folders(spark, out)
+    fold = max((n for name, n in folders if name.startswith("folded-")), default=None)
+    whole = spark.createDataFrame([], f"{schema}, batch bigint")
+    if fold is not None:
+        whole = spark.read.schema(whole.schema).parquet(f"{out}/folded-{fold}")
+    later = [f"{out}/{name}" for name, n in folders if name.startswith("batch=") and (fold is None or n > fold)]
+    if later:
+        landed = spark.read.schema(whole.schema).option("basePath", out).parquet(*later)
+        whole = whole.unionAll(landed) if fold is not None else landed
+    return whole
 
 
 def replay(stream: DataFrame, start: Callable[..., object], out_schema: str) -> DataFrame:

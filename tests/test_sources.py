@@ -2,6 +2,7 @@
 
 import json
 import os
+import random
 import time
 
 import pytest
@@ -69,27 +70,126 @@ def test_scan_of_some_projects(spark, tmp_path):
     assert len(lines(None)) == 3
 
 
-def test_the_driver_opens_no_log(spark, tmp_path, monkeypatch):
-    """Offsets come from sizes alone; only ``read``, which runs in tasks, opens files."""
-    write(tmp_path, "-p", "s.jsonl", ["a", "b" * 40, "c"])
-    reader = growing.GrowingReader({"path": str(tmp_path), "startingOffsets": "earliest", "maxBytesPerTrigger": "20"})
+class Counted:
+    """A file store that counts the bytes read from it and can refuse to open logs."""
 
-    class Sizes:
-        def __init__(self, store):
-            self.get_file_info = store.get_file_info
+    def __init__(self, store, opens=True):
+        self.store, self.bytes = store, 0
+        self.get_file_info = store.get_file_info
+        if opens:
+            self.open_input_file = self._open
 
-    monkeypatch.setattr(growing, "open_store", lambda root: (Sizes(stores.open_store(root)[0]), stores.open_store(root)[1]))
-    start, spans = reader.initialOffset(), []
-    for _ in range(5):
-        end = reader.latestOffset()
+    def _open(self, path):
+        return CountedFile(self, self.store.open_input_file(path))
+
+
+class CountedFile:
+    def __init__(self, owner, file):
+        self.owner, self.file = owner, file
+
+    def read_at(self, n, at):
+        data = self.file.read_at(n, at)
+        self.owner.bytes += len(data)
+        return data
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_):
+        self.file.close()
+
+
+def grown(tmp_path, **options):
+    return growing.GrowingReader({"path": str(tmp_path / "logs"), "index": str(tmp_path / "index"), "startingOffsets": "earliest", **options})
+
+
+def ticks(reader, start):
+    """Spans of the ticks from ``start`` until nothing new is there, and the offset reached."""
+    spans = []
+    while (end := reader.latestOffset()) != start:
         spans += reader.partitions(start, end)
-        assert sum(end.values()) - sum(start.values()) <= 20
         start = end
+    return spans, start
+
+
+def test_the_driver_opens_no_log(spark, tmp_path, monkeypatch):
+    """Offsets come from sizes alone; only ``read``, which runs in tasks, opens files."""
+    write(tmp_path / "logs", "-p", "s.jsonl", ["a", "b" * 40, "c"])
+    reader = grown(tmp_path, maxBytesPerTrigger="20")
+    monkeypatch.setattr(growing, "open_store", lambda root: (Counted(stores.open_store(root)[0], opens=False), stores.open_store(root)[1]))
+    spans, _ = ticks(reader, reader.initialOffset())
+    assert len(spans) == 3 and all(s.stop - s.start <= 20 for s in spans)
     monkeypatch.undo()
     got = [(n, value) for span in spans for _, _, n, value in reader.read(span)]
     assert got == [(0, "a"), (1, "b" * 40), (2, "c")]
 
 
+@pytest.mark.parametrize("lost", [False, True])
+def test_a_tick_reads_what_is_new(tmp_path, monkeypatch, lost):
+    """Bytes read stay within twice the new ones, with a line that stays open over many ticks; a lost index costs a recount, no line."""
+    rng = random.Random(5)
+    values = [f"{n} " + "x" * (400_000 if n == 300 else rng.randint(0, 2000)) for n in range(1500)]
+    text = "".join(v + "\n" for v in values).encode()
+    store = Counted(stores.open_store(str(tmp_path))[0])
+    monkeypatch.setattr(growing, "open_store", lambda root: (store, stores.open_store(root)[1]))
+    (tmp_path / "logs" / "-p").mkdir(parents=True)
+    reader, got, at, reads, recounted = grown(tmp_path), [], 0, 0, lost
+    offset = reader.initialOffset()
+    while at < len(text):
+        step = rng.randint(1, 40_000)
+        with open(tmp_path / "logs" / "-p" / "s.jsonl", "ab") as f:
+            f.write(text[at : at + step])
+        at += step
+        spans, offset = ticks(reader, offset)
+        if lost and at > len(text) // 2:
+            lost = False
+            for f in (tmp_path / "index" / "lines").rglob("*.json"):
+                f.write_text("[[1, 2")
+        got += [(n, value) for span in spans for _, _, n, value in reader.read(span)]
+        reads += 2 * len(spans) + 8
+        if at > len(text) // 2 and len(got) % 7 == 0:
+            reader = grown(tmp_path)  # started again
+    assert got == list(enumerate(values))
+    assert store.bytes <= (3 if recounted else 2) * len(text) + 64 * reads
+
+
+def test_a_rewritten_file_is_counted_anew(tmp_path):
+    write(tmp_path / "logs", "-p", "s.jsonl", ["one", "two", "three"])
+    reader = grown(tmp_path)
+    spans, offset = ticks(reader, reader.initialOffset())
+    assert [r[2:] for s in spans for r in reader.read(s)] == [(0, "one"), (1, "two"), (2, "three")]
+    write(tmp_path / "logs", "-p", "s.jsonl", ["x"])
+    assert ticks(reader, offset) == ([], offset)
+    write(tmp_path / "logs", "-p", "s.jsonl", ["a much longer first line", "then"])
+    spans, offset = ticks(reader, offset)
+    assert [r[2:] for s in spans for r in reader.read(s)] == [(0, "a much longer first line"), (1, "then")]
+    (tmp_path / "logs" / "-p" / "s.jsonl").unlink()
+    assert [r for s in spans for r in reader.read(s)] == []
+
+
+def test_offsets_hold_what_changed(tmp_path):
+    for n in range(40):
+        write(tmp_path / "logs", f"-p{n % 4}", f"s{n}.jsonl", ["start"])
+    reader = grown(tmp_path, startingOffsets="latest")
+    offset = first = reader.initialOffset()
+    sizes = []
+    for n in range(150):
+        write(tmp_path / "logs", "-p1", "s1.jsonl", [f"line {n}"], "a")
+        end = reader.latestOffset()
+        spans = reader.partitions(offset, end)
+        assert [(s.start < s.stop, s.path.endswith("/-p1/s1.jsonl")) for s in spans] == [(True, True)]
+        sizes.append(len(json.dumps(end)) + os.path.getsize(tmp_path / "index" / "offsets" / f"{end['manifest']:012d}.change.json"))
+        offset = end
+    assert reader.latestOffset() == offset and max(sizes) < 250  # forty files, one of them in a tick
+    again = grown(tmp_path, startingOffsets="latest")
+    assert again.latestOffset() == offset and again.manifests.sizes == reader.manifests.sizes
+    (span,) = reader.partitions(first, offset)
+    assert [r[3] for r in reader.read(span)] == [f"line {n}" for n in range(150)]
+    reader.commit(offset)
+    assert len(os.listdir(tmp_path / "index" / "offsets")) < 40
+    assert grown(tmp_path).manifests.sizes == reader.manifests.sizes
+
+
 def test_ordinals(spark):
     df = spark.createDataFrame([("p", "s", n * 7) for n in range(50)], "project_key string, session_id string, line_no bigint")
     assert sorted((r.line_no, r.ordinal) for r in line_ordinals(df).collect()) == [(n * 7, n) for n in range(50)]
@@ -236,12 +336,10 @@ def test_closed_chunks(spark, tmp_path):
 
 def test_growing_file(spark, tmp_path):
     """Appended bytes are picked up, an unfinished line waits, a shrunk file is left alone."""
-    growing.register_source(spark)
     root = tmp_path / "logs"
     write(root, "-p", "s.jsonl", ["old"])
     write(root, "-p", "agent-z.jsonl", ["side"])
-    source = lambda **o: spark.readStream.format("growing_jsonl").options(**o).load(str(root))
-    live = source().writeStream.format("memory").queryName("live").trigger(processingTime="100 milliseconds").start()
+    live = tail.read_growing(spark, str(root)).writeStream.format("memory").queryName("live").trigger(processingTime="100 milliseconds").start()
     try:
         live.processAllAvailable()
         write(root, "-p", "s.jsonl", ["one", "tw"], "a", end="")
@@ -263,23 +361,21 @@ def test_growing_file(spark, tmp_path):
         live.stop()
 
 
-def test_growing_replay_with_cap(spark, tmp_path):
-    growing.register_source(spark)
-    write(tmp_path, "-p", "s.jsonl", [f"line {n} " + "x" * (n * 10) for n in range(30)])
-    stream = spark.readStream.format("growing_jsonl").options(startingOffsets="earliest", maxBytesPerTrigger=64).load(str(tmp_path))
-    query = stream.writeStream.format("memory").queryName("capped").trigger(processingTime="50 milliseconds").start()
-    try:
+def test_growing_goes_on_after_a_restart(spark, tmp_path):
+    """64 bytes a tick, the query ended and started again in between: every line once, by its number."""
+    values = [f"line {n} " + "x" * (n * 10) for n in range(30)]
+    out, state = str(tmp_path / "out"), str(tmp_path / "state")
+    for upto in (9, 30):
+        write(tmp_path / "logs", "-p", "s.jsonl", values[:upto])
+        stream = tail.read_growing(spark, str(tmp_path / "logs"), str(tmp_path / "index"), startingOffsets="earliest", maxBytesPerTrigger=64 if upto == 9 else 400)
+        query = tail.land(stream, lambda lines: lines.select("line_no", "value"), out, state, {"processingTime": "0 seconds"})
         query.processAllAvailable()
-        for _ in range(200):
-            if spark.table("capped").count() == 30:
-                break
-            query.processAllAvailable()
-        rows = spark.table("capped").orderBy("line_no").collect()
-        values = [r.value.split()[1] for r in rows]
-    finally:
         query.stop()
-    assert values == [str(n) for n in range(30)] and [r.line_no for r in rows] == list(range(30))
-    assert os.path.getsize(tmp_path / "-p" / "s.jsonl") > 64 * 10
+    got = tail.read_landed(spark, out, "line_no bigint, value string").orderBy("line_no").collect()
+    assert [(r.line_no, r.value) for r in got] == list(enumerate(values))
+    assert len({r.batch for r in got}) > 10
+    with pytest.raises(Exception, match="index"):
+        spark.readStream.format("growing_jsonl").load(str(tmp_path)).writeStream.format("noop").start().awaitTermination()
 
 
 def test_quarantine_keeps_text(lines_of):

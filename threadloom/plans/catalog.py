@@ -813,6 +813,31 @@ def tail_growing(spark, sf):
     return tail.replay(stream, _land(keys), "project_key string, session_id string, line_no bigint").drop("batch")
 
 
+_PLACES = "project_key string, session_id string, line_no bigint"
+
+
+@register
+def tail_capped(spark, sf):
+    """A tail that reads 64 KiB a tick."""
+    root = _logs(spark, chat_lines(spark, sf), padded=True)
+    stream = tail.read_growing(spark, root, startingOffsets="earliest", maxBytesPerTrigger=64 << 10)
+    keys = lambda lines: lines.select(*KEYS, "line_no")
+    return tail.replay(stream, _land(keys), _PLACES, ticks=True).drop("batch")
+
+
+@register
+def tail_truncated(spark, sf):
+    """Files of four lines, two thirds of them cut to one line; one third grows, one third is written anew and longer, one stays short."""
+    root, index, out, state = (new_folder(spark) for _ in range(4))
+    turn = F.regexp_extract(SID, r"(\d+)$", 1).cast("bigint") % 3
+    lines = chat_lines(spark, sf).withColumn("third", turn)
+    for now in ("line_no < 4", "line_no < 1 and third > 0", "third <> 1"):
+        bridges.write_logs(lines.where(now).drop("third"), root, padded=True)
+        stream = tail.read_growing(spark, root, index, startingOffsets="earliest", maxBytesPerTrigger=0)
+        tail.land(stream, lambda found: found.select(*KEYS, "line_no"), out, state, {"availableNow": True}).awaitTermination()
+    return tail.read_landed(spark, out, _PLACES).drop("batch")
+
+
 @register
 def tail_chunks(spark, sf):
     return _tailed(tail.read_chunks(spark, _logs(spark, chat_lines(spark, sf), padded=True, chunk=3)))

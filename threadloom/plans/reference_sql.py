@@ -784,6 +784,9 @@ REFERENCE_SQL: dict[str, str] = {
     "export_filename": _detail(f"SELECT session_id, {_TEXT_NAME} AS text_name, {_file('md')} AS default_name FROM ds"),
     "tail_messages": _TAILED,
     "tail_growing": _chat("SELECT project_key, session_id, line_no FROM c0 UNION ALL SELECT project_key, session_id, line_no FROM notes"),
+    "tail_capped": _chat("SELECT project_key, session_id, line_no FROM c0 UNION ALL SELECT project_key, session_id, line_no FROM notes"),
+    "tail_truncated": _chat("""SELECT * FROM (SELECT project_key, session_id, line_no FROM c0 UNION ALL SELECT project_key, session_id, line_no FROM notes)
+      WHERE line_no < 4 OR CAST(regexp_extract(session_id, '(\\d+)$', 1) AS BIGINT) % 3 <> 1"""),
     "tail_chunks": _TAILED,
     "tail_tool_names": _events(f"SELECT session_id, {_DENSE} AS line_no, CAST(result_block AS BIGINT) AS block_no, tool_id, tool_name FROM er JOIN nth USING (e)").replace(_EVENTS, _EVENTS_NTH),
     "tail_unknown_results": _events(f"""SELECT session_id, {_DENSE} AS line_no, CAST(result_block AS BIGINT) AS block_no, tool_id,

@@ -1,68 +1,44 @@
 """A streaming source for log files that grow in place.
 
-The driver lists sizes and opens no file. The offset is the number of bytes
-given out per file; a tick moves it by at most ``maxBytesPerTrigger`` over all
-files. A range of bytes stands for the lines whose *end* lies in it: the task that gets
-the range looks back for the start of its first line, so an
-unfinished line waits, no partial text is carried, and a range may be cut anywhere.
-A file that shrank gives nothing until it is longer than before, and then whole lines.
-
-Lines have the numbers that a scan of the file gives them; for that a task counts
-the line ends before its range.
+The driver lists sizes, folder by folder at the same time, and opens no log. An offset is the number of a manifest
+(``line_index``), which holds what changed; a tick moves it by at most ``maxBytesPerTrigger`` over all
+files. A range of bytes stands for the lines whose *end* lies in it: an unfinished line waits, no partial text
+is carried, and a range may be cut anywhere. A file that shrank gives nothing until it is longer than before, and then whole lines.
+
+Lines have the numbers that a scan of the file gives them. A task takes the number at the start of its range
+from the line index, where the task of the range before left it, so a tick reads what is new and not what was. Where the
+index has nothing (the first tick of a file that was there before) the task counts once from the last place known.
+A file is one session's log; its range of a tick is read by one task.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
+from pyarrow import fs
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
 from threadloom.sources.stores import open_store
+from threadloom.streaming.line_index import LineIndex, Manifests, lines_ending_in
 
 MAX_BYTES = 64 << 20
-SPAN_BYTES = 8 << 20
-CHUNK = 1 << 20
+LISTERS = 16
 
 
 def list_logs(root: str) -> dict[str, int]:
     """Size of every ``<root>/<project>/<session>.jsonl``, side files left out."""
-    from pyarrow import fs
-
     store, base = open_store(root)
-    found = store.get_file_info(fs.FileSelector(base, recursive=True, allow_not_found=True))
-    depth = len(base.strip("/").split("/")) + 2
-    return {
-        f.path: f.size
-        for f in found
-        if f.type == fs.FileType.File
-        and f.path.endswith(".jsonl")
-        and len(f.path.strip("/").split("/")) == depth
-        and not f.base_name.startswith("agent-")
-    }
-
-
-def lines_ending_in(file, start: int, stop: int) -> Iterator[tuple[int, bytes]]:
-    """Number and bytes of the lines whose line end lies in ``[start, stop)``."""
-    number, line_start = 0, 0
-    for at in range(0, start, CHUNK):
-        data = file.read_at(min(CHUNK, start - at), at)
-        ends = data.count(b"\n")
-        if ends:
-            number, line_start = number + ends, at + data.rfind(b"\n") + 1
-    # The open line may be longer than the range: its parts are joined once, at its end.
-    parts, at = [], line_start
-    while at < stop:
-        data = file.read_at(min(CHUNK, stop - at), at)
-        if not data:
-            return
-        at += len(data)
-        *ended, rest = data.split(b"\n")
-        for piece in ended:
-            yield number, b"".join([*parts, piece])
-            parts, number = [], number + 1
-        parts.append(rest)
+
+    def inside(folder: str) -> list[fs.FileInfo]:
+        return store.get_file_info(fs.FileSelector(folder, allow_not_found=True))
+
+    folders = [f.path for f in inside(base) if f.type == fs.FileType.Directory]
+    with ThreadPoolExecutor(LISTERS) as pool:
+        found = [f for files in pool.map(inside, folders) for f in files]
+    return {f.path: f.size for f in found if f.type == fs.FileType.File and f.path.endswith(".jsonl") and not f.base_name.startswith("agent-")}
 
 
 class Span(InputPartition):
@@ -73,50 +49,75 @@ class Span(InputPartition):
 class GrowingReader(DataSourceStreamReader):
     def __init__(self, options: dict):
         self.root = options["path"].rstrip("/")
+        if "index" not in options:
+            raise ValueError("index: name a folder for the offsets and line numbers of this query, beside its checkpoint")
+        self.index = options["index"].rstrip("/")
         self.cap = int(options.get("maxBytesPerTrigger", MAX_BYTES))
         self.replay = options.get("startingOffsets", "latest") == "earliest"
-        self.seen: dict[str, int] = {}
+        self._manifests = None
+
+    def __getstate__(self) -> dict:
+        """Tasks get the options, not the driver's offsets."""
+        return {**self.__dict__, "_manifests": None}
+
+    @property
+    def manifests(self) -> Manifests:
+        """Read on the driver only, when first asked for."""
+        if self._manifests is None:
+            self._manifests = Manifests(self.index)
+        return self._manifests
+
+    def _begin(self) -> int:
+        """The number this query starts from; whichever of the two offsets is asked for first writes it."""
+        if self.manifests.number < 0:
+            self.manifests.start({} if self.replay else list_logs(self.root))
+        return self.manifests.first()
 
     def initialOffset(self) -> dict:
-        self.seen = {} if self.replay else list_logs(self.root)
-        return dict(self.seen)
+        return {"manifest": self._begin()}
 
     def latestOffset(self) -> dict:
         """Where this tick ends: files that are furthest behind go first, all files together stay within the cap."""
-        behind = {p: size - self.seen.get(p, 0) for p, size in list_logs(self.root).items()}
+        if self.manifests.number < 0:
+            self._begin()
+        seen = self.manifests.sizes
+        behind = {p: size - seen.get(p, 0) for p, size in list_logs(self.root).items()}
         left = self.cap if self.cap > 0 else sum(max(n, 0) for n in behind.values())
+        changes = {}
         for path, n in sorted(behind.items(), key=lambda x: (-x[1], x[0])):
             take = min(n, left)
             if take <= 0:
                 break
-            self.seen[path] = self.seen.get(path, 0) + take
+            changes[path] = [seen.get(path, 0), seen.get(path, 0) + take]
             left -= take
-        return dict(self.seen)
+        return {"manifest": self.manifests.advance(changes)}
 
     def partitions(self, start: dict, end: dict) -> list[Span]:
-        self.seen = {**self.seen, **end}
-        return [
-            Span(path, at, min(at + SPAN_BYTES, stop))
-            for path, stop in end.items()
-            for at in range(start.get(path, 0), stop, SPAN_BYTES)
-        ]
+        return [Span(path, *span) for path, span in self.manifests.between(start["manifest"], end["manifest"]).items()]
 
     def read(self, span: Span) -> Iterator[tuple]:
         match = re.search(r"([^/]+)/([^/]+)\.jsonl$", span.path)
-        with open_store(self.root)[0].open_input_file(span.path) as file:
-            for number, line in lines_ending_in(file, span.start, span.stop):
+        index, found = LineIndex(self.index), []
+        known = index.places(span.path)
+        try:
+            file = open_store(self.root)[0].open_input_file(span.path)
+        except FileNotFoundError:  # deleted since it was listed
+            return
+        with file:
+            for number, line in lines_ending_in(file, known, span.start, span.stop, found):
                 if line.strip():
                     yield match.group(1), match.group(2), number, line.decode("utf-8", "replace")
+        index.add(span.path, known, found)
 
     def commit(self, end: dict) -> None:
-        pass
+        self.manifests.forget(end["manifest"])
 
 
 class GrowingJsonl(DataSource):
-    """``spark.readStream.format("growing_jsonl").load(root)``: the columns of a line.
+    """``spark.readStream.format("growing_jsonl").option("index", folder).load(root)``: the columns of a line.
 
-    Options: ``startingOffsets`` (``latest``, or ``earliest`` for all there is) and
-    ``maxBytesPerTrigger`` (0: no bound). The offset log holds a size per file.
+    Options: ``index`` (a folder of this query alone, kept with its checkpoint), ``startingOffsets`` (``latest``, or ``earliest`` for all there is) and
+    ``maxBytesPerTrigger`` (0: no bound).
     """
 
     @classmethod

@@ -48,10 +48,14 @@ def read_chunks(spark: SparkSession, root: str, max_files: int = 1000) -> DataFr
     )
 
 
-def read_growing(spark: SparkSession, root: str, **options) -> DataFrame:
-    """Stream of the lines of files that grow."""
+def read_growing(spark: SparkSession, root: str, index: str | None = None, **options) -> DataFrame:
+    """Stream of the lines of files that grow.
+
+    ``index`` names a folder for this query's offsets and line numbers; a query that is to go on after a restart needs the
+    same one again. Without it the folder goes with what the job staged.
+    """
     register_source(spark)
-    return spark.readStream.format("growing_jsonl").options(**options).load(root)
+    return spark.readStream.format("growing_jsonl").options(index=index or new_folder(spark), **options).load(root)
 
 
 def _first_is_result() -> Column:
@@ -198,15 +202,18 @@ def read_landed(spark: SparkSession, out: str, schema: str) -> DataFrame:
     return whole
 
 
-def replay(stream: DataFrame, start: Callable[..., object], out_schema: str) -> DataFrame:
+def replay(stream: DataFrame, start: Callable[..., object], out_schema: str, ticks: bool = False) -> DataFrame:
     """Run a stream until all there is has been read, and return what it landed.
 
-    ``start`` is called as ``start(stream, out=..., checkpoint=..., trigger=...)``. The stream's own
-    files are deleted at once, what it landed with the scope.
+    ``start`` is called as ``start(stream, out=..., checkpoint=..., trigger=...)``. With ``ticks`` the stream runs tick by tick,
+    as a source that gives out a bounded part at a time asks for. The stream's own files are deleted at once, what it landed with the scope.
     """
     spark = stream.sparkSession
     out = new_folder(spark)
     with scratch(spark):
-        query = start(stream, out=out, checkpoint=new_folder(spark), trigger={"availableNow": True})
+        query = start(stream, out=out, checkpoint=new_folder(spark), trigger={"processingTime": "0 seconds"} if ticks else {"availableNow": True})
+        if ticks:
+            query.processAllAvailable()
+            query.stop()
         query.awaitTermination()
     return read_landed(spark, out, out_schema)

@@ -96,7 +96,7 @@ def top_hits(found: DataFrame, limit: int) -> DataFrame:
     return found.orderBy(*hit_order())
 
 
-def _searchable(blocks: DataFrame) -> Column:
+def searchable(blocks: DataFrame) -> Column:
     """Text a block is searched by: its text, tool input as JSON, or result. Thinking is not searched."""
     kind = F.col("block_type")
     return (
@@ -106,6 +106,11 @@ def _searchable(blocks: DataFrame) -> Column:
     )
 
 
+def first_hit() -> Column:
+    """The hit of a session that comes first in the conversation."""
+    return F.min_by(F.struct("uuid", "line_no", "snippet"), F.struct("dfs_pos", "block_no"))
+
+
 def content_hits(tree: DataFrame, messages: DataFrame, queries: Sequence[str]) -> DataFrame:
     """First content hit per session and query in conversation order, with a snippet.
 
@@ -115,15 +120,14 @@ def content_hits(tree: DataFrame, messages: DataFrame, queries: Sequence[str]) -
     blocks = explode_blocks(messages, "uuid").drop("image_data")
     folded, query = F.lower("body"), F.col("query")
     answered = F.array_compact(F.array(*[F.when(F.contains(folded, F.lit(q)), F.lit(q)) for q in queries]))
-    found = explode_once(once(blocks, "body", _searchable(blocks)), "query", answered)
+    found = explode_once(once(blocks, "body", searchable(blocks)), "query", answered)
     in_call = F.concat(F.lit("["), "tool_name", F.lit("] "), text.snippet(F.col("body"), query, 40))
     shown = F.when(F.col("block_type") == "tool_use", in_call).otherwise(text.snippet(F.col("body"), query, 60))
-    first = F.min_by(F.struct("uuid", "line_no", "snippet"), F.struct("dfs_pos", "block_no"))
     return (
         found.select(*KEYS, "line_no", "uuid", "block_no", "query", shown.alias("snippet"))
         .join(reachable(tree).select(*KEYS, "line_no", "dfs_pos"), [*KEYS, "line_no"])
         .groupBy(*KEYS, "query")
-        .agg(first.alias("h"))
+        .agg(first_hit().alias("h"))
         .select(*KEYS, "query", F.col("h.line_no").alias("line_no"), F.col("h.uuid").alias("message_id"), F.col("h.snippet").alias("snippet"))
     )
 

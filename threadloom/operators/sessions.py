@@ -200,12 +200,18 @@ def discovery_order() -> list[Column]:
     ]
 
 
-def _discovery_rank() -> Column:
-    """The discovery order as one comparable value, smallest first."""
-    def newest(c: str) -> Column:
-        return -F.coalesce(F.unix_micros(c), F.lit(-(1 << 62)))
+def _newest(c: str) -> Column:
+    return -F.coalesce(F.unix_micros(c), F.lit(-(1 << 62)))
+
+
+def recency_rank() -> Column:
+    """The recency order of projects as one comparable value, smallest first."""
+    return F.struct(_newest("last_modified"), "project_key")
 
-    return F.struct(newest("project_modified"), "project_key", newest("end_time"), "session_id")
+
+def discovery_rank() -> Column:
+    """The discovery order as one comparable value, smallest first."""
+    return F.struct(_newest("project_modified"), "project_key", _newest("end_time"), "session_id")
 
 
 def recent_sessions(sessions: DataFrame, projects: DataFrame, limit: int = 20) -> DataFrame:
@@ -237,12 +243,11 @@ def find_projects(projects: DataFrame, names: Sequence[str]) -> DataFrame:
         folded = name.lower()
         return (F.lower("project_key") == folded) | text.contains_folded(F.col("display_name"), folded)
 
-    rank = F.struct(-F.coalesce(F.unix_micros("last_modified"), F.lit(-(1 << 62))), "project_key")
     asked = F.get(F.array(*[F.lit(n) for n in names]), F.col("request_no"))
     return (
         projects.withColumn("request_no", _hits([answers(n) for n in names]))
         .groupBy("request_no")
-        .agg(F.min_by(F.struct(*projects.columns), rank).alias("p"))
+        .agg(F.min_by(F.struct(*projects.columns), recency_rank()).alias("p"))
         .select(asked.alias("request"), "p.*")
     )
 
@@ -273,7 +278,7 @@ def find_sessions(sessions: DataFrame, projects: DataFrame, requests: Sequence[s
     return (
         joined.withColumn("request_no", _hits([answers(p, s) for p, s in split]))
         .groupBy("request_no")
-        .agg(F.min_by(F.struct(*sessions.columns), _discovery_rank()).alias("s"))
+        .agg(F.min_by(F.struct(*sessions.columns), discovery_rank()).alias("s"))
         .select(asked.alias("request"), "s.*")
     )
 

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from threadloom.functions import paths, text, times, tools
 from threadloom.functions.variants import child
-from threadloom.operators import annotations, export, markup, messages, records, search, sessions, tool_calls, tree, views
+from threadloom.operators import annotations, export, many, markup, messages, records, search, sessions, tool_calls, tree, views
 from threadloom.plans import lake
 from threadloom.session import new_folder, scratch, stage
 from threadloom.sources import bridges, sinks, transcripts
@@ -516,6 +516,38 @@ def search_global(spark, sf):
     return found.select("query", "priority", "type", *KEYS, "project", "summary", "snippet", "message_id")
 
 
+def chat_words(spark, sf) -> DataFrame:
+    """Queries: every long word of the conversations, in the case it stands in, ids of sessions and starts of them."""
+    given = bridges.table(spark, sf, "conversations")
+    words = given.select(F.explode(F.split("text", " ")).alias("query")).where("length(query) >= 9")
+    ids = given.select(F.explode(F.array(F.concat(F.lit("CONV-"), F.col("conv_id").cast("string")), F.lit("proj4"), F.lit("/src/proj"))).alias("query"))
+    return words.unionAll(ids)
+
+
+@register
+def search_many(spark, sf):
+    found = many.search_many(*chat_listing(spark, sf), chat_tree(spark, sf), chat_messages(spark, sf), chat_words(spark, sf))
+    return found.select("query", "priority", "type", *KEYS, "project", "summary", "snippet", "message_id")
+
+
+@register
+def find_projects_many(spark, sf):
+    listed = chat_listing(spark, sf)[1]
+    asked = listed.select(F.explode(F.array("project_key", "display_name", F.upper("display_name"), F.substring("display_name", 1, 4))).alias("request"))
+    return many.find_projects_many(listed, asked).select("request", "project_key", "n_sessions", "display_name")
+
+
+@register
+def find_sessions_many(spark, sf):
+    """Every session id cut at several lengths, alone and below the name of its project."""
+    listed, of = chat_listing(spark, sf)
+    named = sessions.with_project(listed, of)
+    cut = F.transform(F.array(*map(F.lit, (4, 6, 7, 99))), lambda n: F.substring(F.col(SID), F.lit(1), n))
+    starts = named.select("display_name", F.explode(cut).alias("start"))
+    asked = starts.select("start").unionAll(starts.select(F.concat("display_name", F.lit(":"), "start"))).toDF("request")
+    return many.find_sessions_many(listed, of, asked).select("request", *KEYS, "summary")
+
+
 @register
 def faceted_search(spark, sf):
     return search.faceted_search(chat_tree(spark, sf), chat_messages(spark, sf), WORD).drop("project_key")

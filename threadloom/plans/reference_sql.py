@@ -171,9 +171,14 @@ def _toolbox(tool: str, columns: str, tail: str = "") -> str:
 
 
 def _snippet(c: str, q: str, size: int) -> str:
-    at = f"(strpos(lower({c}), '{q}') - 1)"
+    return _snippet_of(c, f"'{q}'", str(len(q)), size)
+
+
+def _snippet_of(c: str, q: str, length: str, size: int) -> str:
+    """Text around the first hit of the SQL expression ``q``."""
+    at = f"(strpos(lower({c}), {q}) - 1)"
     start = f"greatest({at} - 20, 0)"
-    stop = f"least({at} + {len(q) + size - 20}, length({c}))"
+    stop = f"least({at} + {length} + {size - 20}, length({c}))"
     return (
         f"CASE WHEN {at} >= 0 THEN (CASE WHEN {start} > 0 THEN '...' ELSE '' END) || "
         f"replace(substring({c}, {start} + 1, {stop} - {start}), {NL}, ' ') || "
@@ -558,6 +563,25 @@ _CALL_EXPORTS = {
 _ORG_IMAGES = f"""SELECT '-home-user-src-proj' || (user_id % 10) AS project_key, 'box-' || user_id AS session_id,
   string_agg('image/png;base64,' || base64(encode('v' || event_id)), {NL} ORDER BY event_id) AS images FROM events GROUP BY user_id"""
 
+def _search(queries: str, content: str) -> str:
+    """Hits of the queries ``qs`` by key, path, id, summary and content."""
+    return f"""WITH RECURSIVE {_TREE}, {_LISTING[len(_CHAT) + 1:]},
+      {queries},
+      ct AS ({content}),
+      hits AS (
+        SELECT query, CASE WHEN contains(project_key, query) THEN 0 ELSE 1 END AS priority, 'project' AS type, project_key, {_NO_MATCH} AS session_id,
+          display_name AS project, display_name AS summary, CASE WHEN contains(project_key, query) THEN NULL ELSE full_path END AS snippet, {_NO_MATCH} AS message_id,
+          last_modified AS project_modified, CAST(NULL AS BIGINT) AS end_time
+        FROM pr JOIN qs ON contains(project_key, query) OR contains(lower(full_path), query)
+        UNION ALL
+        SELECT query, CASE WHEN starts_with(session_id, query) THEN 0 ELSE 2 END, 'session', project_key, session_id, display_name, summary, NULL, NULL, project_modified, end_time
+        FROM lp JOIN qs ON starts_with(session_id, query) OR contains(lower(summary), query)
+        UNION ALL
+        SELECT ct.query, 3, 'message', project_key, lp.session_id, display_name, summary, ct.snippet, ct.message_id, project_modified, end_time
+        FROM ct JOIN lp ON lp.session_id = ct.session_id WHERE NOT starts_with(lp.session_id, ct.query) AND NOT contains(lower(summary), ct.query))
+      SELECT query, CAST(priority AS BIGINT) AS priority, type, project_key, session_id, project, summary, snippet, message_id FROM hits"""
+
+
 REFERENCE_SQL: dict[str, str] = {
     "line_ordinal": _chat("""SELECT project_key, session_id, line_no, row_number() OVER (PARTITION BY session_id ORDER BY line_no) - 1 AS ordinal
       FROM (SELECT project_key, session_id, line_no FROM c0 UNION ALL SELECT project_key, session_id, line_no FROM notes)"""),
@@ -712,21 +736,30 @@ REFERENCE_SQL: dict[str, str] = {
 """),
     "content_first_hit": _tree(f"SELECT session_id, query, line_no, message_id, snippet FROM ({_content_hits(WORD)} UNION ALL {_content_hits('tail')})"),
     "tool_content_hit": _events(f"SELECT session_id, query, line_no, message_id, snippet FROM ({_tool_hits('run 3')} UNION ALL {_tool_hits('cents 99')})"),
-    "search_global": f"""WITH RECURSIVE {_TREE}, {_LISTING[len(_CHAT) + 1:]},
-      qs(query) AS (VALUES ('{WORD}'), ('proj4'), ('/src/proj'), ('conv-2')),
-      ct AS ({" UNION ALL ".join(_content_hits(q) for q in (WORD, "proj4", "/src/proj", "conv-2"))}),
-      hits AS (
-        SELECT query, CASE WHEN contains(project_key, query) THEN 0 ELSE 1 END AS priority, 'project' AS type, project_key, {_NO_MATCH} AS session_id,
-          display_name AS project, display_name AS summary, CASE WHEN contains(project_key, query) THEN NULL ELSE full_path END AS snippet, {_NO_MATCH} AS message_id,
-          last_modified AS project_modified, CAST(NULL AS BIGINT) AS end_time
-        FROM pr JOIN qs ON contains(project_key, query) OR contains(lower(full_path), query)
-        UNION ALL
-        SELECT query, CASE WHEN starts_with(session_id, query) THEN 0 ELSE 2 END, 'session', project_key, session_id, display_name, summary, NULL, NULL, project_modified, end_time
-        FROM lp JOIN qs ON starts_with(session_id, query) OR contains(lower(summary), query)
-        UNION ALL
-        SELECT ct.query, 3, 'message', project_key, lp.session_id, display_name, summary, ct.snippet, ct.message_id, project_modified, end_time
-        FROM ct JOIN lp ON lp.session_id = ct.session_id WHERE NOT starts_with(lp.session_id, ct.query) AND NOT contains(lower(summary), ct.query))
-      SELECT query, CAST(priority AS BIGINT) AS priority, type, project_key, session_id, project, summary, snippet, message_id FROM hits QUALIFY {_HIT_RANK} <= 40""",
+    "search_global": _search(
+        f"qs(query) AS (VALUES ('{WORD}'), ('proj4'), ('/src/proj'), ('conv-2'))",
+        " UNION ALL ".join(_content_hits(q) for q in (WORD, "proj4", "/src/proj", "conv-2")),
+    ) + f" QUALIFY {_HIT_RANK} <= 40",
+    "search_many": _search(
+        """qs(query) AS (SELECT DISTINCT lower(w) FROM (SELECT unnest(string_split(text, ' ')) AS w FROM conversations) WHERE length(w) >= 9
+          UNION SELECT 'conv-' || conv_id FROM conversations UNION SELECT unnest(['proj4', '/src/proj']))""",
+        f"""SELECT query, c, session_id, line_no, 'c' || c || '-t' || t AS message_id, snippet FROM (
+          SELECT query, tr.c, tr.t, tr.session_id, tr.line_no, {_snippet_of('b.block_text', 'query', 'length(query)', 60)} AS snippet,
+            row_number() OVER (PARTITION BY tr.c, query ORDER BY tr.dfs_pos, b.block_no) AS rn
+          FROM tr JOIN b ON b.c = tr.c AND b.t = tr.t JOIN qs ON contains(lower(b.block_text), query) WHERE b.block_type = 'text') WHERE rn = 1""",
+    ),
+    "find_projects_many": _listing("""SELECT request, project_key, n_sessions, display_name FROM pr
+      JOIN (SELECT DISTINCT unnest([project_key, display_name, upper(display_name), substring(display_name, 1, 4)]) AS request FROM pr) r
+        ON lower(project_key) = lower(request) OR contains(lower(display_name), lower(request))
+      QUALIFY row_number() OVER (PARTITION BY request ORDER BY last_modified DESC, project_key) = 1"""),
+    "find_sessions_many": _listing("""SELECT request, lp.project_key, session_id, summary FROM lp
+      JOIN (SELECT DISTINCT p, s, CASE WHEN p = '' THEN s ELSE p || ':' || s END AS request FROM
+              (SELECT unnest(['', display_name]) AS p, session_id FROM lp) names, (SELECT unnest([4, 6, 7, 99]) AS n) sizes, LATERAL (SELECT substring(session_id, 1, n) AS s) cut) r
+        ON starts_with(session_id, s)
+      LEFT JOIN (SELECT q.name, pr.project_key FROM pr JOIN (SELECT DISTINCT display_name AS name FROM pr) q ON contains(pr.display_name, q.name)
+                 QUALIFY row_number() OVER (PARTITION BY q.name ORDER BY pr.last_modified DESC, pr.project_key) = 1) ch ON ch.name = p
+      WHERE p = '' OR ch.project_key = lp.project_key
+      QUALIFY row_number() OVER (PARTITION BY request ORDER BY project_modified DESC, lp.project_key, end_time DESC, session_id) = 1"""),
     "faceted_search": _facets(WORD, ["user", "response", "thinking"]),
     "faceted_words": _facets(PHRASE, ["user", "response"]),
     "faceted_tool_search": _events("""SELECT 'agent-2' AS query, type, session_id, line_no, CAST(block_no AS BIGINT) AS block_no, score

@@ -1,9 +1,12 @@
+import json
+import random
+
 import pytest
 from conftest import answer, call, result, user
 from pyspark.sql import functions as F
 
 from threadloom.functions import paths, text, times, tools
-from threadloom.operators import markup, messages, records, tool_calls
+from threadloom.operators import export, markup, messages, records, tool_calls
 
 
 def value(spark, c):
@@ -145,3 +148,22 @@ def test_tables(spark):
     assert [(r.table_no, r.row_no, r.cell_no, r.cell) for r in got.orderBy("table_no", "row_no", "cell_no").collect()] == [
         (0, 0, 0, "a"), (0, 0, 1, "b"), (0, 1, 0, "1"), (0, 1, 1, ""), (1, 0, 0, "x"), (2, 0, 0, "y"), (2, 0, 1, "z")
     ]
+
+
+def test_json_is_laid_out_at_any_depth(spark):
+    rng = random.Random(3)
+
+    def value(depth):
+        if depth == 0 or rng.random() < 0.2:
+            return rng.choice([None, True, 12, -3, "", 'a "quoted" \\ text', "{[,:]}", "é漢\n\t", "x\\", {}, []])
+        if rng.random() < 0.5:
+            return [value(depth - 1) for _ in range(rng.randint(0, 4))]
+        return {rng.choice(["k", 'q"', "b{", "a:", "z\\"]) + str(n): value(depth - 1) for n in range(rng.randint(0, 4))}
+
+    deep = {"end": []}
+    for n in range(12):
+        deep = {f"level {n}": [deep, n]}
+    cases = [deep, {"long": '\\"' * 60_000 + "x" * 200_000}, list(range(3000)), *(value(6) for _ in range(60))]
+    frame = spark.createDataFrame([(n, json.dumps(c, ensure_ascii=False)) for n, c in enumerate(cases)], "n int, j string")
+    got = {r.n: r.t for r in frame.select("n", export.laid_out(F.parse_json("j")).alias("t")).collect()}
+    assert got == {n: json.dumps(c, indent=2, ensure_ascii=False, sort_keys=True) for n, c in enumerate(cases)}

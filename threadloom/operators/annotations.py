@@ -20,10 +20,11 @@ STAR_KEY = ["item_type", "item_id"]
 def append_events(events: DataFrame, log: str) -> None:
     """Append star and tag events to the log folder; those with a missing or unknown action go to its quarantine.
 
-    An event is known by its ``seq``: one that is there already, or comes twice, is written once. One writer at a
-    time; readers see whole appends only.
+    An event is known by its ``seq``: one that is there already, or comes twice, is written once; of unlike events of
+    one number that come together the least stays, column by column. One writer at a time; readers see whole appends only.
     """
-    new = events.dropDuplicates(["seq"])
+    whole = F.struct(*events.columns)
+    new = events.groupBy("seq").agg(F.min(whole).alias("e")).select(*(F.col(f"e.{c}").alias(c) for c in events.columns))
     for name, chosen in (("events", valid_events(new)), ("rejected", rejected_events(new))):
         known = read_log(events.sparkSession, log, name)
         fresh = chosen if known is None else chosen.join(known.select("seq"), "seq", "left_anti").select(*events.columns)

@@ -247,26 +247,29 @@ def html_fragment(with_thinking: bool) -> Column:
 # --- Markdown, Org and text by message kind: nothing pruned
 
 
-def laid_out(v: Column, levels: int = 4, depth: int = 0) -> Column:
-    """JSON text over lines, two blanks per level; what lies deeper than ``levels`` stays on one line."""
-    if not levels:
-        return F.to_json(v)
-    inner, outer = "\n" + "  " * (depth + 1), "\n" + "  " * depth
-
-    def block(parts: Column, opening: str, closing: str) -> Column:
-        return F.when(F.size(parts) == 0, opening + closing).otherwise(
-            _cat(opening + inner, F.array_join(parts, "," + inner), outer + closing)
+#: Parts of a JSON text: strings, empty containers, signs, and what stands between signs.
+JSON_PARTS = r'(?s)"[^"\\]*+(?:\\.[^"\\]*+)*+"|\{\}|\[\]|[{}\[\],:]|[^"{}\[\],:\s]++'
+
+
+def laid_out(v: Column) -> Column:
+    """JSON text over lines, two blanks per level, however deep: the levels are the running count of open brackets outside strings."""
+    parts = F.regexp_extract_all(F.to_json(v), F.lit(JSON_PARTS), F.lit(0))
+    none = F.struct(F.lit(0).alias("open"), F.array().cast("array<int>").alias("levels"))
+
+    def count(seen: Column, part: Column) -> Column:
+        now = seen["open"] + F.when(part.isin("{", "["), 1).when(part.isin("}", "]"), -1).otherwise(0)
+        return F.struct(now.alias("open"), F.concat(seen["levels"], F.array(now)).alias("levels"))
+
+    def shown(part: Column, level: Column) -> Column:
+        line = F.concat(F.lit("\n"), F.repeat(F.lit("  "), level))
+        return (
+            F.when(part.isin("{", "[", ","), F.concat(part, line))
+            .when(part.isin("}", "]"), F.concat(line, part))
+            .when(part == ":", ": ")
+            .otherwise(part)
         )
 
-    def named(e: Column) -> Column:
-        name = F.to_json(F.array(e["key"]))
-        return _cat(F.substring(name, F.lit(2), F.length(name) - 2), ": ", laid_out(e["value"], levels - 1, depth + 1))
-
-    return (
-        F.when(is_object(v), block(F.transform(entries_of(v), named), "{", "}"))
-        .when(F.schema_of_variant(v).startswith("ARRAY"), block(F.transform(array_of(v), lambda x: laid_out(x, levels - 1, depth + 1)), "[", "]"))
-        .otherwise(F.to_json(v))
-    )
+    return F.array_join(F.zip_with(parts, F.aggregate(parts, none, count, lambda seen: seen["levels"]), shown), "")
 
 
 def _laid_out_input(item: Column) -> Column:

@@ -731,6 +731,25 @@ def export_filename(spark, sf):
     )
 
 
+@register
+def laid_out_inputs(spark, sf):
+    """Arguments nested up to thirteen deep, as the exports by kind write them."""
+    depth = (F.col("event_id") % 14).cast("int")
+    nested = F.concat(F.repeat(F.lit('{"a":'), depth), F.lit('["{,'), "event_type", F.lit('",[],'), F.col("event_id").cast("string"), F.lit("]"), F.repeat(F.lit("}"), depth))
+    return bridges.table(spark, sf, "events").select("event_id", export.laid_out(F.parse_json(nested)).alias("shown"))
+
+
+@register
+def size_policies(spark, sf):
+    """Lines over the cap under each policy: the line goes, all after it, the whole session; and how many lines the quarantine holds."""
+    lines = event_lines(spark, sf)
+    long = lines.withColumn("value", F.when(F.col("line_no") % 61 == 60, F.concat("value", F.repeat(F.lit(" "), 5000))).otherwise(F.col("value")))
+    table = stage(records.ingest(long, cap=4096))
+    kept = [records.records_for(table, "detail", policy=p).groupBy(SID).agg(F.count("*").alias("n_lines")).withColumn("policy", F.lit(p)) for p in records.POLICIES]
+    held = records.rejected(table).groupBy(SID).agg(F.count("*").alias("n_lines")).withColumn("policy", F.lit("quarantine"))
+    return kept[0].unionAll(kept[1]).unionAll(kept[2]).unionAll(held)
+
+
 # --- log files: lines written as the log writers do, then scanned, ingested, tailed
 
 

@@ -748,6 +748,16 @@ REFERENCE_SQL: dict[str, str] = {
             row_number() OVER (PARTITION BY tr.c, query ORDER BY tr.dfs_pos, b.block_no) AS rn
           FROM tr JOIN b ON b.c = tr.c AND b.t = tr.t JOIN qs ON contains(lower(b.block_text), query) WHERE b.block_type = 'text') WHERE rn = 1""",
     ),
+    "size_policies": _events("""SELECT session_id, policy, count(*) AS n_lines FROM (
+        SELECT *, min(CASE WHEN bad THEN line_no END) OVER (PARTITION BY session_id) AS cut
+        FROM (SELECT session_id, e * 2 + h AS line_no, (e * 2 + h) % 61 = 60 AS bad FROM e0, range(2) r(h))) l
+      JOIN (VALUES ('skip_line'), ('truncate_session'), ('fail_session'), ('quarantine')) p(policy)
+        ON CASE policy WHEN 'skip_line' THEN NOT bad WHEN 'truncate_session' THEN cut IS NULL OR line_no < cut WHEN 'fail_session' THEN cut IS NULL ELSE bad END
+      GROUP BY ALL"""),
+    "laid_out_inputs": f"""SELECT event_id, array_to_string(list_transform(range(1, d + 1), lambda i: '{{' || {NL} || repeat('  ', i) || '"a": '), '')
+      || '[' || {NL} || repeat('  ', d + 1) || '"{{,' || event_type || '",' || {NL} || repeat('  ', d + 1) || '[],' || {NL} || repeat('  ', d + 1) || event_id || {NL}
+      || repeat('  ', d) || ']' || array_to_string(list_transform(range(1, d + 1), lambda i: {NL} || repeat('  ', d - i) || '}}'), '') AS shown
+      FROM (SELECT event_id, event_type, event_id % 14 AS d FROM events)""",
     "find_projects_many": _listing("""SELECT request, project_key, n_sessions, display_name FROM pr
       JOIN (SELECT DISTINCT unnest([project_key, display_name, upper(display_name), substring(display_name, 1, 4)]) AS request FROM pr) r
         ON lower(project_key) = lower(request) OR contains(lower(display_name), lower(request))

@@ -217,6 +217,21 @@ def test_windows_read_back(spark):
     assert any(w.n_repeated for w in by[9])
 
 
+@pytest.mark.parametrize("step", [50, 300, 10**12, None])
+def test_windows_do_not_hang_on_turn_numbers(spark, step):
+    """Sixty short turns, numbered in steps of any size or not at all (in order of their texts)."""
+    def windows(step):
+        rows = [(1, None if step is None else n * step, "user", f"{n:02d} some words here") for n in range(60)]
+        rows += [(2, 5, "system", "be brief"), *((2, n * (step or 1) + 6, "assistant", f"turn {n:03d}") for n in range(700))]
+        given = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(6)
+        found = chat_windows.format_windows(given, budget=128, history=32).orderBy("conv_id", "first_turn").collect()
+        return [(w.conv_id, w.first_turn, w.n_repeated, w.n_turns, w.n_tokens) for w in found]
+
+    got = windows(step)
+    assert got == windows(1)
+    assert sum(w[3] for w in got if w[0] == 1) == 60 and max(w[3] for w in got if w[0] == 1) > 5
+
+
 def test_history_may_be_left_out(spark):
     windows = chat_windows.format_windows(chats(spark), budget=64, history=0).collect()
     assert all(w.n_repeated <= 1 for w in windows)

@@ -10,13 +10,14 @@ A turn is written ``### role: text </turn>`` and a line end. Inside roles and te
 ``#`` and ``<`` get a backslash, in roles ``:`` too, so that no text can hold a marker
 and formatting can be undone.
 
-A conversation is cut into stretches of at most ``STRETCH`` turns by its turn numbers, and each stretch
-is windowed by itself, starting at the running sum of the stretches before. So no task needs a
-whole conversation, however long; a window ends early at the end of a stretch.
-
-Defined results: null texts and roles count as empty. Turns come in order of turn, role,
-text; null turns come last, in hashed parts. Repeated rows are turns of their own. A turn longer than the
-budget stands alone in a window, whole. Rows with a null conversation form one conversation.
+Turns are numbered by a range sort: a turn's number is its place in its range and the sizes of the ranges before, so a conversation may
+spread over many tasks, whatever its turn numbers are. It is cut into stretches of ``STRETCH`` turns by that place, and each stretch
+is windowed by itself, starting at the running sum of the stretches before; a window ends early at the end of a stretch. Until windows
+are known only sizes move, then each text meets its place once.
+
+Defined results: null texts and roles count as empty. Turns come in order of turn (null ones last), role, the first ``SHORT`` characters of the
+text, and a hash of it. Repeated rows are turns of their own. A turn longer than the
+budget stands alone in a window, whole. Rows with a null conversation form one conversation. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ END = " </turn>\n"
 START = "### "
 
 STRETCH = 256
+STRETCHES = 1024
+SHORT = 64
 TOKEN = r"[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]"
 
 
@@ -43,59 +46,70 @@ def unescape(text: Column) -> Column:
 
 
 def _turns(conversations: DataFrame, conv: str, turn: str, role: str, text: str) -> DataFrame:
-    """Rendered turns with their stretch, and their place and running token sum inside it."""
+    """Rendered turns; ``id`` grows with their order, without gaps inside a range (its upper bits)."""
     rows = conversations.select(
         F.col(conv).alias("conv"), F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"),
         F.coalesce(F.col(text), F.lit("")).alias("text"),
     )
     head = F.concat(F.lit(START), escape(F.col("role"), True), F.lit(": "))
     body = escape(F.col("text"))
-    rows = rows.select(
-        "conv", "role", "turn", "text", F.length(head).alias("head"), F.length(body).alias("body"),
-        F.concat(head, body, F.lit(END)).alias("shown"), F.floor(F.col("turn") / STRETCH).alias("part"),
+    order = ["conv", F.asc_nulls_last("turn"), "role", F.left("text", F.lit(SHORT)), F.xxhash64("text")]
+    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order, "text").withColumn("id", F.monotonically_increasing_id())
+    return placed.select(
+        "conv", "role", "id", F.length(head).alias("head"), F.length(body).alias("body"), F.concat(head, body, F.lit(END)).alias("shown"),
     ).withColumn("tokens", F.regexp_count("shown", F.lit(TOKEN)).cast("long"))
-    # Null and crowded turn numbers: the rows of a part are dealt on in runs of STRETCH.
-    order = [F.asc_nulls_last("turn"), "role", "text"]
-    inside = Window.partitionBy("conv", "part").orderBy(*order)
-    placed = rows.withColumn("nth", F.row_number().over(inside) - 1)
-    placed = placed.withColumn("run", F.floor(F.col("nth") / STRETCH))
-    upto = Window.partitionBy("conv", "part", "run").orderBy("nth")
-    return placed.withColumn("begin", F.sum("tokens").over(upto) - F.col("tokens")).drop("turn", "text")
-
-
-def _stretches(turns: DataFrame, budget: int, history: int) -> DataFrame:
-    """One row per stretch: what stands before it, its conversation's system turn, and the windows of its turns."""
-    parts = turns.groupBy("conv", "part", "run").agg(
-        F.sum("tokens").alias("total"), F.count("*").alias("n"),
-        F.sort_array(F.collect_list(F.struct("nth", "tokens", "role", "shown"))).alias("turns"),
-    )
-    parts = parts.withColumn("sizes", F.transform("turns", lambda t: t["tokens"])).withColumn("head", F.col("turns")[0]).drop("turns")
-    order = Window.partitionBy("conv").orderBy(F.asc_nulls_last("part"), "run")
-    parts = parts.withColumns(
-        {
-            "tokens_before": F.sum("total").over(order) - F.col("total"), "turns_before": F.sum("n").over(order) - F.col("n"),
-            "first": F.first("head").over(order),
-        }
-    )
-    is_system = F.col("first.role") == "system"
-    system_tokens = F.when(is_system, F.col("first.tokens")).otherwise(F.lit(0))
-    room = F.greatest(F.lit(budget - history) - system_tokens, F.lit(1))
-    # The number of the window of each turn: a fold over at most STRETCH sizes.
-    folded = F.aggregate(
-        "sizes", F.struct(F.array().cast("array<int>").alias("windows"), F.lit(-1).alias("last"), F.lit(0).cast("long").alias("filled")),
-        lambda acc, size: F.when(
-            (acc["last"] >= 0) & (acc["filled"] + size <= room),
-            F.struct(F.concat(acc["windows"], F.array(acc["last"])).alias("windows"), acc["last"].alias("last"), (acc["filled"] + size).alias("filled")),
-        ).otherwise(
-            F.struct(
-                F.concat(acc["windows"], F.array(acc["last"] + 1)).alias("windows"), (acc["last"] + 1).alias("last"), size.cast("long").alias("filled")
-            )
-        ),
+
+
+def _same(left: DataFrame, right: DataFrame, *by: str, how: str = "inner") -> DataFrame:
+    """Join on columns of equal names, null with null; those of the left side stay."""
+    other = right.select(*(F.col(c).alias(f"_{c}" if c in by else c) for c in right.columns))
+    on = F.lit(True)
+    for c in by:
+        on = on & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return left.join(other, on, how).drop(*(f"_{c}" for c in by))
+
+
+def _numbered(turns: DataFrame) -> DataFrame:
+    """``conv``, ``id``, ``tokens``, ``at`` (place in the conversation) and, for a system turn that begins it, ``system_tokens``."""
+    narrow = turns.select("conv", "id", "tokens", "role", F.shiftright("id", 33).alias("range"))
+    ranges = narrow.groupBy("conv", "range").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
+    before = F.sum("n").over(Window.partitionBy("conv").orderBy("range")) - F.col("n")  # one row per range
+    placed = _same(narrow, ranges.select("conv", "range", "first_id", before.alias("before")), "conv", "range")
+    at = F.col("before") + F.col("id") - F.col("first_id")
+    return placed.select("conv", "id", "tokens", at.alias("at"), F.when((at == 0) & (F.col("role") == "system"), F.col("tokens")).alias("system_tokens"))
+
+
+def _spots(numbered: DataFrame, budget: int, history: int) -> DataFrame:
+    """``id``, ``at``, ``begin`` (tokens before it), and the place and begin of the first new turn of its window."""
+    parts = numbered.groupBy("conv", F.floor(F.col("at") / STRETCH).alias("part")).agg(
+        F.sum("tokens").alias("total"), F.sort_array(F.collect_list(F.struct("at", "id", "tokens"))).alias("turns")
     )
-    return parts.select(
-        "conv", "part", "run", "tokens_before", "turns_before", F.when(is_system, F.col("first.shown")).alias("system"),
-        F.when(is_system, F.col("first.tokens")).alias("system_tokens"), folded["windows"].alias("windows"),
+    # Running sums in two steps, so that no task needs all stretches of a conversation.
+    parts = parts.withColumn("region", F.floor(F.col("part") / STRETCHES))
+    regions = parts.groupBy("conv", "region").agg(F.sum("total").alias("all"))
+    ahead = F.sum("all").over(Window.partitionBy("conv").orderBy("region")) - F.col("all")
+    inside = F.sum("total").over(Window.partitionBy("conv", "region").orderBy("part")) - F.col("total")
+    parts = _same(parts.withColumn("inside", inside), regions.select("conv", "region", ahead.alias("ahead")), "conv", "region")
+    parts = _same(parts, numbered.where("system_tokens is not null").select("conv", "system_tokens"), "conv", how="left")
+    room = F.greatest(F.lit(budget - history) - F.coalesce("system_tokens", F.lit(0)), F.lit(1))
+    spot = "struct<id:bigint,at:bigint,begin:bigint,first_turn:bigint,first_begin:bigint>"
+
+    def place(seen: Column, turn: Column) -> Column:
+        fits = (seen["first"] >= 0) & (seen["filled"] + turn["tokens"] <= room)
+        first = F.when(fits, seen["first"]).otherwise(turn["at"])
+        first_begin = F.when(fits, seen["first_begin"]).otherwise(seen["begin"])
+        found = F.struct(turn["id"], turn["at"], seen["begin"], first.alias("first_turn"), first_begin.alias("first_begin")).cast(spot)
+        return F.struct(
+            F.concat(seen["spots"], F.array(found)).alias("spots"), first.alias("first"), first_begin.alias("first_begin"),
+            (F.when(fits, seen["filled"]).otherwise(F.lit(0).cast("long")) + turn["tokens"]).alias("filled"), (seen["begin"] + turn["tokens"]).alias("begin"),
+        )
+
+    none = F.lit(0).cast("long")
+    start = F.struct(
+        F.array().cast(f"array<{spot}>").alias("spots"), (none - 1).alias("first"), none.alias("first_begin"), none.alias("filled"),
+        (F.col("ahead") + F.col("inside")).alias("begin"),
     )
+    return parts.select(F.explode(F.aggregate("turns", start, place, lambda seen: seen["spots"])).alias("spot")).select("spot.*")
 
 
 def format_windows(
@@ -109,22 +123,19 @@ def format_windows(
     if not 0 <= history < budget:
         raise ValueError("history must be smaller than the budget")
     turns = stage(_turns(conversations, conv, turn, role, text))
-    stretches = _stretches(turns, budget, history)
-    placed = _placed(turns, stretches)
-    by_window = Window.partitionBy("conv", "part", "run", "window").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    # Written once for the four branches below that read it.
-    placed = stage(placed.withColumns({"first_turn": F.first("at").over(by_window), "first_begin": F.first("begin").over(by_window)}))
+    # Written once for the branches below that read it.
+    placed = stage(turns.join(_spots(stage(_numbered(turns)), budget, history), "id"))
     unstage(turns)
     targets = placed.select(
         "conv", "first_turn", F.struct(F.col("at"), F.lit(False).alias("repeated"), F.col("role"), "head", "body", "shown", "tokens").alias("turn")
     )
-    systems = placed.where("at = first_turn and at > 0 and system is not null").select(
-        "conv", "first_turn",
+    system = placed.where("at = 0 and role = 'system'").select(
+        "conv",
         F.struct(
-            F.lit(-1).cast("long").alias("at"), F.lit(True).alias("repeated"), F.lit("system").alias("role"), F.lit(0).alias("head"), F.lit(0).alias("body"),
-            F.col("system").alias("shown"), F.col("system_tokens").alias("tokens"),
+            F.lit(-1).cast("long").alias("at"), F.lit(True).alias("repeated"), "role", F.lit(0).alias("head"), F.lit(0).alias("body"), "shown", "tokens"
         ).alias("turn"),
     )
+    systems = _same(placed.where("at = first_turn and at > 0").select("conv", "first_turn"), system, "conv")
     parts = targets.unionAll(systems)
     if history:
         parts = parts.unionAll(_history(placed, history))
@@ -147,17 +158,6 @@ def format_windows(
     )
 
 
-def _placed(turns: DataFrame, stretches: DataFrame) -> DataFrame:
-    """Turns with their place and running sum in the whole conversation, and their window."""
-    s = stretches.select(*(F.col(c).alias(f"_{c}") for c in stretches.columns))
-    same = F.col("conv").eqNullSafe(F.col("_conv")) & F.col("part").eqNullSafe(F.col("_part")) & F.col("run").eqNullSafe(F.col("_run"))
-    return turns.join(s, same).select(
-        "conv", "part", "run", "role", "head", "body", "shown", "tokens", (F.col("_turns_before") + F.col("nth") % STRETCH).alias("at"),
-        (F.col("_tokens_before") + F.col("begin")).alias("begin"), F.col("_system").alias("system"), F.col("_system_tokens").alias("system_tokens"),
-        F.col("_windows")[(F.col("nth") % STRETCH).cast("int")].alias("window"),
-    )
-
-
 def _history(placed: DataFrame, history: int) -> DataFrame:
     """Turns that end just before a window and begin at most ``history`` tokens before it.
 
@@ -167,7 +167,7 @@ def _history(placed: DataFrame, history: int) -> DataFrame:
         F.col("conv").alias("_conv"), F.col("first_turn"), "first_begin",
         F.explode(F.array(*(F.floor(F.col("first_begin") / history) - k for k in (0, 1)))).alias("_cell"),
     )
-    before = placed.where("not (at = 0 and system is not null)").withColumn("cell", F.floor(F.col("begin") / history)).drop("first_turn", "first_begin")
+    before = placed.where("not (at = 0 and role = 'system')").withColumn("cell", F.floor(F.col("begin") / history)).drop("first_turn", "first_begin")
     near = (F.col("begin") >= F.col("first_begin") - history) & (F.col("at") < F.col("first_turn"))
     return before.join(windows, F.col("conv").eqNullSafe(F.col("_conv")) & (F.col("cell") == F.col("_cell")) & near).select(
         "conv", "first_turn", F.struct(F.col("at"), F.lit(True).alias("repeated"), F.col("role"), "head", "body", "shown", "tokens").alias("turn")

@@ -224,6 +224,38 @@ def test_lake(spark, tmp_path):
     assert "PartitionFilters" in plan
 
 
+def test_lake_is_brought_up_to_date(spark, tmp_path):
+    """New, longer, rewritten and deleted logs are taken up; the others are not even opened."""
+    logs, out, fresh = tmp_path / "logs", str(tmp_path / "lake"), str(tmp_path / "fresh")
+    for project in ("-a b+c%", "-p", "-q"):
+        for n in range(3):
+            write(logs, project, f"s{n}.jsonl", [user(f"hello {n}", timestamp="2025-01-01T00:00:00Z"), answer([call("Bash", {"command": "x"}, id="t")])])
+    lake.build_lake(spark, str(logs), out)
+    assert lake.update_lake(spark, str(logs), out) == 0
+    # Unlike content under the same size and time: seen only if the file is opened.
+    for path in (logs / "-q" / "s0.jsonl", logs / "-p" / "s2.jsonl"):
+        seen = path.stat()
+        path.write_text("x" * seen.st_size)
+        os.utime(path, ns=(seen.st_atime_ns, seen.st_mtime_ns))
+    write(logs, "-p", "s0.jsonl", [user([result("done", id="t")])], "a")
+    write(logs, "-p", "new.jsonl", [user("new", timestamp="2025-01-02T00:00:00Z")])
+    (logs / "-p" / "s1.jsonl").unlink()
+    for n in range(3):
+        (logs / "-a b+c%" / f"s{n}.jsonl").unlink()
+    assert lake.update_lake(spark, str(logs), out) == 2
+    for path in (logs / "-q" / "s0.jsonl", logs / "-p" / "s2.jsonl"):
+        write(logs, path.parent.name, path.name, [user(f"hello {path.stem[1:]}", timestamp="2025-01-01T00:00:00Z"), answer([call("Bash", {"command": "x"}, id="t")])])
+    lake.build_lake(spark, str(logs), fresh)
+    for name in ("records", "tree", "tool_calls", "sessions", "listed_sessions", "projects"):
+        rows = [sorted(map(str, lake.read_table(spark, where, name).collect())) for where in (out, fresh)]
+        assert rows[0] == rows[1], name
+    assert lake.update_lake(spark, str(logs), out) == 2  # their times are new
+    for project in ("-p", "-q"):
+        for f in (logs / project).iterdir():
+            f.unlink()
+    assert lake.update_lake(spark, str(logs), out) == 0 and lake.read_table(spark, out, "sessions").count() == 0
+
+
 def landed(spark, tmp_path, stream, start, **where):
     query = start(stream, checkpoint=str(tmp_path / "state"), trigger={"availableNow": True}, **where)
     query.awaitTermination()

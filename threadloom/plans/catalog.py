@@ -791,6 +791,19 @@ def lake_sessions(spark, sf):
     return found.select(*KEYS, "message_count", "user_prompts", "continuations", "agent_sidechains", "summary", "duration_seconds")
 
 
+@register
+def lake_incremental(spark, sf):
+    """A lake of the sessions of even number, their logs four lines long at first, brought up to date with all of them."""
+    root, out = new_folder(spark), new_folder(spark)
+    lines = chat_lines(spark, sf)
+    bridges.write_logs(lines.where((F.regexp_extract(SID, r"(\d+)$", 1).cast("bigint") % 2 == 0) & (F.col("line_no") < 4)), root, padded=True)
+    lake.build_lake(spark, root, out)
+    bridges.write_logs(lines, root, padded=True)
+    lake.update_lake(spark, root, out)
+    found = lake.read_table(spark, out, "sessions")
+    return found.select(*KEYS, "message_count", "user_prompts", "continuations", "agent_sidechains", "summary", "duration_seconds")
+
+
 @register
 def lake_projects(spark, sf):
     return lake.read_table(spark, _lake(spark, chat_lines(spark, sf)), "projects")

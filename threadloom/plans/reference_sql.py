@@ -843,6 +843,7 @@ REFERENCE_SQL: dict[str, str] = {
     "scan_projects": _chat("""SELECT project_key, count(*) AS n_lines FROM (SELECT project_key FROM c0 UNION ALL SELECT project_key FROM notes)
       WHERE project_key IN ('-home-user-src-proj3', '-home-user-src-proj5') GROUP BY project_key"""),
     "lake_sessions": _detail("SELECT project_key, session_id, message_count, user_prompts, continuations, agent_sidechains, summary, duration_seconds FROM ds"),
+    "lake_incremental": _detail("SELECT project_key, session_id, message_count, user_prompts, continuations, agent_sidechains, summary, duration_seconds FROM ds"),
     "lake_projects": _listing("SELECT project_key, n_sessions, last_modified, display_name, full_path FROM pr"),
     "lake_tool_calls": _events(f"""SELECT eu.project_key, eu.tool_name, el.is_error, count(*) AS n_calls FROM eu LEFT JOIN el ON el.u = eu.u AND el.tool_id = eu.tool_id
       WHERE eu.e % {MALFORMED_EVERY} <> 0 GROUP BY ALL"""),

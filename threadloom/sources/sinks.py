@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from threadloom.session import stage
 
 
-def write_table(df: DataFrame, folder: str) -> None:
+def write_table(df: DataFrame, folder: str, replace: str = "static") -> None:
     """Parquet by project. Rows are gathered by project before the write, so a project
     fills a few files; an outsized project is split over many tasks and a small one
-    shares its task with others."""
-    df.hint("rebalance", "project_key").write.mode("overwrite").partitionBy("project_key").parquet(folder)
+    shares its task with others. With ``replace`` as ``dynamic`` only the projects of ``df`` are replaced."""
+    df.hint("rebalance", "project_key").write.mode("overwrite").option("partitionOverwriteMode", replace).partitionBy("project_key").parquet(folder)
 
 
 def number_in_order(df: DataFrame, *order: Column) -> DataFrame:

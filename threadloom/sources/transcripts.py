@@ -33,24 +33,44 @@ def _existing(spark: SparkSession, folders: Sequence[str]) -> list[str]:
     return [re.sub(r"([{}\[\]*?\\])", r"\\\1", f) for f in found]
 
 
+SIDE_FILE = r"/agent-[^/]*\.jsonl$"
+
+
+def _at_depth(path: Column, root: str) -> Column:
+    return F.size(F.split(F.regexp_replace(path, "^[a-z0-9]+:/*", ""), "/")) == _depth(root) + 2
+
+
+def list_logs(spark: SparkSession, root: str) -> DataFrame:
+    """``project_key``, ``session_id``, ``path``, ``size`` and ``modified`` of every log; none is opened."""
+    folders = _existing(spark, [root.rstrip("/")])
+    if not folders:
+        return spark.createDataFrame([], "project_key string, session_id string, path string, size bigint, modified timestamp")
+    path = F.col("path")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").load(folders)
+    project, session = path_keys(path)
+    return files.where(_at_depth(path, root.rstrip("/")) & ~path.rlike(SIDE_FILE)).select(
+        project.alias("project_key"), session.alias("session_id"), "path", F.col("length").alias("size"), F.col("modificationTime").alias("modified")
+    )
+
+
 def scan_transcripts(
-    spark: SparkSession, root: str, *, projects: Sequence[str] | None = None, with_side_files: bool = False
+    spark: SparkSession, root: str, *, projects: Sequence[str] | None = None, with_side_files: bool = False,
+    only: Sequence[str] | None = None,
 ) -> DataFrame:
     """Every ``<root>/<project>/<session>.jsonl`` as numbered lines from 0.
 
     ``projects`` names the project folders to read; others are not even listed. A missing root or project, or one
-    without logs, gives no rows. Folders that look like a log file are left out. The logs are read once, into a
-    staged table from which all that follows is taken.
+    without logs, gives no rows. ``only`` names the files to read instead, as ``list_logs`` gives them. Folders that look like a log
+    file are left out. The logs are read once, into a staged table from which all that follows is taken.
     """
     root = root.rstrip("/")
-    folders = _existing(spark, [root] if projects is None else [f"{root}/{p}" for p in projects])
+    folders = _existing(spark, only if only is not None else [root] if projects is None else [f"{root}/{p}" for p in projects])
     if not folders:
         return spark.createDataFrame([], _EMPTY)
     path = F.col("_metadata.file_path")
     # Folders are listed, in parallel, not files one by one. These filters only
     # look at the path, so files that fail them are never opened.
-    at_depth = F.size(F.split(F.regexp_replace(path, "^[a-z0-9]+:/*", ""), "/")) == _depth(root) + 2
-    side_file = path.rlike(r"/agent-[^/]*\.jsonl$")
+    at_depth, side_file = _at_depth(path, root), path.rlike(SIDE_FILE)
     files = spark.read.option("lineSep", "\n").option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").text(folders)
     raw = files.where(at_depth if with_side_files else at_depth & ~side_file).select(
         path.alias("raw_path"),

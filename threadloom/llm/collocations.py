@@ -46,7 +46,9 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
 #: Prints that a task gathers before it hands them on.
-PRINTS = 1_500_000
+PRINTS = 800_000
+#: Parts of the shuffle of prints per shuffle partition of the session: a task's table of counts stays small.
+PARTS = 4
 
 
 class Words(NamedTuple):
@@ -168,11 +170,13 @@ def count_prints(
             if added > gather:
                 yield batch(*held[0])
                 held, rows, added = [], 0, 0
+                pa.default_memory_pool().release_unused()
         if held:
             yield batch(*_added_up(held))
 
     # Tasks have added up already: dealt out first, so that no task tries again before the shuffle.
-    found = texts.mapInArrow(run, "h long, g int, a long").repartition("h")
+    parts = PARTS * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = texts.mapInArrow(run, "h long, g int, a long").repartition(parts, "h")
     return found.groupBy("h", "g").agg(F.sum("a").alias("a")).where(F.col("a") >= least)
 
 

@@ -66,9 +66,47 @@ def test_packed_order(index, sessions):
     assert as_dict(index) == expected(sessions)
 
 
-def test_doubling_order(decoded, sessions):
-    """With a limit of 20 the longer sessions go the distributed way."""
-    assert as_dict(tree.build_tree(decoded, pack_limit=20)) == expected(sessions)
+@pytest.mark.parametrize("span", [1, 7, 1 << 16])
+def test_segmented_order(decoded, sessions, span):
+    """With a limit of 20 the longer sessions go the distributed way, cut into segments of any size."""
+    assert as_dict(tree.build_tree(decoded, pack_limit=20, span=span)) == expected(sessions)
+
+
+def test_siblings_and_circles_over_segments(lines_of):
+    """One parent with children in all segments, forward parents, circles inside and across segments, all roots."""
+    rng = random.Random(5)
+    made = {
+        "star": [user("r", uuid="r")] + [answer("a", uuid=f"s{i}", parentUuid="r") for i in range(40)],
+        "late": [answer("a", uuid=f"l{i}", parentUuid="end") for i in range(20)] + [user("r", uuid="end")] + [answer("b", parentUuid="end") for _ in range(20)],
+        "roots": [user("r", uuid=f"r{i}") for i in range(30)],
+        "circle": [user("ok", uuid="ok")] + [answer("a", uuid=f"c{i}", parentUuid=f"c{(i + 1) % 30}") for i in range(30)] + [answer("b", parentUuid="c3"), answer("c", parentUuid="ok")],
+        "wild": [answer("a", uuid=f"w{i}", parentUuid=f"w{rng.randrange(90)}" if i % 9 else "") for i in range(90)],
+        "back": [answer("a", uuid=f"k{i}", parentUuid=f"k{i + 1}") for i in range(50)],
+    }
+    lines = records.decode(lines_of(made))
+    for span in (3, 16):
+        assert as_dict(tree.build_tree(lines, pack_limit=0, span=span)) == expected(made), span
+
+
+def shuffled_rows(spark):
+    jvm = spark._jvm
+    store = spark.sparkContext._jsc.sc().statusStore()
+    stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return {(stages.apply(i).stageId(), stages.apply(i).attemptId()): stages.apply(i).shuffleWriteRecords() for i in range(stages.size())}
+
+
+def test_a_chain_is_ordered_in_few_shuffled_rows(spark):
+    n = 200_000
+    links = spark.range(n).select(
+        F.lit("p").alias("project_key"), F.lit("s").alias("session_id"), F.col("id").alias("line_no"),
+        F.when(F.col("id") > 0, F.col("id") - 1).alias("parent_line"),
+    )
+    before = shuffled_rows(spark)
+    got = tree.order_messages(links)
+    wrong = got.where("not reachable or depth != line_no or dfs_pos != line_no or dfs_end != 200000").count()
+    after = shuffled_rows(spark)
+    assert (wrong, got.count()) == (0, n)
+    assert 0 < sum(v for k, v in after.items() if k not in before) <= 6 * n
 
 
 @pytest.mark.parametrize("length, root", [(15, "m"), (16, "m"), (17, None)])

@@ -4,8 +4,10 @@ The depth-first order of a forest is the order of *enter* steps on an Euler
 tour: every message has an enter and an exit step, each step knows the next
 one, and pointer doubling turns "next" into "distance to the end" in
 logarithmically many rounds. Sessions up to ``PACK_LIMIT`` messages are
-doubled inside a task, many sessions per Arrow batch; longer ones are doubled
-as distributed joins, so no session is ever held by one task.
+doubled inside a task, many sessions per Arrow batch. Longer ones are cut into
+segments of lines: a task doubles inside a segment, and only the steps by which
+the tour enters a segment are doubled in distributed joins, so no session is
+ever held by one task.
 """
 
 from __future__ import annotations
@@ -14,7 +16,9 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
@@ -22,7 +26,7 @@ from pyspark.sql.functions import pandas_udf
 from threadloom.functions import text
 from threadloom.operators.messages import classify, is_conversational
 from threadloom.operators.records import KEYS
-from threadloom.operators.scans import running
+from threadloom.operators.scans import SPAN, running
 from threadloom.session import stage
 
 PACK_LIMIT = 4096
@@ -192,41 +196,187 @@ def walk_packed(links: DataFrame) -> DataFrame:
     )
 
 
-def walk_doubling(links: DataFrame, longest: int) -> DataFrame:
-    """Order sessions of any length by distributed pointer doubling."""
-    family = links.withColumn("up", F.coalesce("parent_line", F.lit(-1)))
-    with_next = running(
-        family, [*KEYS, "up"], "line_no", {"sibling": ("min", F.col("line_no"), "before")}, backward=True
+def _part(line: Column, span: int) -> Column:
+    return F.floor(line / F.lit(span))
+
+
+def _borders(links: DataFrame, span: int) -> tuple[DataFrame, DataFrame]:
+    """Where a tour leaves the segment it is in: ``(at, next)`` by segment, and where each session's tour starts.
+
+    A step is four times a line, plus 0 to enter the message, 1 to leave it, and 2 and 3 before and after those of its
+    children that lie in its own segment. Only children in other segments than their parent (and roots) are looked at,
+    one row per parent and segment, so what a parent has in its own segment need not be known here.
+    """
+    up = F.coalesce("parent_line", F.lit(-1))
+    away = links.select(*KEYS, up.alias("up"), "line_no", _part(F.col("line_no"), span).alias("part")).where(
+        (F.col("up") < 0) | (_part(F.col("up"), span) != F.col("part"))
     )
-    first_child = family.where("up >= 0").groupBy(*KEYS, "up").agg(F.min("line_no").alias("child"))
-    linked = with_next.join(first_child.withColumnRenamed("up", "line_no"), [*KEYS, "line_no"], "left")
-    enter, leave = F.col("line_no") * 2, F.col("line_no") * 2 + 1
-    steps = linked.select(
-        *KEYS,
-        F.explode(
-            F.array(
-                F.struct(
-                    enter.alias("at"),
-                    F.coalesce(F.col("child") * 2, leave).alias("next"),
-                    F.lit(1).cast("bigint").alias("enters"),
-                    F.lit(1).cast("bigint").alias("level"),
-                ),
-                F.struct(
-                    leave.alias("at"),
-                    F.coalesce(F.col("sibling") * 2, F.col("parent_line") * 2 + 1).alias("next"),
-                    F.lit(0).cast("bigint").alias("enters"),
-                    F.lit(-1).cast("bigint").alias("level"),
-                ),
+    pieces = away.groupBy(*KEYS, "up", "part").agg(
+        (F.min("line_no") * 4).alias("first"), (F.max("line_no") * 4 + 1).alias("last")
+    )
+    home = pieces.where("up >= 0").select(*KEYS, "up").distinct().select(
+        *KEYS, "up", _part(F.col("up"), span).alias("part"), (F.col("up") * 4 + 2).alias("first"), (F.col("up") * 4 + 3).alias("last")
+    )
+    along = Window.partitionBy(*KEYS, "up").orderBy("part")
+    chained = stage(
+        pieces.unionByName(home).withColumns({"follows": F.lead("first").over(along), "head": F.row_number().over(along) == 1})
+    )
+    home_exit = F.when(F.col("up") >= 0, F.col("up") * 4 + 1)
+    onward = chained.select(*KEYS, "part", F.col("last").alias("at"), F.coalesce("follows", home_exit).alias("next"))
+    inward = chained.where("head and up >= 0").select(
+        *KEYS, _part(F.col("up"), span).alias("part"), (F.col("up") * 4).alias("at"), F.col("first").alias("next")
+    )
+    return onward.unionByName(inward), chained.where("head and up < 0").select(*KEYS, F.col("first").alias("start"))
+
+
+class _Segment:
+    """The steps of one segment, each taken to where it leaves the segment: ``out`` is the number of that border, or negative in a circle."""
+
+    def __init__(self, lines: np.ndarray, ups: np.ndarray, at: np.ndarray, to: np.ndarray, span: int):
+        order = np.argsort(lines)
+        self.lines, ups = lines[order], ups[order]
+        self.n = n = len(lines)
+        part = self.lines[0] // span
+        self.gates = np.sort(at[at % 4 == 3] // 4)
+        k = len(self.gates)
+        self.base = base = 2 * n + 2 * k
+        step = np.arange(base + len(at) + 1)
+        step[:n] += n
+
+        here = (ups >= 0) & (ups // span == part)
+        up = np.searchsorted(self.lines, ups[here])
+        step[n + np.flatnonzero(here)] = n + up
+        family = np.argsort(ups, kind="stable")
+        same = ups[family][1:] == ups[family][:-1]
+        step[n + family[:-1][same]] = family[1:][same]
+        eldest, youngest = family[np.concatenate(([True], ~same))], family[np.concatenate((~same, [True]))]
+        eldest, youngest = eldest[here[eldest]], youngest[here[youngest]]
+        step[np.searchsorted(self.lines, ups[eldest])] = eldest
+
+        # Steps before and after the children at home, for parents that have others elsewhere.
+        gate = np.searchsorted(self.lines, self.gates)
+        opening, closing = 2 * n + np.arange(k), 2 * n + k + np.arange(k)
+        step[opening] = np.where(step[gate] == n + gate, closing, step[gate])
+        gated = np.isin(ups[youngest], self.gates)
+        step[n + youngest[gated]] = closing[np.searchsorted(self.gates, ups[youngest[gated]])]
+
+        inside = (to >= 0) & (to // 4 // span == part)
+        goal = base + np.arange(len(at))
+        goal[inside] = self.place(to[inside])
+        step[self.place(at)] = goal
+
+        self.enters, self.level = np.zeros(len(step), dtype=np.int64), np.zeros(len(step), dtype=np.int64)
+        self.enters[:n], self.level[:n], self.level[n : 2 * n] = 1, 1, -1
+        _double(step, [self.enters, self.level], math.ceil(math.log2(len(step))) + 1)
+        self.out = step - base
+        self.out[-1] = -1
+
+    def place(self, at: np.ndarray) -> np.ndarray:
+        line, kind = at // 4, at % 4
+        return np.where(
+            kind < 2,
+            np.searchsorted(self.lines, line) + kind * self.n,
+            2 * self.n + np.searchsorted(self.gates, line) + (kind - 2) * len(self.gates),
+        )
+
+
+def _longs(column: pa.ChunkedArray) -> np.ndarray:
+    return pc.fill_null(column, -1).to_numpy().astype(np.int64)
+
+
+def _segment(left: pa.Table, right: pa.Table, span: int) -> tuple[_Segment, pa.Table]:
+    borders = right.filter(pc.is_valid(right["at"]))
+    return _Segment(_longs(left["line_no"]), _longs(left["parent_line"]), _longs(borders["at"]), _longs(borders["next"]), span), borders
+
+
+def _keyed(left: pa.Table, n: int, columns: dict) -> pa.Table:
+    """Columns with the keys of the segment, ``n`` rows."""
+    keys = {k: pa.array([left[k][0].as_py()] * n, pa.string()) for k in KEYS}
+    return pa.table({**keys, **columns})
+
+
+_KEY_TYPES = ", ".join(f"{k} string" for k in KEYS)
+
+
+def walk_segments(links: DataFrame, span: int = SPAN) -> DataFrame:
+    """Order sessions of any length, a segment of ``span`` lines at a time.
+
+    Every segment is contracted by itself to the few steps by which the tour comes in, these are ranked by pointer
+    doubling in joins, and a second pass over the segments adds what comes after. Links between neighbouring lines cost
+    nothing but the two passes; what is ranked by joins grows with the links that cross a border of segments.
+    """
+    cut = links.select(*KEYS, "line_no", "parent_line", _part(F.col("line_no"), span).alias("part"))
+    by_part = [*KEYS, "part"]
+    borders, starts = _borders(links, span)
+    borders = stage(borders)
+    crossing = borders.where(F.col("next").isNotNull() & (_part(F.floor(F.col("next") / 4), span) != F.col("part")))
+    none = F.lit(None).cast("bigint")
+    entries = crossing.select("next", *KEYS).unionByName(starts.withColumnRenamed("start", "next")).select(
+        *KEYS, _part(F.floor(F.col("next") / 4), span).alias("part"), none.alias("at"), none.alias("next"), F.col("next").alias("entry")
+    )
+
+    def contract(left: pa.Table, right: pa.Table) -> pa.Table:
+        segment, known = _segment(left, right, span)
+        entry = np.unique(_longs(right["entry"].drop_null()))
+        place = segment.place(entry)
+        found = segment.out[place] >= 0
+        entry, place = entry[found], place[found]
+        goes = _longs(known["next"])[segment.out[place]]
+        columns = {"at": entry, "next": pa.array(goes, mask=goes < 0), "enters": segment.enters[place], "level": segment.level[place]}
+        return _keyed(left, len(entry), columns)
+
+    to_contract = borders.withColumn("entry", none).unionByName(entries)
+    ranked = rank_steps(
+        stage(
+            cut.groupBy(*by_part).cogroup(to_contract.groupBy(*by_part)).applyInArrow(
+                contract, f"{_KEY_TYPES}, at bigint, next bigint, enters bigint, level bigint"
             )
-        ).alias("s"),
-    ).select(*KEYS, "s.*")
-    moved = stage(steps)
-    finished = [moved.where("next is null")]
-    for _ in range(math.ceil(math.log2(2 * longest + 1)) + 1):
+        )
+    )
+
+    def finish(left: pa.Table, right: pa.Table) -> pa.Table:
+        segment, known = _segment(left, right, span)
+        n = segment.n
+        ends = np.append(known["ends"].to_numpy().astype(bool), False)
+        after, below = (np.append(_longs(known[c]), 0) for c in ("enters", "level"))
+        total = pc.max(known["total"]).as_py() or 0
+        out = np.where(segment.out[: 2 * n] >= 0, segment.out[: 2 * n], len(ends) - 1)
+        reach = ends[out][:n] & ends[out][n:]
+        enters = segment.enters[: 2 * n] + after[out]
+        level = segment.level[:n] + below[out[:n]]
+        placed = {"depth": -level, "dfs_pos": total - enters[:n], "dfs_end": total - enters[n:]}
+        columns = {"line_no": segment.lines, "reachable": reach, **{c: pa.array(v, mask=~reach) for c, v in placed.items()}}
+        return _keyed(left, n, columns)
+
+    totals = starts.join(ranked.withColumnRenamed("at", "start"), [*KEYS, "start"]).select(*KEYS, F.col("enters").alias("total"))
+    after = ranked.select(*KEYS, F.col("at").alias("next"), "enters", "level", F.lit(True).alias("known"))
+    # A border is known by where it leads; the end of a tour, and a step that stays inside, lead on to nothing more.
+    to_finish = (
+        borders.withColumn("next_key", F.coalesce("next", F.lit(-1)))
+        .join(after.withColumnRenamed("next", "next_key"), [*KEYS, "next_key"], "left")
+        .join(totals, KEYS, "left")
+        .select(
+            *by_part, "at", "next", F.coalesce("enters", F.lit(0)).alias("enters"), F.coalesce("level", F.lit(0)).alias("level"),
+            (F.col("next").isNull() | F.col("known").isNotNull()).alias("ends"), "total",
+        )
+    )
+    return cut.groupBy(*by_part).cogroup(to_finish.groupBy(*by_part)).applyInArrow(
+        finish, f"{_KEY_TYPES}, line_no bigint, reachable boolean, depth bigint, dfs_pos bigint, dfs_end bigint"
+    )
+
+
+def rank_steps(steps: DataFrame) -> DataFrame:
+    """Steps that reach an end (``next`` NULL), with ``enters`` and ``level`` summed up to it, by pointer doubling.
+
+    A round writes the steps still under way; finished ones stay where they were written. Steps in a circle, and those
+    that lead into one, come out of no round: what is under way doubles its reach, so rounds end once it is past the count of steps.
+    """
+    count = steps.count()
+    moved, finished = steps, [steps.where("next is null")]
+    for _ in range(math.ceil(math.log2(count + 1)) + 1):
         going = moved.where("next is not null")
         if going.isEmpty():
             break
-        # Each round writes the steps that are still under way; finished ones stay where they were written.
         whole = going
         for table in finished:
             whole = whole.unionByName(table)
@@ -240,33 +390,13 @@ def walk_doubling(links: DataFrame, longest: int) -> DataFrame:
             )
         )
         finished.append(moved.where("next is null"))
-    # What is left under way runs in a circle.
-    steps = moved.where("next is not null")
-    for table in finished:
-        steps = steps.unionByName(table)
-    done = F.col("next").isNull()
-    per_message = (
-        steps.withColumn("line_no", F.floor(F.col("at") / 2))
-        .groupBy(*KEYS, "line_no")
-        .agg(
-            F.bool_and(done).alias("reachable"),
-            F.max(F.when(F.col("at") % 2 == 0, F.col("enters"))).alias("e_in"),
-            F.max(F.when(F.col("at") % 2 == 1, F.col("enters"))).alias("e_out"),
-            F.max(F.when(F.col("at") % 2 == 0, F.col("level"))).alias("l_in"),
-        )
-    )
-    totals = per_message.where("reachable").groupBy(*KEYS).agg(F.max("e_in").alias("total"))
-    return per_message.join(totals, KEYS, "left").select(
-        *KEYS,
-        "line_no",
-        "reachable",
-        F.when(F.col("reachable"), -F.col("l_in")).alias("depth"),
-        F.when(F.col("reachable"), F.col("total") - F.col("e_in")).alias("dfs_pos"),
-        F.when(F.col("reachable"), F.col("total") - F.col("e_out")).alias("dfs_end"),
-    )
+    ranked = finished[0]
+    for table in finished[1:]:
+        ranked = ranked.unionByName(table)
+    return ranked.drop("next")
 
 
-def order_messages(linked: DataFrame, pack_limit: int = PACK_LIMIT) -> DataFrame:
+def order_messages(linked: DataFrame, pack_limit: int = PACK_LIMIT, span: int = SPAN) -> DataFrame:
     """Add depth-first columns to linked messages.
 
     Messages on a parent cycle, and below one, are not reachable from any root
@@ -275,25 +405,24 @@ def order_messages(linked: DataFrame, pack_limit: int = PACK_LIMIT) -> DataFrame
     links = linked.select(*KEYS, "line_no", "parent_line")
     sizes = linked.groupBy(*KEYS).agg(F.count("*").alias("n"))
     long_sessions = sizes.where(F.col("n") > pack_limit)
-    longest = long_sessions.agg(F.max("n")).first()[0]
-    if longest is None:
+    long_keys = stage(long_sessions.select(*KEYS))
+    if long_keys.isEmpty():
         walked = walk_packed(links)
     else:
-        long_keys = stage(long_sessions.select(*KEYS))
         walked = walk_packed(links.join(long_keys, KEYS, "left_anti")).unionByName(
-            walk_doubling(links.join(long_keys, KEYS, "left_semi"), longest)
+            walk_segments(links.join(long_keys, KEYS, "left_semi"), span)
         )
     return linked.withColumn("is_root", F.col("parent_line").isNull()).join(walked, [*KEYS, "line_no"])
 
 
-def build_tree(records: DataFrame, pack_limit: int = PACK_LIMIT) -> DataFrame:
+def build_tree(records: DataFrame, pack_limit: int = PACK_LIMIT, span: int = SPAN) -> DataFrame:
     """The tree index: one narrow row per message with parent links and depth-first interval.
 
     The records are read once. All views work on the index; ``with_content``
     adds the message content where a rendering needs it.
     """
     linked = stage(link_parents(resolve_parents(stage(skeleton(records)))))
-    return stage(order_messages(linked, pack_limit))
+    return stage(order_messages(linked, pack_limit, span))
 
 
 def with_content(tree: DataFrame, messages: DataFrame) -> DataFrame:

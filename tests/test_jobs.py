@@ -1,12 +1,13 @@
 """Listing, search, export, annotations."""
 
 import json
+import random
 
 import pytest
 from conftest import answer, call, result, user
 from pyspark.sql import functions as F
 
-from threadloom.operators import annotations, export, search, sessions
+from threadloom.operators import annotation_log, annotations, export, search, sessions
 from threadloom.operators.messages import build_messages
 from threadloom.operators.records import decode
 from threadloom.operators.tree import build_tree
@@ -275,8 +276,86 @@ def test_annotation_log_is_written_once(spark, tmp_path):
     schema = "seq bigint, action string, item_type string, item_id string, project_id string, note string, tag string"
     rows = [(1, "add", "session", "a", "p", "n", ""), (2, "drop", "session", "a", "", "", ""), (2, "drop", "session", "a", "", "", ""), (3, None, "x", "a", "", "", "")]
     log = str(tmp_path / "log")
-    assert annotations.read_log(spark, log) is None
+    assert annotation_log.read_log(spark, log) is None
     for part in (rows[:1], rows, rows + [(4, "remove", "session", "a", "p", "", "")]):
-        annotations.append_events(spark.createDataFrame(part, schema), log)
-    assert sorted(r.seq for r in annotations.read_log(spark, log).collect()) == [1, 4]
-    assert sorted(r.seq for r in annotations.read_log(spark, log, "rejected").collect()) == [2, 3]
+        annotation_log.append_events(spark.createDataFrame(part, schema), log)
+    assert sorted(r.seq for r in annotation_log.read_log(spark, log).collect()) == [1, 4]
+    assert sorted(r.seq for r in annotation_log.read_log(spark, log, "rejected").collect()) == [2, 3]
+
+
+NOTE = "seq bigint, action string, item_type string, item_id string, project_id string, note string, tag string"
+
+
+def state_of(log):
+    stars = annotations.current_stars(log.withColumn("event_ts", F.timestamp_seconds("seq"))).collect()
+    tags = annotations.item_tags(log).collect()
+    return sorted(map(str, stars)), sorted(map(str, tags)), [r.name for r in annotations.all_tags(log).collect()]
+
+
+def random_notes(n, first=0):
+    rng = random.Random(n)
+    actions = ["add", "remove", "tag", "untag", "bogus", None]
+    return [(first + i, rng.choice(actions), "session", f"i{rng.randrange(5)}", "p", f"n{i}", f"t{rng.randrange(4)}") for i in range(n)]
+
+
+@pytest.mark.parametrize("history", [True, False])
+def test_compacted_log_gives_the_same_state(spark, tmp_path, history):
+    rows = random_notes(120)
+    log, whole = str(tmp_path / "log"), spark.createDataFrame(rows, NOTE)
+    annotation_log.compact_log(spark, log, history=history)
+    assert annotation_log.read_log(spark, log) is None
+    for part in (rows[:50], rows[30:80]):
+        annotation_log.append_events(spark.createDataFrame(part, NOTE), log)
+    annotation_log.compact_log(spark, log, history=history)
+    # What was left out comes again, with the rest.
+    annotation_log.append_events(whole, log)
+    valid = annotations.valid_events(whole)
+    assert state_of(annotation_log.read_log(spark, log)) == state_of(valid)
+    annotation_log.compact_log(spark, log, history=history)
+    annotation_log.sweep_log(spark, log)
+    kept = annotation_log.read_log(spark, log)
+    assert state_of(kept) == state_of(valid)
+    assert kept.count() == valid.count() if history else kept.count() <= 5 + 20 + 4
+    assert annotation_log.read_log(spark, log, "rejected").count() == len(rows) - valid.count()
+    assert len(list((tmp_path / "log" / "parts").iterdir())) == 1
+
+
+def test_an_append_that_is_cut_changes_nothing(spark, tmp_path, monkeypatch):
+    log = str(tmp_path / "log")
+    annotation_log.append_events(spark.createDataFrame(random_notes(20), NOTE), log)
+    before = sorted(map(str, annotation_log.read_log(spark, log).collect()))
+    with monkeypatch.context() as m:
+        m.setattr(annotation_log, "_publish", lambda *_: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            annotation_log.append_events(spark.createDataFrame(random_notes(20, 20), NOTE), log)
+    assert len(list((tmp_path / "log" / "parts").iterdir())) == 2
+    assert sorted(map(str, annotation_log.read_log(spark, log).collect())) == before
+    annotation_log.sweep_log(spark, log)
+    assert len(list((tmp_path / "log" / "parts").iterdir())) == 1
+    annotation_log.append_events(spark.createDataFrame(random_notes(20, 20), NOTE), log)
+    both = random_notes(20) + random_notes(20, 20)
+    assert annotation_log.read_log(spark, log).count() == annotations.valid_events(spark.createDataFrame(both, NOTE)).count()
+
+
+def test_an_append_reads_the_blocks_it_touches(spark, tmp_path):
+    """Files of other blocks are spoilt, and the append does not notice."""
+    log, far = str(tmp_path / "log"), 5 * annotation_log.BLOCK
+    annotation_log.append_events(spark.createDataFrame([(1, "add", "s", "a", "p", "", ""), (far, "add", "s", "b", "p", "", "")], NOTE), log)
+    old = list((tmp_path / "log" / "parts").glob("part=*/kind=events/block=0/*.parquet"))
+    assert len(old) == 1
+    old[0].write_bytes(b"spoilt")
+    annotation_log.append_events(spark.createDataFrame([(far, "add", "s", "z", "p", "", ""), (far + 1, "add", "s", "c", "p", "", "")], NOTE), log)
+    state = annotation_log._newest(log)
+    rows = annotation_log._rows(spark, log, state).where("block = 5")
+    assert sorted((r.seq, r.item_id) for r in rows.collect()) == [(far, "b"), (far + 1, "c")]
+
+
+def test_events_of_odd_numbers_and_new_columns(spark, tmp_path):
+    log = str(tmp_path / "log")
+    odd = [(None, "add", "s", "a", "p", "", ""), (-3, "add", "s", "b", None, None, None), (-3, "add", "s", "a", None, None, None)]
+    for _ in range(2):
+        annotation_log.append_events(spark.createDataFrame(odd, NOTE), log)
+    annotation_log.append_events(spark.createDataFrame(odd, NOTE).where("false"), log)
+    annotation_log.append_events(spark.createDataFrame([(9, "add", "s", "c", "p", "", "", "blue")], NOTE + ", colour string"), log)
+    got = {(r.seq, r.item_id, r.colour) for r in annotation_log.read_log(spark, log).collect()}
+    assert got == {(None, "a", None), (-3, "a", None), (9, "c", "blue")}

@@ -1,6 +1,6 @@
 """Stars and tags as an append-only log with derived current state.
 
-``append_events`` writes the log; everything else reads it.
+``annotation_log`` keeps the log; what is here reads it.
 
 The current state is the last action per key, found by max_by, which combines
 before the shuffle: a much-starred item costs one row per map task.
@@ -8,8 +8,7 @@ before the shuffle: a much-starred item costs one row per map task.
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 STAR_ACTIONS = ("add", "remove")
@@ -17,37 +16,17 @@ TAG_ACTIONS = ("tag", "untag")
 STAR_KEY = ["item_type", "item_id"]
 
 
-def append_events(events: DataFrame, log: str) -> None:
-    """Append star and tag events to the log folder; those with a missing or unknown action go to its quarantine.
-
-    An event is known by its ``seq``: one that is there already, or comes twice, is written once; of unlike events of
-    one number that come together the least stays, column by column. One writer at a time; readers see whole appends only.
-    """
-    whole = F.struct(*events.columns)
-    new = events.groupBy("seq").agg(F.min(whole).alias("e")).select(*(F.col(f"e.{c}").alias(c) for c in events.columns))
-    for name, chosen in (("events", valid_events(new)), ("rejected", rejected_events(new))):
-        known = read_log(events.sparkSession, log, name)
-        fresh = chosen if known is None else chosen.join(known.select("seq"), "seq", "left_anti").select(*events.columns)
-        fresh.write.mode("append").parquet(f"{log}/{name}")
-
-
-def read_log(spark: SparkSession, log: str, name: str = "events") -> DataFrame | None:
-    """The log, or with ``rejected`` its quarantine; None before the first append."""
-    try:
-        return spark.read.parquet(f"{log}/{name}")
-    except AnalysisException as e:
-        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            raise
-        return None
+def is_valid() -> Column:
+    return F.coalesce(F.col("action").isin(*STAR_ACTIONS, *TAG_ACTIONS), F.lit(False))
 
 
 def valid_events(log: DataFrame) -> DataFrame:
-    return log.where(F.col("action").isin(*STAR_ACTIONS, *TAG_ACTIONS))
+    return log.where(is_valid())
 
 
 def rejected_events(log: DataFrame) -> DataFrame:
     """Events with a missing or unknown action."""
-    return log.where(~F.coalesce(F.col("action").isin(*STAR_ACTIONS, *TAG_ACTIONS), F.lit(False)))
+    return log.where(~is_valid())
 
 
 def _last(log: DataFrame, actions: tuple[str, ...], keys: list[str], keep: list[str]) -> DataFrame:

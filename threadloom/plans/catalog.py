@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from threadloom.functions import paths, text, times, tools
 from threadloom.functions.variants import child
-from threadloom.operators import annotations, export, many, markup, messages, records, search, sessions, tool_calls, tree, views
+from threadloom.operators import annotation_log as notes_log, annotations, export, many, markup, messages, records, search, sessions, tool_calls, tree, views
 from threadloom.plans import lake
 from threadloom.session import new_folder, scratch, stage
 from threadloom.sources import bridges, sinks, transcripts
@@ -965,16 +965,39 @@ def json_documents(spark, sf):
 @register
 def annotation_log(spark, sf):
     log, events = new_folder(spark), notes(spark, sf)
-    annotations.append_events(events.where("seq % 3 != 0"), log)
-    annotations.append_events(events, log)
-    annotations.append_events(events, log)
-    return _star_rows(annotations.list_stars(annotations.current_stars(annotations.read_log(spark, log))))
+    notes_log.append_events(events.where("seq % 3 != 0"), log)
+    notes_log.append_events(events, log)
+    notes_log.append_events(events, log)
+    return _star_rows(annotations.list_stars(annotations.current_stars(notes_log.read_log(spark, log))))
+
+
+def _compacted(spark, sf) -> DataFrame:
+    """The log after appends that overlap, folded in between with and without its history."""
+    log, events = new_folder(spark), notes(spark, sf)
+    notes_log.append_events(events.where("seq % 3 = 0"), log)
+    notes_log.append_events(events.where("seq % 3 < 2"), log)
+    notes_log.compact_log(spark, log, history=False)
+    notes_log.append_events(events, log)
+    notes_log.compact_log(spark, log)
+    notes_log.sweep_log(spark, log)
+    notes_log.compact_log(spark, log, history=False)
+    return notes_log.read_log(spark, log)
+
+
+@register
+def annotation_compacted(spark, sf):
+    return _star_rows(annotations.list_stars(annotations.current_stars(_compacted(spark, sf))))
+
+
+@register
+def annotation_compacted_tags(spark, sf):
+    return annotations.item_tags(_compacted(spark, sf)).select("item_type", "item_id", "name")
 
 
 @register
 def annotation_rejects(spark, sf):
     log, events = new_folder(spark), notes(spark, sf)
-    annotations.append_events(events, log)
-    annotations.append_events(events.unionByName(events), log)
-    both = [annotations.read_log(spark, log, name).withColumn("part", F.lit(name)) for name in ("events", "rejected")]
+    notes_log.append_events(events, log)
+    notes_log.append_events(events.unionByName(events), log)
+    both = [notes_log.read_log(spark, log, name).withColumn("part", F.lit(name)) for name in ("events", "rejected")]
     return both[0].unionByName(both[1]).groupBy("part", "action").agg(F.count("*").alias("n_events"))

@@ -865,6 +865,8 @@ REFERENCE_SQL: dict[str, str] = {
       query, CAST(priority AS BIGINT) AS priority, type, project_key, session_id, summary FROM ({_metadata_hits(['summary', 'proj4'])})"""),
     "json_documents": f"SELECT project_key, session_id, file_name, document FROM ({_document(f'{NL} || {NL}', _TXT, _TEXT_NAME)})",
     "annotation_log": _notes("SELECT star_id, item_type, item_id, project_id, note FROM stars"),
+    "annotation_compacted": _notes("SELECT star_id, item_type, item_id, project_id, note FROM stars"),
+    "annotation_compacted_tags": _notes("SELECT item_type, item_id, name FROM links"),
     "annotation_rejects": _notes("SELECT CASE WHEN action = 'bogus' THEN 'rejected' ELSE 'events' END AS part, action, count(*) AS n_events FROM log GROUP BY ALL"),
     "export_markdown_parts": _MD_PARTS,
     **_CALL_EXPORTS,

@@ -131,6 +131,45 @@ def test_vector_links(spark):
     assert embedding_dedup.near_vectors(table.limit(0)).count() == 0
 
 
+def test_vector_recall_and_work_as_rows_grow(spark, monkeypatch):
+    """Pairs planted at the threshold are found at every size, and what stands in buckets grows far less than their square (25 times)."""
+    in_buckets = {}
+    made = buckets.bucket_members
+
+    def counted(items, block, block_size):
+        members = made(items, block, block_size)
+        in_buckets[items.count()] = members.count()
+        return members
+
+    monkeypatch.setattr(buckets, "bucket_members", counted)
+    rng = np.random.default_rng(4)
+    for n in (600, 3000):
+        base = rng.normal(size=(n, 64))
+        base /= np.linalg.norm(base, axis=1, keepdims=True)
+        # Every third vector gets a partner at a cosine of 0.93 to 0.95.
+        side = rng.normal(size=(n // 3, 64))
+        first = base[: n // 3]
+        side -= (side * first).sum(axis=1, keepdims=True) * first
+        side /= np.linalg.norm(side, axis=1, keepdims=True)
+        cosine = rng.uniform(0.9301, 0.95, size=(n // 3, 1))
+        whole = np.concatenate([base, cosine * first + np.sqrt(1 - cosine**2) * side])
+        near = (whole @ whole.T >= 0.93) & ~np.eye(len(whole), dtype=bool)
+        table = spark.createDataFrame([(k, v.tolist(), 1) for k, v in enumerate(whole)], "vec_id long, embedding array<double>, label int")
+        got = {r.vec_id: r.n_links for r in embedding_dedup.near_vectors(table).collect()}
+        assert all(got[k] <= near[k].sum() for k in got)
+        assert sum(got.values()) >= 0.99 * near.sum() and near.sum() >= 2 * (n // 3)
+    small, large = (in_buckets[k] for k in sorted(in_buckets))
+    assert large <= 8 * small, (small, large)
+
+
+def test_signs_and_tables():
+    assert [embedding_dedup.signs_for(n) - embedding_dedup.SPARE for n in (0, 1, 2, 1024, 1025)] == [1, 1, 1, 10, 11]
+    for signs in (5, 12, 20):
+        tables = embedding_dedup.tables_for(0.93, signs)
+        agree = (1 - np.arccos(0.93) / np.pi) ** signs
+        assert (1 - agree) ** tables <= embedding_dedup.MISS < (1 - agree) ** (tables - 1)
+
+
 def test_line_spread(spark):
     site = lambda n: None if n == 3 else f"s{n}"
     rows = []

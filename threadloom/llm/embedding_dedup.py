@@ -2,7 +2,9 @@
 
 Vectors are compared only under equal labels. In each table a vector falls
 into the bucket of its signs against random hyperplanes; vectors that share a bucket in
-some table are compared by cosine in double precision. Equal vectors form a class that is
+some table are compared by cosine in double precision. The number of signs follows the
+logarithm of the distinct vectors of the largest label, and the number of tables follows the signs so that the recall stays:
+work grows with about the power 1.2 of the rows at 0.93, and with the pairs that are near each other. Equal vectors form a class that is
 hashed and compared once, so a vector that a third of all rows repeat costs
 one row. Hyperplanes are drawn from a fixed seed per dimension, so every task has the same.
 
@@ -26,11 +28,19 @@ from threadloom.llm.buckets import linked_items
 from threadloom.llm.text import mixed
 from threadloom.session import stage
 
-SIGNS = 12
+#: Signs on top of the logarithm of the vectors of a label: 2 ** -SPARE unlike vectors share a bucket with a vector, on average.
+SPARE = 6
 MISS = 1e-4
+#: Products with hyperplanes held at once by a task.
+CELLS = 1 << 21
 
 
-def tables_for(threshold: float, signs: int = SIGNS, miss: float = MISS) -> int:
+def signs_for(count: int) -> int:
+    """Signs per table for ``count`` distinct vectors under one label, so that buckets of unlike vectors do not grow with it."""
+    return max(1, math.ceil(math.log2(max(count, 1)))) + SPARE
+
+
+def tables_for(threshold: float, signs: int, miss: float = MISS) -> int:
     """Tables after which a pair at the threshold is missed with probability ``miss``.
 
     Two vectors at angle a agree in one sign with probability 1 - a / pi.
@@ -52,6 +62,8 @@ def unit_rows(vectors: np.ndarray) -> np.ndarray:
 
 
 def _hashed(batches: Iterator[pa.RecordBatch], tables: int, signs: int, seed: int) -> Iterator[pa.RecordBatch]:
+    powers = 1 << np.arange(signs, dtype=np.int64)
+    planes: dict[int, np.ndarray] = {}
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -62,9 +74,13 @@ def _hashed(batches: Iterator[pa.RecordBatch], tables: int, signs: int, seed: in
         for d in np.unique(sizes).tolist():
             rows = np.flatnonzero(sizes == d)
             x = unit_rows(lists.take(pa.array(rows)).flatten().to_numpy().reshape(len(rows), d))
-            planes = np.random.default_rng([seed, d]).standard_normal((d, tables * signs))
-            bits = (x @ planes > 0).reshape(len(rows), tables, signs)
-            code = bits @ (1 << np.arange(signs, dtype=np.int64))
+            if d not in planes:
+                planes = {d: np.random.default_rng([seed, d]).standard_normal((d, tables * signs))}
+            code = np.empty((len(rows), tables), np.int64)
+            many = max(1, CELLS // (tables * signs))
+            for at in range(0, len(rows), many):
+                bits = x[at : at + many] @ planes[d] > 0
+                code[at : at + many] = bits.reshape(-1, tables, signs) @ powers
             with np.errstate(over="ignore"):
                 keys[rows] = mixed(code.astype(np.uint64) + mixed(label[rows].view(np.uint64) ^ np.uint64(d << 40))[:, None])
             for r, v in zip(rows.tolist(), x):
@@ -95,13 +111,16 @@ def cosine_links(left: list[bytes], right: list[bytes], candidates: np.ndarray,
 
 def near_vectors(
     embeddings: DataFrame, threshold: float = 0.93, id: str = "vec_id", vector: str = "embedding", label: str = "label",
-    signs: int = SIGNS, miss: float = MISS, block: int = 256, seed: int = 7,
+    signs: int | None = None, miss: float = MISS, block: int = 256, seed: int = 7,
 ) -> DataFrame:
     """``id``, ``n_links``, ``component_id`` and ``kept`` of every row of ``embeddings``."""
-    tables = tables_for(threshold, signs, miss)
     doubles = F.transform(F.col(vector), lambda x: x.cast("double"))
     given = embeddings.select(F.col(id).alias("vec"), F.col(label).cast("long").alias("label"), doubles.alias("vector"))
     given = given.withColumn("id", F.when(usable("vector") & F.col("label").isNotNull(), F.xxhash64("label", "vector")))
+    if signs is None:
+        sizes = given.where("id is not null").groupBy("label").agg(F.approx_count_distinct("id").alias("n"))
+        signs = signs_for(sizes.agg(F.max("n")).first()[0] or 1)
+    tables = tables_for(threshold, signs, miss)
     classes = given.where("id is not null").groupBy("id").agg(
         F.count("*").alias("weight"), F.min("vec").alias("first"), F.first("label").alias("label"), F.first("vector").alias("vector")
     )

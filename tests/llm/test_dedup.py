@@ -132,7 +132,10 @@ def test_vector_links(spark):
 
 
 def test_vector_recall_and_work_as_rows_grow(spark, monkeypatch):
-    """Pairs planted at the threshold are found at every size, and what stands in buckets grows far less than their square (25 times)."""
+    """Pairs planted at the threshold are found at every size; for 4 times the rows buckets hold less than half of the square (16 times).
+
+    Both sizes fill the same share of a power of two, so that rounding the logarithm says nothing.
+    """
     in_buckets = {}
     made = buckets.bucket_members
 
@@ -143,7 +146,7 @@ def test_vector_recall_and_work_as_rows_grow(spark, monkeypatch):
 
     monkeypatch.setattr(buckets, "bucket_members", counted)
     rng = np.random.default_rng(4)
-    for n in (600, 3000):
+    for n in (750, 3000):
         base = rng.normal(size=(n, 64))
         base /= np.linalg.norm(base, axis=1, keepdims=True)
         # Every third vector gets a partner at a cosine of 0.93 to 0.95.
@@ -159,7 +162,7 @@ def test_vector_recall_and_work_as_rows_grow(spark, monkeypatch):
         assert all(got[k] <= near[k].sum() for k in got)
         assert sum(got.values()) >= 0.99 * near.sum() and near.sum() >= 2 * (n // 3)
     small, large = (in_buckets[k] for k in sorted(in_buckets))
-    assert large <= 8 * small, (small, large)
+    assert large < 8 * small, (small, large)
 
 
 def test_signs_and_tables():

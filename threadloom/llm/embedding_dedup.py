@@ -4,7 +4,8 @@ Vectors are compared only under equal labels. In each table a vector falls
 into the bucket of its signs against random hyperplanes; vectors that share a bucket in
 some table are compared by cosine in double precision. The number of signs follows the
 logarithm of the distinct vectors of the largest label, and the number of tables follows the signs so that the recall stays:
-work grows with about the power 1.2 of the rows at 0.93, and with the pairs that are near each other. Equal vectors form a class that is
+tables grow with about the power 0.18 of the rows at 0.93, so work grows with a power of 1.2 and more where unlike vectors
+are not far apart, and with the pairs that are near each other. Equal vectors form a class that is
 hashed and compared once, so a vector that a third of all rows repeat costs
 one row. Hyperplanes are drawn from a fixed seed per dimension, so every task has the same.
 
@@ -29,7 +30,7 @@ from threadloom.llm.text import mixed
 from threadloom.session import stage
 
 #: Signs on top of the logarithm of the vectors of a label: 2 ** -SPARE unlike vectors share a bucket with a vector, on average.
-SPARE = 6
+SPARE = 8
 MISS = 1e-4
 #: Products with hyperplanes held at once by a task.
 CELLS = 1 << 21

@@ -3,8 +3,8 @@
 Both live in a folder of the query, beside its checkpoint.
 
 *Offsets.* ``Manifests`` numbers the states of the tail. A number stands for the sizes given out so far; its
-file holds only what changed since the number before, and every ``WHOLE`` numbers all sizes are written, so an idle file
-costs nothing per tick and old numbers can go.
+file holds only what changed since the number before. All sizes are written after ``WHOLE`` numbers and no sooner than as many
+changes as there are sizes, so an idle file costs nothing per tick, writing them all costs no more than the changes did, and old numbers can go.
 
 *Lines.* ``LineIndex`` holds a few places of a file: how many lines end before a byte, and where the line open there began. With the
 place a range starts at, a task reads the range itself and, once, the open line before it. A place carries a checksum of the bytes
@@ -140,14 +140,17 @@ class Manifests:
         self.store, base = open_store(folder)
         self.base = f"{base}/offsets"
         self.number, self.sizes = -1, {}
+        self.last_whole, self.changed, self.forgotten = 0, 0, -1
         numbers = self._numbers("whole")
         if numbers:
-            self.number = max(numbers)
+            self.number = self.last_whole = max(numbers)
             self.sizes = _read(self.store, self._path(self.number, "whole"))
             later = set(self._numbers("change"))
             while self.number + 1 in later:
                 self.number += 1
-                self.sizes |= {path: stop for path, (_, stop) in _read(self.store, self._path(self.number, "change")).items()}
+                changes = _read(self.store, self._path(self.number, "change"))
+                self.sizes |= {path: stop for path, (_, stop) in changes.items()}
+                self.changed += len(changes)
 
     def _path(self, number: int, kind: str) -> str:
         return f"{self.base}/{number:012d}.{kind}.json"
@@ -171,8 +174,10 @@ class Manifests:
             self.number += 1
             self.sizes |= {path: stop for path, (_, stop) in changes.items()}
             _write(self.store, self._path(self.number, "change"), changes)
-            if self.number % WHOLE == 0:
+            self.changed += len(changes)
+            if self.number - self.last_whole >= WHOLE and self.changed >= len(self.sizes):
                 _write(self.store, self._path(self.number, "whole"), self.sizes)
+                self.last_whole, self.changed = self.number, 0
         return self.number
 
     def between(self, after: int, upto: int) -> dict[str, list[int]]:
@@ -184,9 +189,12 @@ class Manifests:
         return ranges
 
     def forget(self, upto: int) -> None:
-        """Delete what no restart needs once ``upto`` is done."""
+        """Delete what no restart needs once ``upto`` is done; the folder is listed only after all sizes were written anew."""
+        if self.forgotten == self.last_whole:
+            return
         last = max((n for n in self._numbers("whole") if n <= upto), default=0)
         for kind in ("whole", "change"):
             for number in self._numbers(kind):
                 if number < last or number == last and kind == "change":
                     self.store.delete_file(self._path(number, kind))
+        self.forgotten = last

@@ -5,7 +5,7 @@ import os
 import pytest
 
 from test_sources import grown, ticks, write
-from threadloom.streaming import growing
+from threadloom.streaming import growing, tail
 
 
 def many(tmp_path, n=300):
@@ -72,3 +72,22 @@ def test_a_log_that_shrinks_while_it_waits(tmp_path, gone):
     path.write_text("z" * 3 + "\nlast\n")
     spans, end = ticks(reader, end)
     assert [r[1:] for r in rows_of(reader, spans)][-1] == (1, "last")
+
+
+def test_a_tick_of_counters_opens_few_stores(spark, tmp_path):
+    """A query of its own settings: few partitions of state, and the log of files taken is not written whole every tenth tick."""
+    (tmp_path / "logs" / "-p").mkdir(parents=True)
+    for n in range(12):
+        write(tmp_path / "logs" / "-p", f"s{n}", "part-0.jsonl", ['{"type":"user","message":{"content":"x"}}'])
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "50")
+    try:
+        stream = tail.read_chunks(spark, str(tmp_path / "logs"), max_files=1)
+        query = tail.land_running_stats(stream, str(tmp_path / "out"), str(tmp_path / "state"), trigger={"availableNow": True})
+        query.awaitTermination()
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "50"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    progress = [p for p in query.recentProgress if p.numInputRows]
+    assert len(progress) == 12 and {p.stateOperators[0].numShufflePartitions for p in progress} == {12}
+    assert not [f for f in os.listdir(tmp_path / "state" / "sources" / "0") if f.endswith(".compact")]

@@ -38,3 +38,8 @@ def test_an_export_parses_its_lines_once(spark, tmp_path, name):
     made = catalog.QUERIES[name](spark, tables(spark, tmp_path))
     assert "parse_json" not in plan_of(made)
     assert made.count() == 3
+
+
+@pytest.mark.parametrize("name", ["nav_labels", "tool_content_hit", "faceted_tool_search"])
+def test_labels_and_hits_parse_their_lines_once(spark, tmp_path, name):
+    assert "parse_json" not in plan_of(catalog.QUERIES[name](spark, tables(spark, tmp_path)))

@@ -13,7 +13,7 @@ from threadloom.operators.records import decode, quarantine
 from threadloom.operators.sessions import session_table
 from threadloom.plans import lake
 from threadloom.sources import bridges, stores
-from threadloom.sources.transcripts import line_ordinals, scan_transcripts
+from threadloom.sources.transcripts import line_ordinals, path_keys, scan_transcripts
 from threadloom.streaming import growing, names, tail
 
 
@@ -61,6 +61,17 @@ def test_line_numbers_over_splits(spark, tmp_path, split, then):
     assert len(got) == 1800 and all(r.line_no == r.n for r in got)
 
 
+def test_keys_cost_nothing_per_line(spark, tmp_path):
+    """They are taken from a path once per split, and by no pattern that tries every place of the path."""
+    write(tmp_path, "-p", "s1.jsonl", ["one", "two"])
+    plan = scan_transcripts(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract" not in plan and "url_decode" not in plan.lower() and "UrlCodec" not in plan
+    paths = ["/a/b.jsonl", "x/-p/s.1.jsonl", "file:/l/-p/agent-1.jsonl", "s.jsonl", "/s.jsonl", "/a//s.jsonl", "/a/.jsonl", "/a/s.json", "", "/a/\u00e9 +%.jsonl"]
+    named = spark.createDataFrame([(p,) for p in paths], "path string")
+    old = [F.regexp_extract("path", r"([^/]+)/([^/]+)\.jsonl$", n) for n in (1, 2)]
+    assert named.select(*path_keys(F.col("path"))).collect() == named.select(*old).collect()
+
+
 def test_scan_of_some_projects(spark, tmp_path):
     for name in ("-p[1]", "-p1", "-q*"):
         write(tmp_path, name, "s.jsonl", [f"in {name}"])

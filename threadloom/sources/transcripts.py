@@ -17,8 +17,11 @@ _EMPTY = "project_key string, session_id string, file_path string, line_no bigin
 
 def path_keys(path: Column) -> tuple[Column, Column]:
     """Project (parent folder) and session (file name without ending) of a log path."""
-    tail = r"([^/]+)/([^/]+)\.jsonl$"
-    return F.regexp_extract(path, tail, 1), F.regexp_extract(path, tail, 2)
+    # No pattern: one that may begin anywhere in the path costs many times what all else does to a short line.
+    name = F.substring_index(path, "/", -1)
+    folder = F.substring_index(F.substring_index(path, "/", -2), "/", 1)
+    is_log = F.contains(path, F.lit("/")) & (folder != "") & name.endswith(".jsonl") & (F.length(name) > len(".jsonl"))
+    return F.when(is_log, folder).otherwise(""), F.when(is_log, F.left(name, F.length(name) - len(".jsonl"))).otherwise("")
 
 
 def _depth(path: str) -> int:
@@ -33,7 +36,9 @@ def _existing(spark: SparkSession, folders: Sequence[str]) -> list[str]:
     return [re.sub(r"([{}\[\]*?\\])", r"\\\1", f) for f in found]
 
 
-SIDE_FILE = r"/agent-[^/]*\.jsonl$"
+def _side_file(path: Column) -> Column:
+    name = F.substring_index(path, "/", -1)
+    return name.startswith("agent-") & name.endswith(".jsonl")
 
 
 def _at_depth(path: Column, root: str) -> Column:
@@ -48,7 +53,7 @@ def list_logs(spark: SparkSession, root: str) -> DataFrame:
     path = F.col("path")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").load(folders)
     project, session = path_keys(path)
-    return files.where(_at_depth(path, root.rstrip("/")) & ~path.rlike(SIDE_FILE)).select(
+    return files.where(_at_depth(path, root.rstrip("/")) & ~_side_file(path)).select(
         project.alias("project_key"), session.alias("session_id"), "path", F.col("length").alias("size"), F.col("modificationTime").alias("modified")
     )
 
@@ -70,7 +75,7 @@ def scan_transcripts(
     path = F.col("_metadata.file_path")
     # Folders are listed, in parallel, not files one by one. These filters only
     # look at the path, so files that fail them are never opened.
-    at_depth, side_file = _at_depth(path, root), path.rlike(SIDE_FILE)
+    at_depth, side_file = _at_depth(path, root), _side_file(path)
     files = spark.read.option("lineSep", "\n").option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").text(folders)
     raw = files.where(at_depth if with_side_files else at_depth & ~side_file).select(
         path.alias("raw_path"),
@@ -78,13 +83,7 @@ def scan_transcripts(
         F.monotonically_increasing_id().alias("scan_pos"),
         "value",
     )
-    readable = F.url_decode(F.replace("raw_path", F.lit("+"), F.lit("%2B")))
-    project, session = path_keys(F.col("file_path"))
-    return (
-        number_lines(stage(raw))
-        .withColumn("file_path", readable)
-        .select(project.alias("project_key"), session.alias("session_id"), "file_path", "line_no", "value")
-    )
+    return number_lines(stage(raw)).select(*KEYS, "file_path", "line_no", "value")
 
 
 def number_lines(raw: DataFrame) -> DataFrame:
@@ -98,7 +97,14 @@ def number_lines(raw: DataFrame) -> DataFrame:
     key = ["raw_path", "split"]
     splits = raw.groupBy(*key).agg(F.min("scan_pos").alias("first_pos"), F.count("*").alias("n"))
     before = Window.partitionBy("raw_path").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
-    starts = stage(splits.select(*key, (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first_pos")).alias("shift")))
+    shift = F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first_pos")
+    readable = F.url_decode(F.replace("raw_path", F.lit("+"), F.lit("%2B")))
+    project, session = path_keys(F.col("file_path"))
+    starts = stage(
+        splits.select(*key, shift.alias("shift"), readable.alias("file_path")).select(
+            *key, "shift", "file_path", project.alias("project_key"), session.alias("session_id")
+        )
+    )
     return raw.join(starts, key).withColumn("line_no", F.col("scan_pos") + F.col("shift"))
 
 

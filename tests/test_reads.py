@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from threadloom.operators import records, tree
 from threadloom.plans import catalog
 from threadloom.sources import bridges
 
@@ -29,6 +30,7 @@ def test_a_line_is_built_once(spark, tmp_path):
     events = spark.createDataFrame([(7, None, 1, "view", 0.5, '{"k": 3}')], EVENTS)
     assert plan_of(bridges.event_lines(bridges.table(spark, sf, "events"))).count("compact_boundary") == 1
     assert plan_of(bridges.toolbox_lines(events)).count("mystery") == 1
+    assert plan_of(records.parse_lines(bridges.long_lines(bridges.table(spark, sf, "events")))).count("isCompactSummary") == 1
     assert plan_of(bridges.chat_lines(spark.createDataFrame([(1, 0, "user", "x")], TURNS))).count("isCompactSummary") == 1
 
 
@@ -43,3 +45,10 @@ def test_an_export_parses_its_lines_once(spark, tmp_path, name):
 @pytest.mark.parametrize("name", ["nav_labels", "tool_content_hit", "faceted_tool_search"])
 def test_labels_and_hits_parse_their_lines_once(spark, tmp_path, name):
     assert "parse_json" not in plan_of(catalog.QUERIES[name](spark, tables(spark, tmp_path)))
+
+
+def test_the_skeleton_takes_a_field_once(spark, tmp_path):
+    """The filter on messages and boundaries looks at fields already taken, and what kind a message is needs its first item alone."""
+    sf = tables(spark, tmp_path)
+    plan = plan_of(tree.skeleton(records.decode(bridges.event_lines(bridges.table(spark, sf, "events")))))
+    assert plan.count("$.logicalParentUuid") == 1 and plan.count("$.subtype") == 1

@@ -248,3 +248,34 @@ def test_filter_misses_no_member(spark):
     assert phrase_filter.holds(bitmap, hashes.astype(np.int64)).all()
     assert phrase_filter.holds(bitmap, rng.integers(-(1 << 63), (1 << 63) - 1, 5000)).mean() < 0.02
     assert not phrase_filter.built(spark.createDataFrame([], "h long"), 16).any()
+
+
+def test_a_further_pass_asks_only_where_parts_are_proposed(monkeypatch):
+    """It counts what the pass before did not, each phrase once, and works out no second print but of what it counts."""
+    from threadloom.llm import collocations as c
+
+    part = pa.RecordBatch.from_pydict({"grp": pa.array(["en"] * 40), "text": pa.array(["a b c d e. a b x%d y%d c d" % (n, n) for n in range(40)])})
+    words = c.words_of(part)
+
+    def holding(*frequent):
+        bitmap = c.phrase_filter.empty(16)
+        for _, h, _ in frequent:
+            for place in c.phrase_filter._places(h, 16):
+                np.bitwise_or.at(bitmap, (place >> np.uint64(3)).astype(int), np.left_shift(1, (place & np.uint64(7)).astype(int)).astype(np.uint8))
+        return bitmap
+
+    singles = [x for x in c._candidates(words, 3, c.phrase_filter.empty(16), None) if x[0] == 1]
+    often = [(n, h[np.isin(h, [v for v, k in zip(*np.unique(h, return_counts=True)) if k >= 40])], None) for n, h, _ in singles]
+    before = holding(*often)
+    first = list(c._candidates(words, 3, before, None))
+    proposed = before | holding(*[x for x in first if x[0] == 2])
+    asked, worked = [], []
+    real, second = c.phrase_filter.holds, c.Prints.second
+    monkeypatch.setattr(c.phrase_filter, "holds", lambda bitmap, h: asked.append(len(h)) or real(bitmap, h))
+    monkeypatch.setattr(c.Prints, "second", lambda self, n, at: worked.append(len(at)) or second(self, n, at))
+    further = list(c._candidates(words, 3, proposed, before))
+    counted = {(h, g) for _, hs, gs in first for h, g in zip(hs.tolist(), gs.tolist())}
+    added = [(h, g) for _, hs, gs in further for h, g in zip(hs.tolist(), gs.tolist())]
+    assert added and not counted & set(added)
+    assert sum(worked) == len(added)
+    assert sum(asked) < 3 * len(words.code)

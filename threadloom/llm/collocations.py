@@ -96,42 +96,70 @@ SIZE_BITS = 7
 
 
 class Phrases(NamedTuple):
-    """The phrases of ``n`` words from each word on: two prints, and whether the phrase lies in one piece."""
+    """The phrases of ``n`` words from each word on: a print, and whether the phrase lies in one piece."""
 
     n: int
     h: np.ndarray
-    g: np.ndarray
     whole: np.ndarray
 
 
-def phrases_by_length(words: Words, longest: int) -> Iterator[Phrases]:
-    strings, names = words.distinct, words.groups.cast(pa.large_binary())
-    h, g = hashes_of(names)[words.group], hashes_of(names, 1)[words.group]
-    each_h, each_g = hashes_of(strings)[words.code], hashes_of(strings, 1)[words.code]
-    for n in range(min(longest, len(words.code)) + 1):
-        if n:
+class Prints:
+    """The prints of the phrases of a slice; the second one is worked out only where a phrase is to be counted."""
+
+    def __init__(self, words: Words):
+        self.words = words
+        names = words.groups.cast(pa.large_binary())
+        self.group = [hashes_of(names, k)[words.group] for k in (0, 1)]
+        self.each = [hashes_of(words.distinct, k)[words.code] for k in (0, 1)]
+
+    def by_length(self, longest: int) -> Iterator[Phrases]:
+        h, each = self.group[0], self.each[0]
+        for n in range(min(longest, len(each)) + 1):
+            if n:
+                with np.errstate(over="ignore"):
+                    h = mixed(h[: len(each) - n + 1] * np.uint64(0x9E3779B97F4A7C15) + each[n - 1 :])
+            size = np.uint64(SIZE_BITS)
+            whole = self.words.piece[: len(h)] == self.words.piece[max(n - 1, 0) :]
+            yield Phrases(n, (h & ~size) | np.uint64(n), whole)
+
+    def second(self, n: int, at: np.ndarray) -> np.ndarray:
+        """The second print of the phrases of ``n`` words that begin at these words."""
+        g = self.group[1][at]
+        for k in range(n):
             with np.errstate(over="ignore"):
-                h = mixed(h[: len(each_h) - n + 1] * np.uint64(0x9E3779B97F4A7C15) + each_h[n - 1 :])
-                g = (g[: len(h)] ^ (g[: len(h)] >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93) + each_g[n - 1 :]
-        size = np.uint64(SIZE_BITS)
-        whole = words.piece[: len(h)] == words.piece[max(n - 1, 0) :]
-        yield Phrases(n, (h & ~size) | np.uint64(n), (g >> np.uint64(33)).astype(np.int32), whole)
+                g = (g ^ (g >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93) + self.each[1][at + k]
+        return (g >> np.uint64(33)).astype(np.int32)
+
+
+def _held(bitmap: np.ndarray, h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether a print is in the bitmap, asked only of those at ``at``."""
+    out = np.zeros(len(h), bool)
+    out[at] = phrase_filter.holds(bitmap, h[at])
+    return out
 
 
 def _candidates(words: Words, longest: int, proposed: np.ndarray, before: np.ndarray | None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Size and prints of the phrases to count, one per occurrence; see ``count_prints``."""
+    """Size and prints of the phrases to count, one per occurrence; see ``count_prints``.
+
+    A phrase is asked for in a bitmap only if its parts are in it: whatever was proposed once was counted, so they are. What was
+    counted before is worked out from ``before`` in the very way a pass works out what it counts, so no phrase is counted twice.
+    """
+    prints = Prints(words)
     inside = known = None
-    for n, h, g, whole in phrases_by_length(words, longest):
+    for n, h, whole in prints.by_length(longest):
         if n > 1:
-            wanted = inside[:-1] & inside[1:] & whole
+            wanted = asked = inside[:-1] & inside[1:] & whole
             if before is not None:
-                wanted &= ~(known[:-1] & known[1:])
-            yield n, h[wanted], g[wanted]
-        elif before is None:
-            yield n, h, g
+                counted = known[:-1] & known[1:] & whole
+                wanted = asked & ~counted
+        else:
+            wanted = asked = counted = whole
+        at = np.flatnonzero(wanted)
+        if n > 1 or before is None:
+            yield n, h[at], prints.second(n, at)
         if 0 < n < longest:
-            inside = phrase_filter.holds(proposed, h) & whole
-            known = None if before is None else phrase_filter.holds(before, h) & whole
+            inside = _held(proposed, h, np.flatnonzero(asked))
+            known = None if before is None else _held(before, h, np.flatnonzero(counted & inside))
 
 
 def _added_up(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -187,7 +215,8 @@ def words_of_prints(texts: DataFrame, longest: int, wanted: np.ndarray) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", SLICE):
             words = words_of(part)
-            for n, h, g, whole in phrases_by_length(words, longest):
+            prints = Prints(words)
+            for n, h, whole in prints.by_length(longest):
                 at = np.flatnonzero(whole & phrase_filter.holds(shared.value, h))
                 at = at[np.unique(h[at], return_index=True)[1]]
                 if not len(at):
@@ -196,7 +225,7 @@ def words_of_prints(texts: DataFrame, longest: int, wanted: np.ndarray) -> DataF
                 phrase = pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.large_binary())) if n else pa.array([b""] * len(at), pa.large_binary())
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(h[at].view(np.int64)), pa.array(g[at]), words.groups.take(pa.array(words.group[at])),
+                        pa.array(h[at].view(np.int64)), pa.array(prints.second(n, at)), words.groups.take(pa.array(words.group[at])),
                         pa.array(np.full(len(at), n, np.int32)), phrase.cast(pa.large_string()).cast(pa.string()),
                     ],
                     ["h", "g", "grp", "n_words", "phrase"],

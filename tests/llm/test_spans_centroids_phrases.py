@@ -279,3 +279,19 @@ def test_a_further_pass_asks_only_where_parts_are_proposed(monkeypatch):
     assert added and not counted & set(added)
     assert sum(worked) == len(added)
     assert sum(asked) < 3 * len(words.code)
+
+
+@pytest.mark.parametrize("few, passes", [(0.25, 2), (0.0, 4)])
+def test_few_failures_are_followed_up_in_one_pass(spark, monkeypatch, few, passes):
+    """The sample missed a word with all its phrases: one closing pass counts them at every length, or one pass per length where they are many."""
+    rng = random.Random(4)
+    rows = [("en", " ".join(f"w{rng.randint(0, 5)}" for _ in range(60))) for _ in range(60)] + [("en", "missed in the run. a b missed in c")] * 40
+    frame = spark.createDataFrame([(t, lang) for lang, t in rows], "text string, lang string").repartition(3)
+    propose, count, calls = collocations.sampled_proposal, collocations.count_prints, []
+    monkeypatch.setattr(collocations, "sampled_proposal", lambda texts, *a: propose(texts.where("text not like '%missed%'"), *a))
+    monkeypatch.setattr(collocations, "FEW", few, raising=False)
+    monkeypatch.setattr(collocations, "count_prints", lambda *a, **k: calls.append(a[2]) or count(*a, **k))
+    got = collocations.collocations(frame, 20, 2000, part=1).collect()
+    assert sorted((r.lang, r["rank"], r.phrase, r.a, r.l, r.r, r.n, r.score) for r in got) == plain_collocations(rows, 20, 2000)
+    assert any(r.phrase == "missed in the run" for r in got)
+    assert calls.count(0) == passes

@@ -3,7 +3,8 @@
 A sample of the texts proposes phrases, at a lowered threshold. One full pass then counts the proposed phrases
 together with their negative border: every phrase that was not proposed though its parts without the last and without the first
 word were. Whatever else occurs holds an infrequent part, unless a border phrase turns out frequent. Such failures join the proposal,
-and a further full pass counts only the phrases this adds, until a pass finds no failure.
+and a further full pass counts only the phrases this adds. Where failures are few it is the last one: it takes whatever it counts for
+frequent, so it counts longer phrases in the same pass. Where they are many, that would count too much, and passes go on until one finds no failure.
 
 These passes count prints of phrases (two independent hashes, 93 bits), which are shorter to shuffle than phrases. The words of a
 frequent print are then looked up in growing samples of the texts, each round only for prints still without words, the last in all texts.
@@ -49,6 +50,8 @@ LOWER[ord("A") : ord("Z") + 1] += 32
 PRINTS = 800_000
 #: Parts of the shuffle of prints per shuffle partition of the session: a task's table of counts stays small.
 PARTS = 4
+#: A pass closes the count where failures are at most this share of the proposal's bits.
+FEW = 0.25
 
 
 class Words(NamedTuple):
@@ -138,7 +141,9 @@ def _held(bitmap: np.ndarray, h: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-def _candidates(words: Words, longest: int, proposed: np.ndarray, before: np.ndarray | None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def _candidates(
+    words: Words, longest: int, proposed: np.ndarray, before: np.ndarray | None, closing: bool = False
+) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Size and prints of the phrases to count, one per occurrence; see ``count_prints``.
 
     A phrase is asked for in a bitmap only if its parts are in it: whatever was proposed once was counted, so they are. What was
@@ -158,7 +163,8 @@ def _candidates(words: Words, longest: int, proposed: np.ndarray, before: np.nda
         if n > 1 or before is None:
             yield n, h[at], prints.second(n, at)
         if 0 < n < longest:
-            inside = _held(proposed, h, np.flatnonzero(asked))
+            new = wanted if closing and n > 1 else np.zeros(len(h), bool)
+            inside = _held(proposed, h, np.flatnonzero(asked & ~new)) | new
             known = None if before is None else _held(before, h, np.flatnonzero(counted & inside))
 
 
@@ -171,12 +177,14 @@ def _added_up(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np
 
 
 def count_prints(
-    texts: DataFrame, longest: int, shortest: int, proposed: np.ndarray, before: np.ndarray | None, least: int, gather: int = PRINTS
+    texts: DataFrame, longest: int, shortest: int, proposed: np.ndarray, before: np.ndarray | None, least: int, gather: int = PRINTS,
+    closing: bool = False,
 ) -> DataFrame:
     """Prints ``h`` and ``g`` with their counts ``a`` of ``least`` or more, of phrases of ``shortest`` to ``longest`` words in ``(grp, text)``.
 
     Counted are phrases whose parts without the last and without the first word are both ``proposed``, and, where ``before``
-    is given, not both in ``before``. Words and groups count where it is not given.
+    is given, not both in ``before``. Words and groups count where it is not given. A ``closing`` pass, which has a ``before``, takes
+    the phrases it counts as proposed. All parts of a frequent phrase are frequent, so were found so or are counted now: none is missed.
     """
     shared = texts.sparkSession.sparkContext.broadcast((proposed, before))
 
@@ -188,7 +196,7 @@ def count_prints(
             return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(g), pa.array(times)], ["h", "g", "a"])
 
         for part in slices(batches, "text", SLICE):
-            fresh = [(h, g, np.ones(len(h), np.int64)) for n, h, g in _candidates(words_of(part), longest, *shared.value) if n >= shortest and len(h)]
+            fresh = [(h, g, np.ones(len(h), np.int64)) for n, h, g in _candidates(words_of(part), longest, *shared.value, closing) if n >= shortest and len(h)]
             if fresh:
                 held.append(_added_up(fresh))
                 rows += len(held[-1][0])
@@ -278,15 +286,19 @@ def frequent_phrases(
     if not 1 < longest < SIZE_BITS:
         raise ValueError("phrases have two to six words")
     proposed, before = sampled_proposal(texts, longest, least, part, bits), None
-    frequent = None
-    while True:
-        found = stage(count_prints(texts, longest, 0, proposed, before, least))
+    frequent, closing, done = None, False, False
+    while not done:
+        found = stage(count_prints(texts, longest, 0, proposed, before, least, closing=closing))
         frequent = found if frequent is None else frequent.unionAll(found)
+        if closing:
+            break
         size = F.col("h").bitwiseAND(F.lit(SIZE_BITS))
         wider = proposed | phrase_filter.built(found.where((size > 0) & (size < longest)), bits)
-        if (wider == proposed).all():
-            return with_words(texts, frequent, longest, bits).drop("h", "g")
+        failed = int(np.bitwise_count(wider ^ proposed).sum())
+        done = not failed
+        closing = failed <= FEW * int(np.bitwise_count(proposed).sum())
         proposed, before = wider, proposed
+    return with_words(texts, frequent, longest, bits).drop("h", "g")
 
 
 def _joined(words: Column, first: Column | int, n: Column) -> Column:

@@ -2,8 +2,10 @@
 
 import random
 
+import numpy as np
 import pytest
 from conftest import answer, call, result, user
+from pyspark.sql import functions as F
 
 from threadloom.functions import text
 from threadloom.operators import many, search, sessions
@@ -103,3 +105,21 @@ def test_lookups(spark, corpus):
     assert key(many.find_projects_many(projects, asked)) == key(sessions.find_projects(projects, names))
     assert many.find_sessions_many(listed, projects, asked.limit(0)).count() == 0
     assert many.find_sessions_many(listed.limit(0), projects, asked).count() == 0
+
+
+def test_the_texts_pass_once_whatever_the_number_of_queries(spark, corpus, monkeypatch):
+    """A table larger than a block is looked up in one pass per kind of text, and finds what an automaton finds."""
+    table = spark.createDataFrame([(q,) for q in QUERIES], "query string")
+    key = lambda df: sorted(map(str, df.collect()))
+    few = key(many.search_many(*corpus, table))
+    passes = []
+    for block in (5, 1):
+        monkeypatch.setattr(many, "BLOCK_QUERIES", block)
+        texts = corpus[0].select("session_id", "summary")
+        passes.append(plan_of(many.find_all(texts, many.folded_queries(table), ["session_id"], "summary", block_queries=block)).count("MapInArrow"))
+        assert key(many.search_many(*corpus, table)) == few
+    assert len(few) > 50 and passes == [passes[0]] * 2
+    # No answer hangs on the bitmap.
+    full = many.windows_of(texts.select(F.lit("x").alias("query")).distinct(), 0, 0)._replace(bitmap=np.full(1 << 7, 255, np.uint8))
+    monkeypatch.setattr(many, "windows_of", lambda asked, *a: full._replace(queries=stage(asked), sizes=sorted({len(q.lower()) for q in QUERIES if q})))
+    assert key(many.search_many(*corpus, table)) == few

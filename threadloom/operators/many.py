@@ -1,16 +1,14 @@
 """Search and lookup by tables of queries and requests.
 
-The queries of a block make one Aho-Corasick automaton, which a task builds once; every text runs through it once, whatever the number of
-queries, and gives a row per query found. A query table of any size is dealt into blocks of bounded size by hash, and
-the texts pass once per block. The plan grows with the number of blocks, not of queries; texts are never shuffled or joined with the queries.
+A text is read once, whatever the number of queries. A table that fits a block makes one Aho-Corasick automaton, which a task builds once.
+A larger one is looked up by prints (``operators.windows``): a bitmap of fixed size says which windows of a text may be a query, and a join by
+equality says which are. So neither the passes over the texts nor the memory of a task grow with the queries; texts are never shuffled.
 """
 
 from __future__ import annotations
 
-import math
 import uuid
-from collections.abc import Iterator, Sequence
-from functools import reduce
+from collections.abc import Iterable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,9 +19,10 @@ from threadloom.operators.records import KEYS, once
 from threadloom.operators.search import HIT_COLUMNS, first_hit, searchable, top_hits
 from threadloom.operators.sessions import discovery_rank, recency_rank, with_project
 from threadloom.operators.tree import reachable
+from threadloom.operators.windows import Windows, first_windows, slices, windows_of
 from threadloom.session import stage
 
-#: Queries and characters of a block, at most twice as many where hashes fall together.
+#: Queries and characters that an automaton takes.
 BLOCK_QUERIES, BLOCK_CHARS = 50_000, 2 << 20
 
 _BUILT: dict = {}
@@ -64,28 +63,23 @@ def folded_queries(queries: DataFrame) -> DataFrame:
 
 def find_all(
     texts: DataFrame, queries: DataFrame, keys: Sequence[str], folded: str = "folded", shown: str | None = None, max_len: str | None = None,
-    block_queries: int = BLOCK_QUERIES, block_chars: int = BLOCK_CHARS,
+    block_queries: int = BLOCK_QUERIES, block_chars: int = BLOCK_CHARS, windows: Windows | None = None,
 ) -> DataFrame:
     """``keys``, ``query`` and ``at`` (place of the first character) of every query that occurs in ``folded``; null texts hold none.
 
     ``queries`` are in lower case and without repeats. With ``shown`` and ``max_len``, columns of the text as written and of a length,
-    a ``snippet`` around the place is added.
+    a ``snippet`` around the place is added. ``windows`` are those of the queries, for whoever asks them of several texts.
     """
-    asked = stage(queries.select("query"))
-    n, chars = asked.agg(F.count("*"), F.coalesce(F.sum(F.length("query")), F.lit(0))).first()
-    blocks = max(1, math.ceil(n / block_queries), math.ceil(chars / block_chars))
     columns = [*keys, folded, *([shown, max_len] if shown else [])]
     texts = texts.select(*columns).where(F.col(folded).isNotNull())
-    if blocks > 1:
-        texts = stage(texts)
     schema = texts.select(*keys).schema.add("query", "string").add("at", "long")
     if shown:
         schema = schema.add("snippet", "string")
-    found = []
-    for b in range(blocks):
-        block = [r.query for r in asked.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == b).collect()]  # one block, of bounded size
-        found.append(texts.mapInArrow(_runner(texts, block, list(keys), folded, shown, max_len), schema))
-    return reduce(DataFrame.unionAll, found)
+    windows = windows or windows_of(queries, block_queries, block_chars)
+    if windows.few is not None:
+        return texts.mapInArrow(_runner(texts, windows.few, list(keys), folded, shown, max_len), schema)
+    found = texts.mapInArrow(_window_runner(texts, windows, list(keys), folded, shown, max_len), schema)
+    return found.join(windows.queries, "query", "left_semi").select(schema.names)
 
 
 def _runner(texts: DataFrame, block: list[str], keys: list[str], folded: str, shown: str | None, max_len: str | None):
@@ -96,30 +90,49 @@ def _runner(texts: DataFrame, block: list[str], keys: list[str], folded: str, sh
             return
         automaton = _automaton(name, shared.value)
         for batch in batches:
-            row, query, at, cut = [], [], [], []
-            written = batch.column(shown) if shown else None
-            for r, text in enumerate(batch.column(folded)):
-                for n, place in first_places(automaton, text.as_py()).items():
-                    row.append(r)
-                    query.append(shared.value[n])
-                    at.append(place)
-                    if shown:
-                        cut.append(snippet_at(written[r].as_py(), place, len(shared.value[n]), batch.column(max_len)[r].as_py()))
-            made = [pa.array(query, pa.string()), pa.array(at, pa.int64()), *([pa.array(cut, pa.string())] if shown else [])]
-            taken = batch.select(keys).take(pa.array(row, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*taken.columns, *made], [*keys, "query", "at", *(["snippet"] if shown else [])])
+            texts_found = (
+                [(shared.value[n], place) for n, place in first_places(automaton, text.as_py()).items()] for text in batch.column(folded)
+            )
+            yield _hits_of(batch, texts_found, keys, shown, max_len)
 
     return run
 
 
-def content_hits_many(tree: DataFrame, messages: DataFrame, queries: DataFrame) -> DataFrame:
+def _window_runner(texts: DataFrame, windows: Windows, keys: list[str], folded: str, shown: str | None, max_len: str | None):
+    """What the windows of a text may be, a row for each different one; the caller joins them with the queries."""
+    shared = texts.sparkSession.sparkContext.broadcast((windows.sizes, windows.bitmap))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, folded):
+                yield _hits_of(part, first_windows(part.column(folded), *shared.value), keys, shown, max_len)
+
+    return run
+
+
+def _hits_of(batch: pa.RecordBatch, found: Iterable, keys: list[str], shown: str | None, max_len: str | None) -> pa.RecordBatch:
+    row, query, at, cut = [], [], [], []
+    for r, hits in enumerate(found):
+        written = batch.column(shown)[r].as_py() if shown and hits else None
+        for q, place in hits:
+            row.append(r)
+            query.append(q)
+            at.append(place)
+            if shown:
+                cut.append(snippet_at(written, place, len(q), batch.column(max_len)[r].as_py()))
+    made = [pa.array(query, pa.string()), pa.array(at, pa.int64()), *([pa.array(cut, pa.string())] if shown else [])]
+    taken = batch.select(keys).take(pa.array(row, pa.int64()))
+    return pa.RecordBatch.from_arrays([*taken.columns, *made], [*keys, "query", "at", *(["snippet"] if shown else [])])
+
+
+def content_hits_many(tree: DataFrame, messages: DataFrame, queries: DataFrame, windows: Windows | None = None) -> DataFrame:
     """``search.content_hits`` for a table of folded queries: the first hit per session and query in conversation order."""
     blocks = explode_blocks(messages, "uuid").drop("image_data")
     texts = once(blocks, "body", searchable(blocks)).withColumns(
         {"folded": F.lower("body"), "max_len": F.when(F.col("block_type") == "tool_use", 40).otherwise(60)}
     )
     keys = [*KEYS, "line_no", "uuid", "block_no", "block_type", "tool_name"]
-    found = find_all(texts, queries, keys, "folded", "body", "max_len")
+    found = find_all(texts, queries, keys, "folded", "body", "max_len", windows=windows)
     in_call = F.concat(F.lit("["), "tool_name", F.lit("] "), "snippet")
     shown = F.when(F.col("block_type") == "tool_use", in_call).otherwise(F.col("snippet"))
     return (
@@ -133,12 +146,13 @@ def content_hits_many(tree: DataFrame, messages: DataFrame, queries: DataFrame)
 def search_many(sessions: DataFrame, projects: DataFrame, tree: DataFrame, messages: DataFrame, queries: DataFrame, limit: int = 0) -> DataFrame:
     """``search.search_global`` for a table of queries (column ``query``), any number of them."""
     asked = stage(folded_queries(queries))
+    windows = windows_of(asked, BLOCK_QUERIES, BLOCK_CHARS)
     named = with_project(sessions, projects)
 
     projects = projects.withColumns({"as_key": F.col("project_key"), "as_path": F.lower("full_path")})
-    key_hits = find_all(projects, asked, ["project_key"], "as_key").select("project_key", "query")
+    key_hits = find_all(projects, asked, ["project_key"], "as_key", windows=windows).select("project_key", "query")
     same = projects.select("project_key", F.lower("project_key").alias("query")).join(asked, "query").select("project_key", "query")
-    path_hits = find_all(projects, asked, ["project_key"], "as_path").where(~F.contains("project_key", "query")).select("project_key", "query")
+    path_hits = find_all(projects, asked, ["project_key"], "as_path", windows=windows).where(~F.contains("project_key", "query")).select("project_key", "query")
     hits = key_hits.unionAll(same).distinct().withColumn("priority", F.lit(0)).unionAll(path_hits.withColumn("priority", F.lit(1)))
     none = F.lit(None).cast("string")
     by_project = hits.join(projects, "project_key").select(
@@ -148,8 +162,8 @@ def search_many(sessions: DataFrame, projects: DataFrame, tree: DataFrame, messa
     )
 
     narrow = sessions.select(*KEYS, F.lower("session_id").alias("as_id"), F.lower("summary").alias("as_summary"))
-    by_id = find_all(narrow, asked, KEYS, "as_id").where("at = 0").select(*KEYS, "query", F.lit(0).alias("priority"))
-    by_summary = find_all(narrow, asked, KEYS, "as_summary").where(~F.lower("session_id").startswith(F.col("query")))
+    by_id = find_all(narrow, asked, KEYS, "as_id", windows=windows).where("at = 0").select(*KEYS, "query", F.lit(0).alias("priority"))
+    by_summary = find_all(narrow, asked, KEYS, "as_summary", windows=windows).where(~F.lower("session_id").startswith(F.col("query")))
     session_hits = by_id.unionAll(by_summary.select(*KEYS, "query", F.lit(2).alias("priority"))).join(named, KEYS)
     by_session = session_hits.select(
         "query", "priority", F.lit("session").alias("type"), *KEYS, F.col("display_name").alias("project"), "summary", none.alias("snippet"),
@@ -157,7 +171,7 @@ def search_many(sessions: DataFrame, projects: DataFrame, tree: DataFrame, messa
     )
 
     other = ~F.lower("session_id").startswith(F.col("query")) & ~F.contains(F.lower("summary"), F.col("query"))
-    by_content = content_hits_many(tree, messages, asked).join(named, KEYS).where(other).select(
+    by_content = content_hits_many(tree, messages, asked, windows).join(named, KEYS).where(other).select(
         "query", F.lit(3).alias("priority"), F.lit("message").alias("type"), *KEYS, F.col("display_name").alias("project"), "summary",
         "snippet", "message_id", "project_modified", "end_time",
     )

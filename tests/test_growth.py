@@ -91,3 +91,18 @@ def test_a_tick_of_counters_opens_few_stores(spark, tmp_path):
     progress = [p for p in query.recentProgress if p.numInputRows]
     assert len(progress) == 12 and {p.stateOperators[0].numShufflePartitions for p in progress} == {12}
     assert not [f for f in os.listdir(tmp_path / "state" / "sources" / "0") if f.endswith(".compact")]
+
+
+def test_local_checkpoints_start_no_processes(spark, tmp_path):
+    """The tick's files on a local disk are written without the file manager that starts processes; the session keeps its settings."""
+    (tmp_path / "logs" / "-p").mkdir(parents=True)
+    (tmp_path / "logs" / "-p" / "s.jsonl").write_text("a\n")
+    used = []
+
+    def apply(lines):
+        used.append(lines.sparkSession.conf.get(tail.FILE_MANAGER, None))
+        return lines
+
+    stream = tail.read_growing(spark, str(tmp_path / "logs"), startingOffsets="earliest")
+    tail.land(stream, apply, str(tmp_path / "out"), str(tmp_path / "state"), {"availableNow": True}).awaitTermination()
+    assert used and set(used) == {tail.LOCAL_SETTINGS[tail.FILE_MANAGER]} and spark.conf.get(tail.FILE_MANAGER, None) is None

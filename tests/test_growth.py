@@ -5,7 +5,8 @@ import os
 import pytest
 
 from test_sources import grown, ticks, write
-from threadloom.streaming import growing, tail
+from threadloom.plans import catalog
+from threadloom.streaming import chunks, growing, tail
 
 
 def many(tmp_path, n=300):
@@ -93,6 +94,60 @@ def test_a_tick_of_counters_opens_few_stores(spark, tmp_path):
     assert not [f for f in os.listdir(tmp_path / "state" / "sources" / "0") if f.endswith(".compact")]
 
 
+def test_chunks_by_index(spark, tmp_path):
+    """Two chunks a tick, the query started again: every chunk once, a late one of a lower number and a name with a space too."""
+    root, index, out, state = tmp_path / "logs", str(tmp_path / "index"), str(tmp_path / "out"), str(tmp_path / "state")
+
+    def put(session: str, *numbers: int) -> None:
+        (root / "-p" / session).mkdir(parents=True, exist_ok=True)
+        for n in numbers:
+            (root / "-p" / session / f"part-{n:08d}.jsonl").write_text(f"line {n}\nline {n + 1}\n")
+
+    def run() -> None:
+        stream = tail.read_chunks(spark, str(root), max_files=2, index=index)
+        query = tail.land(stream.where("value != ''"), lambda lines: lines, out, state, {"processingTime": "0 seconds"})
+        query.processAllAvailable()
+        query.stop()
+
+    put("s", 0, 2, 6, 8)
+    put("a b", 10)
+    (root / "-p" / "s" / "_part-4.jsonl").write_text("hidden")
+    (root / "-p" / "s" / ".part-4.jsonl").write_text("hidden")
+    run()
+    put("s", 4, 10)
+    run()
+    run()
+    schema = "project_key string, session_id string, line_no bigint, value string"
+    landed = tail.read_landed(spark, out, schema)
+    got = sorted((r.session_id, r.line_no, r.value) for r in landed.collect())
+    assert got == sorted([("s", n, f"line {n}") for n in range(12)] + [("a b", n, f"line {n}") for n in (10, 11)])
+    assert max(r["count"] for r in landed.groupBy("batch").count().collect()) == 4  # two chunks of two lines
+
+
+def test_chunk_offsets_stay_small(tmp_path):
+    """Ticks before the last state written whole are deleted, and a new reader knows all that was given out."""
+    log, given = chunks.ChunkLog(str(tmp_path)), []
+    for n in range(300):
+        some = [f"-p/s{n}/part-{k}.jsonl" for k in range(40)]
+        given += some
+        log.advance(some)
+        log.forget(log.number - 1)  # a tick is committed once the next one has begun
+    assert len(os.listdir(tmp_path / "chunks")) < 3 * chunks.WHOLE
+    again = chunks.ChunkLog(str(tmp_path))
+    assert again.number == 300 and len(again.given) == len(given) == 12_000
+    assert again.given.new([*given[:50], "-p/s/new.jsonl", *given[-50:]]) == ["-p/s/new.jsonl"]
+    assert len(again.given.dump()) == chunks.PRINT * len(given)
+
+
+def test_chunk_queries_list_no_files_on_the_heap(spark, monkeypatch):
+    """Spark's file source, which does, is not what the registered queries read chunks by."""
+    seen = []
+    monkeypatch.setattr(tail, "replay", lambda stream, *a, **k: seen.append(stream._jdf.queryExecution().logical().toString()) or spark.createDataFrame([], catalog._STATS + ", batch bigint"))
+    for name in ("tail_running_stats",):
+        catalog.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert len(seen) == 1 and all("FileSource" not in plan and "closed_chunks" in plan for plan in seen)
+
+
 def test_local_checkpoints_start_no_processes(spark, tmp_path):
     """The tick's files on a local disk are written without the file manager that starts processes; the session keeps its settings."""
     (tmp_path / "logs" / "-p").mkdir(parents=True)

@@ -143,9 +143,9 @@ def test_chunk_queries_list_no_files_on_the_heap(spark, monkeypatch):
     """Spark's file source, which does, is not what the registered queries read chunks by."""
     seen = []
     monkeypatch.setattr(tail, "replay", lambda stream, *a, **k: seen.append(stream._jdf.queryExecution().logical().toString()) or spark.createDataFrame([], catalog._STATS + ", batch bigint"))
-    for name in ("tail_running_stats",):
+    for name in ("tail_chunks", "tail_running_stats"):
         catalog.QUERIES[name](spark, "/root/testdata/sf0.001")
-    assert len(seen) == 1 and all("FileSource" not in plan and "closed_chunks" in plan for plan in seen)
+    assert len(seen) == 2 and all("FileSource" not in plan and "closed_chunks" in plan for plan in seen)
 
 
 def test_local_checkpoints_start_no_processes(spark, tmp_path):

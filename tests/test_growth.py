@@ -6,6 +6,7 @@ import pytest
 
 from test_sources import grown, ticks, write
 from threadloom.plans import catalog
+from threadloom.sources import transcripts
 from threadloom.streaming import chunks, growing, tail
 
 
@@ -161,3 +162,26 @@ def test_local_checkpoints_start_no_processes(spark, tmp_path):
     stream = tail.read_growing(spark, str(tmp_path / "logs"), startingOffsets="earliest")
     tail.land(stream, apply, str(tmp_path / "out"), str(tmp_path / "state"), {"availableNow": True}).awaitTermination()
     assert used and set(used) == {tail.LOCAL_SETTINGS[tail.FILE_MANAGER]} and spark.conf.get(tail.FILE_MANAGER, None) is None
+
+
+def test_logs_are_listed_some_projects_at_a_time(spark, tmp_path, monkeypatch):
+    """One read never lists all projects, which it would keep on the driver; lines, numbers and logs are the same."""
+    many(tmp_path, 40)
+    for hidden in (".trash", "_tmp"):
+        write(tmp_path / "logs", hidden, "s.jsonl", ["hidden"])
+    write(tmp_path / "logs", "-p0", "agent-s0.jsonl", ["side"])
+    write(tmp_path / "logs" / "-p0", "deeper", "s.jsonl", ["deeper"])
+    root = str(tmp_path / "logs")
+
+    def found():
+        lines = transcripts.scan_transcripts(spark, root).drop("file_path").collect()
+        return sorted(lines), sorted(transcripts.list_logs(spark, root).drop("modified").collect())
+
+    whole = found()
+    assert len(whole[0]) == 80 and len(whole[1]) == 40 and {r.line_no for r in whole[0]} == {0, 1}
+    monkeypatch.setattr(transcripts, "FILES_AT_ONCE", 20)
+    groups = transcripts._groups(spark, root, None, None)
+    assert [len(g) for g in groups] == [2, 2, 1]  # ten things in the first project, eight in each other
+    assert found() == whole
+    assert [len(g) for g in transcripts._groups(spark, root, None, [r.path for r in whole[1]])] == [20, 20]
+    assert sorted(transcripts.scan_transcripts(spark, root, only=[r.path for r in whole[1]]).drop("file_path").collect()) == whole[0]

@@ -46,7 +46,7 @@ def build_lake(
     """
     with scratch(spark):
         # Listed first: what changes while the logs are read is taken for changed by the next update.
-        logs = stage(list_logs(spark, root))
+        logs = list_logs(spark, root)
         if projects is not None:
             logs = logs.where(F.col("project_key").isin(list(projects)))
         _save(spark, out, "records", ingest(scan_transcripts(spark, root, projects=projects).drop("file_path"), strict=strict, cap=cap))
@@ -64,7 +64,7 @@ def update_lake(
     are. The list of logs is written last, so an update that was cut short is done again by the next. One writer at a time.
     """
     with scratch(spark):
-        now = stage(list_logs(spark, root))
+        now = list_logs(spark, root)
         known = spark.read.schema(now.schema).parquet(f"{out}/_logs")
         same = now.join(known, ["path", "size", "modified"], "left_semi").select("path")
         changed = stage(now.join(same, "path", "left_anti"))

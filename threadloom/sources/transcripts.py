@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from threadloom.operators.records import KEYS
 from threadloom.operators.scans import running
-from threadloom.session import stage
+from threadloom.session import new_folder, stage
+
+#: Files that one read lists, side files included; more only where a single project has them.
+FILES_AT_ONCE = 20_000
+LISTERS = 16
 
 _EMPTY = "project_key string, session_id string, file_path string, line_no bigint, value string"
 
@@ -28,12 +33,16 @@ def _depth(path: str) -> int:
     return len(re.sub(r"^[a-z0-9]+:/*", "", path).strip("/").split("/"))
 
 
-def _existing(spark: SparkSession, folders: Sequence[str]) -> list[str]:
-    """The folders that exist, as paths in which no character is a pattern."""
+def _existing_each(spark: SparkSession, folders: Sequence[str]) -> list[str | None]:
+    """The folders as paths in which no character is a pattern, None where there is none."""
     path = spark._jvm.org.apache.hadoop.fs.Path
     conf = spark._jsc.hadoopConfiguration()
-    found = [f for f in folders if path(f).getFileSystem(conf).exists(path(f))]
-    return [re.sub(r"([{}\[\]*?\\])", r"\\\1", f) for f in found]
+    found = [path(f).getFileSystem(conf).exists(path(f)) for f in folders]
+    return [re.sub(r"([{}\[\]*?\\])", r"\\\1", f) if there else None for f, there in zip(folders, found)]
+
+
+def _existing(spark: SparkSession, folders: Sequence[str]) -> list[str]:
+    return [f for f in _existing_each(spark, folders) if f is not None]
 
 
 def _side_file(path: Column) -> Column:
@@ -45,17 +54,68 @@ def _at_depth(path: Column, root: str) -> Column:
     return F.size(F.split(F.regexp_replace(path, "^[a-z0-9]+:/*", ""), "/")) == _depth(root) + 2
 
 
+def _hidden(name: str) -> bool:
+    """Names Spark leaves out when it lists a folder."""
+    return name.startswith(".") or (name.startswith("_") and "=" not in name) or name.endswith("._COPYING_")
+
+
+def _groups(spark: SparkSession, root: str, projects: Sequence[str] | None, only: Sequence[str] | None) -> list[list[str]]:
+    """What is to be read, some ``FILES_AT_ONCE`` files at a time: folders of projects, or the files themselves.
+
+    A read keeps every file it lists on the driver, at some kilobytes each, so all projects are never listed in one. A folder is the least that can be.
+    """
+    if only is not None:
+        found = _existing(spark, only)
+        return [found[at : at + FILES_AT_ONCE] for at in range(0, len(found), FILES_AT_ONCE)]
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    conf = spark._jsc.hadoopConfiguration()
+    if projects is None:
+        store = path(root).getFileSystem(conf)
+        inside = store.listStatus(path(root)) if store.exists(path(root)) else []
+        projects = sorted(s.getPath().getName() for s in inside if s.isDirectory())
+        projects = [p for p in projects if not _hidden(p)]
+    folders = [f"{root}/{p}" for p in projects]
+    exist = dict(zip(folders, _existing_each(spark, folders)))
+
+    def n_files(folder: str) -> int:
+        return len(path(folder).getFileSystem(conf).listStatus(path(folder)))
+
+    groups, held = [], 0
+    wanted = [f for f in dict.fromkeys(folders) if exist[f] is not None]
+    with ThreadPoolExecutor(LISTERS) as pool:
+        for folder, n in zip(wanted, pool.map(n_files, wanted)):
+            if not groups or held + n > FILES_AT_ONCE:
+                groups.append([])
+                held = 0
+            groups[-1].append(exist[folder])
+            held += n
+    return groups
+
+
+def _staged_by(spark: SparkSession, groups: list[list[str]], read: Callable[[list[str]], DataFrame]) -> DataFrame:
+    """``read`` of all groups as one staged table."""
+    out = new_folder(spark)
+    for group in groups:
+        found = read(group)
+        found.write.mode("append").parquet(out)
+    return spark.read.schema(found.schema).parquet(out)
+
+
 def list_logs(spark: SparkSession, root: str) -> DataFrame:
-    """``project_key``, ``session_id``, ``path``, ``size`` and ``modified`` of every log; none is opened."""
-    folders = _existing(spark, [root.rstrip("/")])
-    if not folders:
+    """``project_key``, ``session_id``, ``path``, ``size`` and ``modified`` of every log, staged; none is opened."""
+    groups = _groups(spark, root.rstrip("/"), None, None)
+    if not groups:
         return spark.createDataFrame([], "project_key string, session_id string, path string, size bigint, modified timestamp")
     path = F.col("path")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").load(folders)
     project, session = path_keys(path)
-    return files.where(_at_depth(path, root.rstrip("/")) & ~_side_file(path)).select(
-        project.alias("project_key"), session.alias("session_id"), "path", F.col("length").alias("size"), F.col("modificationTime").alias("modified")
-    )
+
+    def read(folders: list[str]) -> DataFrame:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").load(folders)
+        return files.where(_at_depth(path, root.rstrip("/")) & ~_side_file(path)).select(
+            project.alias("project_key"), session.alias("session_id"), "path", F.col("length").alias("size"), F.col("modificationTime").alias("modified")
+        )
+
+    return _staged_by(spark, groups, read)
 
 
 def scan_transcripts(
@@ -69,21 +129,24 @@ def scan_transcripts(
     file are left out. The logs are read once, into a staged table from which all that follows is taken.
     """
     root = root.rstrip("/")
-    folders = _existing(spark, only if only is not None else [root] if projects is None else [f"{root}/{p}" for p in projects])
-    if not folders:
+    groups = _groups(spark, root, projects, only)
+    if not groups:
         return spark.createDataFrame([], _EMPTY)
     path = F.col("_metadata.file_path")
     # Folders are listed, in parallel, not files one by one. These filters only
     # look at the path, so files that fail them are never opened.
     at_depth, side_file = _at_depth(path, root), _side_file(path)
-    files = spark.read.option("lineSep", "\n").option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").text(folders)
-    raw = files.where(at_depth if with_side_files else at_depth & ~side_file).select(
-        path.alias("raw_path"),
-        F.col("_metadata.file_block_start").alias("split"),
-        F.monotonically_increasing_id().alias("scan_pos"),
-        "value",
-    )
-    return number_lines(stage(raw)).select(*KEYS, "file_path", "line_no", "value")
+
+    def read(folders: list[str]) -> DataFrame:
+        files = spark.read.option("lineSep", "\n").option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").text(folders)
+        return files.where(at_depth if with_side_files else at_depth & ~side_file).select(
+            path.alias("raw_path"),
+            F.col("_metadata.file_block_start").alias("split"),
+            F.monotonically_increasing_id().alias("scan_pos"),
+            "value",
+        )
+
+    return number_lines(_staged_by(spark, groups, read)).select(*KEYS, "file_path", "line_no", "value")
 
 
 def number_lines(raw: DataFrame) -> DataFrame:

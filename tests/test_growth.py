@@ -1,10 +1,12 @@
 """What grows with the input must not grow faster than it: tasks, listings and files of a tail."""
 
 import os
+import random
 
 import pytest
 
 from test_sources import grown, ticks, write
+from threadloom.operators import views
 from threadloom.plans import catalog
 from threadloom.sources import transcripts
 from threadloom.streaming import chunks, growing, tail
@@ -185,3 +187,21 @@ def test_logs_are_listed_some_projects_at_a_time(spark, tmp_path, monkeypatch):
     assert found() == whole
     assert [len(g) for g in transcripts._groups(spark, root, None, [r.path for r in whole[1]])] == [20, 20]
     assert sorted(transcripts.scan_transcripts(spark, root, only=[r.path for r in whole[1]]).drop("file_path").collect()) == whole[0]
+
+
+@pytest.mark.parametrize("block", [1, 2, 3, 512])
+def test_chunks_are_chained_in_blocks(spark, monkeypatch, block):
+    """The chain of a session's segments is cut into blocks, so that no array grows with the session; gaps of whole segments and blocks lie between."""
+    monkeypatch.setattr(views, "SEGMENTS_PER_BLOCK", block)
+    rng, rows, want, size = random.Random(block), [], [], 4
+    for session in range(12):
+        there = [p for p in range(200) if (p // 23 + session) % 3 and rng.random() < 0.4]
+        opened = 0
+        for p in there:
+            rows.append(("-p", f"s{session}", p, "user_prompt", True))
+            if p - opened >= size:
+                opened = p
+                want.append((f"s{session}", p))
+    index = spark.createDataFrame(rows, "project_key string, session_id string, dfs_pos bigint, kind string, reachable boolean")
+    got = views.chunk_starts(index, size, 5).select("session_id", "dfs_pos").collect()
+    assert sorted(map(tuple, got)) == sorted(want)

@@ -25,6 +25,8 @@ NAV_CHILDREN = 10
 NAV_OPEN_GROUPS = 3
 # Chunk sizes of positions folded in one row when chunking; see chunk_starts.
 CHUNKS_PER_SPAN = 1024
+# Segments chained in one row before the blocks of them are.
+SEGMENTS_PER_BLOCK = 512
 
 
 def _is(*kinds: str) -> Column:
@@ -77,6 +79,39 @@ def _fold_open(prompts: Column, start: Column, size: int) -> Column:
     return F.aggregate(prompts, start.cast("bigint"), lambda at, p: F.when(p - at >= size, p).otherwise(at))
 
 
+def _chain_state(held: Column, next_seg: Column) -> Column:
+    """How many messages the open chunk holds, and the segment it holds them at the start of."""
+    return F.struct(held.cast("bigint").alias("held"), next_seg.cast("bigint").alias("next_seg"))
+
+
+def _entering(state: Column, link: Column, size: int) -> Column:
+    return F.when(link["first_seg"] == state["next_seg"], state["held"]).otherwise(F.lit(size)).cast("bigint")
+
+
+def _passed(state: Column, link: Column, size: int) -> Column:
+    return _chain_state(F.get(link["held_after"], _entering(state, link, size).cast("int")), link["next_seg"])
+
+
+def _through(chain: str, start: Column, size: int) -> Column:
+    """The state after all links of a chain, each with a table of what is held after it for every number held before."""
+    return F.aggregate(chain, start, lambda state, link: _passed(state, link, size))
+
+
+def _states(chain: str, start: Column, size: int) -> Column:
+    """Per link its first segment, the one that follows, and what is held before and after."""
+    seed = F.struct(start.alias("state"), F.array().cast("array<struct<first_seg:bigint,next_seg:bigint,before:bigint,after:bigint>>").alias("out"))
+
+    def step(acc: Column, link: Column) -> Column:
+        now = _passed(acc["state"], link, size)
+        row = F.struct(
+            link["first_seg"].alias("first_seg"), link["next_seg"].alias("next_seg"),
+            _entering(acc["state"], link, size).alias("before"), now["held"].alias("after"),
+        )
+        return F.struct(now.alias("state"), F.concat(acc["out"], F.array(row)).alias("out"))
+
+    return F.aggregate(chain, seed, step, lambda acc: acc["out"])
+
+
 def chunk_starts(tree: DataFrame, size: int = CHUNK_SIZE, span: int | None = None) -> DataFrame:
     """Positions that open a chunk: a prompt does once the open chunk holds ``size`` messages.
 
@@ -112,25 +147,27 @@ def chunk_starts(tree: DataFrame, size: int = CHUNK_SIZE, span: int | None = Non
         )
     )
     # A gap of whole segments without a prompt leaves the chunk full. The chain
-    # walks the segments that have prompts, in order.
-    chained = cases.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("seg", "held_after"))).alias("chain"))
-    step = lambda acc, c: F.struct(
-        F.get(
-            c["held_after"],
-            F.when(c["seg"] == acc["next_seg"], acc["held"]).otherwise(F.lit(size)).cast("int"),
-        ).alias("held"),
-        (c["seg"] + 1).alias("next_seg"),
-        F.concat(acc["out"], F.array(F.struct((c["seg"] + 1).alias("seg"), F.get(
-            c["held_after"],
-            F.when(c["seg"] == acc["next_seg"], acc["held"]).otherwise(F.lit(size)).cast("int"),
-        ).alias("held")))).alias("out"),
-    )
-    seed = F.struct(
-        F.lit(0).cast("bigint").alias("held"), F.lit(0).cast("bigint").alias("next_seg"),
-        F.array().cast("array<struct<seg:bigint,held:bigint>>").alias("out"),
-    )
-    entries = chained.select(*KEYS, F.explode(F.aggregate("chain", seed, step, lambda a: a["out"])).alias("e")).select(
-        *KEYS, F.col("e.seg").alias("seg"), F.col("e.held").alias("held")
+    # walks the segments that have prompts, in order: blocks of them first, each for all cases, then the blocks, then inside the blocks.
+    # An array a step grows by is copied at every step, so none holds more than the segments of a block, or the blocks.
+    one = [F.col("seg").alias("first_seg"), (F.col("seg") + 1).alias("next_seg"), "held_after"]
+    blocks = (
+        cases.groupBy(*KEYS, F.floor(F.col("seg") / F.lit(SEGMENTS_PER_BLOCK)).alias("block"))
+        .agg(F.array_sort(F.collect_list(F.struct(*one))).alias("chain"))
+        .withColumns({"first_seg": F.col("chain")[0]["first_seg"], "next_seg": F.element_at("chain", -1)["next_seg"]})
+        .withColumn(
+            "held_after",
+            F.transform(F.sequence(F.lit(0), F.lit(size)), lambda held: _through("chain", _chain_state(held, F.col("first_seg")), size)["held"]),
+        )
+    )
+    chained = blocks.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("first_seg", "next_seg", "held_after"))).alias("chain"))
+    start = _chain_state(F.lit(0), F.lit(0))
+    into = chained.select(*KEYS, F.explode(_states("chain", start, size)).alias("e")).select(
+        *KEYS, F.floor(F.col("e.first_seg") / F.lit(SEGMENTS_PER_BLOCK)).alias("block"), F.col("e.before").alias("held_before")
+    )
+    entries = (
+        blocks.select(*KEYS, "block", "chain", "first_seg").join(into, [*KEYS, "block"])
+        .select(*KEYS, F.explode(_states("chain", _chain_state(F.col("held_before"), F.col("first_seg")), size)).alias("e"))
+        .select(*KEYS, F.col("e.next_seg").alias("seg"), F.col("e.after").alias("held"))
     )
     held = F.when(F.col("seg") == 0, F.lit(0)).otherwise(F.coalesce("held", F.lit(size)))
     return prompts.join(entries, [*KEYS, "seg"], "left").select(
